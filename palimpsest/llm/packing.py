@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, text_of
 from .tokens import encoder
@@ -224,9 +225,7 @@ def assign_sequences(pieces: DataFrame, capacity: int, plans: tuple[tuple[float,
             sequence, turn = np.divmod(rank - run[:, 1], run[:, 3])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(run[:, 2] + sequence), pa.array(run[:, 4] + turn * length)], names=[*names, "sequence_id", "offset"])
 
-    schema = pieces.schema
-    for name in ("sequence_id", "offset"):
-        schema = schema.add(name, "long")
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset"))])
     return ranked.mapInArrow(place, schema)
 
 
