@@ -21,6 +21,49 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_mixture
+
+    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    placed = shard_by_mixture(docs, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import with_kept_text
+
+    kept = with_kept_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__line_n").alias("n_lines"), F.col("__line_dropped").alias("n_dropped"), F.sha2(F.col("__line_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+firsts AS (SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k),
+marked AS (SELECT keyed.*, coalesce(keyed.doc_id > first_doc, false) AS gone FROM keyed LEFT JOIN firsts ON keyed.k = firsts.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialise
+    from .mixing import count_words, with_copies
+
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    mixed = with_copies(materialise(sized, "document-sizes"), F.col("size"))
+    return mixed.select("doc_id", "size", F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("size") * F.col("__mix_copies")).alias("taken"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_pairs
+
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import as_wav, describe_wav
 
@@ -42,5 +85,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
-QUERIES = {"op1_pack": op1_pack, "op8_media": op8_media, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
