@@ -49,6 +49,12 @@ FROM marked GROUP BY r
 """
 
 
+def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similar import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialise
     from .mixing import count_words, with_copies
@@ -85,5 +91,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files)}
+QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
