@@ -55,6 +55,13 @@ def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract_main_text
+
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialise
     from .mixing import count_words, with_copies
@@ -91,5 +98,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files)}
+QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op5_main_text, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
