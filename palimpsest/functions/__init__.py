@@ -1 +1 @@
-
+"""Column functions and the rule tables they read."""

@@ -1 +1,26 @@
+"""Generation plans: categories and levels as a small table."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+
+
+def fan_out(spark: SparkSession, **conditions: bool) -> DataFrame:
+    """seq, category, level, count, persona: the tasks of a pack. Conditions: trivial, no_tables, no_routes, no_tests, no_devops."""
+    rows = [(i, name, other if c and conditions.get(c) else usual) for i, (name, usual, other, c) in enumerate(rules.PLAN_COUNTS)]
+    base = spark.createDataFrame(rows, "cat int, category string, n int")
+    one, two = F.floor(F.col("n") * 0.2 + 0.5), F.floor(F.col("n") * 0.45 + 0.5)
+    half = F.col("category") == "walkthrough"
+    levels = F.array(
+        F.struct(F.lit("L1").alias("level"), F.when(half, F.ceil(F.col("n") * 0.5)).otherwise(one).cast("int").alias("count")),
+        F.struct(F.lit("L2").alias("level"), F.when(half, F.floor(F.col("n") * 0.5)).otherwise(two).cast("int").alias("count")),
+        F.struct(F.lit("L3").alias("level"), F.when(half, 0).otherwise(F.col("n") - one - two).cast("int").alias("count")),
+    )
+    tasks = base.select("cat", "category", F.explode(levels).alias("l")).select("cat", "category", "l.level", "l.count").where("count > 0")
+    turn = F.sum(F.when(F.col("level") != "L3", 1).otherwise(0)).over(Window.orderBy("cat", "level")) - 1
+    persona = F.when(F.col("level") == "L3", "bar-raiser").otherwise(F.element_at(F.array(*map(F.lit, rules.PERSONAS)), (turn % 3 + 1).cast("int")))
+    seq = F.row_number().over(Window.orderBy("cat", "level")) - 1
+    return tasks.select(seq.alias("seq"), "category", "level", F.least("count", F.lit(8)).alias("count"), persona.alias("persona"))

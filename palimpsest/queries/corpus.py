@@ -1,0 +1,311 @@
+"""Text of documents and pages: scans, paths, redaction, hashes, chunks, embeddings, retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text, vectors
+from ..operators import chunks, facts, reports, retrieval
+from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising, zip_bomb, zip_entry_ok
+from .base import read, registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+ENDINGS = ("ts", "py", "go", "sql", "md", "json", "txt", "test.js")
+PATH_SQL = "source || '/' || lang || '/f' || doc_id || '.' || ['ts','py','go','sql','md','json','txt','test.js'][doc_id % 8 + 1]"
+LANG_SQL = "['TypeScript','Python','Go','SQL','Markdown','JSON','Other','JavaScript'][doc_id % 8 + 1]"
+
+
+def files(spark, d):
+    """documents as source files, with an invented path."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ending)
+    return read(spark, d, "documents").withColumn("path", path)
+
+
+QUERY = "The thing and that_ other ounder ofthe"
+TERMS_SQL = "['the', 'thing', 'and', 'that_', 'other', 'ounder', 'ofthe']"
+HITS_SQL = f"CAST(len(list_filter({TERMS_SQL}, lambda t: lower(coalesce(text, '')) LIKE '%' || t || '%')) AS INT)"
+
+
+@query(f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+near AS (SELECT vec_id AS doc_id, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 6) AS s FROM embeddings, q),
+nr AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM near QUALIFY r <= 24),
+lex AS (SELECT doc_id, {HITS_SQL} AS h FROM documents),
+lr AS (SELECT doc_id, row_number() OVER (ORDER BY h DESC, doc_id) AS r FROM lex WHERE h > 0 QUALIFY r <= 24)
+SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM nr UNION ALL SELECT * FROM lr) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 12""")
+def hybrid_retrieval(spark, d):
+    """PIP-5, SRT-1/2/3, WIN-1/2, SET-1, FLT-9/10, AGG-7, STR-9, MTH-1, UDF-2. Vector n belongs to document n."""
+    e = read(spark, d, "embeddings")
+    return retrieval.hybrid(read(spark, d, "documents"), e, QUERY, list(e.where("vec_id = 0").first()["embedding"]))
+
+
+@query(f"SELECT doc_id, {HITS_SQL} AS hits FROM documents WHERE {HITS_SQL} > 0 ORDER BY hits DESC, doc_id LIMIT 24")
+def lexical_topk(spark, d):
+    return retrieval.lexical_topk(read(spark, d, "documents").select("doc_id", "text"), QUERY, 24).select("doc_id", "hits")
+
+
+@query("SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY similarity DESC, vec_id LIMIT 24")
+def vector_topk(spark, d):
+    e = read(spark, d, "embeddings")
+    return retrieval.vector_topk(e, list(e.where("vec_id = 7").first()["embedding"]), 24).select("vec_id", "similarity")
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY user_id),
+a AS (SELECT user_id, row_number() OVER (ORDER BY n DESC, user_id) AS r FROM u QUALIFY r <= 50), b AS (SELECT user_id, row_number() OVER (ORDER BY v DESC, user_id) AS r FROM u QUALIFY r <= 50)
+SELECT user_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20""")
+def rrf_fusion(spark, d):
+    """Two rankings of users, fused."""
+    u = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
+    tops = [retrieval.ranked(u.orderBy(F.desc(c), "user_id").limit(50), F.desc(c), "user_id") for c in ("n", "v")]
+    return retrieval.fuse(tops, "user_id", 20)
+
+
+@query(f"""WITH f AS (SELECT {LANG_SQL} AS lang, len(string_split(text, chr(10))) AS loc FROM documents), c AS (SELECT lang, count(*) AS files, sum(loc)::BIGINT AS loc FROM f WHERE lang NOT IN ('Markdown', 'JSON', 'Other') GROUP BY lang)
+SELECT lang, files, loc, round(loc / greatest(sum(loc) OVER (), 1), 6) AS share FROM c""")
+def language_census(spark, d):
+    """AGG-1, WIN-7, STR-5, STR-7."""
+    return facts.census(files(spark, d).select(text.language(F.col("path")).alias("lang"), text.line_count(F.col("text")).cast("long").alias("loc")))
+
+
+@query(f"SELECT doc_id, {PATH_SQL} AS path, {LANG_SQL} AS lang, doc_id % 8 = 7 AS is_test, doc_id % 8 NOT IN (4, 5) AS code FROM documents")
+def path_classify(spark, d):
+    """STR-5, STR-6, AGG-2."""
+    lang = text.language(F.col("path"))
+    return files(spark, d).select("doc_id", "path", lang.alias("lang"), text.is_test_path(F.col("path")).alias("is_test"), text.is_code(lang).alias("code"))
+
+
+@query(f"""SELECT source || '/' || lang AS dir, count(*) AS n, string_agg({PATH_SQL}, ';' ORDER BY {PATH_SQL}) FILTER (WHERE quality IS NULL) AS missing,
+count(quality) AS known FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def directory_rollup(spark, d):
+    """AGG-4, JOI-7."""
+    rows = files(spark, d).select("doc_id", "path").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    listed = F.array_join(F.array_sort(F.collect_list(F.when(F.col("quality").isNull(), F.col("path")))), ";")
+    return rows.groupBy(text.directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n"), F.nullif(listed, F.lit("")).alias("missing"), F.count("quality").alias("known"))
+
+
+@query("SELECT user_id AS path, count(*) AS changes, count(DISTINCT event_type) AS authors FROM events GROUP BY user_id ORDER BY changes DESC, path LIMIT 20")
+def churn_hotspots(spark, d):
+    """AGG-3, SRC-6, MAP-1."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("path"), "event_type")
+    return e.groupBy("path").agg(F.count("*").alias("changes"), F.count_distinct("event_type").alias("authors")).orderBy(F.desc("changes"), "path").limit(20)
+
+
+@query(f"""SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND octet_length(encode(text)) BETWEEN 1 AND 4000 AND length(trim(text)) >= 200 AND {LANG_SQL} <> 'JSON'""")
+def module_scope_filter(spark, d):
+    """FLT-1, FLT-2, FLT-3, FLT-5, FLT-14, FLT-16."""
+    f = files(spark, d)
+    return f.where(in_scope(F.col("path"), ["src1", "src2"]) & size_ok(F.octet_length("text"), 4000) & worth_summarising(F.col("path"), text.language(F.col("path")), F.col("text"))).select("doc_id")
+
+
+@query(f"""SELECT doc_id, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents WHERE NOT contains(text, '..') OR true)
+WHERE running > 30000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
+def zip_guard_running_total(spark, d):
+    """SRC-2, WIN-5, FLT-3: entries of an archive (a source) until its expanded size passes a cap."""
+    f = files(spark, d).where(zip_entry_ok(F.col("path")) & ~zip_bomb(F.lit(1), F.col("n_chars"))).select("source", "doc_id", "n_chars")
+    over = running(f, "n_chars", ["doc_id"], "running", ["source"]).where("running > 30000")
+    return over.groupBy("source").agg(F.min_by(F.struct("doc_id", "running"), "doc_id").alias("f")).select("f.doc_id", "f.running")
+
+
+@query(f"SELECT source, 'zip-' || left(sha256(string_agg(p, chr(10) ORDER BY p)), 16) AS snapshot FROM (SELECT source, {PATH_SQL} || ':' || n_chars AS p FROM documents) GROUP BY source")
+def snapshot_fingerprint(spark, d):
+    """SRC-3, SRC-4."""
+    entry = F.concat("path", F.lit(":"), F.col("n_chars").cast("string"))
+    return files(spark, d).groupBy("source").agg(F.concat(F.lit("zip-"), F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256), F.lit(16))).alias("snapshot"))
+
+
+@query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_hash_dedupe(spark, d):
+    """HSH-1, SET-3, AGG-18."""
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def summary_cache_missing(spark, d):
+    """JOI-6, SET-4: the hash is made after the anti-join, for what is missing only."""
+    return read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+_PLANT = {
+    0: "key = 'AKIAABCDEFGHIJKL{n}'", 1: "ghp_abcdefghijklmnopqrstuvwxyz01234567{n}", 2: 'DB_PASSWORD = "hunter2hunter2{n}"', 3: "postgres://user:secret{n}@host/db", 4: "nothing", 5: 'AWS_SECRET_TOKEN: "abcdefabcdef{n}" then sk_live_abcdefghijklmnop{n}',
+}
+_PLANT_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in _PLANT.items()) + " END"
+_PLANTED_SQL = f"replace({_PLANT_SQL}, '{{n}}', CAST(1000 + doc_id % 9000 AS VARCHAR))"
+_RE2 = [
+    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b", r"(?i)\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/\"'']+:[^\s@/\"'']+@[^\s\"''`]+",
+]
+_IDS = ["aws_access_key", "github_token", "stripe_key", "db_url"]
+_GENERIC = r"\b([A-Z0-9_]*(?:SECRET|PASSWORD|PASSWD|TOKEN|APIKEY|API_KEY|ACCESS_KEY|PRIVATE_KEY|CLIENT_SECRET)[A-Z0-9_]*)\s*[=:]\s*[\"'']([^\"''\s]{12,})[\"'']"
+
+
+def _nested(expr: str) -> str:
+    for rule, pattern in zip(_IDS, _RE2, strict=True):
+        expr = f"regexp_replace({expr}, '{pattern}', '[REDACTED:{rule}]', 'g')"
+    return f"regexp_replace({expr}, '{_GENERIC}', '\\1=\"[REDACTED:generic_assignment]\"', 'g')"
+
+
+def planted(spark, d):
+    """documents with a line that holds a secret, by doc_id, after the first 200 characters."""
+    plant = F.element_at(F.array(*[F.lit(_PLANT[k]) for k in range(6)]), (F.col("doc_id") % 6 + 1).cast("int"))
+    line = F.replace(plant, F.lit("{n}"), (1000 + F.col("doc_id") % 9000).cast("string"))
+    return read(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(200)), F.lit("\n"), line).alias("text"))
+
+
+@query(f"SELECT doc_id, {_nested('left(text, 200) || chr(10) || ' + _PLANTED_SQL)} AS text FROM documents")
+def redact_secrets(spark, d):
+    """STR-1, T-1."""
+    return text.redact(planted(spark, d)).select("doc_id", "text")
+
+
+
+
+@query(f"""WITH p AS (SELECT doc_id, doc_id % 6 AS k, len(string_split(left(text, 200), chr(10))) + 1 AS line, 1000 + doc_id % 9000 AS n FROM documents)
+SELECT doc_id, rule, CAST(line AS INT) AS line, preview FROM (
+SELECT doc_id, 'aws_access_key' AS rule, line, 'AKI' || repeat('*', 12) || right(n::VARCHAR, 3) AS preview FROM p WHERE k = 0
+UNION ALL SELECT doc_id, 'github_token', line, 'ghp' || repeat('*', 12) || right(n::VARCHAR, 3) FROM p WHERE k = 1
+UNION ALL SELECT doc_id, 'generic_assignment', line, 'hun' || repeat('*', 12) || right(n::VARCHAR, 3) FROM p WHERE k = 2
+UNION ALL SELECT doc_id, 'db_url', line, 'pos' || repeat('*', 12) || '/db' FROM p WHERE k = 3
+UNION ALL SELECT doc_id, 'stripe_key', line, 'sk_' || repeat('*', 12) || right(n::VARCHAR, 3) FROM p WHERE k = 5
+UNION ALL SELECT doc_id, 'generic_assignment', line, 'abc' || repeat('*', 10) || right(n::VARCHAR, 3) FROM p WHERE k = 5)""")
+def redaction_findings(spark, d):
+    """STR-2, STR-3."""
+    found = text.redact(planted(spark, d)).select("doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", "f.rule", "f.line", "f.preview")
+
+
+@query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS path, generate_subscripts(regexp_extract_all(html, '<a href="([^"]+)"', 1), 1) AS i FROM pages)
+SELECT path, min(page_id) AS page_id, count(*) AS n FROM m GROUP BY path""")
+def extract_routes(spark, d):
+    """EXT-3, AGG-18: link targets as routes, the first page of each."""
+    m = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("path"))
+    return m.groupBy("path").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query(r"""SELECT name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9_]+)', 1))) AS name FROM documents) GROUP BY name""")
+def extract_env_like(spark, d):
+    """EXT-5, AGG-17: upper-case names, by the documents that hold them."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9_]+)"), F.lit(1)))
+    return read(spark, d, "documents").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), lambda p: p <> '')[-2:], '/') AS name,
+regexp_matches(url, '^https?://([a-z0-9.-]+\.)?example\.(com|org)([/:?#]|$)') AS allowed FROM pages""")
+def url_guard(spark, d):
+    """SRC-1, STR-8."""
+    return read(spark, d, "pages").select("page_id", text.repository_name(F.col("url")).alias("name"), url_allowed(F.col("url"), ["example.com", "example.org"]).alias("allowed"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    """JSN-1, JSN-2, FLT-13, EXT-9."""
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(None)
+def chunk_blank_lines(spark, d):
+    """PIP-3 without declarations: unknown languages are cut at blank lines. A fold; golden tests stand for SQL."""
+    f = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("Other").alias("lang"), F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("content"))
+    return chunks.chunk(f)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+m AS (SELECT doc_id, i, n, regexp_extract(line, '^(The|Der|Le|El) ', 1) AS s FROM l WHERE regexp_matches(line, '^(The|Der|Le|El) ') OR i = 1)
+SELECT doc_id, CASE WHEN s = '' THEN '(imports)' ELSE s END AS symbol, i AS first, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, n) AS last FROM m""")
+def symbol_regions(spark, d):
+    """WIN-6: lines that begin with an article begin a region."""
+    from pyspark.sql import Window
+
+    lines = F.split("text", "\n", -1)
+    l_ = read(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
+    m = l_.withColumn("s", F.regexp_extract("line", "^(The|Der|Le|El) ", 1)).where("s != '' OR i = 0")
+    last = F.coalesce(F.lead("i").over(Window.partitionBy("doc_id").orderBy("i")), F.col("n"))
+    return m.select("doc_id", F.when(F.col("s") == "", "(imports)").otherwise(F.col("s")).alias("symbol"), (F.col("i") + 1).cast("long").alias("first"), last.cast("long").alias("last"))
+
+
+TOKENS = r"[a-z_][a-z0-9_]+|\d+"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(left(text, 400)), '{TOKENS}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS f, 1.0 AS v FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '~' || w[i + 1])), 0.6 FROM t),
+h AS (SELECT doc_id, v, list_reduce(list_transform(string_split(f, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM g),
+s AS (SELECT doc_id, CAST(h % 1536 AS INT) AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN -v ELSE v END) AS x FROM h GROUP BY 1, 2),
+l AS (SELECT doc_id, dim, sign(x) * ln(1 + abs(x)) AS x FROM s WHERE abs(x) > 1e-9)
+SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM l""")
+def hash_embed(spark, d):
+    """MTH-4, MTH-5, MTH-2, PIP-4: a hashed bag of words and pairs of the first 400 characters, as sparse rows."""
+    from pyspark.sql import Window
+
+    t = read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.left("text", F.lit(400))), F.lit(f"({TOKENS})"), F.lit(1)).alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit("~"), F.get("w", i + 1)))
+    g = t.select("doc_id", F.explode("w").alias("f"), F.lit(1.0).alias("v")).unionByName(t.select("doc_id", F.explode(pairs).alias("f"), F.lit(0.6).alias("v")))
+    h = g.withColumn("h", vectors.fnv1a(F.col("f")))
+    sign = F.when(F.shiftright("h", 16).bitwiseAND(F.lit(1).cast("long")) == 1, -1.0).otherwise(1.0)
+    s = h.groupBy("doc_id", (F.col("h") % 1536).cast("int").alias("dim")).agg(F.sum(F.col("v") * sign).alias("x")).where(F.abs("x") > 1e-9)
+    x = s.withColumn("x", F.signum("x") * F.log1p(F.abs("x")))
+    return x.withColumn("x", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id"))), 6))
+
+
+@query("""WITH f AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a FROM embeddings)
+SELECT vec_id, round(list_sum(a) / sqrt(list_dot_product(a, a)), 6) AS sum32, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS sum96, 96 AS width FROM embeddings JOIN f USING (vec_id)""")
+def fit_dimension(spark, d):
+    """MTH-2, MTH-3."""
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    return read(spark, d, "embeddings").select("vec_id", total(vectors.fit_dimension(F.col("embedding"), 32)).alias("sum32"), total(vectors.fit_dimension(F.col("embedding"), 96)).alias("sum96"), F.size(vectors.fit_dimension(F.col("embedding"), 96)).alias("width"))
+
+
+@query("""WITH t AS (SELECT unnest(['the', 'and', 'der', 'de', 'les']) AS term), n AS (SELECT doc_id, term, (length(lower(text)) - length(replace(lower(text), term, ''))) / length(term) AS n FROM documents, t WHERE length(term) >= 3)
+SELECT doc_id, term, round(least(1.0, 0.3 + 0.2 * n), 6) AS weight FROM n WHERE n > 0""")
+def jd_weights(spark, d):
+    """STR-21, MAP-1."""
+    terms = F.array(*map(F.lit, ("the", "and", "der", "de", "les")))
+    w = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.explode(terms).alias("term"))
+    return w.select("doc_id", "term", F.round(text.term_weight(F.col("t"), F.col("term")), 6).alias("weight")).where("weight is not null")
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || chr(10) || '… [' || (length(text) - 50) || ' characters truncated]' ELSE text END AS cut,
+replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, lower(regexp_replace(left(text, 30), '[^A-Za-z0-9_.-]+', '-', 'g')) AS slug, right(text, 4) AS last4,
+array_to_string(list_transform(string_split(left(text, 60), ' '), lambda x: '- ' || x), chr(10)) AS bullets,
+'<a_b>' || chr(10) || left(text, 5) || chr(10) || '</a_b>' AS wrapped, source || ':1-' || n_chars AS cited FROM documents""")
+def text_functions(spark, d):
+    """STR-11, STR-13..16, STR-23, SNK-4, ARR-1."""
+    t = F.col("text")
+    return read(spark, d, "documents").select(
+        "doc_id", text.truncate(t, 50).alias("cut"), text.escape_html(F.left(t, F.lit(80))).alias("escaped"), text.slug(F.left(t, F.lit(30))).alias("slug"), F.right(t, F.lit(4)).alias("last4"),
+        text.bullets(F.split(F.left(t, F.lit(60)), " ")).alias("bullets"), text.delimited(F.lit("a b"), F.left(t, F.lit(5))).alias("wrapped"), text.citation(F.col("source"), F.lit(1), F.col("n_chars")).alias("cited"),
+    )
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(range(1, len(s) + 1), lambda i: lpad(i::VARCHAR, 5, ' ') || ' | ' || s[i]), chr(10)) AS numbered FROM (SELECT doc_id, string_split(left(text, 300), chr(10)) AS s FROM documents)""")
+def line_numbers(spark, d):
+    """STR-12."""
+    return read(spark, d, "documents").select("doc_id", text.numbered(F.left("text", F.lit(300)), F.lit(1)).alias("numbered"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), c AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey)) AS c FROM part GROUP BY p_brand)
+SELECT CAST(c AS INT) AS category_no, 0 AS item_no, '## ' || p_brand AS line FROM c UNION ALL SELECT CAST(c AS INT), CAST(i AS INT), '### ' || i || '. ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '---' FROM n JOIN c USING (p_brand)""")
+def markdown_export(spark, d):
+    """SNK-1, WIN-4, STR-17."""
+    return reports.markdown_lines(read(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_type"), "p_brand", ["p_partkey"], "p_name", "p_type")
+
+
+@query("""SELECT p_partkey, replace(replace(replace(p_name || ' & <' || p_size || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(9) || p_type || '<br>x' || chr(9) || 'pack::' || p_brand AS line FROM part""")
+def tsv_export(spark, d):
+    """SNK-2, STR-15."""
+    p = read(spark, d, "part")
+    return p.select("p_partkey", reports.tsv_line(F.concat("p_name", F.lit(" & <"), F.col("p_size").cast("string"), F.lit(">")), reports.card_text(F.concat("p_type", F.lit("\nx"))), F.concat(F.lit("pack::"), "p_brand")).alias("line"))
+
+
+@query("""SELECT p_partkey, '<article><div class="meta">' || p_brand || ' &amp; more</div><h3>' || p_partkey || '. ' || p_name || '</h3><p>' || p_type || '<br>&lt;end&gt;</p></article>' AS line FROM part""")
+def html_export(spark, d):
+    """SNK-3, SNK-4."""
+    p = read(spark, d, "part")
+    return p.select("p_partkey", reports.html_article(F.col("p_partkey"), F.concat("p_brand", F.lit(" & more")), F.col("p_name"), F.concat("p_type", F.lit("\n<end>"))).alias("line"))
+
+
+@query("SELECT list_sort(list(p)) AS paths FROM (SELECT regexp_replace('top/' || source || '/' || doc_id, '^[^/]+/', '') AS p FROM documents)")
+def single_root_unwrap(spark, d):
+    """SRC-3."""
+    f = read(spark, d, "documents").select(F.concat(F.lit("top/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return unwrap_root(f).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+

@@ -1 +1,107 @@
+"""Sources: file trees, archives' manifests, commit logs, guards."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import is_code, is_test_path, language, line_count, redact
+
+# Our own choice of what is not read: dependency, build and tool folders, locks, bundles.
+IGNORED_FOLDERS = "node_modules vendor dist build out target coverage __pycache__ venv .git .hg .svn .venv .next .nuxt .cache .idea .vscode bower_components".split()
+IGNORED_FILES = (r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|composer\.lock|Gemfile\.lock|go\.sum)$", r"\.min\.(js|css)$", r"\.(map|lock|png|jpe?g|gif|ico|pdf|zip|gz|jar|woff2?|ttf|mp[34]|exe|dll|so|class|pyc)$")
+GENERATED = r"(?i)(@generated|code generated .* do not edit|auto-?generated|do not edit)"
+MAX_FILE, MAX_FILES, MAX_BYTES, SCOPE_LIMIT = 400 * 1024, 25_000, 500 * 1024 * 1024, 4_000
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative, /), bytes, data of every file under root, through Spark's binary reader."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace(F.lit(root if "://" in root else f"file:{root}"), r"/+$", "")
+    relative = F.regexp_replace(F.regexp_replace(F.col("path"), r"^(\w+):/+", "$1:/"), F.concat(F.lit("^"), F.regexp_replace(base, r"^(\w+):/+", "$1:/"), F.lit("/+")), "")
+    return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("data"))
+
+
+def not_ignored(path: Column, patterns: list[str] | None = None) -> Column:
+    """Our ignore rules, and any further patterns (for example of an ignore file, by `ignore_pattern`)."""
+    folders = "(^|/)(" + "|".join(f.replace(".", r"\.") for f in IGNORED_FOLDERS) + ")/"
+    return reduce(lambda a, p: a & ~path.rlike(p), [*IGNORED_FILES, *(patterns or [])], ~path.rlike(folders))
+
+
+def ignore_pattern(line: str) -> str | None:
+    """One line of an ignore file as a pattern over relative paths; comments, blanks and negations give none."""
+    import re
+
+    rule = line.strip()
+    if not rule or rule[0] in "#!":
+        return None
+    body = "".join(".*" if p == "**" else "[^/]*" if p == "*" else "[^/]" if p == "?" else re.escape(p) for p in re.findall(r"\*\*|\*|\?|[^*?]+", rule.strip("/")))
+    return ("^" if "/" in rule.rstrip("/") else "(^|/)") + body + ("/" if rule.endswith("/") else "(/|$)")
+
+
+def in_scope(path: Column, modules: list[str]) -> Column:
+    """path is a module or under one; no modules, everything."""
+    return reduce(lambda a, m: a | (path == m) | path.startswith(m + "/"), modules, F.lit(False)) if modules else F.lit(True)
+
+
+def size_ok(size: Column, most: int = MAX_FILE) -> Column:
+    return size.between(1, most)
+
+
+def running(df: DataFrame, value: str, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """Add the running sum of a column in order."""
+    w = Window.partitionBy(*(within or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(value).over(w))
+
+
+def collect_files(tree: DataFrame, modules: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """path, lang, loc, bytes, is_test, sha, content, findings: the files worth reading, redacted.
+
+    One narrow plan, cheap tests first: ignore rules, scope, size, binary (a zero byte in the first 8 KB), generated marks, then redaction.
+    """
+    kept = tree.where(not_ignored(F.col("path"), ignore) & in_scope(F.col("path"), modules or []) & size_ok(F.col("bytes")))
+    text = kept.where(~F.substring("data", 1, 8192).cast("string").contains("\x00")).withColumn("content", F.col("data").cast("string"))
+    text = text.where(~F.left("content", F.lit(600)).rlike(GENERATED)).drop("data")
+    out = redact(text, "content").withColumns({"lang": language(F.col("path")), "is_test": is_test_path(F.col("path"))})
+    loc = F.when(is_code(F.col("lang")), line_count(F.col("content"))).otherwise(0)
+    return out.select("path", "lang", loc.alias("loc"), "bytes", "is_test", F.sha2("content", 256).alias("sha"), "content", "findings")
+
+
+def worth_summarising(path: Column, lang: Column, content: Column) -> Column:
+    return (F.length(F.trim(content)) >= 200) & ((lang != "JSON") | path.rlike(r"(^|/)(package|composer|tsconfig)[^/]*\.json$"))
+
+
+def url_allowed(url: Column, hosts: list[str]) -> Column:
+    """http(s), no credentials, no private address, host on the list or under it."""
+    host = F.lower(F.regexp_extract(url, r"^https?://([^/:?#@]+)(?:[:/?#]|$)", 1))
+    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+    listed = reduce(lambda a, h: a | (host == h) | host.endswith("." + h), hosts, F.lit(False))
+    return (host != "") & ~private & listed
+
+
+def zip_entry_ok(path: Column, mode: Column | None = None) -> Column:
+    """Relative, no .., no NUL; not a symlink where the mode is known."""
+    ok = ~path.startswith("/") & ~path.rlike(r"^[A-Za-z]:") & ~F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), "..") & ~path.contains("\x00")
+    return ok if mode is None else ok & (mode.bitwiseAND(F.lit(0o170000)) != F.lit(0o120000))
+
+
+def zip_bomb(packed: Column, expanded: Column) -> Column:
+    return (expanded > 50 * 1024 * 1024) & (expanded > packed * 10)
+
+
+def unwrap_root(files: DataFrame) -> DataFrame:
+    """Without the single top folder, if every path has the same one."""
+    top = files.agg(F.count_distinct(F.split_part("path", F.lit("/"), F.lit(1))).alias("n"), F.coalesce(F.bool_and(F.col("path").contains("/")), F.lit(False)).alias("deep"))
+    inner = F.when((F.col("n") == 1) & F.col("deep"), F.regexp_replace("path", "^[^/]+/", "")).otherwise(F.col("path"))
+    return files.join(F.broadcast(top), how="cross").withColumn("path", inner).drop("n", "deep")  # top is one row
+
+
+def commit_log(lines: DataFrame) -> DataFrame:
+    """commit, author, at, path of numbered log lines (n, line): headers are NUL-separated, file lines follow theirs."""
+    w = Window.partitionBy("log").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.when(F.col("line").contains("\x00"), F.split("line", "\x00"))
+    named = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(F.col("line") != "")
+    path = F.when(~F.col("line").contains("\x00"), F.col("line"))
+    return named.select("log", F.col("head")[0].alias("commit"), F.col("head")[1].alias("author"), F.to_timestamp(F.col("head")[2]).alias("at"), path.alias("path"))

@@ -1 +1,56 @@
+"""Progress events as streams: latest state, idempotent enqueue, windows.
 
+`drain` runs a streaming DataFrame over all that its source holds and returns the sink's table, so that a stream can be used
+as a query; a service starts the same DataFrame with its own sink and trigger.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    """The event table as a file stream, its time as an instant."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    name = f"drained_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def parse_events(lines: DataFrame, schema: T.StructType | str, most: int = 7900) -> DataFrame:
+    """Payloads cut at `most` characters and parsed; those that do not parse are dropped."""
+    return lines.select(F.from_json(F.left("value", F.lit(most)), schema).alias("e")).where("e is not null").select("e.*")
+
+
+def latest_state(events: DataFrame, key: str, order: Column, fields: list[str]) -> DataFrame:
+    """The newest event of each key; state is one row a key."""
+    return events.groupBy(key).agg(*[F.max_by(f, order).alias(f) for f in fields])
+
+
+def first_only(events: DataFrame, key: list[str], at: str, late: str = "31 days") -> DataFrame:
+    """Events whose key was not seen within the lateness; state is dropped behind the watermark."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
+
+
+def tumbling(events: DataFrame, at: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    return events.withWatermark(at, late).groupBy(window.alias("w"))
+
+
+def sessions(events: DataFrame, at: str, gap: str, key: str, late: str = "1 hour") -> DataFrame:
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key)
+
+
+def with_replay(state: DataFrame, tail: DataFrame) -> DataFrame:
+    """The current state of each key, then the live events: what a late subscriber reads."""
+    return state.unionByName(tail, allowMissingColumns=True)
