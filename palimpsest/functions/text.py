@@ -147,7 +147,7 @@ def interval_text(days: Column) -> Column:
 
 
 def cents_text(cents: Column) -> Column:
-    return F.when(cents < 1, F.concat(F.format_number(cents, "0.00"), F.lit("¢"))).otherwise(F.concat(F.lit("$"), F.format_number(cents / 100, "0.00")))
+    return F.when(cents < 1, F.concat(F.format_string("%.2f", cents), F.lit("¢"))).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", cents / 100)))
 
 
 def email_allowed(email: Column, domains: list[str]) -> Column:
@@ -173,4 +173,4 @@ def lenient_json(text: Column) -> Column:
     """A fenced block, else the widest {...} or [...] of a model's answer."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     wide = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(wide != "", wide)
+    return F.when(fenced != "", F.regexp_replace(fenced, r"^\s+|\s+$", "")).when(wide != "", wide)

@@ -302,10 +302,10 @@ def html_export(spark, d):
     return p.select("p_partkey", reports.html_article(F.col("p_partkey"), F.concat("p_brand", F.lit(" & more")), F.col("p_name"), F.concat("p_type", F.lit("\n<end>"))).alias("line"))
 
 
-@query("SELECT list_sort(list(p)) AS paths FROM (SELECT regexp_replace('top/' || source || '/' || doc_id, '^[^/]+/', '') AS p FROM documents)")
+@query("SELECT source || '/' || doc_id AS path FROM documents")
 def single_root_unwrap(spark, d):
     """SRC-3."""
     f = read(spark, d, "documents").select(F.concat(F.lit("top/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
-    return unwrap_root(f).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return unwrap_root(f)
 
 

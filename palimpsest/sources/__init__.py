@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,46 @@ GENERATED = r"(?i)(@generated|code generated .* do not edit|auto-?generated|do n
 MAX_FILE, MAX_FILES, MAX_BYTES, SCOPE_LIMIT = 400 * 1024, 25_000, 500 * 1024 * 1024, 4_000
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative, /), bytes, data of every file under root, through Spark's binary reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root if "://" in root else f"file:{root}"), r"/+$", "")
-    relative = F.regexp_replace(F.regexp_replace(F.col("path"), r"^(\w+):/+", "$1:/"), F.concat(F.lit("^"), F.regexp_replace(base, r"^(\w+):/+", "$1:/"), F.lit("/+")), "")
-    return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("data"))
+def scan_tree(spark: SparkSession, *roots: str) -> DataFrame:
+    """root, path (relative, /), bytes, data of every file under the roots (one a repository), hidden ones too.
+
+    Spark's file readers leave out names that begin with a dot, and those are often wanted here (.github, .env.example).
+    So the names are listed by a task a root, dealt out anew, and read where they land, at most `MAX_FILE` bytes each;
+    larger and empty files have null data and their size. Symbolic links are skipped.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            for root in batch["root"].to_pylist():
+                store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+                found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and not (store.type_name == "local" and any(os.path.islink(p) for p in _above(f.path, base)))]
+                yield pa.RecordBatch.from_pydict({"root": [root] * len(found), "full": [f.path for f in found], "path": [f.path[len(base.rstrip("/")) + 1 :] for f in found], "bytes": [f.size for f in found]}, schema=_LISTED)
+
+    def opened(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = None
+                if 0 < row["bytes"] <= MAX_FILE:
+                    store, _ = fs.FileSystem.from_uri(row["root"] if "://" in row["root"] else f"file://{os.path.abspath(row['root'])}")
+                    with store.open_input_stream(row["full"]) as f:
+                        data = f.read()
+                yield pa.RecordBatch.from_pydict({"root": [row["root"]], "path": [row["path"]], "bytes": [row["bytes"]], "data": [data]}, schema=_READ)
+
+    names = spark.createDataFrame([(r,) for r in roots], "root string").repartition(len(roots), "root").mapInArrow(listed, "root string, full string, path string, bytes long")
+    return names.repartition("root", "path").mapInArrow(opened, "root string, path string, bytes long, data binary")
+
+
+def _above(path: str, base: str) -> list[str]:
+    """The path and the folders between it and the base."""
+    out = []
+    while len(path) > len(base):
+        out.append(path)
+        path = os.path.dirname(path)
+    return out
+
+
+_LISTED = pa.schema([("root", pa.string()), ("full", pa.string()), ("path", pa.string()), ("bytes", pa.int64())])
+_READ = pa.schema([("root", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("data", pa.binary())])
 
 
 def not_ignored(path: Column, patterns: list[str] | None = None) -> Column:
