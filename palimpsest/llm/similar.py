@@ -8,9 +8,9 @@ run. Texts with equal sets are one node. The join finds all pairs of nodes with
    hash, giving paths of two and three tokens. Buckets of few sets are compared as they are; larger ones are left for
    the buckets of the longer paths, which split sets that share only a passage. Runs are repeated until a pair at the
    threshold meets with the target probability (`runs_for`).
-2. In a bucket, sets are compared by 64-value sketches with leaders: a set links to every leader that looks at least
-   `LOOSE` similar and becomes one if none looks `TIGHT`; a bucket of near copies has few leaders, so no pairs are
-   listed. Buckets of more than `BLOCK_SETS` sets are cut into blocks, whose leaders meet in a second pass.
+2. In a bucket, sets are compared by 64-value sketches with leaders: a set is linked with the leaders that look at least
+   `LOOSE` similar and becomes one if none looks `TIGHT`. Leaders that are linked already count as one, so a bucket
+   gives fewer links than it has sets, twice; pairs are never listed. Buckets of more than `BLOCK_SETS` sets are cut into blocks, whose leaders meet in a second pass.
 3. Components of these loose links are families. Inside a family every pair is compared exactly, on whole sets, in blocks of
    bounded size by products of token matrices; a block gives back per set the number of links and one root, never
    the pairs. Components of the exact links are the classes.
@@ -45,13 +45,15 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.997
 DEPTH = 3
 #: Larger buckets are split by longer paths.
-LEAF_SETS = 64
+LEAF_SETS = 1024
 BLOCK_SETS = 4096
 SKETCH = 64
 LOOSE, TIGHT = 0.45, 0.8
 #: Sets and tokens of a block of exact comparisons.
-EXACT_SETS, EXACT_TOKENS = 1024, 2_000_000
+EXACT_SETS, EXACT_TOKENS = 1024, 1_000_000
 COLUMNS = 2048
+#: Word hashes that a Python worker keeps.
+CACHE_WORDS = 200_000
 _U = np.uint64
 _ODD = np.array([int.from_bytes(hashlib.blake2b(f"odd {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(256)], dtype=np.uint64)
 _STEP = _ODD[200]
@@ -74,7 +76,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[word] = value
@@ -176,7 +178,7 @@ def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: b
     loose = LOOSE - 0.1 if second else LOOSE
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, leaders = None, [], np.zeros((0, SKETCH), np.uint16)
+        key, names, leaders, group = None, [], np.zeros((0, SKETCH), np.uint16), np.zeros(0, np.int64)
         count = 0
         for batch in batches:
             src, dst, path = [], [], []
@@ -187,14 +189,20 @@ def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: b
                 if now != key:
                     key, names, count = now, [], 0
                 alike = (leaders[:count] == rows[i]).mean(axis=1) if count else np.zeros(0)
-                for j in np.nonzero(alike >= loose)[0]:
+                near = np.nonzero(alike >= loose)[0]
+                groups, at = np.unique(group[near], return_index=True)
+                for j in near[at]:  # one link for each group of leaders that are linked already
                     src.append(sid)
                     dst.append(names[j])
                     path.append(None)
+                if len(groups) > 1:
+                    group[:count][np.isin(group[:count], groups)] = groups[0]
                 if not (alike >= TIGHT).any():
                     if count == len(leaders):
                         leaders = np.concatenate([leaders, np.zeros((max(16, count), SKETCH), np.uint16)])
+                        group = np.concatenate([group, np.zeros(max(16, count), np.int64)])
                     leaders[count] = rows[i]
+                    group[count] = groups[0] if len(groups) else count
                     count += 1
                     names.append(sid)
                     if cut > 1 and not second:
@@ -262,7 +270,8 @@ def _family_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     cut = members.join(sized, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "sid"), "blocks").cast("int"))
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text"))
     wanted = materialise(cut.select(F.col("rep").alias("doc_id"), "sid", "n_copies", "family", "block", "blocks"), "family-members")
-    whole = texts.join(wanted, "doc_id").select("text", "sid", "n_copies", "family", "block", "blocks").mapInArrow(sets, "sid long, n_copies long, family long, block int, blocks int, tokens binary")
+    # Both sides are dealt out by doc_id whatever the number of members is: the table grows with the input.
+    whole = texts.join(wanted.hint("merge"), "doc_id").select("text", "sid", "n_copies", "family", "block", "blocks").mapInArrow(sets, "sid long, n_copies long, family long, block int, blocks int, tokens binary")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.select("family", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "sid", "n_copies", "tokens")
 

@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Cached words per generation; two generations are kept, about 200 MB at most.
-CACHE_WORDS = 500_000
+#: Cached words per generation; two generations are kept, about 100 MB at most.
+CACHE_WORDS = 250_000
 #: Characters that Python's str.split takes for white space and the tokenizers' patterns don't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A space before more white space: the words around it are not independent.

@@ -62,7 +62,7 @@ class _WordWeights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = sum(self.weights.get(f, 0.0) for f in features(word))
         self[word] = value

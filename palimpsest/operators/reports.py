@@ -17,7 +17,7 @@ def markdown_lines(items: DataFrame, category: str, order: list[str], stem: str,
     """
     seen = items.withColumn("__at", F.struct(*order))
     firsts = seen.groupBy(category).agg(F.min("__at").alias("__first")).withColumn("category_no", F.row_number().over(Window.orderBy("__first")))
-    numbered = seen.withColumn("item_no", F.row_number().over(Window.partitionBy(category).orderBy(*order))).join(F.broadcast(firsts), category)
+    numbered = seen.withColumn("item_no", F.row_number().over(Window.partitionBy(category).orderBy(*order))).join(firsts, category)
     item = F.concat(F.lit("### "), F.col("item_no").cast("string"), F.lit(". "), F.col(stem), F.lit("\n\n"), F.col(answer), F.lit("\n\n---"))
     heads = firsts.select("category_no", F.lit(0).alias("item_no"), F.concat(F.lit("## "), label(rules.CATEGORIES, F.col(category))).alias("line"))
     return heads.unionByName(numbered.select("category_no", "item_no", item.alias("line")))
