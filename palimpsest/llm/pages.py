@@ -4,10 +4,13 @@ Pages of one host share a template. A page is a row of markup tokens (tags, told
 text. Over a group of pages of one host, each token has an occurrence vector: how often each page holds it (tokens that
 all pages hold equally often are told apart by their number). Tokens with equal vectors form an equivalence class; a class is valid if its tokens come in the same order on every page and
 another class fits between two of its tokens or not at all. The class that occurs once a page is the template's frame;
-valid classes nest in its gaps. The gaps between frame tokens are slots, and the main text is what is left of the
-slots when those are gone that belong to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments: by the frame element around a slot (its name, its class and id), and, where no element of the frame
-names the article, by how much of a slot's text is not inside links.
+valid classes that stand in one of its gaps on every page nest in it. The gaps between frame tokens, and the nested classes in them, are slots.
+
+Names decide first: elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+comments by their name, class or id are left out, and where an element names the article, its text is the main text, also
+what every page repeats. Where none does, the template decides: texts are tokens too, and a block that most pages (three
+at least, exact copies counted once) hold at the same path is the template's, not the article's; of the other slots, those
+with enough text outside links are kept. README.md has the figures of both.
 
 Groups: the pages of a host, cut by a hash of page_id into parts of about `GROUP_PAGES`, so that a host with a third
 of all pages is many groups; a host's last part may be small, and one page is a template of its own. Pages travel once, to their group.
@@ -34,6 +37,8 @@ from .common import materialise
 GROUP_PAGES = 64
 #: Slots with a smaller share of their text outside links are menus, where no element names the article.
 LEAST_PLAIN = 0.5
+#: A text is the template's if at least so many pages hold it, and more than half of the group.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -211,16 +216,56 @@ def differentiate(pages: list[Page]) -> None:
                 seen[t] += 1
 
 
-def template_frame(pages: list[Page]) -> set[str]:
-    """Tokens of the frame: valid classes that occur at most once on each page and on most pages."""
+def template(pages: list[Page]) -> tuple[set[str], dict[str, int]]:
+    """Tokens of the frame (valid classes that occur at most once on each page and on most pages), and the number of the
+    class of each block element in a valid class that stands, on every page, in one and the same gap of the frame."""
     differentiate(pages)
     counts = [Counter(p.tokens) for p in pages]
     frame: set[str] = set()
+    others: list[list[str]] = []
     for tokens in equivalence_classes(pages):
         n = [c[tokens[0]] for c in counts]
         if max(n) == 1 and 2 * sum(n) >= len(pages):
             frame.update(tokens)
-    return frame
+        else:
+            others.append(tokens)
+    # The gap of a token: the frame token before it.
+    gaps: dict[str, set[str]] = defaultdict(set)
+    for page in pages:
+        gap = ""
+        for token in page.tokens:
+            if token in frame:
+                gap = token
+            else:
+                gaps[token].add(gap)
+    nested = {}
+    for i, tokens in enumerate(others):
+        if len(set().union(*(gaps[t] for t in tokens))) == 1:
+            nested.update((t, i) for t in tokens if t.rsplit("/", 1)[1].split("#")[0] not in INLINE)
+    return frame, nested
+
+
+def template_frame(pages: list[Page]) -> set[str]:
+    return template(pages)[0]
+
+
+def block_texts(page: Page) -> dict[int, tuple[str, str]]:
+    """Path and text, white space made single, of each block that has text."""
+    paths: dict[int, str] = {}
+    blocks: dict[int, list[str]] = {}
+    for (_, _, block, part), above in zip(page.texts, page.above, strict=True):
+        if block not in blocks:
+            upper = (page.tokens[t].split("#")[0] for t in reversed(above))
+            paths[block] = next((t for t in upper if t.rsplit("/", 1)[1] not in INLINE), "")
+        blocks.setdefault(block, []).append(part)
+    joined = {block: " ".join("".join(p).split()) for block, p in blocks.items()}
+    return {block: (paths[block], text) for block, text in joined.items() if text}
+
+
+def template_texts(pages: list[Page]) -> set[tuple[str, str]]:
+    """Paths and texts of the blocks that most of the pages hold; the pages must be distinct."""
+    holders = Counter(t for p in pages for t in set(block_texts(p).values()))
+    return {t for t, n in holders.items() if n >= LEAST_PAGES and 2 * n > len(pages)}
 
 
 def _joined(parts: list[tuple[int, str]]) -> str:
@@ -232,11 +277,11 @@ def _joined(parts: list[tuple[int, str]]) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def main_text(page: Page, frame: set[str]) -> str:
+def main_text(page: Page, frame: set[str], nested: dict[str, int] | None = None, repeated: set[tuple[str, str]] | None = None) -> str:
     """The texts of the article's slots."""
-    kept: list[tuple[bool, int, int, bool, str]] = []  # named, slot, block, link, text
+    kept: list[tuple[bool, tuple[int, int], int, bool, str]] = []  # named, slot, block, link, text
     for (_, link, block, part), above in zip(page.texts, page.above, strict=True):
-        named, out, slot = False, False, -1
+        named, out, slot = False, False, (-1, -1)
         for token in above:
             role = page.roles[token]
             if role == "out":
@@ -244,11 +289,16 @@ def main_text(page: Page, frame: set[str]) -> str:
                 break
             named = named or role == "in"
             if page.tokens[token] in frame:
-                slot = token
+                slot = (token, -1)
+            elif nested and page.tokens[token] in nested:
+                slot = (slot[0], nested[page.tokens[token]])
         if not out:
             kept.append((named, slot, block, link, part))
     if any(named and part.strip() for named, _, _, _, part in kept):
         return _joined([(block, part) for named, _, block, _, part in kept if named])
+    if repeated:
+        texts = block_texts(page)
+        kept = [k for k in kept if texts.get(k[2]) not in repeated]
     total, plain = Counter(), Counter()
     for _, slot, _, link, part in kept:
         n = len(part.strip())
@@ -269,8 +319,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def solve(group: list[tuple[int | None, str | None, str]]) -> pa.RecordBatch:
         read = [read_page(h) for _, _, h in group]
-        frame = template_frame(read)
-        return pa.RecordBatch.from_pydict({"page_id": [g[0] for g in group], "url": [g[1] for g in group], "text": [main_text(p, frame) for p in read]}, schema=_FOUND)
+        frame, nested = template(read)
+        repeated = template_texts(list({h: p for (_, _, h), p in zip(group, read, strict=True)}.values()))
+        return pa.RecordBatch.from_pydict({"page_id": [g[0] for g in group], "url": [g[1] for g in group], "text": [main_text(p, frame, nested, repeated) for p in read]}, schema=_FOUND)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []

@@ -3,7 +3,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.pages import equivalence_classes, extract_main_text, main_text, read_page, template_frame
+from palimpsest.llm.pages import equivalence_classes, extract_main_text, main_text, read_page, template, template_frame
 
 RICH = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="page">
 <div id="cookie-banner">We use cookies <button>OK</button></div><header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
@@ -48,3 +48,24 @@ def test_pages(spark):
     want += Counter([(1000, None, ""), (1001, "http://q.example/", ""), (1001, "http://q.example/", ""), (None, "nonsense", "a\nb"), (1002, "http://l.example", ("long text " * 50_000).strip())])
     assert got == want
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+UNNAMED = """<html><body><div class=k1><p>We are the best shop of the town.</p></div><div class=k2><h2>Story {n}</h2><p>Body text number {n} is here.<p>All rights reserved by us, on every page.{more}</div>
+<div class=k3>{links}</div></body></html>"""
+
+
+def test_repeated_text_is_the_templates(spark):
+    """No element names the article: what every page of the host repeats is dropped; a nested list of links is a slot of its own."""
+    more = [f"<p>Another paragraph {i}." * (i % 3) for i in range(12)]
+    rows = [(i, f"http://u.example/{i}", UNNAMED.format(n=i, more=more[i], links="".join(f"<li><a href={k}>Link {i} {k}</a></li>" for k in range(2 + i % 2)))) for i in range(12)]
+    copies = [(100 + i, "http://copies.example/", UNNAMED.format(n=5, more="", links="")) for i in range(5)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == "\n".join([f"Story {i}", f"Body text number {i} is here."] + [f"Another paragraph {i}."] * (i % 3)), got[i]
+    assert all("All rights reserved" in got[100 + i] and "Body text number 5" in got[100 + i] for i in range(5))
+
+
+def test_nested_classes():
+    pages = [read_page("<body><div><h1>t</h1>" + "<ul>" + f"<li><a>x{n}</a></li>" * n + "</ul></div></body>") for n in (2, 3, 5)]
+    frame, nested = template(pages)
+    assert "/body/div/ul" in frame and "/body/div/ul/li" in nested and "/body/div/ul/li/a" not in nested
