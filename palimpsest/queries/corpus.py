@@ -144,19 +144,24 @@ def _nested(expr: str) -> str:
     return f"regexp_replace({expr}, '{_GENERIC}', '\\1=\"[REDACTED:generic_assignment]\"', 'g')"
 
 
-def planted(spark, d):
-    """documents with a line that holds a secret, by doc_id, after the first 200 characters."""
+def planted(spark, d, most=200):
+    """documents with a line that holds a secret, by doc_id, after the first `most` characters; None: after the whole text."""
     plant = F.element_at(F.array(*[F.lit(_PLANT[k]) for k in range(6)]), (F.col("doc_id") % 6 + 1).cast("int"))
     line = F.replace(plant, F.lit("{n}"), (1000 + F.col("doc_id") % 9000).cast("string"))
-    return read(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(200)), F.lit("\n"), line).alias("text"))
+    return read(spark, d, "documents").select("doc_id", F.concat("text" if most is None else F.left("text", F.lit(most)), F.lit("\n"), line).alias("text"))
 
 
 @query(f"SELECT doc_id, {_nested('left(text, 200) || chr(10) || ' + _PLANTED_SQL)} AS text FROM documents")
 def redact_secrets(spark, d):
-    """STR-1, T-1."""
+    """STR-1, T-1: of the first 200 characters, as its SQL has it; `redact_secrets_whole` has the whole texts."""
     return text.redact(planted(spark, d)).select("doc_id", "text")
 
 
+@query(f"SELECT doc_id, {_nested('text || chr(10) || ' + _PLANTED_SQL)} AS text FROM documents")
+def redact_secrets_whole(spark, d):
+    """STR-1, T-1."""
+    return text.redact(planted(spark, d, None)).select("doc_id", "text")
+
 
 
 @query(f"""WITH p AS (SELECT doc_id, doc_id % 6 AS k, len(string_split(left(text, 200), chr(10))) + 1 AS line, 1000 + doc_id % 9000 AS n FROM documents)
@@ -168,8 +173,19 @@ UNION ALL SELECT doc_id, 'db_url', line, 'pos' || repeat('*', 12) || '/db' FROM
 UNION ALL SELECT doc_id, 'stripe_key', line, 'sk_' || repeat('*', 12) || right(n::VARCHAR, 3) FROM p WHERE k = 5
 UNION ALL SELECT doc_id, 'generic_assignment', line, 'abc' || repeat('*', 10) || right(n::VARCHAR, 3) FROM p WHERE k = 5)""")
 def redaction_findings(spark, d):
-    """STR-2, STR-3."""
-    found = text.redact(planted(spark, d)).select("doc_id", F.explode("findings").alias("f"))
+    """STR-2, STR-3: of the first 200 characters, as its SQL has it; `redaction_findings_whole` has the whole texts."""
+    return _findings(planted(spark, d))
+
+
+@query(None)
+def redaction_findings_whole(spark, d):
+    """STR-2, STR-3: with the documents' own secrets, wherever they stand. Rules see the text as rewritten by those before; brute force stands for SQL."""
+    return _findings(planted(spark, d, None))
+
+
+def _findings(docs):
+    # Not explode: its filter on the array's size would be carried down through every rule, and grow threefold with each.
+    found = text.redact(docs).select("doc_id", F.explode_outer("findings").alias("f")).where("f is not null")
     return found.select("doc_id", "f.rule", "f.line", "f.preview")
 
 
