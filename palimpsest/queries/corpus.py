@@ -248,10 +248,21 @@ s AS (SELECT doc_id, CAST(h % 1536 AS INT) AS dim, sum(CASE WHEN (h >> 16) & 1 =
 l AS (SELECT doc_id, dim, sign(x) * ln(1 + abs(x)) AS x FROM s WHERE abs(x) > 1e-9)
 SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM l""")
 def hash_embed(spark, d):
-    """MTH-4, MTH-5, MTH-2, PIP-4: a hashed bag of words and pairs of the first 400 characters, as sparse rows."""
+    """MTH-4, MTH-5, MTH-2, PIP-4: of the first 400 characters, as its SQL has it; `hash_embed_whole` has the whole texts."""
+    return _embedded(read(spark, d, "documents").select("doc_id", F.left("text", F.lit(400)).alias("text")))
+
+
+@query(None)
+def hash_embed_whole(spark, d):
+    """MTH-4, MTH-5, MTH-2, PIP-4. DuckDB's fold of characters is too slow for whole texts; brute force stands for SQL."""
+    return _embedded(read(spark, d, "documents").select("doc_id", "text"))
+
+
+def _embedded(docs):
+    """A hashed bag of words and pairs, as sparse rows."""
     from pyspark.sql import Window
 
-    t = read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.left("text", F.lit(400))), F.lit(f"({TOKENS})"), F.lit(1)).alias("w"))
+    t = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKENS})"), F.lit(1)).alias("w"))
     pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit("~"), F.get("w", i + 1)))
     g = t.select("doc_id", F.explode("w").alias("f"), F.lit(1.0).alias("v")).unionByName(t.select("doc_id", F.explode(pairs).alias("f"), F.lit(0.6).alias("v")))
     h = g.withColumn("h", vectors.fnv1a(F.col("f")))
@@ -283,20 +294,39 @@ replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'
 array_to_string(list_transform(string_split(left(text, 60), ' '), lambda x: '- ' || x), chr(10)) AS bullets,
 '<a_b>' || chr(10) || left(text, 5) || chr(10) || '</a_b>' AS wrapped, source || ':1-' || n_chars AS cited FROM documents""")
 def text_functions(spark, d):
+    """STR-11, STR-13..16, STR-23, SNK-4, ARR-1: of short prefixes, as its SQL has it; `text_functions_whole` has the whole texts."""
+    return _text_functions(read(spark, d, "documents"), lambda n: F.left("text", F.lit(n)))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || chr(10) || '… [' || (length(text) - 50) || ' characters truncated]' ELSE text END AS cut,
+replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, lower(regexp_replace(text, '[^A-Za-z0-9_.-]+', '-', 'g')) AS slug, right(text, 4) AS last4,
+array_to_string(list_transform(string_split(text, ' '), lambda x: '- ' || x), chr(10)) AS bullets,
+'<a_b>' || chr(10) || text || chr(10) || '</a_b>' AS wrapped, source || ':1-' || n_chars AS cited FROM documents""")
+def text_functions_whole(spark, d):
     """STR-11, STR-13..16, STR-23, SNK-4, ARR-1."""
+    return _text_functions(read(spark, d, "documents"), lambda n: F.col("text"))
+
+
+def _text_functions(docs, first):
     t = F.col("text")
-    return read(spark, d, "documents").select(
-        "doc_id", text.truncate(t, 50).alias("cut"), text.escape_html(F.left(t, F.lit(80))).alias("escaped"), text.slug(F.left(t, F.lit(30))).alias("slug"), F.right(t, F.lit(4)).alias("last4"),
-        text.bullets(F.split(F.left(t, F.lit(60)), " ")).alias("bullets"), text.delimited(F.lit("a b"), F.left(t, F.lit(5))).alias("wrapped"), text.citation(F.col("source"), F.lit(1), F.col("n_chars")).alias("cited"),
+    return docs.select(
+        "doc_id", text.truncate(t, 50).alias("cut"), text.escape_html(first(80)).alias("escaped"), text.slug(first(30)).alias("slug"), F.right(t, F.lit(4)).alias("last4"),
+        text.bullets(F.split(first(60), " ")).alias("bullets"), text.delimited(F.lit("a b"), first(5)).alias("wrapped"), text.citation(F.col("source"), F.lit(1), F.col("n_chars")).alias("cited"),
     )
 
 
 @query("""SELECT doc_id, array_to_string(list_transform(range(1, len(s) + 1), lambda i: lpad(i::VARCHAR, 5, ' ') || ' | ' || s[i]), chr(10)) AS numbered FROM (SELECT doc_id, string_split(left(text, 300), chr(10)) AS s FROM documents)""")
 def line_numbers(spark, d):
-    """STR-12."""
+    """STR-12: of the first 300 characters, as its SQL has it; `line_numbers_whole` has the whole texts."""
     return read(spark, d, "documents").select("doc_id", text.numbered(F.left("text", F.lit(300)), F.lit(1)).alias("numbered"))
 
 
+@query("""SELECT doc_id, array_to_string(list_transform(range(1, len(s) + 1), lambda i: lpad(i::VARCHAR, 5, ' ') || ' | ' || s[i]), chr(10)) AS numbered FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)""")
+def line_numbers_whole(spark, d):
+    """STR-12."""
+    return read(spark, d, "documents").select("doc_id", text.numbered(F.col("text"), F.lit(1)).alias("numbered"))
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), c AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey)) AS c FROM part GROUP BY p_brand)
 SELECT CAST(c AS INT) AS category_no, 0 AS item_no, '## ' || p_brand AS line FROM c UNION ALL SELECT CAST(c AS INT), CAST(i AS INT), '### ' || i || '. ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '---' FROM n JOIN c USING (p_brand)""")
 def markdown_export(spark, d):

@@ -1,6 +1,8 @@
 """Queries over whole texts, against brute force, on texts that are longer than the prefixes once read."""
 
+import math
 import re
+from collections import Counter
 
 from palimpsest import queries
 from palimpsest.functions import rules
@@ -42,3 +44,39 @@ def test_secrets_of_whole_texts(spark, sf_dir, tmp_path):
     found = sorted((r.doc_id, r.rule, r.line, r.preview) for r in queries.QUERIES["redaction_findings_whole"](spark, d).collect())
     assert found == sorted((i, *f) for i, (_, fs) in want.items() for f in fs)
     assert sum(line > 3 for _, _, line, _ in found) > 28
+
+
+def embedded(text):
+    """Dimension and value, rounded, of a text's hashed words and pairs."""
+    words, at = re.findall(corpus.TOKENS, text.lower(), flags=re.ASCII), Counter()
+    for f, v in [(w, 1.0) for w in words] + [(f"{a}~{b}", 0.6) for a, b in zip(words, words[1:])]:
+        h = 2166136261
+        for c in f:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        at[h % 1536] += -v if h >> 16 & 1 else v
+    x = {k: math.copysign(math.log1p(abs(v)), v) for k, v in at.items() if abs(v) > 1e-9}
+    n = math.sqrt(sum(v * v for v in x.values()))
+    return {k: v / n for k, v in x.items()}
+
+
+def test_embedding_of_whole_texts(spark, sf_dir, tmp_path):
+    rows = [(i, f"Same start {'x ' * 300}" + f"last_word{i} ends{i} here") for i in range(3)]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").limit(12).collect()]
+    d = documents(spark, tmp_path / "d", rows)
+    got: dict = {i: {} for i, _ in rows}
+    for r in queries.QUERIES["hash_embed_whole"](spark, d).collect():
+        got[r.doc_id][r.dim] = r.x
+    assert got[0] != got[1]
+    for i, t in rows:
+        want = embedded(t)
+        assert set(got[i]) == set(want) and all(abs(got[i][k] - v) < 2e-6 for k, v in want.items()), i
+
+
+def test_functions_of_whole_texts(spark, tmp_path):
+    text = "a <b> & c\n" * 40 + "the end. "
+    d = documents(spark, tmp_path / "d", [(1, text, "s", len(text))], "doc_id long, text string, source string, n_chars long")
+    lines = queries.QUERIES["line_numbers_whole"](spark, d).first().numbered.split("\n")
+    assert len(lines) == 41 and lines[40] == "   41 | the end. "
+    r = queries.QUERIES["text_functions_whole"](spark, d).first()
+    assert r.escaped == text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") and r.slug == re.sub("[^A-Za-z0-9_.-]+", "-", text).lower()
+    assert r.bullets == "\n".join(f"- {x}" for x in text.split(" ")) and r.wrapped == f"<a_b>\n{text}\n</a_b>"
