@@ -47,7 +47,19 @@ def stream_session(spark, d):
 
 @query("SELECT user_id, event_type, event_id FROM events WHERE event_id % 50 = 7 UNION ALL SELECT user_id, arg_max(event_type, (ts, event_id)), max(event_id) FROM events GROUP BY user_id")
 def stream_replay(spark, d):
-    """STM-3: a late subscriber reads each key's state, then the tail of the stream (here every 50th event)."""
+    """STM-3: a late subscriber reads each key's state, then a tail of every 50th event, as its SQL has it; `stream_replay_whole` has the whole tail."""
     now = read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("event_id"))
     tail = streaming.drain(streaming.events_stream(spark, d).where("event_id % 50 = 7").select("user_id", "event_type", "event_id"), "append")
     return streaming.with_replay(now, tail)
+
+
+@query("""WITH c AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 2 AS cut FROM events)
+SELECT user_id, event_type, event_id FROM events, c WHERE event_id > cut UNION ALL SELECT user_id, arg_max(event_type, (ts, event_id)), max(event_id) FROM events, c WHERE event_id <= cut GROUP BY user_id""")
+def stream_replay_whole(spark, d):
+    """STM-3: a late subscriber reads each key's state up to a position, the middle of the event_ids, then every later event."""
+    e = read(spark, d, "events")
+    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cut = F.lit(None if first is None else first + (last - first) // 2).cast("long")
+    now = e.where(F.col("event_id") <= cut).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("event_id"))
+    tail = streaming.drain(streaming.events_stream(spark, d).where(F.col("event_id") > cut).select("user_id", "event_type", "event_id"), "append")
+    return streaming.with_replay(now, tail)

@@ -80,3 +80,15 @@ def test_functions_of_whole_texts(spark, tmp_path):
     r = queries.QUERIES["text_functions_whole"](spark, d).first()
     assert r.escaped == text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") and r.slug == re.sub("[^A-Za-z0-9_.-]+", "-", text).lower()
     assert r.bullets == "\n".join(f"- {x}" for x in text.split(" ")) and r.wrapped == f"<a_b>\n{text}\n</a_b>"
+
+
+def test_replay_has_every_later_event(spark, sf_dir):
+    events = [(r.event_id, r.user_id, r.event_type, r.ts) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()]
+    low, high = min(e[0] for e in events), max(e[0] for e in events)
+    cut = low + (high - low) // 2
+    state: dict = {}
+    for e in sorted((e for e in events if e[0] <= cut), key=lambda e: (e[3], e[0])):
+        state[e[1]] = (e[1], e[2], max(e[0], state.get(e[1], (0, 0, 0))[2]))
+    want = Counter(state.values()) + Counter((e[1], e[2], e[0]) for e in events if e[0] > cut)
+    got = Counter((r.user_id, r.event_type, r.event_id) for r in queries.QUERIES["stream_replay_whole"](spark, sf_dir).collect())
+    assert got == want and sum(want.values()) > len(events) // 2
