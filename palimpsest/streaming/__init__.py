@@ -1,11 +1,13 @@
 """Progress events as streams: latest state, idempotent enqueue, windows.
 
-`drain` runs a streaming DataFrame over all that its source holds and returns the sink's table, so that a stream can be used
-as a query; a service starts the same DataFrame with its own sink and trigger.
+`drain` runs a streaming DataFrame over all that its source holds and returns what it put out as a table in the shared folder
+(spark.checkpoint.dir; no row passes through the driver), so that a stream can be used as a query; a service starts the same DataFrame with its own sink and trigger.
 """
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +22,39 @@ def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Da
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _fresh_dir(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, deleted when the driver's Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    path = f"{shared if '://' in shared else f'file://{shared}'}/drained-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already
+        return
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """append: the rows of all batches; complete: those of the last one."""
+    spark = stream.sparkSession
+    path = _fresh_dir(spark)
+    batches: list[str] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+        batches.append(f"{path}/batch-{batch}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = list(dict.fromkeys(batches)) if mode == "append" else batches[-1:]
+    return spark.read.schema(stream.schema).parquet(*found) if found else spark.createDataFrame([], stream.schema)
 
 
 def parse_events(lines: DataFrame, schema: T.StructType | str, most: int = 7900) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from palimpsest import queries
+from palimpsest import queries, streaming
 from palimpsest.functions import rules
 from palimpsest.queries import corpus
 
@@ -92,3 +92,11 @@ def test_replay_has_every_later_event(spark, sf_dir):
     want = Counter(state.values()) + Counter((e[1], e[2], e[0]) for e in events if e[0] > cut)
     got = Counter((r.user_id, r.event_type, r.event_id) for r in queries.QUERIES["stream_replay_whole"](spark, sf_dir).collect())
     assert got == want and sum(want.values()) > len(events) // 2
+
+
+def test_drained_rows_stay_out_of_the_driver(spark, sf_dir):
+    """A drained stream is files in the shared folder, not a table in the driver's memory; batches are kept once."""
+    e = streaming.events_stream(spark, sf_dir).select("event_id")
+    out = streaming.drain(e, "append")
+    assert out.inputFiles() and all("drained-" in f for f in out.inputFiles())
+    assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
