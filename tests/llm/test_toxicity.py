@@ -1,6 +1,6 @@
 import numpy as np
 
-from palimpsest.llm.toxicity import THRESHOLD, fit, held_out, score_documents, train
+from palimpsest.llm.toxicity import THRESHOLD, _numbers, class_prior, corrected_risk, fit, held_out, score_documents, train
 
 
 def texts(n, toxic_share=0.2):
@@ -44,3 +44,57 @@ def test_edge_rows(spark):
     nothing = fit(docs, labels.limit(0))
     assert {r.s for r in score_documents(docs, nothing, "s", keep=["doc_id"]).collect()} == {0.0}
     assert score_documents(docs.limit(0), model, "s").count() == 0
+
+
+def test_risk_and_gradient_by_brute_force():
+    """The two parts of the risk text by text, and the direction against differences of them."""
+    rng = np.random.default_rng(5)
+    x_p, x_u = rng.integers(0, 2, (7, 5)).astype(float), (rng.random((23, 5)) < 0.15).astype(float)
+    seen = set()
+    for prior in (0.05, 0.3, 0.5):
+        for theta in (rng.normal(size=5), np.array([2.0, 2.0, 2.0, 2.0, 2.0]), np.array([-1.0, -2.0, 0.5, 0.0, -3.0]), np.where(x_p.mean(0) > x_u.mean(0), 6.0, -6.0)):
+
+            def parts(t, prior=prior):
+                loss = lambda g: np.log1p(np.exp(-g))
+                p, u = [float(r @ t) for r in x_p], [float(r @ t) for r in x_u]
+                return prior * sum(map(loss, p)) / 7, sum(loss(-g) for g in u) / 23 - prior * sum(loss(-g) for g in p) / 7
+
+            positive, negative, step = corrected_risk(theta, x_p, x_u, prior)
+            assert np.allclose((positive, negative), parts(theta), atol=1e-8)
+            seen.add(negative >= 0)
+            for i in range(5):
+                e = np.eye(5)[i] * 1e-5
+                (a1, b1), (a0, b0) = parts(theta + e), parts(theta - e)
+                want = (a1 + b1 - a0 - b0) / 2e-5 if negative >= 0 else -(b1 - b0) / 2e-5
+                assert abs(step[i] - want) < 1e-6
+    assert seen == {True, False}
+
+
+def test_texts_without_feature_words_stay_below(spark):
+    """However few texts teach, the mean score is the prior, so a text that holds nothing telling is not toxic."""
+    for n in (60, 200, 900):
+        rows = texts(n, 0.14)
+        sets = [set(t.split()) for _, t, _ in rows]
+        for some in (sets, sets[: n // 2]):
+            model = train([s for s, r in zip(sets, rows, strict=True) if r[2]], some, 0.14)
+            empty = float(model.score([""], model.words())[0])
+            assert empty < 0.15 < THRESHOLD
+
+
+def test_small_table_keeps_clean_documents(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(docs.select("doc_id", "text"), labels)
+    assert float(model.score([""], model.words())[0]) < THRESHOLD
+    found = {r.doc_id: r.s for r in score_documents(docs, model, "s", keep=["doc_id"]).collect()}
+    clean = [r.doc_id for r in labels.where("toxic = 0").collect()]
+    assert sum(found[i] >= THRESHOLD for i in clean) <= 0.05 * len(clean)
+
+
+def test_prior_follows_the_unlabelled_texts():
+    """Labelled rows with twice the toxic share of the texts at large: the words' coverage shows it."""
+    rows = texts(4000, 0.1)
+    sets = [set(t.split()) for _, t, _ in rows]
+    vocabulary: dict[str, int] = {}
+    u = [_numbers(sorted(s), vocabulary) for s in sets]
+    p = [t for t, r in zip(u, rows, strict=True) if r[2]]
+    assert abs(class_prior(0.2, p, u, len(vocabulary)) - 0.1) < 0.02
