@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where the session has none."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local mode (one process) gets a temporary folder, and
+    a cluster an error: executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -51,6 +54,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+REST = "__rest"
+
+
+def pack_rest(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns in `keep`, and all others as one struct named `REST`, so that no name of theirs can clash."""
+    rest = [c for c in df.columns if c not in keep]
+    fields = [F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(None).cast("int").alias("none")]
+    return df.select(*keep, F.struct(*fields).alias(REST))
+
+
+def unpack_rest(columns: list[str], *keep: str, instead: dict[str, Column] | None = None) -> list[Column]:
+    """What selects `columns`, in their order, from a table made by `pack_rest`; `instead` has new values by name."""
+    place = {c: f"{REST}.c{i}" for i, c in enumerate(c for c in columns if c not in keep)}
+    return [(instead or {}).get(c, F.col(place.get(c, c))).alias(c) for c in columns]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -23,9 +23,10 @@ from .common import materialise, text_of
 
 K, SLOTS, TUPLE = 3, 64, 2
 POSITION_BITS = 26
-#: Documents of a range, on average, when neighbours are looked up; and cells of the id histogram that sets the ranges.
+#: Documents of a range, on average, when neighbours are looked up; quantiles of the ids that set the ranges; ranges of a block.
 RANGE_ROWS = 1000
 CELLS = 4096
+BLOCK_RANGES = 1024
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -62,42 +63,69 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(left, right)) / slots
 
 
-def _ranges(ids: DataFrame) -> Column:
-    """A range number that never falls as doc_id rises, with about RANGE_ROWS documents a range; null ids get -1.
+def _place_sql(bounds: list[int], n: int, value: str, tie: str) -> str:
+    """SQL of a row's place among n rows, from quantiles: it never falls as (value, tie) rises, and is off by at most a
+    cell (n / CELLS rows) and what the quantiles are off.
 
-    Ids are counted in CELLS cells of equal width; a cell's share of the ranges follows its count.
+    A value between two bounds is as far into the cell as it is between them; rows that share one value over several
+    cells are spread over them by their tie.
     """
-    ends = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    if not ends["n"]:
-        return F.lit(-1).cast("long")
-    low, width = ends["a"], (ends["b"] - ends["a"] + 1) / CELLS
-    cell = F.least(F.floor((F.col("doc_id") - low) / F.lit(float(width))), F.lit(CELLS - 1)).cast("int")
-    counts = {r["c"]: r["n"] for r in ids.where(F.col("doc_id").isNotNull()).groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}
-    before, sums = 0, []
-    for c in range(CELLS):
-        sums.append(before)
-        before += counts.get(c, 0)
-    # In a cell, ids are taken as evenly spread.
-    inside = F.least(F.greatest((F.col("doc_id") - low) / F.lit(float(width)) - cell, F.lit(0.0)), F.lit(1.0))
-    base, own = F.element_at(F.lit([*sums]), cell + 1), F.element_at(F.lit([counts.get(c, 0) for c in range(CELLS)]), cell + 1)
-    return F.coalesce(F.floor((base + own * inside) / RANGE_ROWS), F.lit(-1)).cast("long")
+    table = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)"
+    steps = ", ".join(str(1 << i) for i in reversed(range(len(bounds).bit_length())))
+    # The number of bounds below (or up to) the value, by halving.
+    count = "aggregate(array({steps}), 0, (i, s) -> if(i + s <= {k} AND get(b, i + s - 1) {op} {value}, i + s, i))"
+    below, upto = (count.format(steps=steps, k=len(bounds), op=op, value=value) for op in ("<", "<="))
+    start = "cast(get(b, greatest(lo - 1, 0)) as double)"
+    inside = f"coalesce((cast({value} as double) - {start}) / nullif(cast(get(b, lo) as double) - {start}, 0d), 0d)"
+    cell = f"if(hi = lo, lo + least(greatest({inside}, 0d), 1d), lo + 1 + ({tie}) * (hi - lo - 1))"
+    return _let("b", table, _let("lo", below, _let("hi", upto, f"{cell} * {n / len(bounds)!r}d")))
+
+
+def _ranges(docs: DataFrame) -> Column:
+    """A range number that never falls in the order of doc_id (null first) and __tie, with about RANGE_ROWS rows a range.
+
+    Bounds are the ids' quantiles, so single far ids don't stretch a range, and all arithmetic on ids is of doubles. Null
+    ids have the ranges below 0, by their ties.
+    """
+    shares = [(i + 1) / CELLS for i in range(CELLS)]
+    found = docs.agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", shares, 4 * CELLS).alias("bounds")).first()
+    tie = "(cast(__tie as double) + 9223372036854775808d) / 18446744073709551616d"
+    cells = max(1, -(-found["nulls"] // RANGE_ROWS))
+    null_range = F.expr(f"least(floor(({tie}) * {cells}), {cells - 1}) - {cells}")
+    if not found["n"]:
+        return null_range.cast("long")
+    bounds = sorted(found["bounds"])
+    some = bounds[:: max(1, CELLS // max(1, min(CELLS, found["n"] // 16)))] if found["n"] < 16 * CELLS else bounds
+    some[-1] = bounds[-1]
+    place = F.expr(_place_sql(some, found["n"], "doc_id", tie))
+    return F.when(F.col("doc_id").isNull(), null_range).otherwise(F.floor(place / RANGE_ROWS)).cast("long")
+
+
+def _heads(base: DataFrame) -> DataFrame:
+    """The greatest (id, tie) of each range, and the range that its copy goes to: the next one above, and for the last
+    range the first. Ranges are ordered in blocks, and blocks among each other, so no task orders all of them."""
+    head = base.groupBy("__at").agg(F.max(F.struct("doc_id", "__tie")).alias("head")).withColumn("__block", F.floor(F.col("__at") / BLOCK_RANGES))
+    head = materialise(head, "range-heads")
+    blocks = head.groupBy("__block").agg(F.min("__at").alias("__first"))
+    order = Window.orderBy("__block")
+    following = F.coalesce(F.lead("__first").over(order), F.first("__first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    after = blocks.select("__block", following.alias("__after"))
+    upper = F.coalesce(F.lead("__at").over(Window.partitionBy("__block").orderBy("__at")), F.col("__after"))
+    told = head.join(after, "__block").select(upper.alias("__to"), F.col("__at").alias("__from"), F.col("head.doc_id").alias("__head_id"), F.col("head.__tie").alias("__head_tie"))
+    return materialise(told, "range-neighbours")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, and next_text: the text of the next document by descending doc_id; after the last comes the first.
 
     Rows with equal ids are ordered by a hash of their text; null ids come last. Texts are dealt out once, by ranges of
-    doc_id; for the last document of a range, a copy of the next range's first is dealt to it as well.
+    (doc_id, hash); for the last document of a range, a copy of the next range's first is dealt to it as well.
     """
-    ids = docs.select("doc_id")
-    base = docs.select("doc_id", text_of().alias("text")).withColumn("__at", _ranges(ids)).withColumn("__tie", F.xxhash64("text"))
-    head = base.groupBy("__at").agg(F.max(F.struct("doc_id", "__tie")).alias("head"))
-    # One row a range; the range below hands its head up, and the first of all goes to the lowest range.
-    order = Window.orderBy("__at")
-    upper = F.coalesce(F.lead("__at").over(order), F.first("__at").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = materialise(head.select(upper.alias("__to"), F.col("__at").alias("__from"), F.col("head.doc_id").alias("__head_id"), F.col("head.__tie").alias("__head_tie")), "range-heads")
+    base = docs.select("doc_id", text_of().alias("text")).withColumn("__tie", F.xxhash64("text"))
+    base = base.withColumn("__at", _ranges(base.select("doc_id", "__tie")))
+    heads = _heads(base)
     same = base["__at"].eqNullSafe(heads["__from"]) & base["doc_id"].eqNullSafe(heads["__head_id"]) & (base["__tie"] == heads["__head_tie"])
-    copies = base.join(heads, same).select("doc_id", "text", F.col("__to").alias("__at"), "__tie", F.lit(1).alias("__copy"))
+    copies = base.join(heads, same).select("doc_id", "text", "__tie", F.col("__to").alias("__at"), F.lit(1).alias("__copy"))
     rows = base.withColumn("__copy", F.lit(0)).unionByName(copies)
     window = Window.partitionBy("__at").orderBy("__copy", F.desc_nulls_last("doc_id"), F.desc("__tie"))
     return rows.withColumn("next_text", F.coalesce(F.lead("text").over(window), F.col("text")))

@@ -10,7 +10,7 @@ the end the last, fine bucket is taken or left, whichever is nearer the budget.
 A document's copies follow from its id's hash, the sums and nothing else, so reruns agree, and thresholds are nested: a source
 with a larger target keeps every copy it had. Rows with a null id share one hash, as do rows with equal ids (they fall on the same side).
 Null and empty texts have size 0 and are taken like others, with 0 words. An empty table gives no rows.
-Other columns are carried through by `mix_documents`; names that begin with __mix_ are taken.
+Other columns are carried through by `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialise, null_safe_key
+from .common import WHITE, materialise, null_safe_key, pack_rest, unpack_rest
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -95,5 +95,6 @@ def with_copies(docs: DataFrame, size: Column | None = None) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
-    taken = with_copies(docs).where(F.col("__mix_copies") > 0)
-    return taken.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    keep = ("doc_id", "text", "source")
+    taken = with_copies(pack_rest(docs, *keep)).where(F.col("__mix_copies") > 0)
+    return taken.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*unpack_rest(docs.columns, *keep))

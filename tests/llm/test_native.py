@@ -173,3 +173,59 @@ def test_fingerprint_by_hand(spark):
     expected = ",".join(sorted(f"{r.s:02x}{r.h:08x}" for r in table))
     assert len(want) <= SLOTS
     assert spark.createDataFrame([(text.strip(),)], "t string").select(fingerprint("t").alias("f")).first().f == expected
+
+
+def test_clashing_names(spark):
+    """Extra columns with names that the operators use inside, or give out, are carried through or replaced, as said there."""
+    names = ["__line_row", "__line_drop", "__line_h1", "__mix_size", "__mix_hash", "__source", "__draw", "__range", "__place", "__rest", "shard", "slot", "a.b"]
+    docs = spark.createDataFrame([(i, f"a shared line of text\nown line number {i} here", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)], ["doc_id", "text", "source", *names])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    want = {r.doc_id: tuple(r)[3:] for r in docs.collect()}
+    lines = dedup_lines(docs)
+    assert lines.columns == docs.columns and {r.doc_id: tuple(r)[3:] for r in lines.collect()} == want
+    assert sum("shared" in r.text for r in lines.collect()) == 1
+    mixed = mix_documents(docs)
+    assert mixed.columns == docs.columns and all(tuple(r)[3:] == want[r.doc_id] for r in mixed.collect())
+    sharded = shard_by_mixture(docs, 4)
+    assert sharded.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert all(tuple(r)[3:-2] == tuple(x for x, n in zip(want[r.doc_id], names, strict=True) if n not in ("shard", "slot")) for r in sharded.collect())
+    assert {r.shard for r in sharded.collect()} == {0, 1, 2, 3}
+
+
+def test_common_line_is_cut_into_runs(spark, monkeypatch):
+    """A line that most documents hold is many runs; the least document of all keeps it, and late words have their place."""
+    from palimpsest.llm import lines
+
+    monkeypatch.setattr(lines, "RUN_ROWS", 50)
+    rows = [(i, "\n".join([f"own line {i} {j} of its kind" for j in range(i % 200)] + ["the very common line"])) for i in range(5, 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    bitmaps = {r.doc_id: r["__line_drop"] for r in lines.keep_bitmaps(docs).collect()}
+    assert 5 not in bitmaps and len(bitmaps) == len(rows) - 1
+    for i, _ in rows[1:]:
+        at = i % 200
+        assert len(bitmaps[i]) == at // 64 + 1 and [b % 2**64 for b in bitmaps[i]] == [0] * (at // 64) + [1 << at % 64]
+    kept = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert all(kept[i] == (t if i == 5 else t.removesuffix("the very common line").removesuffix("\n")) for i, t in rows)
+
+
+@pytest.mark.parametrize("ids", [list(range(2000)), list(range(2000)) + [2**60], [-(2**63), 2**63 - 1, 0] + [int(6.9e18), -int(6.9e18)] * 2 + list(range(500)), [None] * 900 + list(range(400)), [7] * 900 + list(range(400)), [2**i for i in range(62)] * 20, [5], [None]])
+def test_ranges_of_ids(spark, monkeypatch, ids):
+    """Far, wide, null and repeated ids: ranges follow the order of ids and stay near their size."""
+    from palimpsest.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 50)
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").withColumn("__tie", F.xxhash64("text"))
+    got = sorted(docs.withColumn("at", fingerprints._ranges(docs)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r["__tie"]))
+    assert all(a["at"] <= b["at"] for a, b in zip(got, got[1:]))
+    assert max(Counter(r["at"] for r in got).values()) <= 80
+
+
+def test_next_over_far_ids(spark, monkeypatch):
+    from palimpsest.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "BLOCK_RANGES", 3)
+    ids = sorted([*range(200), 2**60, -(2**63), 2**63 - 1, int(6.9e18), -int(6.9e18)], reverse=True)
+    docs = spark.createDataFrame([(d, f"text of {d}") for d in ids], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(docs).where("__copy = 0").collect()}
+    assert got == {d: f"text of {n}" for d, n in zip(ids, ids[1:] + ids[:1])}
