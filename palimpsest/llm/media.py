@@ -3,8 +3,10 @@
 `as_wav` turns a text column into a column of WAV files (mono, 8 bits a sample, one byte a sample, so nothing is
 lost). `describe_wav` reads such files with the wave module, takes a short-time Fourier transform of each (frames of
 128 samples, every 64, Hann window), keeps each frame's two strongest peaks, pairs each peak with those of its own and the
-next two frames, and returns the pairs with the time of the first peak: an array of (time, code) and a sketch of fixed
-length, the smallest hashes of its codes. Work is row by row: nothing is shuffled, and an Arrow batch of files is
+next two frames, and returns the pairs with the time of the first peak as an array of time-coded landmarks, time << 32 |
+code, in order. `feature` is made from that array: the number of landmarks, a digest of all of them, and a sketch of fixed
+length, the smallest hashes of frames' constellations (all codes that begin in one frame): long texts hold nearly every
+code somewhere, but not the same frames. Work is row by row: nothing is shuffled, and slices of an Arrow batch are
 transformed a bounded number of frames at a time.
 
 Null and empty texts are 64 zero bytes. Texts of any length are taken whole. Equal texts give equal values; repeated
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import in_slices
 from .common import text_of
 
 RATE = 8000
@@ -34,8 +37,9 @@ SKETCH = 16
 #: Frames that are transformed at once.
 CHUNK = 16_384
 _WINDOW = np.hanning(FRAME).astype(np.float32)
-#: Sampling order of the codes: a fixed odd multiplier.
+#: Sampling order of the codes: fixed odd multipliers.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def padded(text: str) -> bytes:
@@ -107,9 +111,23 @@ def landmarks(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return time[order], code[order]
 
 
-def sketch(code: np.ndarray) -> np.ndarray:
-    """The smallest hashes of the distinct codes."""
-    return np.unique((np.unique(code).astype(np.uint64) * _SPREAD) >> np.uint64(32))[:SKETCH]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _SPREAD
+    return (x ^ x >> np.uint64(29)) * _MIX
+
+
+def sketch(time: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The smallest hashes of the distinct constellations; times must be in order."""
+    if not len(time):
+        return np.zeros(0, np.uint64)
+    starts = np.nonzero(np.append(True, time[1:] != time[:-1]))[0]
+    return np.unique(_mixed(np.add.reduceat(_mixed(code.astype(np.uint64)), starts)) >> np.uint64(32))[:SKETCH]
+
+
+def feature(marks: np.ndarray) -> str:
+    """Number, digest and sketch of time-coded landmarks."""
+    digest = hashlib.blake2b(marks.astype("<i8").tobytes(), digest_size=8).hexdigest()
+    return f"{len(marks)}:{digest}:" + "".join(f"{int(x):08x}" for x in sketch(marks >> 32, marks & 0xFFFFFFFF))
 
 
 def as_wav(docs: DataFrame) -> DataFrame:
@@ -121,7 +139,7 @@ def as_wav(docs: DataFrame) -> DataFrame:
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array([wav_bytes(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "wav"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(store, "doc_id long, n_bytes long, wav binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(in_slices(store, "text"), "doc_id long, n_bytes long, wav binary")
 
 
 _DESCRIBED = pa.schema(
@@ -129,23 +147,23 @@ _DESCRIBED = pa.schema(
 )
 
 
-def describe_wav(media: DataFrame, with_landmarks: bool = False) -> DataFrame:
-    """Read each sound file back: sizes, hashes, feature, and (if asked for) landmarks, time << 32 | code."""
+def describe_wav(media: DataFrame, with_landmarks: bool = True) -> DataFrame:
+    """Read each sound file back: sizes, hashes, feature, and landmarks (unless they aren't asked for), time << 32 | code."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch["wav"].to_pylist()
             payloads = [wav_payload(w) for w in files]
             bins, starts = spectral_peaks(payloads)
-            out: dict[str, list] = {k: [] for k in _DESCRIBED.names}
-            for i, (doc, size, wav, payload) in enumerate(zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), files, payloads, strict=True)):
-                time, code = landmarks(bins[starts[i] : starts[i + 1]])
-                feature = f"{len(code)}:" + "".join(f"{int(x):08x}" for x in sketch(code))
-                row = (doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, time << 32 | code if with_landmarks else None)
-                for k, v in zip(_DESCRIBED.names, row, strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_DESCRIBED)
+            marks = [time << 32 | code for time, code in (landmarks(bins[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True))]
+            made = {
+                "payload_bytes": [len(p) for p in payloads], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads], "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in payloads],
+                "media_bytes": [len(w) for w in files], "media_sha256": [hashlib.sha256(w).hexdigest() for w in files], "feature": [feature(m) for m in marks],
+            }
+            ends = np.cumsum([0, *(len(m) for m in marks)]) if with_landmarks else None
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))) if with_landmarks else pa.nulls(len(files), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array(v, _DESCRIBED.field(k).type) for k, v in made.items()), listed], schema=_DESCRIBED)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, landmarks array<long>"
-    found = media.mapInArrow(describe, ddl)
+    found = media.mapInArrow(in_slices(describe, "wav"), ddl)
     return found if with_landmarks else found.drop("landmarks")
