@@ -2,7 +2,7 @@
 
 `as_wav` turns a text column into a column of WAV files (mono, 8 bits a sample, one byte a sample, so nothing is
 lost). `describe_wav` reads such files with the wave module, takes a short-time Fourier transform of each (frames of
-128 samples, every 64, Hann window), keeps each frame's two strongest peaks, pairs each peak with those of its own and the
+128 samples, every 64, less their mean, Hann window), keeps each frame's two strongest peaks, pairs each peak with those of its own and the
 next two frames, and returns the pairs with the time of the first peak as an array of time-coded landmarks, time << 32 |
 code, in order. `feature` is made from that array: the number of landmarks, a digest of all of them, and a sketch of fixed
 length, the smallest hashes of frames' constellations (all codes that begin in one frame): long texts hold nearly every
@@ -83,7 +83,9 @@ def spectral_peaks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         b = min(total, a + CHUNK)
         after = blocks[a + 1 : b + 1].copy()
         after[last[a:b]] = 128
-        frames = (np.hstack([blocks[a:b], after]).astype(np.float32) - 128) * _WINDOW
+        frames = np.hstack([blocks[a:b], after]).astype(np.float32)
+        frames -= frames.mean(axis=1, keepdims=True)  # else the mean's leakage into the first bin is the strongest peak of all
+        frames *= _WINDOW
         power = np.abs(np.fft.rfft(frames, axis=1)[:, 1:]).astype(np.float32)
         power = np.round(power * 16)  # equal sounds in other batches must round alike
         peak = power.copy()

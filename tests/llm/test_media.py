@@ -55,7 +55,8 @@ def naive_landmarks(payload):
     frames = []
     for t in range(n):
         upto = min((n - 1) * HOP + HOP, t * HOP + FRAME)  # after a payload's last frame there is silence
-        x = [(sound[t * HOP + i] - 128 if t * HOP + i < upto else 0) * window[i] for i in range(FRAME)]
+        heard = [sound[t * HOP + i] if t * HOP + i < upto else 128 for i in range(FRAME)]
+        x = [(v - sum(heard) / FRAME) * w for v, w in zip(heard, window, strict=True)]
         power = [round(16 * abs(sum(v * np.exp(-2j * np.pi * k * i / FRAME) for i, v in enumerate(x)))) for k in range(1, FRAME // 2 + 1)]
         tops = [(-p, k) for k, p in enumerate(power) if (k == 0 or p >= power[k - 1]) and (k + 1 == len(power) or p > power[k + 1])]
         frames.append([k + 1 for _, k in sorted(tops)[:2]])
@@ -81,7 +82,7 @@ def test_landmarks_against_naive_version(spark):
 
 def test_long_texts_keep_their_own_sketches():
     rng = np.random.default_rng(4)
-    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(3000)]
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10))) for _ in range(3000)]
     parts = [" ".join(rng.choice(words, 40_000)).encode() for _ in range(4)]
     marks = []
     for p in parts:
