@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import in_slices
 from .common import materialise, text_of
 from .tokens import encoder
 
@@ -61,7 +62,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, ddl)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(in_slices(cut, "text"), ddl)
 
 
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:

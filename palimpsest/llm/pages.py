@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_slices
 from .common import materialise
 
 GROUP_PAGES = 64
@@ -336,4 +337,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield solve(group)
 
     dealt = cut.select("host", "part", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part")
-    return dealt.mapInArrow(extract, "page_id long, url string, text string")
+    return dealt.mapInArrow(in_slices(extract, "html"), "page_id long, url string, text string")

@@ -20,7 +20,8 @@ more) and n_copies (documents with an equal set).
 
 Null and empty texts, and those of white space only, have no set: they are a class of their own without links. Rows
 with a null doc_id have no class and no links. Rows that share a doc_id but not a text are compared on their own; the
-output has one row for every input row. An empty table gives no rows. Columns other than doc_id and text are ignored. Sets are told apart by 64-bit
+output has one row for every input row. An empty table gives no rows. Columns other than doc_id and text are ignored, or
+carried through by `drop_near_duplicates` whatever their names. Sets are told apart by 64-bit
 hashes: among n sets, n^2 / 2^65 pairs are expected to be taken for equal by chance.
 """
 
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .batches import in_slices
+from .common import materialise, pack_rest, text_of, unpack_rest
 from .components import connected_components
 
 WORDS = 5
@@ -53,7 +55,7 @@ LOOSE, TIGHT = 0.45, 0.8
 EXACT_SETS, EXACT_TOKENS = 1024, 1_000_000
 COLUMNS = 2048
 #: Word hashes that a Python worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 _U = np.uint64
 _ODD = np.array([int.from_bytes(hashlib.blake2b(f"odd {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(256)], dtype=np.uint64)
 _STEP = _ODD[200]
@@ -132,27 +134,27 @@ def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> list[tupl
 
 
 _SIGNED = ["parent2", "path2", "parent3", "path3"]
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n_tokens", pa.int64()), ("sketch", pa.binary()), ("path1", pa.list_(pa.int64())), *((k, pa.list_(pa.int64())) for k in _SIGNED)])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n_tokens", pa.int64()), ("sketch", pa.binary()), ("path1", pa.list_(pa.int64())), *((k, pa.list_(pa.int64())) for k in _SIGNED)])
 
 
 def _signatures(docs: DataFrame, runs: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _SIGNATURES.names}
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, own, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 tokens = token_set(text) if doc is not None else ()
                 if not len(tokens):
                     for k in _SIGNATURES.names:
-                        out[k].append(doc if k == "doc_id" else None)
+                        out[k].append(doc if k == "doc_id" else own if k == "row" else None)
                 else:
                     (_, one), (up2, two), (up3, three) = chosen_paths(tokens, runs)
-                    row = (doc, set_id(tokens), len(tokens), sketch(tokens), one.view("i8"), up2.view("i8"), two.view("i8"), up3.view("i8"), three.view("i8"))
+                    row = (doc, own, set_id(tokens), len(tokens), sketch(tokens), one.view("i8"), up2.view("i8"), two.view("i8"), up3.view("i8"), three.view("i8"))
                     for k, v in zip(_SIGNATURES.names, row, strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_SIGNATURES)
 
-    ddl = "doc_id long, sid long, n_tokens long, sketch binary, path1 array<long>, parent2 array<long>, path2 array<long>, parent3 array<long>, path3 array<long>"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(sign, ddl)
+    ddl = "doc_id long, row long, sid long, n_tokens long, sketch binary, path1 array<long>, parent2 array<long>, path2 array<long>, parent3 array<long>, path3 array<long>"
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("row"), text_of().alias("text")).mapInArrow(in_slices(sign, "text"), ddl)
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: b
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst, path)], names=["src", "dst", "path"])
 
     members = buckets.join(sketches, "sid").select(*keys, "blocks", "sid", "sketch")
-    return members.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(compare, "src long, dst long, path long")
+    return members.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(in_slices(compare, "sketch"), "src long, dst long, path long")
 
 
 def _families(signatures: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def _family_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text"))
     wanted = materialise(cut.select(F.col("rep").alias("doc_id"), "sid", "n_copies", "family", "block", "blocks"), "family-members")
     # Both sides are dealt out by doc_id whatever the number of members is: the table grows with the input.
-    whole = texts.join(wanted.hint("merge"), "doc_id").select("text", "sid", "n_copies", "family", "block", "blocks").mapInArrow(sets, "sid long, n_copies long, family long, block int, blocks int, tokens binary")
+    whole = texts.join(wanted.hint("merge"), "doc_id").select("text", "sid", "n_copies", "family", "block", "blocks").mapInArrow(in_slices(sets, "text"), "sid long, n_copies long, family long, block int, blocks int, tokens binary")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.select("family", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "sid", "n_copies", "tokens")
 
@@ -310,32 +312,42 @@ def _family_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         if rows:
             yield solve(rows, *key[1:])
 
-    return paired.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(exact, "sid long, root long, links long")
+    return paired.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(in_slices(exact, "tokens"), "sid long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies: one row for every row of docs."""
+def _judged(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+    """One row for every row of docs: doc_id, row (hash of the text), class_id, n_links, n_copies, and head: is this the row with the
+    smallest (doc_id, row) of its class (null without a class)."""
     rows = materialise(_signatures(docs, runs_for(recall)), "signatures")
     signatures = rows.where("sid is not null")
-    nodes = materialise(signatures.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_tokens").alias("n_tokens")), "sets")
+    nodes = materialise(signatures.groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_tokens").alias("n_tokens")), "sets")
     members = nodes.join(_families(signatures), "sid")
     exact = materialise(_family_links(docs, members), "exact-links")
     classes = connected_components(exact.select(F.col("sid").alias("src"), F.col("root").alias("dst")))
     counted = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     known = nodes.join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left").join(counted, "sid", "left")
-    known = known.select("sid", "rep", "n_copies", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    known = known.select("sid", "head", "n_copies", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     known = materialise(known, "linked-sets")
-    least = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    found = known.join(least, "label").select("sid", "class_id", "n_links", "n_copies")
-    whole = rows.select("doc_id", "sid").join(found, "sid", "left")
-    return whole.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    least = known.groupBy("label").agg(F.min("head").alias("first"))
+    found = known.join(least, "label").select("sid", "first", "n_links", "n_copies")
+    whole = rows.select("doc_id", "row", "sid").join(found, "sid", "left")
+    head = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    return whole.select("doc_id", "row", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), head.alias("head"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_ids that a class has besides its smallest one."""
-    return jaccard_join(docs).where("doc_id != class_id").select("doc_id").distinct()
+def jaccard_join(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row for every row of docs."""
+    return _judged(docs, recall).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document, the one with the smallest doc_id, of each class; rows with a null doc_id stay."""
-    return docs.join(near_duplicates(docs), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class, the one with the smallest doc_id and text hash; of repeated ones one stays. Rows
+    without a class, that is with a null doc_id or without words, all stay."""
+    keys = ["doc_id", "__row"]
+    judged = materialise(_judged(docs.select("doc_id", "text")).select("doc_id", F.col("row").alias("__row"), "head"), "judged")
+    own = pack_rest(docs, "doc_id", "text").withColumn("__row", F.xxhash64(text_of()))
+    kept = own.join(judged.where("not head").select(*keys).distinct(), keys, "left_anti")
+    repeated = materialise(judged.where("head").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-heads")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, keys, "left_anti").unionByName(kept.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*unpack_rest(docs.columns, "doc_id", "text"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_slices
 from .common import fresh_dir, materialise, text_of
 from .tokens import encoder
 
@@ -193,7 +194,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             yield flush()
 
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ranged.mapInArrow(write, "part int, file int, path string, n_docs long, n_ids long, start long")
+    manifest = ranged.mapInArrow(in_slices(write, "text"), "part int, file int, path string, n_docs long, n_ids long, start long")
     return materialise(manifest, "token-manifest"), folder
 
 
@@ -233,6 +234,6 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
         bases.append((part, total))
         total += before[part]
     base = manifest.sparkSession.createDataFrame(bases, "part int, base long")
-    docs = manifest.select("part", "file", "path", "start").mapInArrow(read, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long, ids array<int>")
+    docs = manifest.select("part", "file", "path", "start").mapInArrow(in_slices(read, "path"), "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long, ids array<int>")
     kept = ["ids"] if with_ids else []
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", *kept)

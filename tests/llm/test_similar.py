@@ -116,3 +116,13 @@ def test_components(spark):
 def test_token_set():
     assert len(token_set("")) == 0 and len(token_set("a b")) == 1 and (token_set("A b c d e f") == token_set("a  b c d\ne f")).all()
     assert len(token_set("a b c d e " * 40)) == 5
+
+
+def test_one_row_of_each_class(spark):
+    """Rows that share a doc_id are judged by their own texts; of repeated rows of a class one stays; rows without words all stay."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (2, b, "y"), (2, a, "z"), (1, a, "x2"), (3, b + " more", "y"), (4, "", "e"), (4, "", "e"), (5, None, "e"), (None, a, "n"), (None, a, "n"), (6, "quite another text of a few words", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect())
+    assert got == Counter([(1, a), (2, b), (4, ""), (4, ""), (5, None), (None, a), (None, a), (6, rows[-1][1])])
+    assert drop_near_duplicates(docs).columns == docs.columns
