@@ -6,11 +6,14 @@ all pages hold equally often are told apart by their number). Tokens with equal
 another class fits between two of its tokens or not at all. The class that occurs once a page is the template's frame;
 valid classes that stand in one of its gaps on every page nest in it. The gaps between frame tokens, and the nested classes in them, are slots.
 
-Names decide first: elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments by their name, class or id are left out, and where an element names the article, its text is the main text, also
-what every page repeats. Where none does, the template decides: texts are tokens too, and a block that most pages (three
-at least, exact copies counted once) hold at the same path is the template's, not the article's; of the other slots, those
-with enough text outside links are kept. README.md has the figures of both.
+The template decides what is extracted. Texts are tokens too: a block that most pages (three at least, exact copies
+counted once) hold at the same path is the template's. Of the frame's elements, the article's container is the smallest one
+that holds at least half of what remains over all pages of the group, outside links (`container`); it is widened by
+headings beside it. On a page, the container's slots are the main text. Names are tests on slots: elements that are menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by their name, class or id are left out
+of all sums and results; an element that names the article weighs `NAMED` times its text when the container is
+chosen, and inside a container only what such elements hold is kept, with what every page repeats. Names decide alone on pages without
+a container: single pages of a host, and pages that lack it. README.md has the figures.
 
 Groups: the pages of a host, cut by a hash of page_id into parts of about `GROUP_PAGES`, so that a host with a third
 of all pages is many groups; a host's last part may be small, and one page is a template of its own. Pages travel once, to their group.
@@ -22,6 +25,7 @@ Columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter, defaultdict
@@ -38,6 +42,10 @@ from .common import materialise
 GROUP_PAGES = 64
 #: Slots with a smaller share of their text outside links are menus, where no element names the article.
 LEAST_PLAIN = 0.5
+#: Weight of the text of elements that name the article, where the container is chosen.
+NAMED = 3
+#: Longer paths are told apart by a hash of what is above, so that deep pages take memory in proportion to their size.
+PATH_CHARS = 240
 #: A text is the template's if at least so many pages hold it, and more than half of the group.
 LEAST_PAGES = 3
 
@@ -45,10 +53,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # HTML element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover object q rp rt ruby s samp small span strike strong sub sup svg time tspan tt u var wbr".split()
+)
+#: Blocks of running text: never an article's container.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption blockquote pre address ul ol dl table tbody thead tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-OUTSIDE = frozenset("nav header footer aside form script style noscript template title head button select textarea input dialog menu iframe svg".split())
+OUTSIDE = frozenset("nav header footer aside form script style noscript template title head button select textarea input dialog menu iframe".split())
 NAMES_ARTICLE = frozenset("article main".split())
 # Words in class and id attributes, and roles.
 ASIDE_WORDS = re.compile(
@@ -62,12 +75,24 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 @dataclass
 class Page:
-    """tokens: (kind, path of the element, name); texts: (token after which it stands, text in a link, block, text)."""
+    """tokens: path of the element, with / before it where it closes; roles and parents (token of the element around it,
+    or -1) by token; texts: (token of the innermost element, text in a link, block, text)."""
 
     tokens: list[str] = field(default_factory=list)
     roles: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
     texts: list[tuple[int, bool, int, str]] = field(default_factory=list)
-    above: list[tuple[int, ...]] = field(default_factory=list)
+
+    def add(self, token: str, role: str, parent: int) -> int:
+        self.tokens.append(token)
+        self.roles.append(role)
+        self.parents.append(parent)
+        return len(self.tokens) - 1
+
+
+def element(token: str) -> str:
+    """The element's name of a token."""
+    return token.rsplit("/", 1)[1].split("#")[0]
 
 
 def _role(name: str, attributes: str) -> str:
@@ -93,22 +118,22 @@ def _role(name: str, attributes: str) -> str:
 def read_page(source: str) -> Page:
     """Tokens, their elements' roles, and texts, with elements that the markup leaves open closed as browsers do."""
     page, at, block, end = Page(), 0, 0, len(source)
-    stack: list[tuple[str, str, int]] = []  # name, path, token
+    stack: list[tuple[str, str, int, str]] = []  # name, path, token, path of the innermost block element
     links = 0
 
+    def inner() -> int:
+        return stack[-1][2] if stack else -1
+
     def text(a: int, b: int, raw: bool = False) -> None:
         if b > a:
-            part = source[a:b] if raw else entities.unescape(source[a:b])
-            page.texts.append((len(page.tokens) - 1, links > 0, block, part))
-            page.above.append(tuple(t for _, _, t in stack))
+            page.texts.append((inner(), links > 0, block, source[a:b] if raw else entities.unescape(source[a:b])))
 
     def close(n: int) -> None:
         nonlocal links
         while len(stack) > n:
-            name, path, _ = stack.pop()
+            name, path, token, _ = stack.pop()
             links -= name == "a"
-            page.tokens.append(f"/{path}")
-            page.roles.append("")
+            page.add(f"/{path}", "", token)
 
     while at < end:
         m = _TOKEN.search(source, at)
@@ -125,8 +150,7 @@ def read_page(source: str) -> Page:
             if closing not in INLINE:
                 block += 1
             elif closing == "br":
-                page.texts.append((len(page.tokens) - 1, False, block, " "))
-                page.above.append(tuple(t for _, _, t in stack))
+                page.texts.append((inner(), False, block, " "))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == closing:
                     close(i)
@@ -155,16 +179,16 @@ def read_page(source: str) -> Page:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "tr", "tbody", "select"):
                     break
         # The path names block elements only: a paragraph is the same token inside or outside of <b>.
-        upper = next((p for n, p, _ in reversed(stack) if n not in INLINE), "")
+        upper = stack[-1][3] if stack else ""
         path = f"{upper}/{name}"
-        page.tokens.append(path)
-        page.roles.append(_role(name, attributes or ""))
+        if len(path) > PATH_CHARS:
+            path = f"~{hashlib.blake2b(upper.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}/{name}"
+        token = page.add(path, _role(name, attributes or ""), inner())
         if name == "br":
-            page.texts.append((len(page.tokens) - 1, links > 0, block, " "))
-            page.above.append(tuple(t for _, _, t in stack))
+            page.texts.append((inner(), links > 0, block, " "))
         if name in VOID or (attributes or "").endswith("/"):
             continue
-        stack.append((name, path, len(page.tokens) - 1))
+        stack.append((name, path, token, upper if name in INLINE else path))
         links += name == "a"
         if name in RAW:
             until = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -242,7 +266,7 @@ def template(pages: list[Page]) -> tuple[set[str], dict[str, int]]:
     nested = {}
     for i, tokens in enumerate(others):
         if len(set().union(*(gaps[t] for t in tokens))) == 1:
-            nested.update((t, i) for t in tokens if t.rsplit("/", 1)[1].split("#")[0] not in INLINE)
+            nested.update((t, i) for t in tokens if element(t) not in INLINE)
     return frame, nested
 
 
@@ -254,10 +278,11 @@ def block_texts(page: Page) -> dict[int, tuple[str, str]]:
     """Path and text, white space made single, of each block that has text."""
     paths: dict[int, str] = {}
     blocks: dict[int, list[str]] = {}
-    for (_, _, block, part), above in zip(page.texts, page.above, strict=True):
+    for token, _, block, part in page.texts:
         if block not in blocks:
-            upper = (page.tokens[t].split("#")[0] for t in reversed(above))
-            paths[block] = next((t for t in upper if t.rsplit("/", 1)[1] not in INLINE), "")
+            while token >= 0 and element(page.tokens[token]) in INLINE:
+                token = page.parents[token]
+            paths[block] = page.tokens[token].split("#")[0] if token >= 0 else ""
         blocks.setdefault(block, []).append(part)
     joined = {block: " ".join("".join(p).split()) for block, p in blocks.items()}
     return {block: (paths[block], text) for block, text in joined.items() if text}
@@ -278,23 +303,103 @@ def _joined(parts: list[tuple[int, str]]) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _inherited(page: Page, start, step) -> list:
+    """A value for each token, made by step(value of the element around it, token): parents come before their children."""
+    out: list = []
+    for i, parent in enumerate(page.parents):
+        out.append(step(out[parent] if parent >= 0 else start, i))
+    return out
+
+
+def _states(page: Page) -> list[tuple[bool, bool]]:
+    """(left out, names the article) of each token and what is around it."""
+    return _inherited(page, (False, False), lambda above, i: (above[0] or page.roles[i] == "out", above[1] or page.roles[i] == "in"))
+
+
+def container(pages: list[Page], frame: set[str], repeated: set[tuple[str, str]]) -> str | None:
+    """The frame's element that is the article's container (see the module's docstring), or None."""
+    held: Counter[str] = Counter()
+    named: set[str] = set()
+    above: dict[str, str] = {}
+    headings: Counter[str] = Counter()
+    total = 0
+    for page in pages:
+        states, texts = _states(page), block_texts(page)
+        own, heads = [0] * len(page.tokens), [0] * len(page.tokens)
+        in_heading = _inherited(page, False, lambda value, i, page=page: value or element(page.tokens[i]) in HEADINGS)
+        for token, link, block, part in page.texts:
+            if token >= 0 and not states[token][0] and not link and texts.get(block) not in repeated:
+                n = len(part.strip())
+                own[token] += n
+                heads[token] += n if in_heading[token] else 0
+                total += n
+        for i in range(len(page.tokens) - 1, -1, -1):
+            parent = page.parents[i]
+            if parent >= 0:
+                own[parent] += own[i]
+                heads[parent] += heads[i]
+        up: list[str] = _inherited(page, "", lambda value, i, page=page: page.tokens[i] if page.tokens[i] in frame and element(page.tokens[i]) not in INLINE else value)
+        for i, token in enumerate(page.tokens):
+            if token in frame and not token.startswith("//") and not states[i][0] and own[i]:
+                held[token] += own[i]
+                headings[token] += heads[i]
+                parent = page.parents[i]
+                above[token] = up[parent] if parent >= 0 else ""
+                if page.roles[i] == "in":
+                    named.add(token)
+    fit = [t for t in held if element(t) not in PROSE and element(t) not in INLINE and 2 * held[t] * (NAMED if t in named else 1) >= total]
+    if not fit:
+        return None
+
+    def depth(token: str) -> int:
+        n = 0
+        while token:
+            token, n = above.get(token, ""), n + 1
+        return n
+
+    found = min((t for t in fit if t in named) if any(t in named for t in fit) else fit, key=lambda t: (held[t], -depth(t), t))
+    while (upper := above.get(found, "")) in held and element(upper) not in ("html", "body") and found not in named and held[upper] - held[found] == headings[upper] - headings[found]:
+        found = upper
+    return found
+
+
+def slot_text(page: Page, chosen: str | None, nested: dict[str, int], repeated: set[tuple[str, str]], plain_slots: set[tuple[str, int]]) -> str | None:
+    """The texts of the container's slots on a page; None where the page has no such container, or nothing in it."""
+    inside = _inherited(page, False, lambda above, i: above or page.tokens[i] == chosen)
+    if chosen is None or not any(inside):
+        return None
+    states, slots = _states(page), _slots(page, nested)
+    kept = [(states[token][1], slots[token], block, part) for token, _, block, part in page.texts if token >= 0 and inside[token] and not states[token][0]]
+    if any(named and part.strip() for named, _, _, part in kept):
+        return _joined([(block, part) for named, _, block, part in kept if named])
+    texts = block_texts(page)
+    return _joined([(block, part) for _, slot, block, part in kept if texts.get(block) not in repeated and slot in plain_slots]) or None
+
+
+def _slots(page: Page, nested: dict[str, int]) -> list[tuple[str, int]]:
+    """The innermost block element around each token, by its path, and the nested class it stands in."""
+    return _inherited(page, ("", -1), lambda above, i: (page.tokens[i].split("#")[0] if element(page.tokens[i]) not in INLINE else above[0], nested.get(page.tokens[i], above[1])))
+
+
+def plain_slots(pages: list[Page], nested: dict[str, int]) -> set[tuple[str, int]]:
+    """Slots whose text, over all pages, is outside links for the most part: one paragraph full of links is no menu."""
+    total, plain = Counter(), Counter()
+    for page in pages:
+        slots = _slots(page, nested)
+        for token, link, _, part in page.texts:
+            if token >= 0:
+                n = len(part.strip())
+                total[slots[token]] += n
+                plain[slots[token]] += 0 if link else n
+    return {slot for slot, n in total.items() if plain[slot] >= LEAST_PLAIN * n}
+
+
 def main_text(page: Page, frame: set[str], nested: dict[str, int] | None = None, repeated: set[tuple[str, str]] | None = None) -> str:
-    """The texts of the article's slots."""
-    kept: list[tuple[bool, tuple[int, int], int, bool, str]] = []  # named, slot, block, link, text
-    for (_, link, block, part), above in zip(page.texts, page.above, strict=True):
-        named, out, slot = False, False, (-1, -1)
-        for token in above:
-            role = page.roles[token]
-            if role == "out":
-                out = True
-                break
-            named = named or role == "in"
-            if page.tokens[token] in frame:
-                slot = (token, -1)
-            elif nested and page.tokens[token] in nested:
-                slot = (slot[0], nested[page.tokens[token]])
-        if not out:
-            kept.append((named, slot, block, link, part))
+    """The article of a page by itself: what names call the article, else the slots of the frame with enough text outside links."""
+    states = _states(page)
+    slots = _inherited(page, (-1, -1), lambda above, i: (i, -1) if page.tokens[i] in frame else (above[0], nested[page.tokens[i]]) if nested and page.tokens[i] in nested else above)
+    kept = [(*(states[token] if token >= 0 else (False, False)), slots[token] if token >= 0 else (-1, -1), block, link, part) for token, link, block, part in page.texts]
+    kept = [k[1:] for k in kept if not k[0]]
     if any(named and part.strip() for named, _, _, _, part in kept):
         return _joined([(block, part) for named, _, block, _, part in kept if named])
     if repeated:
@@ -308,6 +413,18 @@ def main_text(page: Page, frame: set[str], nested: dict[str, int] | None = None,
     return _joined([(block, part) for _, slot, block, _, part in kept if total[slot] and plain[slot] >= LEAST_PLAIN * total[slot]])
 
 
+def group_texts(sources: list[str]) -> list[str]:
+    """The main texts of the pages of one group."""
+    read = [read_page(h) for h in sources]
+    frame, nested = template(read)
+    distinct = list(dict(zip(sources, read, strict=True)).values())
+    repeated = template_texts(distinct)
+    chosen = container(distinct, frame, repeated) if len(distinct) > 1 else None
+    plain = plain_slots(distinct, nested)
+    found = (slot_text(p, chosen, nested, repeated, plain) for p in read)
+    return [main_text(p, frame, nested, repeated) if text is None else text for p, text in zip(read, found, strict=True)]
+
+
 _FOUND = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
@@ -316,13 +433,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     sizes = materialise(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("parts")).where("parts > 1"), "host-parts")
-    cut = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    cut = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", F.when(F.col("page_id").isNull(), F.col("html"))), F.coalesce("parts", F.lit(1))).cast("int"))
 
     def solve(group: list[tuple[int | None, str | None, str]]) -> pa.RecordBatch:
-        read = [read_page(h) for _, _, h in group]
-        frame, nested = template(read)
-        repeated = template_texts(list({h: p for (_, _, h), p in zip(group, read, strict=True)}.values()))
-        return pa.RecordBatch.from_pydict({"page_id": [g[0] for g in group], "url": [g[1] for g in group], "text": [main_text(p, frame, nested, repeated) for p in read]}, schema=_FOUND)
+        return pa.RecordBatch.from_pydict({"page_id": [g[0] for g in group], "url": [g[1] for g in group], "text": group_texts([g[2] for g in group])}, schema=_FOUND)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []

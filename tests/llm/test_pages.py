@@ -3,7 +3,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.pages import equivalence_classes, extract_main_text, main_text, read_page, template, template_frame
+from palimpsest.llm.pages import container, equivalence_classes, extract_main_text, group_texts, main_text, read_page, template, template_frame, template_texts
 
 RICH = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="page">
 <div id="cookie-banner">We use cookies <button>OK</button></div><header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
@@ -69,3 +69,49 @@ def test_nested_classes():
     pages = [read_page("<body><div><h1>t</h1>" + "<ul>" + f"<li><a>x{n}</a></li>" * n + "</ul></div></body>") for n in (2, 3, 5)]
     frame, nested = template(pages)
     assert "/body/div/ul" in frame and "/body/div/ul/li" in nested and "/body/div/ul/li/a" not in nested
+
+
+BLANK = """<html><body><div class=z1><ul><li><a href=/>Home</a><li><a href=/c>Contact us today</a></ul></div><div class=z2><h2>Headline {n}</h2>{body}</div>
+<div class=z3><p>Bargain {n}: buy {n} now.</div><div class=z4><p>All rights held by the owner.</p></div></body></html>"""
+
+
+def blank_page(n):
+    """A page whose elements say nothing, and its article, by the parts it is made of."""
+    body = [f"Paragraph {k} of story {n}, with some words of its own." for k in range(2 + n % 4)]
+    linked = f"See <a href=/{n}>the report {n} and all its many pages</a> too."
+    html = "".join(f"<p>{b}</p>" for b in body[:1]) + f"<p>{linked}</p>" + "".join(f"<p>{b}</p>" for b in body[1:])
+    return BLANK.format(n=n, body=html), "\n".join([f"Headline {n}", body[0], f"See the report {n} and all its many pages too.", *body[1:]])
+
+
+def test_template_decides_where_nothing_is_named():
+    """No element or class names anything: constant texts, menus and the short slots go, the article stays, with its paragraph of links."""
+    pages = [blank_page(n) for n in range(8)]
+    assert [t for t in group_texts([h for h, _ in pages])] == [t for _, t in pages]
+    pages = [blank_page(n) for n in range(40)]
+    assert group_texts([h for h, _ in pages]) == [t for _, t in pages]
+
+
+def test_container_needs_the_frame():
+    """With the frame empty there is no container: the template is what finds the article on these pages."""
+    pages = [read_page(blank_page(n)[0]) for n in range(8)]
+    repeated = template_texts(pages)
+    assert container(pages, template_frame(pages), repeated).startswith("/html/body/div") and container(pages, set(), repeated) is None
+
+
+def test_article_keeps_all_kinds_of_text():
+    body = "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><object data=a>Fallback</object><svg><text>Label</text></svg><select><option>No</select><p>End"
+    assert main_text(read_page(f"<nav>menu</nav><article>{body}</article>"), set()) == "Let x=2 be.\nFallback\nLabel\nEnd"
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    took = []
+    for depth in (1000, 4000):
+        source = "".join(f"<div>text {i}" for i in range(depth))
+        tracemalloc.start()
+        page = read_page(f"<article>{source}")
+        took.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert main_text(page, set()) == "\n".join(f"text {i}" for i in range(depth))
+    assert took[1] < 6 * took[0]
