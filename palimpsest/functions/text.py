@@ -24,31 +24,54 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def redact(df: DataFrame, text: str = "text", findings: str = "findings", secrets=rules.SECRETS) -> DataFrame:
-    """Replace secrets by markers, rule after rule on the text as rewritten so far, and list what was found.
+def _with(value: Column, body) -> Column:
+    """body(value), with the value made once for all its uses: an expression used by name is copied into each of them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_FINDINGS = "array<struct<rule: string, label: string, line: int, preview: string>>"
+
 
-    findings: array of (rule, label, line in the text that the rule saw, preview), in order of rules and places.
+def redacted(text: Column, secrets=rules.SECRETS) -> Column:
+    """(text, findings): secrets replaced by markers, rule after rule on the text as rewritten so far, and what was found.
+
+    findings: array of (rule, label, line in the text that the rule saw, preview), in order of rules and places. Each
+    rule is one step over the state of those before, so the expression grows with the number of rules and no faster.
     """
-    parts, made = [], []
-    for rule, label, pattern in secrets:
-        name = f"__found_{rule}"
-        group = rules.SECRET_GROUPS.get(rule, 0)
-        values = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
-        matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        marker = f'$1="[REDACTED:{rule}]"' if rule == "generic_assignment" else f"[REDACTED:{rule}]"
-        hit = F.col(text).rlike(pattern)
-        pieces = F.split(F.col(text), pattern)
-        found = F.transform(
-            F.arrays_zip(values.alias("v"), F.transform(matches, lambda m: newlines(m)).alias("n"), F.slice(F.transform(pieces, lambda p: newlines(p)), F.lit(1), F.size(matches)).alias("b")),
-            lambda z, i: F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("label"), z["v"].alias("v"), z["n"].alias("n"), z["b"].alias("b")),
-        )
-        df = df.withColumn(name, F.when(hit, found)).withColumn(text, F.when(hit, F.regexp_replace(text, pattern, marker)).otherwise(F.col(text)))
-        # A match stands on line 1 + newlines in the pieces up to it + newlines in the matches before it.
-        lined = f"transform({name}, (z, i) -> named_struct('rule', z.rule, 'label', z.label, 'line', cast(1 + aggregate(slice({name}, 1, i + 1), 0, (a, y) -> a + y.b + y.n) - z.n as int), 'value', z.v))"
-        made.append(name)
-        parts.append(F.coalesce(F.expr(lined), F.expr("cast(array() as array<struct<rule: string, label: string, line: int, value: string>>)")))
-    every = F.transform(F.concat(*parts), lambda z: F.struct(z["rule"].alias("rule"), z["label"].alias("label"), z["line"].alias("line"), mask(z["value"]).alias("preview")))
-    return df.withColumn(findings, every).drop(*made)
+
+    def step(rule: str, name: str, pattern: str):
+        p, group = F.lit(pattern), F.lit(rules.SECRET_GROUPS.get(rule, 0))
+        marker = F.lit(f'$1="[REDACTED:{rule}]"' if rule == "generic_assignment" else f"[REDACTED:{rule}]")
+
+        def found(state: Column) -> Column:
+            values = F.regexp_extract_all(state["text"], p, group)
+            inside = F.transform(F.regexp_extract_all(state["text"], p, F.lit(0)), newlines)
+            between = F.transform(F.split(state["text"], pattern), newlines)
+            # A match stands on line 1 + newlines in the pieces up to it and in the matches before it.
+            total = lambda counts: F.aggregate(counts, F.lit(0), lambda n, x: n + x)
+            line = lambda n, b, i: (1 + total(F.slice(b, F.lit(1), i + 1)) + total(F.slice(n, F.lit(1), i))).cast("int")
+            return _with(
+                F.struct(inside.alias("n"), between.alias("b")),
+                lambda c: F.transform(values, lambda v, i: F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("label"), line(c["n"], c["b"], i).alias("line"), mask(v).alias("preview"))),
+            )
+
+        def after(state: Column) -> Column:
+            changed = F.struct(F.regexp_replace(state["text"], p, marker).alias("text"), F.concat(state["findings"], found(state)).alias("findings"))
+            return F.when(state["text"].rlike(pattern), changed).otherwise(state)
+
+        return after
+
+    state = F.struct(text.alias("text"), F.array().cast(_FINDINGS).alias("findings"))
+    for secret in secrets:
+        state = _with(state, step(*secret))
+    return F.when(text.isNotNull(), state)
+
+
+def redact(df: DataFrame, text: str = "text", findings: str = "findings", secrets=rules.SECRETS) -> DataFrame:
+    """The column `text` without secrets, and a column of what was found (see `redacted`)."""
+    held = next(n for n in (f"__redacted{i}" for i in range(len(df.columns) + 1)) if n not in df.columns)
+    made = df.withColumn(held, redacted(F.col(text), secrets))
+    return made.withColumns({text: F.col(held)["text"], findings: F.coalesce(F.col(held)["findings"], F.array().cast(_FINDINGS))}).drop(held)
 
 
 def scrub_map(values: Column) -> Column:

@@ -19,7 +19,7 @@ def duck(sf_dir):
 
 def rows(df: pd.DataFrame):
     def said(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         return f"{float(v):.6f}" if isinstance(v, int | float) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 

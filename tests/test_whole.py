@@ -30,7 +30,7 @@ def redacted(text):
 
 
 def planted(i, text):
-    return text + "\n" + corpus._PLANT[i % 6].replace("{n}", str(1000 + i % 9000))
+    return text + "\n" + corpus._PLANT[i % len(corpus._PLANT)].replace("{n}", str(1000 + i % 9000))
 
 
 def test_secrets_of_whole_texts(spark, sf_dir, tmp_path):
@@ -39,9 +39,9 @@ def test_secrets_of_whole_texts(spark, sf_dir, tmp_path):
     rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
     d = documents(spark, tmp_path / "d", rows)
     want = {i: redacted(planted(i, t)) for i, t in rows}
-    got = {r.doc_id: r.text for r in queries.QUERIES["redact_secrets_whole"](spark, d).collect()}
+    got = {r.doc_id: r.text for r in queries.QUERIES["redact_secrets"](spark, d).collect()}
     assert got == {i: t for i, (t, _) in want.items()}
-    found = sorted((r.doc_id, r.rule, r.line, r.preview) for r in queries.QUERIES["redaction_findings_whole"](spark, d).collect())
+    found = sorted((r.doc_id, r.rule, r.line, r.preview) for r in queries.QUERIES["redaction_findings"](spark, d).collect())
     assert found == sorted((i, *f) for i, (_, fs) in want.items() for f in fs)
     assert sum(line > 3 for _, _, line, _ in found) > 28
 
@@ -64,7 +64,7 @@ def test_embedding_of_whole_texts(spark, sf_dir, tmp_path):
     rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").limit(12).collect()]
     d = documents(spark, tmp_path / "d", rows)
     got: dict = {i: {} for i, _ in rows}
-    for r in queries.QUERIES["hash_embed_whole"](spark, d).collect():
+    for r in queries.QUERIES["hash_embed"](spark, d).collect():
         got[r.doc_id][r.dim] = r.x
     assert got[0] != got[1]
     for i, t in rows:
@@ -75,9 +75,9 @@ def test_embedding_of_whole_texts(spark, sf_dir, tmp_path):
 def test_functions_of_whole_texts(spark, tmp_path):
     text = "a <b> & c\n" * 40 + "the end. "
     d = documents(spark, tmp_path / "d", [(1, text, "s", len(text))], "doc_id long, text string, source string, n_chars long")
-    lines = queries.QUERIES["line_numbers_whole"](spark, d).first().numbered.split("\n")
+    lines = queries.QUERIES["line_numbers"](spark, d).first().numbered.split("\n")
     assert len(lines) == 41 and lines[40] == "   41 | the end. "
-    r = queries.QUERIES["text_functions_whole"](spark, d).first()
+    r = queries.QUERIES["text_functions"](spark, d).first()
     assert r.escaped == text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") and r.slug == re.sub("[^A-Za-z0-9_.-]+", "-", text).lower()
     assert r.bullets == "\n".join(f"- {x}" for x in text.split(" ")) and r.wrapped == f"<a_b>\n{text}\n</a_b>"
 
@@ -90,7 +90,7 @@ def test_replay_has_every_later_event(spark, sf_dir):
     for e in sorted((e for e in events if e[0] <= cut), key=lambda e: (e[3], e[0])):
         state[e[1]] = (e[1], e[2], max(e[0], state.get(e[1], (0, 0, 0))[2]))
     want = Counter(state.values()) + Counter((e[1], e[2], e[0]) for e in events if e[0] > cut)
-    got = Counter((r.user_id, r.event_type, r.event_id) for r in queries.QUERIES["stream_replay_whole"](spark, sf_dir).collect())
+    got = Counter((r.user_id, r.event_type, r.event_id) for r in queries.QUERIES["stream_replay"](spark, sf_dir).collect())
     assert got == want and sum(want.values()) > len(events) // 2
 
 
