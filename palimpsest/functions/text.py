@@ -169,8 +169,14 @@ def interval_text(days: Column) -> Column:
     return F.when(days < 1 / 24, said(days * 24 * 60, "m")).when(days < 1, said(days * 24, "h")).when(days < 30, said(days, "d")).when(days < 365, said(days / 30, "mo")).otherwise(F.concat(F.format_number(days / 365, 1), F.lit("y")))
 
 
+def _two_decimals(x: Column) -> Column:
+    """Rounded by the number's exact value; exact ties, which are odd eighths, go up."""
+    up = F.when(F.pmod(x * 8, F.lit(2.0)) == 1, F.lit(0.001)).otherwise(F.lit(0.0))
+    return F.call_function("format_number", (x + up).cast("double"), F.lit("0.00"))
+
+
 def cents_text(cents: Column) -> Column:
-    return F.when(cents < 1, F.concat(F.format_string("%.2f", cents), F.lit("¢"))).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", cents / 100)))
+    return F.when(cents < 1, F.concat(_two_decimals(cents), F.lit("¢"))).otherwise(F.concat(F.lit("$"), _two_decimals(cents / 100)))
 
 
 def email_allowed(email: Column, domains: list[str]) -> Column:
@@ -197,3 +203,7 @@ def lenient_json(text: Column) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     wide = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
     return F.when(fenced != "", F.regexp_replace(fenced, r"^\s+|\s+$", "")).when(wide != "", wide)
+
+
+def iso_date(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd")

@@ -76,3 +76,7 @@ def chunk(files: DataFrame, least: int = rules.MIN_CHUNK, most: int = rules.MAX_
     whole = packed.select("path", F.nullif(F.array_join(F.slice("c.names", 1, 4), ", "), F.lit("")).alias("symbol"), (F.col("c.a") + 1).alias("start_line"), (F.col("c.b") + 1).alias("end_line"), F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1), "\n").alias("content"))
     bare = F.length(F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
     return whole.where((bare > 0) & (bare >= F.least(F.lit(rules.LEAST_CHUNK), F.length("content"))))
+
+
+#: Chunkers by name: each takes (path, lang, content) and gives (path, symbol, start_line, end_line, content); others are added here.
+CHUNKERS = {"symbols": chunk}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], how: str = "inner") -> DataFrame:
@@ -32,40 +35,68 @@ def verdict(grounded: Column, supported: Column, corrected: Column, least: float
 def greedy_dedupe(items: DataFrame, key: str, vector: str, order: list[Column | str], threshold: float, within: list[str] | None = None) -> DataFrame:
     """Keep an item iff its cosine with every item kept before it is at most the threshold.
 
-    Pairs above the threshold are found first, in parallel (`near_pairs`). What is left of the order is a fold over the
-    items that have a near predecessor, as ids and short lists of ids, not vectors. `within` names columns that cut
-    the items into independent groups; without any the kept set is global.
+    Pairs above the threshold are found first, in parallel (`near_pairs`), with the place of both in the order. Then rounds of joins over
+    these pairs decide: an item whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour is dropped. Each round
+    decides at least the first open item of every chain, and is a table in the shared folder, so nothing is folded in
+    one task. `order` is of values that rise; `within` names columns that cut the items into independent groups; keys must be unique.
     """
-    keys = within or []
-    numbered = items.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) if keys else F.row_number().over(Window.orderBy(*order)))
-    pairs = near_pairs(numbered, "__n", vector, threshold, keys)
-    near = pairs.groupBy(*keys, F.col("b").alias("__n")).agg(F.collect_list("a").alias("__near"))
-    linked = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", "__near"))).alias("__rows"))
-    # Only items with a nearer predecessor can be dropped; `dropped` grows in order.
-    fold = "aggregate(__rows, cast(array() as array<int>), (gone, r) -> if(exists(r.__near, x -> not array_contains(gone, x)), array_append(gone, r.__n), gone))"
-    gone = linked.select(*keys, F.explode(F.expr(fold)).alias("__n"))
-    return numbered.join(gone, [*keys, "__n"], "left_anti").select(*items.columns)
+    from ..streaming import fresh_dir
+
+    spark, keys = items.sparkSession, within or []
+    ranked = items.select(*keys, F.col(key).alias("__key"), F.col(vector).alias("__vector"), F.struct(*order, F.col(key)).alias("__at"))
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = fresh_dir(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    found = near_pairs(ranked, "__key", "__vector", threshold, keys)
+    places = ranked.select("__key", "__at")
+    met = found.join(places.select(F.col("__key").alias("a"), F.col("__at").alias("__x")), "a").join(places.select(F.col("__key").alias("b"), F.col("__at").alias("__y")), "b")
+    first = F.col("__x") < F.col("__y")
+    open_pairs = stored(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("after")))
+    gone = None
+    while not open_pairs.isEmpty():
+        # Kept: those that no open pair puts after another. Their later neighbours are dropped, and with them all pairs of either.
+        kept = open_pairs.select(F.col("before").alias("k")).join(open_pairs.select(F.col("after").alias("k")), "k", "left_anti").distinct()
+        lost = stored(open_pairs.join(kept, F.col("before") == F.col("k"), "left_semi").select(F.col("after").alias("k")).distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = open_pairs.join(lost, F.col("after") == F.col("k"), "left_anti").join(lost, F.col("before") == F.col("k"), "left_anti")
+        open_pairs = stored(left)
+    return items if gone is None else items.join(gone.select(F.col("k").alias(key)), key, "left_anti").select(*items.columns)
+
+
+#: Vectors of a block.
+BLOCK = 1024
 
 
 def near_pairs(items: DataFrame, key: str, vector: str, threshold: float, within: list[str] | None = None) -> DataFrame:
-    """a, b (a before b by key), similarity above the threshold.
+    """a, b (a before b by key), similarity above the threshold. Null vectors have no pairs, nor have those of other lengths.
 
     Every pair is compared, since hashing would lose some at low thresholds: items are dealt into blocks by a hash, and each two
-    blocks meet in one hash bucket, so no task holds more than two blocks.
+    blocks meet in one group, whose task holds two blocks and their matrix product.
     """
-    from ..functions.vectors import dot
-
     keys = within or []
-    n = items.count()
-    blocks = max(1, round((n / 512) ** 0.5) if n < 512 * 64 else n // 4096)
-    slim = items.select(*keys, F.col(key).alias("k"), F.col(vector).alias("v")).withColumn("p", F.pmod(F.hash("k"), F.lit(blocks)))
-    first = slim.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("x")
-    second = slim.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("y")
-    on = (F.col("x.p") == F.col("y.q")) & (F.col("x.q") == F.col("y.p")) & (F.col("x.k") < F.col("y.k"))
-    for c in keys:
-        on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    met = first.join(second, on).withColumn("similarity", dot(F.col("x.v"), F.col("y.v"))).where(F.col("similarity") > threshold)
-    return met.select(*[F.col(f"x.{c}").alias(c) for c in keys], F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.round("similarity", 6).alias("similarity"))
+    blocks = max(1, -(-items.count() // BLOCK))
+    slim = items.where(F.col(vector).isNotNull()).select(*keys, F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("w"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("p"))
+    dealt = slim.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "w", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "k", "v")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows.p == rows.i.iloc[0]], rows[rows.p == rows.j.iloc[0]]
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in (*keys, "a", "b", "similarity")})
+        x, y = (np.stack(side.v.to_numpy()).astype(np.float64) for side in (left, right))
+        product = x @ y.T
+        at, to = np.nonzero(product > threshold)
+        a, b, similarity = left.k.to_numpy()[at], right.k.to_numpy()[to], product[at, to]
+        if rows.i.iloc[0] == rows.j.iloc[0]:
+            a, b, similarity = (z[a < b] for z in (a, b, similarity))
+        a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+        return pd.DataFrame({c: [rows[c].iloc[0]] * len(a) for c in keys} | {"a": a, "b": b, "similarity": np.round(similarity, 6)})
+
+    kind = items.schema[key].dataType
+    fields = [*(items.schema[c] for c in keys), T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())]
+    return dealt.groupBy(*keys, "w", "i", "j").applyInPandas(compare, T.StructType(fields))
 
 
 def rank_score(grounded: Column, hotspot: Column, churn: Column, level: Column, claims: Column, paths: Column) -> Column:
@@ -73,3 +104,24 @@ def rank_score(grounded: Column, hotspot: Column, churn: Column, level: Column,
     by_level = F.when(level == "L3", 0.18).when(level == "L2", 0.10).otherwise(0.0)
     score = grounded + F.when(hotspot, 0.30).otherwise(0.0) + F.when(churn, 0.12).otherwise(0.0) + by_level + F.least(F.lit(0.25), 0.05 * claims) + F.least(F.lit(0.08), 0.04 * (paths - 1))
     return F.round(score, 4)
+
+
+def last_cited_lines(citations: DataFrame) -> DataFrame:
+    """path, last: the greatest end line cited of each path."""
+    return citations.groupBy("path").agg(F.max("end_line").alias("last"))
+
+
+def verify(items: DataFrame, citations: DataFrame, chunks: DataFrame, verdicts: DataFrame, threshold: float, first: int = 6, least: float = 0.5) -> DataFrame:
+    """id, status, grounded of every item: unresolved (none of its first citations meets a chunk), unsupported (the verdict on it), duplicate
+    (too near a kept one, better grounded first), kept. An item without a verdict is "unchecked".
+
+    items (id, vector), citations (id, n, path, start_line, end_line), chunks (path, start_line, end_line), verdicts (id, grounded, supported, corrected).
+    """
+    met = overlap_join(citations.where(F.col("n") <= first), chunks, ["path"], ("start_line", "end_line"), ("start_line", "end_line"), "left_semi").select("id").distinct()
+    found = items.join(met.withColumn("__met", F.lit(True)), "id", "left").join(verdicts, "id", "left")
+    judged = F.when(F.col("__met").isNull(), "unresolved").when(F.col("grounded").isNull(), "unchecked").otherwise(verdict(F.col("grounded"), F.col("supported"), F.col("corrected"), least))
+    judged = found.withColumn("status", judged)
+    survivors = judged.where("status = 'kept'").select("id", "vector", "grounded")
+    kept = greedy_dedupe(survivors, "id", "vector", [-F.col("grounded")], threshold).select("id", F.lit(True).alias("__kept"))
+    status = F.when((F.col("status") == "kept") & F.col("__kept").isNull(), "duplicate").otherwise(F.col("status"))
+    return judged.join(kept, "id", "left").select("id", status.alias("status"), "grounded")

@@ -6,6 +6,7 @@ kept as (path, position), so "first" means the same at any partitioning.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ def _matches(df: DataFrame, pattern: str, groups: list[int], names: list[str]) -
     return out.select(*[c for c in out.columns if c != "__m"], *[F.col("__m")[n].alias(n) for n in names]).drop("__m")
 
 
-#: (file pattern, order, ecosystem, pattern, group of the name, groups of the version)
+#: Fixed values. (file pattern, order, ecosystem, pattern, group of the name, groups of the version)
 _MANIFESTS = (
     (r"^requirements.*\.txt$|requirements.*\.txt$", 3, "pypi", r"(?m)^\s*(?!#)([A-Za-z0-9._-]+)\s*(?:[><=!~]+\s*([\w.*]+))?", 1, (2,)),
     (r"^pyproject\.toml$", 4, "pypi", r"(?m)^\s*([A-Za-z0-9._-]+)\s*=\s*[\"']([^\"']+)[\"']", 1, (2,)),
@@ -112,6 +113,7 @@ def table_facts(files: DataFrame, columns: int = 24) -> DataFrame:
     inner = lambda body, pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
     sql_columns = F.filter(F.transform(F.split("body", "\n"), lambda x: F.regexp_extract(x, r"^\s*[\"'`]?(\w+)[\"'`]?\s+\w", 1)), lambda c: (c != "") & ~c.rlike(r"(?i)^(PRIMARY|FOREIGN|UNIQUE|CONSTRAINT|CHECK|INDEX)$"))
     none = F.array().cast("array<string>")
+    # Fixed values: (pattern, group of the name, group of the body, columns, how the name is made).
     kinds = (
         (r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[\"'`]?([\w.]+)[\"'`]?\s*\(([\s\S]*?)\n\s*\)", 1, 2, sql_columns, None),
         (r"(?m)^model\s+(\w+)\s*\{([\s\S]*?)^\}", 1, 2, inner(F.col("body"), r"(?m)^\s*(\w+)\s+\w"), None),
@@ -134,7 +136,7 @@ def env_vars(files: DataFrame) -> DataFrame:
     """Distinct upper-case names read from the environment, and keys of .env.example files."""
     lists = []
     for pattern in rules.ENV_NAMES:
-        for group in range(1, pattern.replace(r"\(", "").count("(") - pattern.count("(?:") + 1):
+        for group in range(1, re.compile(pattern).groups + 1):
             lists.append(F.regexp_extract_all("content", F.lit(pattern), F.lit(group)))
     sample = F.when(F.col("path").rlike(r"\.env\.(example|sample|template)$"), F.regexp_extract_all("content", F.lit(r"(?m)^\s*([A-Z][A-Z0-9_]*)\s*="), F.lit(1))).otherwise(F.array().cast("array<string>"))
     read = F.filter(F.flatten(F.array(*lists)), lambda n: (F.length(n) > 1) & n.rlike("^[A-Z][A-Z0-9_]*$"))
@@ -156,7 +158,7 @@ def description(files: DataFrame) -> Column:
     return F.max(F.when(F.col("path") == "package.json", F.get_json_object("content", "$.description")))
 
 
-def all_facts(files: DataFrame) -> DataFrame:
+def all_facts(files: DataFrame, routes_most: int | None = 300) -> DataFrame:
     """One row: every fact as sorted arrays and counts. Each part is aggregated to one row before they meet."""
 
     def listed(df: DataFrame, name: str, *cols: str) -> DataFrame:
@@ -167,7 +169,7 @@ def all_facts(files: DataFrame) -> DataFrame:
     deps = dependencies(files)
     parts = [
         totals, listed(census(files), "languages", "lang", "files", "loc", "share"), listed(deps, "dependencies", "ecosystem", "name", "version", "dev"), listed(frameworks(deps), "frameworks", "framework"),
-        listed(entrypoints(files), "entrypoints", "path"), listed(routes(files), "routes", "file", "line", "method", "path"), listed(table_facts(files), "tables", "name", "columns", "source"),
+        listed(entrypoints(files), "entrypoints", "path"), listed(routes(files, routes_most), "routes", "file", "line", "method", "path"), listed(table_facts(files), "tables", "name", "columns", "source"),
         listed(env_vars(files), "env", "name"), listed(by_path(files, rules.CI_PATHS, "ci"), "ci", "ci"), listed(by_path(files, rules.IAC_PATHS, "iac"), "iac", "iac"), docker_flags(files),
     ]
     return reduce(lambda a, b: a.join(b, how="cross"), parts)  # one row each

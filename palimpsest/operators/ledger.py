@@ -17,6 +17,22 @@ def cost_cents(tokens_in: Column, cached: Column, out: Column) -> Column:
     return (F.greatest(F.lit(0), tokens_in - cached) * F.col("rate_in") + cached * F.col("rate_cached") + out * F.col("rate_out")) / 1e6
 
 
+def with_model(usage: DataFrame, specs: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Add the model of each row's tier: that of specs (tier, model), or of chosen (tier, model), which overrides the name only."""
+    named = usage.join(specs.select("tier", F.col("model").alias("__usual")), "tier", "left")
+    if chosen is None:
+        return named.withColumnRenamed("__usual", "model")
+    own = chosen.select("tier", F.col("model").alias("__chosen"))
+    return named.join(own, "tier", "left").withColumn("model", F.when(F.col("__usual").isNotNull(), F.coalesce("__chosen", "__usual"))).drop("__usual", "__chosen")
+
+
+def priced_by_model(usage: DataFrame, model_rates: DataFrame, cols: tuple[str, str, str] = ("tokens_in", "cached", "tokens_out")) -> DataFrame:
+    """Add cents from rates by model (model, rate_in, rate_out, rate_cached). A model that is not in the table, or has no rates
+    there, costs null, never zero."""
+    kept = usage.columns
+    return usage.join(model_rates, "model", "left").withColumn("cents", cost_cents(*(F.col(c) for c in cols))).select(*kept, "cents")
+
+
 def priced(usage: DataFrame, tier: str = "tier", cols: tuple[str, str, str] = ("tokens_in", "cached", "tokens_out")) -> DataFrame:
     """Add cents. The rate table has a handful of fixed rows, so it is broadcast."""
     table = F.broadcast(rates(usage.sparkSession).withColumnRenamed("tier", tier))

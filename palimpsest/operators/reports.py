@@ -62,3 +62,11 @@ def cost_regression(current: Column, before: Column, most: float = 0.20) -> Colu
 
 def first_question_gate(p95_ms: Column, most: float = 45_000) -> Column:
     return p95_ms < most
+
+
+def markdown_table(df: DataFrame, columns: list[str], heads: list[str]) -> DataFrame:
+    """row, line: a table's head, its rule, and its rows (all row 2, to be written in the order of their lines)."""
+    spark = df.sparkSession
+    top = spark.createDataFrame([(0, "| " + " | ".join(heads) + " |"), (1, "|" + "---|" * len(heads))], "row int, line string")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |"))
+    return top.unionByName(df.select(F.lit(2).alias("row"), cells.alias("line")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -51,3 +51,19 @@ def take_jobs(jobs: DataFrame, now: Column, retry_s: int = 30, expiry_min: int =
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
     ready = (F.col("state") == "queued") | ((F.col("state") == "failed") & (F.col("tries") < 2) & (age >= retry_s * 1_000_000)) | ((F.col("state") == "active") & (age >= expiry_min * 60_000_000))
     return newest.where(ready)
+
+
+def turn_context(turns: DataFrame, docs: DataFrame, k: int = 6, session: str = "session") -> DataFrame:
+    """session, doc_id, hits: for each next turn (session, move, query), the k documents that hold most of its query's terms
+    as words; a session that is wrapped up has none. Terms meet in one equi-join."""
+    from ..functions.text import query_terms
+
+    wanted = turns.where("move != 'wrap'").select(session, F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(query_terms(F.col("text"), 1 << 30))).alias("term"))
+    asked = held.join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = wanted.join(asked, "term").groupBy(session, "doc_id").agg(F.count("*").alias("hits"))
+    return first_per(hits, [session], [F.desc("hits"), F.col("doc_id")], k)
+
+
+def first_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= k).drop("__n")

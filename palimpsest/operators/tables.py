@@ -57,3 +57,19 @@ def checkpointed(spark: SparkSession, folder: str, stage: str, inputs: str, make
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def validate(df: DataFrame, column: str, schema: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantined) rows of a JSON column: `parsed` by the schema, and `errors`, the names of the rules that do not
+    hold; text that is no JSON of the schema has the error "unreadable". A rule that is null doesn't hold."""
+    made = df.withColumn("parsed", F.from_json(F.col(column), f"{schema}, __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
+    unreadable = F.col("parsed").isNull() | F.col("parsed.__corrupt").isNotNull()
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items()]))
+    judged = made.withColumn("errors", F.when(unreadable, F.array(F.lit("unreadable"))).otherwise(broken))
+    return judged.where(F.size("errors") == 0).drop("errors"), judged.where(F.size("errors") > 0).drop("parsed")
+
+
+def first_listed(df: DataFrame, by: list[str], item: str, order: list[Column | str], most: int, name: str) -> DataFrame:
+    """by, and the first `most` items in order as an array: no more than these of a group ever meet."""
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= most)
+    return numbered.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", item))), lambda x: x[item]).alias(name))

@@ -142,3 +142,25 @@ def commit_log(lines: DataFrame) -> DataFrame:
     named = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(F.col("line") != "")
     path = F.when(~F.col("line").contains("\x00"), F.col("line"))
     return named.select("log", F.col("head")[0].alias("commit"), F.col("head")[1].alias("author"), F.to_timestamp(F.col("head")[2]).alias("at"), path.alias("path"))
+
+
+def limits(files: DataFrame, by: list[str], most_files: int = MAX_FILES, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """by, files, bytes, over: which bound a repository passes first, by its totals (bytes of all files, whatever is kept), or null."""
+    over = F.when(F.col("bytes") > most_bytes, "bytes").when(F.col("files") > most_files, "files")
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).withColumn("over", over)
+
+
+def within_limits(files: DataFrame, by: list[str], most_files: int = MAX_FILES, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """files; the job fails, and names the repository, where one is over its bounds. Totals are one row a repository, joined back."""
+    name = F.concat_ws("/", *by)
+    said = limits(files, by, most_files, most_bytes).withColumn("__fits", F.when(F.col("over").isNull(), True).otherwise(F.raise_error(F.concat(name, F.lit(" has too many "), F.col("over")))))
+    return files.join(said.select(*by, "__fits"), by).where("__fits").drop("__fits")
+
+
+def scope_alert(files: DataFrame, by: list[str], modules: list[str] | None = None, most: int = SCOPE_LIMIT) -> DataFrame:
+    """by, files, modules: repositories with more files than `most`, for which no modules were chosen, and the top folders to choose from."""
+    if modules:
+        return files.groupBy(*by).agg(F.count("*").alias("files"), F.array_sort(F.collect_set("path")).alias("modules")).where("false")
+    folder = F.when(F.col("path").contains("/"), F.split_part("path", F.lit("/"), F.lit(1)))
+    counted = files.groupBy(*by, folder.alias("__folder")).agg(F.count("*").alias("__n"))  # few folders a repository meet in its row
+    return counted.groupBy(*by).agg(F.sum("__n").alias("files"), F.array_sort(F.collect_set("__folder")).alias("modules")).where(F.col("files") > most)

@@ -22,10 +22,12 @@ def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Da
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _fresh_dir(spark: SparkSession) -> str:
+def fresh_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share, deleted when the driver's Python ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         shared = spark.sparkContext.getCheckpointDir()
     path = f"{shared if '://' in shared else f'file://{shared}'}/drained-{uuid.uuid4().hex[:12]}"
@@ -44,7 +46,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """append: the rows of all batches; complete: those of the last one."""
     spark = stream.sparkSession
-    path = _fresh_dir(spark)
+    path = fresh_dir(spark)
     batches: list[str] = []
 
     def keep(rows: DataFrame, batch: int) -> None:
@@ -59,7 +61,10 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
 def parse_events(lines: DataFrame, schema: T.StructType | str, most: int = 7900) -> DataFrame:
     """Payloads cut at `most` characters and parsed; those that do not parse are dropped."""
-    return lines.select(F.from_json(F.left("value", F.lit(most)), schema).alias("e")).where("e is not null").select("e.*")
+    fields = f"{schema}, __corrupt string" if isinstance(schema, str) else T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
+    read = F.from_json(F.left("value", F.lit(most)), fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    parsed = lines.select(read.alias("e")).where("e is not null and e.__corrupt is null").select("e.*")
+    return parsed.drop("__corrupt")
 
 
 def latest_state(events: DataFrame, key: str, order: Column, fields: list[str]) -> DataFrame:
@@ -84,3 +89,11 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, late: str = "1 hour
 def with_replay(state: DataFrame, tail: DataFrame) -> DataFrame:
     """The current state of each key, then the live events: what a late subscriber reads."""
     return state.unionByName(tail, allowMissingColumns=True)
+
+
+def follow(stream: DataFrame, job: Column, terminal: Column, order: list[str]) -> DataFrame:
+    """The events of one job in order up to its first terminal one. The stream is filtered before anything is kept; what arrives late
+    behind the terminal event is left out."""
+    kept = drain(stream.where(job), "append")
+    end = kept.where(terminal).agg(F.min(F.struct(*order)).alias("__end"))  # one row
+    return kept.join(F.broadcast(end), F.col("__end").isNull() | (F.struct(*order) <= F.col("__end"))).drop("__end")
