@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,15 @@ def redacted(text: Column, secrets=rules.SECRETS) -> Column:
             )
 
         def after(state: Column) -> Column:
-            changed = F.struct(F.regexp_replace(state["text"], p, marker).alias("text"), F.concat(state["findings"], found(state)).alias("findings"))
-            return F.when(state["text"].rlike(pattern), changed).otherwise(state)
+            changed = F.struct(F.regexp_replace(state["text"], p, marker).alias("text"), state["low"].alias("low"), F.concat(state["findings"], found(state)).alias("findings"))
+            marks = [F.contains(state["low"], F.lit(m)) for m in rules.SECRET_MARKS.get(rule, ())]
+            marked = reduce(lambda a, b: a | b, marks) if marks else F.lit(True)
+            return F.when(marked & state["text"].rlike(pattern), changed).otherwise(state)
 
         return after
 
-    state = F.struct(text.alias("text"), F.array().cast(_FINDINGS).alias("findings"))
+    # Markers hold no upper-case name and none of the other marks, so the first text shows all marks that later ones can have.
+    state = F.struct(text.alias("text"), F.lower(text).alias("low"), F.array().cast(_FINDINGS).alias("findings"))
     for secret in secrets:
         state = _with(state, step(*secret))
     return F.when(text.isNotNull(), state)
