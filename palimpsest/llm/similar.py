@@ -5,12 +5,16 @@ run. Texts with equal sets are one node. The join finds all pairs of nodes with
 
 1. Chosen paths: in each run, a set picks about 1 / 0.8 of its tokens by a hash that is the same for all sets, and
    these are its buckets; sets that share a picked token meet. From each picked token the choice is repeated with a new
-   hash, giving paths of two and three tokens. Buckets of few sets are compared as they are; larger ones are left for
-   the buckets of the longer paths, which split sets that share only a passage. Runs are repeated until a pair at the
-   threshold meets with the target probability (`runs_for`).
-2. In a bucket, sets are compared by 64-value sketches with leaders: a set is linked with the leaders that look at least
-   `LOOSE` similar and becomes one if none looks `TIGHT`. Leaders that are linked already count as one, so a bucket
-   gives fewer links than it has sets, twice; pairs are never listed. Buckets of more than `BLOCK_SETS` sets are cut into blocks, whose leaders meet in a second pass.
+   hash, giving paths of two and three tokens. Buckets of at most `LEAF_SETS` sets are compared as they are; larger ones are
+   left for the buckets of the longer paths, which split sets that share only a passage. Runs are repeated until a pair at
+   the threshold meets with the target probability (`runs_for`).
+2. A small bucket is compared by brute force: every set with every other, by 64-value sketches that have to look at least
+   `LOOSE` similar (a pair at 0.8 falls below that once in 10^10). Sets that are linked already count as one, so a bucket
+   gives fewer links than it has sets; pairs are never listed. In a larger bucket a set is compared with leaders, and
+   becomes one if none looks `TIGHT`: near copies leave few leaders. Buckets of more than `BLOCK_SETS` sets are cut into
+   blocks, whose leaders meet in a second pass. If they are more than `BLOCK_SETS`, the bucket's sets are not alike: all
+   of them go on to paths of three tokens more, each chosen `AGAIN` times, up to `ROUNDS` times over; after that the
+   leaders meet in pairs of blocks. No task has more than a block, or two, of a bucket.
 3. Components of these loose links are families. Inside a family every pair is compared exactly, on whole sets, in blocks of
    bounded size by products of token matrices; a block gives back per set the number of links and one root, never
    the pairs. Components of the exact links are the classes.
@@ -30,11 +34,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import in_slices
@@ -48,6 +52,9 @@ TARGET_RECALL = 0.997
 DEPTH = 3
 #: Larger buckets are split by longer paths.
 LEAF_SETS = 1024
+#: Rounds of `DEPTH` tokens each, and choices from each path that goes on. A pair at the threshold that meets in none but
+#: such buckets is found with probability 0.996 (1 - 0.57^4 for each of the paths that it shares).
+ROUNDS, AGAIN = 4, 4
 BLOCK_SETS = 4096
 SKETCH = 64
 LOOSE, TIGHT = 0.45, 0.8
@@ -115,10 +122,15 @@ def sketch(tokens: np.ndarray) -> bytes:
     return ((low * _STEP) >> _U(48)).astype("<u2").tobytes()
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+def roots_of(runs: int) -> np.ndarray:
+    """Where the paths of each run begin."""
+    return _mixed(np.arange(1, runs + 1, dtype=np.uint64) * _ODD[203])
+
+
+def chosen_paths(tokens: np.ndarray, roots: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length from 1: (parents, paths). A path picks each token with probability 1 / (0.8 * tokens)."""
     limit = _U(min(2**64 - 1, int(2**64 / (SIMILARITY * len(tokens)))))
-    nodes, out = _mixed(np.arange(1, runs + 1, dtype=np.uint64) * _ODD[203]), []
+    nodes, out = roots, []
     for level in range(depth):
         parents, paths = [], []
         for part in np.array_split(nodes, max(1, len(nodes) * len(tokens) // 4_000_000)):
@@ -138,6 +150,8 @@ _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa
 
 
 def _signatures(docs: DataFrame, runs: int) -> DataFrame:
+    roots = roots_of(runs)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _SIGNATURES.names}
@@ -147,7 +161,7 @@ def _signatures(docs: DataFrame, runs: int) -> DataFrame:
                     for k in _SIGNATURES.names:
                         out[k].append(doc if k == "doc_id" else own if k == "row" else None)
                 else:
-                    (_, one), (up2, two), (up3, three) = chosen_paths(tokens, runs)
+                    (_, one), (up2, two), (up3, three) = chosen_paths(tokens, roots)
                     row = (doc, own, set_id(tokens), len(tokens), sketch(tokens), one.view("i8"), up2.view("i8"), two.view("i8"), up3.view("i8"), three.view("i8"))
                     for k, v in zip(_SIGNATURES.names, row, strict=True):
                         out[k].append(v)
@@ -157,8 +171,32 @@ def _signatures(docs: DataFrame, runs: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text_of()).alias("row"), text_of().alias("text")).mapInArrow(in_slices(sign, "text"), ddl)
 
 
+_DEEPER = pa.schema([("sid", pa.int64()), ("path1", pa.list_(pa.int64())), *((k, pa.list_(pa.int64())) for k in _SIGNED)])
+
+
+def _deeper(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """sid and longer paths, as in `_signatures`, for members (path, sid): their paths go on, each `AGAIN` times."""
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in _DEEPER.names}
+            for sid, text, paths in zip(*(batch[k].to_pylist() for k in ("sid", "text", "paths")), strict=True):
+                tokens = token_set(text)
+                if len(tokens) and set_id(tokens) == sid:  # rows may share a doc_id
+                    starts = np.array(paths, np.int64).view(np.uint64)
+                    (_, one), (up2, two), (up3, three) = chosen_paths(tokens, _mixed((starts[:, None] + _ODD[None, :AGAIN]).ravel()))
+                    for k, v in zip(_DEEPER.names, (sid, one.view("i8"), up2.view("i8"), two.view("i8"), up3.view("i8"), three.view("i8")), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=_DEEPER)
+
+    wanted = members.groupBy("sid").agg(F.collect_set("path").alias("paths")).join(nodes.select("sid", F.col("rep").alias("doc_id")), "sid")
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text")).join(wanted.hint("merge"), "doc_id")
+    ddl = "sid long, path1 array<long>, parent2 array<long>, path2 array<long>, parent3 array<long>, path3 array<long>"
+    return texts.select("sid", "text", "paths").mapInArrow(in_slices(go_on, "text"), ddl)
+
+
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """path, block, blocks, sid: the members of every bucket that is compared."""
+    """path, n, block, sid: the members of every bucket that is compared, and how many there are."""
     kept, open_paths = [], None
     for level in range(1, DEPTH + 1):
         if level == 1:
@@ -169,14 +207,19 @@ def _buckets(signatures: DataFrame) -> DataFrame:
         entries = materialise(entries.distinct(), f"paths{level}")
         sizes = materialise(entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"path-sizes{level}")
         small = sizes.where(F.col("n") <= LEAF_SETS) if level < DEPTH else sizes
-        kept.append(entries.join(small, "path").withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int")).select("path", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), "blocks", "sid"))
+        kept.append(entries.join(small, "path").select("path", "n", _block("n", BLOCK_SETS).alias("block"), "sid"))
         open_paths = sizes.where(F.col("n") > LEAF_SETS).select(F.col("path").alias("parent"))
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
+def _block(n: str, most: int) -> Column:
+    """The block of a set where n of them are cut into blocks of about `most`."""
+    return F.pmod(F.xxhash64("sid"), F.ceil(F.col(n) / most)).cast("int")
+
+
 def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: bool) -> DataFrame:
-    """src, dst, path: links between members and leaders of each bucket (or block), and src = dst with the path for the
-    leaders of cut buckets in the first pass."""
+    """src, dst, path: links between the sets of each bucket (its members and leaders, if it is large), and src = dst with the
+    path for the leaders of cut buckets in the first pass."""
     loose = LOOSE - 0.1 if second else LOOSE
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,20 +229,20 @@ def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: b
             src, dst, path = [], [], []
             columns = [batch.column(k).to_pylist() for k in keys]
             rows = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u2").reshape(-1, SKETCH)
-            for i, (cut, sid) in enumerate(zip(batch["blocks"].to_pylist(), batch["sid"].to_pylist(), strict=True)):
+            for i, (n, sid) in enumerate(zip(batch["n"].to_pylist(), batch["sid"].to_pylist(), strict=True)):
                 now = tuple(c[i] for c in columns)
                 if now != key:
                     key, names, count = now, [], 0
-                alike = (leaders[:count] == rows[i]).mean(axis=1) if count else np.zeros(0)
+                alike = np.count_nonzero(leaders[:count] == rows[i], axis=1) / SKETCH if count else np.zeros(0)
                 near = np.nonzero(alike >= loose)[0]
                 groups, at = np.unique(group[near], return_index=True)
-                for j in near[at]:  # one link for each group of leaders that are linked already
+                for j in near[at]:  # one link for each group of sets that are linked already
                     src.append(sid)
                     dst.append(names[j])
                     path.append(None)
                 if len(groups) > 1:
                     group[:count][np.isin(group[:count], groups)] = groups[0]
-                if not (alike >= TIGHT).any():
+                if n <= LEAF_SETS or not (alike >= TIGHT).any():
                     if count == len(leaders):
                         leaders = np.concatenate([leaders, np.zeros((max(16, count), SKETCH), np.uint16)])
                         group = np.concatenate([group, np.zeros(max(16, count), np.int64)])
@@ -207,24 +250,42 @@ def _compare(buckets: DataFrame, sketches: DataFrame, keys: list[str], second: b
                     group[count] = groups[0] if len(groups) else count
                     count += 1
                     names.append(sid)
-                    if cut > 1 and not second:
+                    if n > BLOCK_SETS and not second:
                         src.append(sid)
                         dst.append(sid)
                         path.append(now[0])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst, path)], names=["src", "dst", "path"])
 
-    members = buckets.join(sketches, "sid").select(*keys, "blocks", "sid", "sketch")
+    members = buckets.join(sketches, "sid").select(*keys, "n", "sid", "sketch")
     return members.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(in_slices(compare, "sketch"), "src long, dst long, path long")
 
 
-def _families(signatures: DataFrame) -> DataFrame:
+def _leaders_meet(leaders: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links between the leaders (path, n, sid) of each cut bucket, in pairs of blocks (one, if they are a block)."""
+    cut = leaders.select("path", "n", "sid", _block("n", BLOCK_SETS).alias("block"))
+    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK_SETS) - 1).cast("int"))))
+    paired = other.select("path", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "n", "sid")
+    return _compare(paired, sketches, ["path", "a", "b"], True).select("src", "dst")
+
+
+def _families(docs: DataFrame, nodes: DataFrame, signatures: DataFrame) -> DataFrame:
     """sid, family for sets that have a loose link."""
     sketches = materialise(signatures.groupBy("sid").agg(F.first("sketch").alias("sketch")), "sketches")
-    first = materialise(_compare(_buckets(signatures), sketches, ["path", "block"], False), "loose-links")
-    leaders = first.where("path is not null").select("path", F.lit(0).alias("block"), F.lit(1).alias("blocks"), F.col("src").alias("sid"))
-    second = _compare(leaders, sketches, ["path"], True)
-    links = first.where("path is null").unionByName(second).where("src != dst").select("src", "dst")
-    return connected_components(links).select(F.col("node").alias("sid"), F.col("label").alias("family"))
+    links = []
+    for left in reversed(range(ROUNDS)):
+        buckets = _buckets(signatures)
+        first = materialise(_compare(buckets, sketches, ["path", "block"], False), "loose-links")
+        links.append(first.where("path is null").select("src", "dst"))
+        leaders = first.where("path is not null").select("path", F.col("src").alias("sid"))
+        sizes = materialise(leaders.groupBy("path").agg(F.count("*").alias("n")), "leaders")
+        wide = sizes.where(F.col("n") > BLOCK_SETS).select("path")
+        last = not left or wide.isEmpty()
+        links.append(_leaders_meet(leaders.join(sizes if last else sizes.where(F.col("n") <= BLOCK_SETS), "path"), sketches))
+        if last:
+            break
+        signatures = materialise(_deeper(docs, nodes, buckets.join(wide, "path", "left_semi").select("path", "sid")), "deeper-paths")
+    found = connected_components(reduce(DataFrame.unionByName, links).where("src != dst"))
+    return found.select(F.col("node").alias("sid"), F.col("label").alias("family"))
 
 
 def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -321,7 +382,7 @@ def _judged(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     rows = materialise(_signatures(docs, runs_for(recall)), "signatures")
     signatures = rows.where("sid is not null")
     nodes = materialise(signatures.groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_tokens").alias("n_tokens")), "sets")
-    members = nodes.join(_families(signatures), "sid")
+    members = nodes.join(_families(docs, nodes, signatures), "sid")
     exact = materialise(_family_links(docs, members), "exact-links")
     classes = connected_components(exact.select(F.col("sid").alias("src"), F.col("root").alias("dst")))
     counted = exact.groupBy("sid").agg(F.sum("links").alias("links"))

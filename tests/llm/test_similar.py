@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.similar import chosen_paths, drop_near_duplicates, exact_links, jaccard_join, runs_for, token_set
+from palimpsest.llm.similar import chosen_paths, drop_near_duplicates, exact_links, jaccard_join, roots_of, runs_for, token_set
 
 
 def shingles(text):
@@ -83,6 +83,45 @@ def test_join_of_blocks(spark, monkeypatch):
     assert sum(((got - want) + (want - got)).values()) == 0
 
 
+def test_join_of_deeper_paths(spark, monkeypatch):
+    """Large buckets of texts that share half their words go on to longer paths; what is left after the last round meets in pairs of blocks."""
+    from palimpsest.llm import similar
+
+    rounds = []
+    deeper = similar._deeper
+    monkeypatch.setattr(similar, "_deeper", lambda *a: rounds.append(1) or deeper(*a))
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    texts = [passage + " " + " ".join(word() for _ in range(30)) for _ in range(80)]
+    texts += [" ".join([*t.split()[:68], word(), word()]) for t in texts[:20]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for name, value in (("EXACT_SETS", 50), ("LEAF_SETS", 4), ("BLOCK_SETS", 10)):
+        monkeypatch.setattr(similar, name, value)
+    for most in (3, 1):
+        monkeypatch.setattr(similar, "ROUNDS", most)
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs).collect()) == want
+        assert len(rounds) == (2 if most == 3 else 0)
+        rounds.clear()
+
+
+def test_recall_of_deeper_paths():
+    """A pair at the threshold that goes on from each path it shares meets again with the stated probability."""
+    from palimpsest.llm.similar import AGAIN, _mixed, _ODD
+
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+        b = np.unique(np.concatenate([a[:89], rng.integers(0, 2**63, 11).astype(np.uint64)]))
+        starts = [chosen_paths(t, roots_of(runs_for()))[-1][1] for t in (a, b)]
+        x, y = (chosen_paths(t, _mixed((s[:, None] + _ODD[None, :AGAIN]).ravel()))[-1][1] for t, s in zip((a, b), starts, strict=True))
+        met += len(np.intersect1d(x, y)) > 0
+    assert met / 200 > 0.97, met
+
+
 def test_recall_of_runs():
     """Pairs at the threshold meet in a bucket of every length."""
     rng = np.random.default_rng(1)
@@ -90,7 +129,7 @@ def test_recall_of_runs():
     for _ in range(200):
         a = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
         b = np.unique(np.concatenate([a[:89], rng.integers(0, 2**63, 11).astype(np.uint64)]))
-        x, y = chosen_paths(a, runs_for()), chosen_paths(b, runs_for())
+        x, y = chosen_paths(a, roots_of(runs_for())), chosen_paths(b, roots_of(runs_for()))
         met += [len(np.intersect1d(p, q)) > 0 for (_, p), (_, q) in zip(x, y, strict=True)]
     assert (met / 200 > 0.97).all(), met
 
