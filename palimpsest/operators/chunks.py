@@ -27,15 +27,18 @@ def regions(files: DataFrame) -> DataFrame:
     return named.select("path", F.coalesce("symbol", F.lit("(imports)")).alias("symbol"), (F.col("i") + 1).alias("first"), "last")
 
 
-# A file's lines are folded in order; sizes are characters with the newline of each line.
+# Sizes are characters with the newline of each line. A file's regions are folded in order; n is the size of those that wait.
+_SIZED = """
+transform(regions, r -> named_struct('first', r.first, 'last', r.last, 'symbol', r.symbol, 'size', aggregate(slice(lines, r.first, r.last - r.first + 1), 0, (n, x) -> n + length(x) + 1)))
+"""
 _PACK = """
-aggregate(regions, named_struct('from', 0, 'upto', -1, 'names', cast(array() as array<string>), 'out', cast(array() as array<struct<a: int, b: int, names: array<string>>>)),
+aggregate(regions, named_struct('from', 0, 'upto', -1, 'n', 0, 'names', cast(array() as array<string>), 'out', cast(array() as array<struct<a: int, b: int, names: array<string>>>)),
  (s, r) -> CASE
-   WHEN size_of[r.last] - size_of[r.first - 1] - 1 > {most} THEN named_struct('from', r.last, 'upto', r.last - 1, 'names', cast(array() as array<string>), 'out',
+   WHEN r.size - 1 > {most} THEN named_struct('from', r.last, 'upto', r.last - 1, 'n', 0, 'names', cast(array() as array<string>), 'out',
       concat(s.out, if(s.upto >= s.from, array(named_struct('a', s.from, 'b', s.upto, 'names', s.names)), array()), {split}))
-   WHEN size_of[r.last] - size_of[if(s.upto >= s.from, s.from, r.first - 1)] - 1 >= {least} THEN named_struct('from', r.last, 'upto', r.last - 1, 'names', cast(array() as array<string>), 'out',
+   WHEN s.n + r.size - 1 >= {least} THEN named_struct('from', r.last, 'upto', r.last - 1, 'n', 0, 'names', cast(array() as array<string>), 'out',
       concat(s.out, array(named_struct('a', if(s.upto >= s.from, s.from, r.first - 1), 'b', r.last - 1, 'names', if(r.symbol IS NULL, s.names, array_append(s.names, r.symbol))))))
-   ELSE named_struct('from', if(s.upto >= s.from, s.from, r.first - 1), 'upto', r.last - 1, 'names', if(r.symbol IS NULL, s.names, array_append(s.names, r.symbol)), 'out', s.out) END,
+   ELSE named_struct('from', if(s.upto >= s.from, s.from, r.first - 1), 'upto', r.last - 1, 'n', s.n + r.size, 'names', if(r.symbol IS NULL, s.names, array_append(s.names, r.symbol)), 'out', s.out) END,
  s -> concat(s.out, if(s.upto >= s.from, array(named_struct('a', s.from, 'b', s.upto, 'names', s.names)), array())))
 """
 # A long region is cut once `least` characters are gathered: at the last blank line after the part's first, else here.
@@ -62,16 +65,15 @@ def chunk(files: DataFrame, least: int = rules.MIN_CHUNK, most: int = rules.MAX_
 
     Regions are packed while they are small and split where they are long; a chunk is named by its first four symbols. Chunks
     that are blank, or shorter without white space at their ends than 220 characters and than themselves, go. Each
-    file is one row and one fold, so files never meet in a shuffle.
+    file is one row and one fold, linear in its lines, so files never meet in a shuffle.
     """
     text = files.select("path", "lang", "content", F.split("content", "\n", -1).alias("lines"))
-    sized = text.withColumn("size_of", F.expr("aggregate(lines, array(0), (a, x) -> array_append(a, a[size(a) - 1] + length(x) + 1))"))
     marks = F.transform("lines", lambda x, i: F.struct((i + 1).alias("first"), symbol(x, F.col("lang")).alias("symbol")))
     kept = F.filter(marks, lambda m: m["symbol"].isNotNull() | (m["first"] == 1))
-    marked = sized.withColumn("marks", kept)
+    marked = text.withColumn("marks", kept)
     found = F.expr("transform(marks, (m, i) -> named_struct('first', m.first, 'last', coalesce(get(marks, i + 1).first - 1, size(lines)), 'symbol', coalesce(m.symbol, '(imports)')))")
     blank = F.expr(_BLANK.format(least=least))
-    regioned = marked.withColumn("regions", F.when(F.exists("marks", lambda m: m["symbol"].isNotNull()), found).otherwise(blank))
+    regioned = marked.withColumn("regions", F.when(F.exists("marks", lambda m: m["symbol"].isNotNull()), found).otherwise(blank)).withColumn("regions", F.expr(_SIZED))
     packed = regioned.select("path", "lines", F.explode(F.expr(_PACK.format(least=least, most=most, split=_SPLIT.format(least=least)))).alias("c"))
     whole = packed.select("path", F.nullif(F.array_join(F.slice("c.names", 1, 4), ", "), F.lit("")).alias("symbol"), (F.col("c.a") + 1).alias("start_line"), (F.col("c.b") + 1).alias("end_line"), F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1), "\n").alias("content"))
     bare = F.length(F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))

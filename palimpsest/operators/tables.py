@@ -46,8 +46,22 @@ def delete_cascade(tables: dict[str, DataFrame], root: str, gone: DataFrame, lin
 
 
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Add batch: rows numbered in order, `size` a batch, within each value of nothing: for short lists only."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    """Add batch: rows numbered in order, `size` a batch (ties in any order).
+
+    Rows are dealt into ranges of the order, stored with the range's number, and numbered inside it; what comes before a range is
+    a sum over one row a range.
+    """
+    from ..streaming import fresh_dir
+
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    counts = stored.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    numbered = stored.withColumn("__place", place).join(F.broadcast(before), "__range")
+    return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__place")) / size).cast("int").alias("batch"))
 
 
 def checkpointed(spark: SparkSession, folder: str, stage: str, inputs: str, make) -> DataFrame:

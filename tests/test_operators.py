@@ -137,3 +137,11 @@ def test_plan_and_reports(spark, tmp_path):
     reports.write_lines(lines, "line", ["category_no", "item_no"], f"file://{tmp_path}/md")
     text = "".join(open(f"{tmp_path}/md/{f}").read() for f in sorted(os.listdir(f"{tmp_path}/md")) if f.startswith("part"))
     assert [x for x in text.split("\n") if x.startswith("#")] == ["## Security", "### 1. S1", "### 2. S2", "## Testing", "### 1. T"]
+
+
+def test_batches_number_ranges(spark):
+    rows = [(i * 7919 % 1000, "x") for i in range(1000)]
+    got = tables.batches(spark.createDataFrame(rows, "k long, other string").repartition(6), 96, ["k"])
+    assert got.columns == ["k", "other", "batch"]
+    assert sorted((r.k, r.batch) for r in got.collect()) == [(i, i // 96) for i in range(1000)]
+    assert tables.batches(spark.createDataFrame([], "k long"), 96, ["k"]).count() == 0
