@@ -35,6 +35,12 @@ def tsv_line(stem: Column, back: Column, tags: Column) -> Column:
     return F.concat_ws("\t", card_text(stem), back, tags)
 
 
+def tsv_table(cards: DataFrame, line: str) -> DataFrame:
+    """row, line: the header's lines, then the cards' (all of one row number, to be written in the order of their lines)."""
+    top = cards.sparkSession.createDataFrame(list(enumerate(TSV_HEADER)), "row int, line string")
+    return top.unionByName(cards.select(F.lit(len(TSV_HEADER)).alias("row"), F.col(line).alias("line")))
+
+
 def html_article(number: Column, meta: Column, stem: Column, answer: Column) -> Column:
     return F.concat(F.lit('<article><div class="meta">'), escape_html(meta), F.lit("</div><h3>"), number.cast("string"), F.lit(". "), escape_html(stem), F.lit("</h3><p>"), F.replace(escape_html(answer), F.lit("\n"), F.lit("<br>")), F.lit("</p></article>"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import chunks, facts, reports, retrieval
-from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising, zip_bomb, zip_entry_ok
+from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising
 from .base import read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -70,7 +70,7 @@ def language_census(spark, d):
 
 @query(f"SELECT doc_id, {PATH_SQL} AS path, {LANG_SQL} AS lang, doc_id % 8 = 7 AS is_test, doc_id % 8 NOT IN (4, 5) AS code FROM documents")
 def path_classify(spark, d):
-    """STR-5, STR-6, AGG-2."""
+    """STR-5, STR-6."""
     lang = text.language(F.col("path"))
     return files(spark, d).select("doc_id", "path", lang.alias("lang"), text.is_test_path(F.col("path")).alias("is_test"), text.is_code(lang).alias("code"))
 
@@ -86,37 +86,36 @@ def directory_rollup(spark, d):
 
 @query("SELECT user_id AS path, count(*) AS changes, count(DISTINCT event_type) AS authors FROM events GROUP BY user_id ORDER BY changes DESC, path LIMIT 20")
 def churn_hotspots(spark, d):
-    """AGG-3, SRC-6, MAP-1."""
+    """Changes and distinct authors of the busiest paths, over events; logs are parsed in `commit_churn`."""
     e = read(spark, d, "events").select(F.col("user_id").alias("path"), "event_type")
     return e.groupBy("path").agg(F.count("*").alias("changes"), F.count_distinct("event_type").alias("authors")).orderBy(F.desc("changes"), "path").limit(20)
 
 
 @query(f"""SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND octet_length(encode(text)) BETWEEN 1 AND 4000 AND length(trim(text)) >= 200 AND {LANG_SQL} <> 'JSON'""")
 def module_scope_filter(spark, d):
-    """FLT-1, FLT-2, FLT-3, FLT-5, FLT-14, FLT-16."""
+    """FLT-2, FLT-3, FLT-14."""
     f = files(spark, d)
     return f.where(in_scope(F.col("path"), ["src1", "src2"]) & size_ok(F.octet_length("text"), 4000) & worth_summarising(F.col("path"), text.language(F.col("path")), F.col("text"))).select("doc_id")
 
 
-@query(f"""SELECT doc_id, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents WHERE NOT contains(text, '..') OR true)
+@query(f"""SELECT doc_id, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents)
 WHERE running > 30000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
 def zip_guard_running_total(spark, d):
-    """SRC-2, WIN-5, FLT-3: entries of an archive (a source) until its expanded size passes a cap."""
-    f = files(spark, d).where(zip_entry_ok(F.col("path")) & ~zip_bomb(F.lit(1), F.col("n_chars"))).select("source", "doc_id", "n_chars")
-    over = running(f, "n_chars", ["doc_id"], "running", ["source"]).where("running > 30000")
+    """WIN-5: the entry with which the expanded size of an archive (a source) passes a cap. The other guards are in `archive_guard`."""
+    over = running(read(spark, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", ["doc_id"], "running", ["source"]).where("running > 30000")
     return over.groupBy("source").agg(F.min_by(F.struct("doc_id", "running"), "doc_id").alias("f")).select("f.doc_id", "f.running")
 
 
 @query(f"SELECT source, 'zip-' || left(sha256(string_agg(p, chr(10) ORDER BY p)), 16) AS snapshot FROM (SELECT source, {PATH_SQL} || ':' || n_chars AS p FROM documents) GROUP BY source")
 def snapshot_fingerprint(spark, d):
-    """SRC-3, SRC-4."""
+    """SRC-4."""
     entry = F.concat("path", F.lit(":"), F.col("n_chars").cast("string"))
     return files(spark, d).groupBy("source").agg(F.concat(F.lit("zip-"), F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256), F.lit(16))).alias("snapshot"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_hash_dedupe(spark, d):
-    """HSH-1, SET-3, AGG-18."""
+    """HSH-1, SET-3."""
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
@@ -186,14 +185,14 @@ def redaction_findings(spark, d):
 @query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS path, generate_subscripts(regexp_extract_all(html, '<a href="([^"]+)"', 1), 1) AS i FROM pages)
 SELECT path, min(page_id) AS page_id, count(*) AS n FROM m GROUP BY path""")
 def extract_routes(spark, d):
-    """EXT-3, AGG-18: link targets as routes, the first page of each."""
+    """Link targets of pages, the first page of each. Routes in code are `route_facts`."""
     m = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("path"))
     return m.groupBy("path").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
 @query(r"""SELECT name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9_]+)', 1))) AS name FROM documents) GROUP BY name""")
 def extract_env_like(spark, d):
-    """EXT-5, AGG-17: upper-case names, by the documents that hold them."""
+    """Upper-case names, by the documents that hold them. Variables that code reads are `env_facts`."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9_]+)"), F.lit(1)))
     return read(spark, d, "documents").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -207,7 +206,7 @@ def url_guard(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
-    """JSN-1, JSN-2, FLT-13, EXT-9."""
+    """JSN-1, JSN-2."""
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
@@ -294,7 +293,7 @@ def line_numbers(spark, d):
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), c AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey)) AS c FROM part GROUP BY p_brand)
 SELECT CAST(c AS INT) AS category_no, 0 AS item_no, '## ' || p_brand AS line FROM c UNION ALL SELECT CAST(c AS INT), CAST(i AS INT), '### ' || i || '. ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '---' FROM n JOIN c USING (p_brand)""")
 def markdown_export(spark, d):
-    """SNK-1, WIN-4, STR-17."""
+    """SNK-1, WIN-4."""
     return reports.markdown_lines(read(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_type"), "p_brand", ["p_partkey"], "p_name", "p_type")
 
 

@@ -83,7 +83,7 @@ SELECT o_orderkey, CAST(round(0.5 + 0.01 * (o_orderkey % 37) + CASE WHEN b.c_cus
 + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0.18 WHEN o_orderpriority = '3-MEDIUM' THEN 0.10 ELSE 0.0 END + least(0.25, 0.05 * claims) + least(0.08, 0.04 * (paths - 1)), 4) AS DOUBLE) AS rank
 FROM orders JOIN t ON o_orderkey = l_orderkey LEFT JOIN b ON o_custkey = c_custkey""")
 def rank_score(spark, d):
-    """PIP-7, PIP-10, JOI-12, SRT-4, STR-10, MTH-12."""
+    """PIP-7, JOI-12, MTH-12."""
     hot = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("hot"))
     t = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_suppkey").alias("paths"), F.count_if(F.col("l_returnflag") == "R").alias("claims"))
     rows = read(spark, d, "orders").join(t, "o_orderkey").join(hot, "o_custkey", "left")
@@ -121,7 +121,7 @@ def srs_fold(spark, d):
 UNION ALL SELECT 'groundedness', round(avg(0.8 + 0.01 * (doc_id % 20)), 3), round(avg(0.8 + 0.01 * (doc_id % 20)), 3) >= 0.85 FROM labels
 UNION ALL SELECT 'coverage', count(DISTINCT source)::DOUBLE, count(DISTINCT source) >= 10 FROM documents""")
 def eval_metrics(spark, d):
-    """AGG-9, AGG-10, AGG-11, AGG-12, SNK-6."""
+    """AGG-9, AGG-10, AGG-11."""
     labels = read(spark, d, "labels")
     coverage = read(spark, d, "documents").agg(F.lit("coverage").alias("metric"), F.count_distinct("source").cast("double").alias("score"), (F.count_distinct("source") >= 10).alias("passed"))
     mean = F.col("doc_id") % 20 * 0.01 + 0.8
@@ -140,7 +140,7 @@ def p95_gate(spark, d):
 SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS answered, greatest(0, any_value(turns) - count(*) FILTER (WHERE role = 'user')) AS remaining,
 CAST(least(floor(count(*) FILTER (WHERE role = 'user') / any_value(turns)::DOUBLE * 5), 4) AS BIGINT) AS beat FROM m GROUP BY conv_id""")
 def interview_turns(spark, d):
-    """AGG-20, MTH-11, PIP-12: five beats."""
+    """Answers, turns left and five beats, in one aggregate. The operator is in `interview_context`."""
     turns = F.expr("CASE conv_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 14 ELSE 24 END")
     n = F.count_if(F.col("role") == "user")
     m = read(spark, d, "conversations").withColumn("turns", turns)

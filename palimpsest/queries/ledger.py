@@ -63,5 +63,5 @@ def stage_progress(spark, d):
 @query("""SELECT event_id, CASE WHEN v < 1.0 / 24 THEN CAST(round(v * 1440) AS BIGINT) || 'm' WHEN v < 1 THEN CAST(round(v * 24) AS BIGINT) || 'h' WHEN v < 30 THEN CAST(round(v) AS BIGINT) || 'd' WHEN v < 365 THEN CAST(round(v / 30) AS BIGINT) || 'mo' ELSE printf('%.1f', v / 365) || 'y' END AS said
 FROM (SELECT event_id, (event_id % 977 + 0.3) / 1.7 AS v FROM events)""")
 def interval_labels(spark, d):
-    """STR-18, STR-19, DTE-2."""
+    """STR-18."""
     return read(spark, d, "events").select("event_id", text.interval_text((F.col("event_id") % 977 + 0.3) / 1.7).alias("said"))

@@ -67,7 +67,7 @@ def due_queue(spark, d, now="1996-06-01"):
 
 @query("SELECT DISTINCT p_brand, CASE p_brand WHEN 'Brand#11' THEN 'One' WHEN 'Brand#12' THEN 'Two' WHEN 'Brand#21' THEN 'Three' END AS label FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#21')")
 def framework_lookup(spark, d):
-    """JOI-13, AGG-17, STR-17: a fixed dictionary of three entries, broadcast."""
+    """A fixed dictionary of three entries, broadcast. Frameworks by dependency are `framework_facts`."""
     names = spark.createDataFrame([("brand#11", "One"), ("brand#12", "Two"), ("brand#21", "Three")], "key string, label string")
     p = read(spark, d, "part").select("p_brand")
     return p.join(F.broadcast(names), F.lower("p_brand") == F.col("key")).select("p_brand", "label").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import facts, sessions
-from ..sources import collect_files, commit_log, limits, scope_alert, within_limits
+from ..sources import archive_refusals, collect_files, commit_log, limits, scope_alert, within_limits
 from .base import read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -164,3 +164,16 @@ def module_scope_alert(spark, d):
     """FLT-16: repositories with too many files for a run without chosen modules, and the modules to choose from."""
     f = read(spark, d, "documents").selectExpr("source", "array('a', 'b', 'c')[doc_id % 3] || '/f' || doc_id AS path")
     return scope_alert(f, ["source"], most=40).withColumn("modules", F.array_join("modules", ","))
+
+
+@query("""WITH e AS (SELECT o_orderkey // 60 AS g, o_orderkey % 60 AS r FROM orders), a AS (SELECT g * 2 + CASE WHEN g % 6 = 1 THEN r // 30 ELSE 0 END AS archive, any_value(g % 6) AS kind, count(*) AS entries,
+bool_or(r = 11) AS up, bool_or(r = 20) AS link, count(*) FILTER (WHERE r <> 3) AS plain, max(r) = 59 AS last FROM e GROUP BY 1)
+SELECT archive, entries, CASE WHEN kind = 2 AND up THEN 'path' WHEN kind = 3 AND link THEN 'symlink' WHEN kind = 4 AND entries * 100000000 > 524288000 THEN 'bytes' WHEN kind = 5 AND plain * 4000000 > 50000000 THEN 'bomb' WHEN kind <> 1 AND last THEN 'entries' END AS refused FROM a""")
+def archive_guard(spark, d):
+    """SRC-2, WIN-5: archives of at most 60 entries made from orders, six kinds of them: with a 60th entry, sound, with a path that leaves the archive, with a link, too large, and packed too tightly."""
+    e = read(spark, d, "orders").selectExpr("o_orderkey DIV 60 AS g", "o_orderkey % 60 AS r").selectExpr("g", "r", "g % 6 AS kind").selectExpr(
+        "g * 2 + CASE WHEN kind = 1 THEN r DIV 30 ELSE 0 END AS archive", "CASE WHEN kind = 1 THEN r % 30 ELSE r END + 1 AS n",
+        "CASE WHEN kind = 2 AND r = 11 THEN 'a/../../b' WHEN kind = 5 AND r = 3 THEN 'a/' ELSE 'a/f' || r END AS path", "CASE WHEN kind = 3 AND r = 20 THEN 41471 WHEN r % 2 = 0 THEN 33188 END AS mode",
+        "CASE kind WHEN 4 THEN 100000000 WHEN 5 THEN 4000000 ELSE 1000 END AS expanded", "CASE kind WHEN 5 THEN 1000000 ELSE 1000000000 END AS packed",
+    )
+    return archive_refusals(e, ["archive"], most_entries=59)

@@ -12,7 +12,7 @@ QUERIES, ORACLE_SQL, query = registry()
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_latest_state(spark, d):
-    """STM-1, STM-2, STM-4."""
+    """STM-4."""
     e = streaming.events_stream(spark, d)
     state = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("event_id"), F.count("*").alias("n"))
     return streaming.drain(state, "complete")

@@ -149,6 +149,16 @@ def report_lines(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query("""SELECT unnest(['#separator:tab', '#html:true', '#tags column:3']) AS line UNION ALL SELECT replace(replace(p_name || ' & ' || p_size, '&', '&amp;'), chr(9), ' ') || chr(9) || p_type || chr(9) || 'pack::' || p_brand FROM part""")
+def tsv_file(spark, d):
+    """SNK-2: cards under the three header lines, written as text files and read back."""
+    p = read(spark, d, "part")
+    cards = p.select(reports.tsv_line(F.concat("p_name", F.lit(" & "), F.col("p_size").cast("string")), reports.card_text(F.col("p_type")), F.concat(F.lit("pack::"), "p_brand")).alias("line"))
+    path = _shared(spark, "cards")
+    reports.write_lines(reports.tsv_table(cards, "line"), "line", ["row", "line"], path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id + 1000000, n_chars FROM documents WHERE source = 'src1'")
 def snapshot_rows(spark, d):
     """SNK-5: two appends by snapshot; one snapshot is read, and only its folder."""

@@ -17,6 +17,7 @@ IGNORED_FOLDERS = "node_modules vendor dist build out target coverage __pycache_
 IGNORED_FILES = (r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|composer\.lock|Gemfile\.lock|go\.sum)$", r"\.min\.(js|css)$", r"\.(map|lock|png|jpe?g|gif|ico|pdf|zip|gz|jar|woff2?|ttf|mp[34]|exe|dll|so|class|pyc)$")
 GENERATED = r"(?i)(@generated|code generated .* do not edit|auto-?generated|do not edit)"
 MAX_FILE, MAX_FILES, MAX_BYTES, SCOPE_LIMIT = 400 * 1024, 25_000, 500 * 1024 * 1024, 4_000
+MAX_ENTRIES, BOMB_BYTES, BOMB_RATIO = 25_000, 50_000_000, 10
 
 
 def scan_tree(spark: SparkSession, *roots: str) -> DataFrame:
@@ -125,7 +126,23 @@ def zip_entry_ok(path: Column, mode: Column | None = None) -> Column:
 
 
 def zip_bomb(packed: Column, expanded: Column) -> Column:
-    return (expanded > 50 * 1024 * 1024) & (expanded > packed * 10)
+    """Sizes of any integer type; an empty or unknown packed size says nothing."""
+    return (packed > 0) & (expanded > BOMB_BYTES) & (expanded / BOMB_RATIO > packed)
+
+
+def archive_refusals(entries: DataFrame, by: list[str], most_entries: int = MAX_ENTRIES, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """by, entries, refused: what the first bad entry of each archive breaks (entries, path, symlink, bytes or bomb), or null.
+
+    entries has n (a number from 1), path, mode, expanded, and packed, the size of the whole archive. Folders (with a / at the
+    end) expand to nothing; unknown modes and sizes break no bound.
+    """
+    size = F.when(F.col("path").endswith("/"), 0).otherwise(F.col("expanded"))
+    seen = running(entries.withColumn("__size", size), "__size", ["n"], "__sum", by)
+    path = F.col("path")
+    why = F.when(F.col("n") > most_entries, "entries").when(~zip_entry_ok(path), "path").when(~zip_entry_ok(path, F.col("mode")), "symlink")
+    why = why.when(F.col("__sum") > most_bytes, "bytes").when(zip_bomb(F.col("packed"), F.col("__sum")), "bomb")
+    first = F.min(F.when(why.isNotNull(), F.struct("n", why.alias("why"))))
+    return seen.groupBy(*by).agg(F.count("*").alias("entries"), first["why"].alias("refused"))
 
 
 def unwrap_root(files: DataFrame) -> DataFrame:

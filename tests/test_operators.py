@@ -145,3 +145,18 @@ def test_batches_number_ranges(spark):
     assert got.columns == ["k", "other", "batch"]
     assert sorted((r.k, r.batch) for r in got.collect()) == [(i, i // 96) for i in range(1000)]
     assert tables.batches(spark.createDataFrame([], "k long"), 96, ["k"]).count() == 0
+
+
+def test_archive_refusals(spark):
+    """The first bad entry decides; folders expand to nothing; unknown modes and an unknown packed size break no bound; sizes may be 32-bit."""
+    rows = [
+        ("sound", 1, "a/", None, 900, 10), ("sound", 2, "a/b", None, 100, None), ("twice", 1, "/a", 0o120777, 1, 1), ("twice", 2, "b", 0o120777, 1, 1), ("link", 1, "a", 0o120777, 1, 1),
+        ("large", 1, "a", 0o100644, 60, 50), ("large", 2, "b", 0o100644, 60, 50), ("many", 1, "a", None, 1, 1), ("many", 3, "b", None, 1, 1),
+        ("bomb", 1, "a", None, 60_000_000, 1000), ("tight", 1, "a", None, 60_000_000, 2_000_000_000), ("empty", 1, "a", None, 60_000_000, 0),
+    ]
+    df = spark.createDataFrame(rows, "archive string, n int, path string, mode int, expanded int, packed int")
+    small = {r["archive"]: r["refused"] for r in sources.archive_refusals(df.where("expanded < 1000"), ["archive"], 2, 100).collect()}
+    assert small == {"sound": None, "twice": "path", "link": "symlink", "large": "bytes", "many": "entries"}
+    large = {r["archive"]: r["refused"] for r in sources.archive_refusals(df.where("expanded > 1000"), ["archive"]).collect()}
+    assert large == {"bomb": "bomb", "tight": None, "empty": None}
+    assert sources.archive_refusals(df.where("false"), ["archive"]).count() == 0
