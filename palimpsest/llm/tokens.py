@@ -37,8 +37,8 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-class _Cache(dict):
-    """Word -> ids as little-endian unsigned 32-bit bytes; `make` answers for words seen for the first time."""
+class WordCache(dict):
+    """Word -> its bytes (ids as little-endian unsigned 32-bit numbers); `make` answers for words seen for the first time."""
 
     def __init__(self, make):
         super().__init__()
@@ -76,9 +76,9 @@ class TextEncoder:
             self.encode = self._worded_text
         else:
             self.encode = self.whole
-        self.worded = _Cache(self._worded)
-        self.spaced = _Cache(lambda w: self._part(" ", w, self.spaced))
-        self.bare = _Cache(lambda w: self._part("", w, self.bare))
+        self.worded = WordCache(self._worded)
+        self.spaced = WordCache(lambda w: self._part(" ", w, self.spaced))
+        self.bare = WordCache(lambda w: self._part("", w, self.bare))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -116,7 +116,7 @@ class TextEncoder:
         head, *rest = text.split(" ")
         return (self.bare[head] if head else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
-    def _part(self, space: str, word: str, own: _Cache) -> bytes:
+    def _part(self, space: str, word: str, own: WordCache) -> bytes:
         if word.isalpha():
             return self._letters(space + word)
         if word and word[-1] in ".,|" and word[:-1].isalpha():
