@@ -98,6 +98,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_pieces
 
@@ -105,5 +111,5 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op5_main_text, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files, op13_pieces)}
+QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op5_main_text, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files, op12_alignment, op13_pieces)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
