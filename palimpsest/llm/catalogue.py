@@ -98,6 +98,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, CAST(sum(total) AS BIGINT) AS n, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, w.source, w.term),
+sums AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM counts GROUP BY lang, source),
+groups AS (SELECT DISTINCT d.lang, d.source, coalesce(s.n, 0) AS n FROM docs d LEFT JOIN sums s ON d.lang = s.lang AND d.source = s.source),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS q
+  FROM groups g JOIN langs l ON g.lang = l.lang JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+pairs AS (SELECT x.lang, x.source, y.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+told AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM told)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 200
+UNION ALL SELECT lang, source, 'pair', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) FROM pairs
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import align_documents
 
@@ -111,5 +136,5 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op5_main_text, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files, op12_alignment, op13_pieces)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+QUERIES = {q.__name__: q for q in (op1_pack, op2_shards, op3_line_dedup, op4_similar, op5_main_text, op6_mix, op7_fingerprints, op8_media, op9_toxicity, op10_token_files, op11_divergence, op12_alignment, op13_pieces)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_divergence": OP11_SQL}
