@@ -86,19 +86,19 @@ class Aligner:
         # An id in its place in a group: with what follows it.
         self.shown = [f"{i}{end}".encode() for i in range(len(self.a)) for end in ",|"] + [f"{i}{end}".encode() for i in range(len(self.b)) for end in ",;"]
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, text: str | None, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B; none where either's bytes differ from space + text."""
         none = np.zeros(0, np.int64)
         if not text:
             return none, none
-        a, b = np.frombuffer(self.a_coder.encode(" " + text), "<u4").astype(np.int64), self.b_coder.encode(text)[:, 0].astype(np.int64)
+        a, b = np.frombuffer(self.a_coder.encode(" " + text), "<u4").astype(np.int64), pieces[:, 0].astype(np.int64)
         want = b" " + text.encode()
         same = b"".join(map(self.a.__getitem__, a.tolist())) == want and b"".join(map(self.b.__getitem__, b.tolist())) == want
         return (a, b) if same else (none, none)
 
     def align(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """n_a, n_b, n_groups and n_links of each text; group_ids (ids of each group, see `groups_text`); pairs: a * (number of B ids) + b for each link."""
-        found = [self.tokens(t) for t in texts]
+        found = [self.tokens(*x) for x in zip(texts, self.b_coder.encode_all([t or "" for t in texts]), strict=True)]
         a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
         n_a, n_b = (np.array([len(f[i]) for f in found], np.int64) for i in (0, 1))
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])

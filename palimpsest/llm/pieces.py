@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,7 @@ from .common import text_of
 from .tokens import WordCache
 
 SPACE = "▁"  # what stands for a space in pieces
-RUNS = re.compile(r" *[^ ]+| +")
-LINES = re.compile(r"\n|[^\n]+")
+WORDS, WORDS_OF_LINES = re.compile(r" *[^ ]+| +"), re.compile(r"\n| *[^ \n]+| +")
 #: Fields of the model file's messages.
 MODEL_PIECES, MODEL_TRAINER, MODEL_NORMALISER = 1, 2, 3
 PIECE_TEXT, PIECE_TYPE, TYPE_BYTE, TRAINER_SUFFIX = 1, 3, 6, 24
@@ -186,11 +186,14 @@ class PieceEncoder:
         known = list(self.normaliser.map.entries())
         free = not self.normaliser.trim and not self.normaliser.suffix and self.normaliser.space == SPACE.encode()
         spaced = any(b" " in k + (new := self.normaliser.map.longest(k, 0)[1]) or SPACE.encode() in k + new for k in known)
-        self.by_words = free and not spaced and not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.texts)
-        self.by_lines = self.by_words and not any(b"\n" in k for k in known) and not any("\n" in t for t in self.texts if len(t) > 1)
-        self.first = WordCache(lambda w: self._segment(w, True))
-        self.spaced = WordCache(lambda w: self._segment(" " + w, False))
-        self.inner = WordCache(lambda w: self._segment(w, False))
+        leads = free and self.normaliser.prefix and not spaced
+        self.by_words = leads and not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.texts)
+        by_lines = not any(b"\n" in k for k in known) and not any("\n" in t for t in self.texts if len(t) > 1)
+        self.cut = WORDS_OF_LINES if by_lines else WORDS
+        #: Words that the map leaves as they are: those of ASCII alone, or all.
+        self.plain_ascii, self.plain = not any(k.isascii() for k in known), not known
+        self.plain_sizes = np.where(self.is_byte, 1, [len(t.replace(SPACE, " ").encode()) for t in self.texts]).astype(np.uint32)
+        self.words = WordCache(lambda w: self.merge(w, False))
 
     def piece_bytes(self) -> list[bytes]:
         """The bytes that each id stands for: a byte piece's byte, others' text with spaces for their marks."""
@@ -209,26 +212,33 @@ class PieceEncoder:
         at = np.asarray(places)[np.concatenate([[0], ends]).astype(int)]
         return np.stack([np.asarray(ids, "<u4"), np.diff(at).astype("<u4")], axis=1).tobytes()
 
-    def _segment(self, word: str, prefix: bool) -> bytes:
-        head, *rest = LINES.findall(word) if self.by_lines else [word]
-        if not rest:
-            return self.merge(word, prefix)
-        own = self.first[head] if prefix else self.spaced[head[1:]] if head[0] == " " else self.inner[head]
-        return own + b"".join(map(self.inner.__getitem__, rest))
-
-    def rows(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_words or SPACE in text:
-            return self.merge(text, True)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            head, *rest = RUNS.findall(text)
-            return self.first[head] + b"".join(map(self.inner.__getitem__, rest))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+    def _merge_all(self, words: list[str]) -> list[bytes]:
+        """Rows of words, the plain ones in one call."""
+        plain = [w for w in words if self.plain or self.plain_ascii and w.isascii()]
+        ids = self.merger.encode([w.replace(" ", SPACE) for w in plain]) if plain else []
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        data = np.stack([flat, self.plain_sizes[flat]], axis=1).astype("<u4").tobytes()
+        upto = [0, *accumulate(8 * len(x) for x in ids)]
+        odd = set(np.searchsorted(upto, 8 * np.flatnonzero(self.is_byte[flat] | (flat == self.unknown)), side="right").tolist())
+        found = {w: data[upto[i] : upto[i + 1]] for i, w in enumerate(plain) if i + 1 not in odd or w.isascii() and self.unknown not in ids[i]}
+        return [found[w] if w in found else self.merge(w, False) for w in words]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """`encode` of each text; words that are new are merged together."""
+        # The space that the model puts before a text makes its first word like the others; its byte is taken off again.
+        cut = [self.cut.findall(" " + t) if t and self.by_words and SPACE not in t else None for t in texts]
+        self.words.fill({w for c in cut if c for w in c}, self._merge_all)
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            data = b"".join(map(self.words.__getitem__, words)) if words else self.merge(text, True) if text else b""
+            rows = np.frombuffer(bytearray(data), "<u4").reshape(-1, 2)
+            if words:
+                rows[0, 1] -= 1
+            out.append(rows)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.rows(text), "<u4").reshape(-1, 2)
+        return self.encode_all([text])[0]
 
     def lead(self, text: str) -> int:
         """Bytes of the original before the first piece: only models that drop spaces have any."""
@@ -256,8 +266,8 @@ def encode_pieces(docs: DataFrame, model_path: str, ends_too: bool = True) -> Da
         coder = piece_encoder(model_path)
         for batch in batches:
             ids, ends = [], []
-            for text in batch["text"].to_pylist():
-                rows = coder.encode(text)
+            texts = batch["text"].to_pylist()
+            for text, rows in zip(texts, coder.encode_all(texts), strict=True):
                 ids.append(np.concatenate([[coder.begin], rows[:, 0], [coder.end]]).astype("<u4"))
                 if ends_too:
                     lead = coder.lead(text)

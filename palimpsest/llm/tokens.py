@@ -13,12 +13,15 @@ import os
 import re
 import struct
 import unicodedata
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 
 #: Cached words per generation; two generations are kept by a cache, about 60 MB at most.
 CACHE_WORDS = 150_000
+#: Words of so many characters are not kept.
+LONG_WORD = 64
 #: Characters that Python's str.split takes for white space and the tokenizers' patterns don't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A space before more white space: the words around it are not independent.
@@ -42,7 +45,7 @@ class WordCache(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.long = make, {}, []
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -51,10 +54,21 @@ class WordCache(dict):
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        if len(word) < 64:
+        if len(word) < LONG_WORD:
             self[word] = ids
         return ids
 
+    def fill(self, words: set[str], make_all: Callable[[list[str]], Iterable[bytes]]) -> None:
+        """Have the answers for all these words, with one call for those that aren't known. They stay until the next call, long ones no longer."""
+        for word in self.long:
+            self.pop(word, None)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        unseen = [w for w in words if w not in self and w not in self.old]
+        self.update(zip(unseen, make_all(unseen), strict=True))
+        self.long = [w for w in unseen if len(w) >= LONG_WORD]
+
 
 class TextEncoder:
     """encode(text) -> bytes of unsigned 32-bit ids, equal to the library's encode(text, add_special_tokens=False)."""

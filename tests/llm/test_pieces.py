@@ -9,6 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from palimpsest.llm import pieces, tokens
 from palimpsest.llm.catalogue import QUERIES
 from palimpsest.llm.pieces import MODEL_NORMALISER, Normaliser, PieceEncoder, encode_pieces, fields
 
@@ -24,8 +25,8 @@ def coder():
 
 def spans(library, text):
     """Ids and ends in bytes, by the library."""
-    pieces = [{k: v for k, v, _ in fields(piece)} for n, piece, _ in fields(library.encode(text, return_type="serialized_proto")) if n == 2]
-    return [p[2] for p in pieces], [p.get(5, 0) for p in pieces]
+    found = [{k: v for k, v, _ in fields(piece)} for n, piece, _ in fields(library.encode(text, return_type="serialized_proto")) if n == 2]
+    return [p[2] for p in found], [p.get(5, 0) for p in found]
 
 
 def same(coder, text):
@@ -37,7 +38,7 @@ def same(coder, text):
 
 
 def test_odd_texts(coder):
-    assert coder.by_words and coder.by_lines
+    assert coder.by_words and coder.cut is pieces.WORDS_OF_LINES
     for text in ODD:
         same(coder, text)
 
@@ -48,6 +49,16 @@ def test_any_text(coder, parts):
     same(coder, "".join(parts))
 
 
+def test_small_caches(coder, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    texts = [t for n in range(1, 8) for t in [*ODD, *(" ".join(f"w{i * n}" for i in range(9)) for _ in range(3))]]
+    fresh = PieceEncoder(PATH)
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        assert [r[:, 0].tolist() for r in fresh.encode_all(part)] == [coder.library.encode(t) for t in part]
+    assert len(fresh.words.old) < 100 and not any(len(w) >= tokens.LONG_WORD for w in fresh.words.old)
+
+
 def rule(name):
     found = sentencepiece.SentencePieceNormalizer(rule_name=name)
     spec = next(v for n, v, _ in fields(found.serialized_model_proto()) if n == MODEL_NORMALISER)
