@@ -26,7 +26,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     data = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    placed = shard_by_mixture(docs, 40)
+    placed = shard_by_mixture(docs, 40, ties=("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -66,8 +66,8 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialise
     from .mixing import count_words, with_copies
 
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    mixed = with_copies(materialise(sized, "document-sizes"), F.col("size"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+    mixed = with_copies(materialise(sized, "document-sizes"), F.col("size"), F.col("content"))
     return mixed.select("doc_id", "size", F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("size") * F.col("__mix_copies")).alias("taken"))
 
 

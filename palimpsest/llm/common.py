@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The bytes a contract calls white space: [\x20\x09-\x0D].
@@ -54,6 +54,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_copies(df: DataFrame, key: str, most: int) -> DataFrame:
+    """df with other values of `key`, a hash of a row's content, for rows of which more than `most` share it: each row its own.
+
+    Such rows are equal in all that matters, so it makes no difference which of them gets which value; the values are the same in every run. Rows
+    are counted by key and by the partition in which they are stored, and numbered inside these, so that no task gets a whole group."""
+    repeated = materialise(df.groupBy(key).agg(F.count("*").alias("__copies")).where(F.col("__copies") > most).select(key), "repeated-keys")
+    if repeated.isEmpty():
+        return df
+    stored = materialise(df.join(repeated, key, "left_semi").withColumn("__part", F.spark_partition_id()), "repeated-rows")
+    counts = stored.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    before = counts.select(key, "__part", (F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")).alias("__before"))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy(key, "__part").orderBy("__part"))
+    own = stored.join(before, [key, "__part"]).withColumn("__nth", nth).withColumn(key, F.when(F.col("__nth") == 1, F.col(key)).otherwise(F.xxhash64(F.lit(31), key, "__nth")))
+    return df.join(repeated, key, "left_anti").select(*df.columns).unionByName(own.select(*df.columns))
+
+
 REST = "__rest"
 
 

@@ -2,13 +2,13 @@
 
 Sources, by code point with null last, weigh 5, 2, 1, 5, 2, 1, ... and share the whole number of words by weight. A target stops
 at `MAX_REPEATS` times its source's words; the excess goes to the others by weight, until no target is above its stop.
-With r = target / source words, every document is taken floor(r) times, and once more if the hash of its id is
-below its source's threshold. The threshold comes from sums of words by source and hash bucket: the bucket in which the
+With r = target / source words, every document is taken floor(r) times, and once more if the hash of its id, text and source is
+below its source's threshold; rows that are equal in all three are numbered, and have hashes of their own. The threshold comes from sums of words by source and hash bucket: the bucket in which the
 running sum passes the budget is cut into 4096 finer ones, `LEVELS` times, and only its rows are summed again; at
 the end the last, fine bucket is taken or left, whichever is nearer the budget. Nothing is sorted but sums.
 
-A document's copies follow from its id's hash, the sums and nothing else, so reruns agree, and thresholds are nested: a source
-with a larger target keeps every copy it had. Rows with a null id share one hash, as do rows with equal ids (they fall on the same side).
+A document's copies follow from its hash, the sums and nothing else, so reruns agree, and thresholds are nested: a source
+with a larger target keeps every copy it had. Null and repeated ids are drawn row by row.
 Null and empty texts have size 0 and are taken like others, with 0 words. An empty table gives no rows.
 Other columns are carried through by `mix_documents`, whatever their names.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialise, null_safe_key, pack_rest, unpack_rest
+from .common import WHITE, materialise, null_safe_key, pack_rest, split_copies, unpack_rest
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -79,13 +79,15 @@ def _thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("__mix_source", "__mix_base", (F.col("__mix_edge") + F.when(nearer & (F.col("__mix_left") > 0), 1).otherwise(0)).alias("__mix_below"))
 
 
-def with_copies(docs: DataFrame, size: Column | None = None) -> DataFrame:
+def with_copies(docs: DataFrame, size: Column | None = None, content: Column | None = None) -> DataFrame:
     """Add __mix_size, __mix_total and __mix_target (of the source) and __mix_copies (how often the mix takes the row).
 
-    `size` is the number of words, counted here if not given. Only id hash, source and size are stored and summed; the other columns are read
-    again for the result.
+    `size` is the number of words, counted here if not given; `content` stands for the text in the draw. Only hash, source and size are stored and summed; the other
+    columns are read again for the result.
     """
-    named = docs.withColumns({"__mix_size": count_words(F.col("text")) if size is None else size, "__mix_source": null_safe_key("source"), "__mix_hash": F.xxhash64(F.lit(SEED), F.col("doc_id"))})
+    draw = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text") if content is None else content, F.col("source"))
+    named = docs.withColumns({"__mix_size": count_words(F.col("text")) if size is None else size, "__mix_source": null_safe_key("source"), "__mix_hash": draw})
+    named = split_copies(named, "__mix_hash", 1)
     slim = materialise(named.select("__mix_source", "__mix_hash", "__mix_size"), "mix-sizes")
     targets = materialise(source_targets(slim.groupBy("__mix_source").agg(F.sum("__mix_size").alias("__mix_total"))), "mix-targets")
     plan = materialise(targets.join(_thresholds(slim, targets), "__mix_source"), "mix-plan")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import in_slices
-from .common import materialise, text_of
+from .common import materialise, split_copies, text_of
 from .tokens import encoder
 
 #: Plans that are tried, the one with the fewest sequences is taken: (pieces of at most this share of the capacity are
@@ -202,7 +202,8 @@ def plan_packing(counts: dict[int, int], capacity: int, small_share: float, grou
 def assign_sequences(pieces: DataFrame, capacity: int, plans: tuple[tuple[float, int], ...] = PLANS) -> DataFrame:
     """Add sequence_id and offset to stored pieces with a `length` between 1 and the capacity.
 
-    `pieces` is read three times, so it should be a table. Every piece is placed, whatever its other columns hold.
+    `pieces` is read several times, so it should be a table. Every piece is placed, whatever its other columns hold; ranks come from counts by length and
+    bucket of a hash, in which many equal pieces (null or repeated ids) get hashes of their own.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
@@ -210,7 +211,8 @@ def assign_sequences(pieces: DataFrame, capacity: int, plans: tuple[tuple[float,
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
     keys = spark.sparkContext.broadcast((table[:, 0] << 42 | table[:, 1], table))  # bounded by capacity and groups, not by rows
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
-    named = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    named = split_copies(pieces.withColumn("__draw", F.xxhash64("doc_id", "start", "length", "ids_crc32")), "__draw", BUCKET_ROWS)
+    named = named.withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     sums = named.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = sums.select("length", "__bucket", (F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).alias("__before"))
     order = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32")

@@ -10,7 +10,7 @@ of each block), and a numbering inside each range is added. A source with a thir
 many ranges as it needs.
 
 Null sources are a source of their own. Null and repeated document ids are rows of their own, in an order that depends
-on the row's own values; equal rows are interchangeable. An empty table gives no rows. Other columns are carried
+on the row's own values; equal rows are interchangeable, and where more of them than a range holds are equal in id and `ties`, each gets a draw of its own. An empty table gives no rows. Other columns are carried
 through whatever their names; those named `shard` or `slot` are replaced.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, null_safe_key, pack_rest, unpack_rest
+from .common import materialise, null_safe_key, pack_rest, split_copies, unpack_rest
 
 #: Rows that a range holds on average.
 RANGE_ROWS = 1_000
@@ -54,7 +54,7 @@ def shard_by_mixture(df: DataFrame, shards: int, source: str = "source", row_id:
     df = df.drop(*(c for c in ("shard", "slot") if c not in keep))
     own = df.columns
     draw = F.xxhash64(F.lit(seed), F.col(row_id), *(F.col(c) for c in ties))
-    named = pack_rest(df, *keep).withColumns({"__source": null_safe_key(source), "__draw": draw})
+    named = split_copies(pack_rest(df, *keep).withColumns({"__source": null_safe_key(source), "__draw": draw}), "__draw", RANGE_ROWS)
     named = named.withColumn("__range", F.floor((F.col("__draw").cast("double") + 2.0**63) / 2.0**64 * ranges))
     sizes = materialise(named.groupBy("__source").agg(F.count("*").alias("__size")), "source-sizes")  # a stored table's size is known to the planner
     order = [F.col("__draw"), F.col(row_id), *(F.col(c) for c in ties)]

@@ -9,7 +9,7 @@ range partitioning by document id, their order over all files.
 File: magic, eight counts, then the arrays of `_LAYOUT` in order, all little-endian.
 
 Null texts are empty, and an empty text still has its end id. Null document ids come first, in one run. Rows with
-equal ids are ordered by their text. An empty table gives no files and no rows. Other columns are ignored.
+equal ids are ordered by a hash of their text; those and null ids may be in several files. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +193,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         if held:
             yield flush()
 
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges end inside runs of null or equal ids, and of equal rows.
+    order = ["doc_id", "tie", "row"]
+    ranged = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = ranged.mapInArrow(in_slices(write, "text"), "part int, file int, path string, n_docs long, n_ids long, start long")
     return materialise(manifest, "token-manifest"), folder
 

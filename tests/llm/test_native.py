@@ -110,6 +110,48 @@ def test_mix(spark):
     assert mix_documents(docs.limit(0)).count() == 0
 
 
+def test_mix_with_null_repeated_and_equal_rows(spark):
+    """A third of the ids null, one id for many rows, and one row many times over: each source within one document of its target."""
+    rows = [(None if i % 3 == 0 else 77 if i % 5 == 0 else i, "w " * (1 + i % 40) + str(i), "a" if i % 2 else f"c{i % 4}") for i in range(3000)]
+    rows += [(None, "the same words again", "a")] * 900 + [(5, "other words", "c0")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got, taken = with_copies(docs).collect(), defaultdict(int)
+    assert len(got) == len(rows)
+    for r in got:
+        taken[r.source] += r["__mix_size"] * r["__mix_copies"]
+    assert all(abs(taken[s] - n) <= 41 for s, n in targets(size).items())
+    columns = ["doc_id", "text", "source", "__mix_copies"]
+    again = Counter(tuple(r) for r in with_copies(docs.repartition(3)).select(columns).collect())
+    assert again == Counter(tuple(r[c] for c in columns) for r in got)
+
+
+def test_split_copies(spark):
+    from palimpsest.llm.common import split_copies
+
+    rows = [(5, i % 3) for i in range(100)] + [(6, 0)] * 4 + [(None, 1)]
+    df = spark.createDataFrame(rows, "k long, v int").repartition(7)
+    got = split_copies(df, "k", 4).collect()
+    assert Counter(r.v for r in got) == Counter(v for _, v in rows)
+    assert max(Counter(r.k for r in got if r.k not in (6, None)).values()) == 1 and sum(r.k == 6 for r in got) == 4
+    assert sorted(r.k or 0 for r in split_copies(df.repartition(2), "k", 4).collect()) == sorted(r.k or 0 for r in got)
+    assert split_copies(df.limit(0), "k", 4).count() == 0
+
+
+def test_shards_of_equal_rows(spark, monkeypatch):
+    from palimpsest.llm import sharding
+
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 40)
+    docs = spark.createDataFrame([(None, f"t{i}", "a", 1) for i in range(300)] + [(None, "same", "b", 2)] * 500, "doc_id long, text string, source string, size int").repartition(5)
+    got = shard_by_mixture(docs, 7, ties=("text",)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 800 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} <= {114, 115}
+
+
 def test_count_words(spark):
     import re
 

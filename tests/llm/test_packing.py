@@ -67,3 +67,14 @@ def test_extra_columns(spark):
     pieces = spark.createDataFrame([(1, 0, 0, 5, 9, "x"), (None, 0, 0, 3, 9, None)], "doc_id long, piece int, start long, length long, ids_crc32 long, note string")
     got = assign_sequences(pieces, 8).collect()
     assert {(r.doc_id, r.note, r.sequence_id) for r in got} == {(1, "x", 0), (None, None, 0)}
+
+
+def test_equal_rows(spark, monkeypatch):
+    """Null ids and equal rows, more than a bucket holds: every piece still has its own place."""
+    from palimpsest.llm import packing
+
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
+    docs = spark.createDataFrame([(None, "the cat")] * 150 + [(None, f"dog {i}") for i in range(60)] + [(3, "a b c d")] * 30, "doc_id long, text string").repartition(4)
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 16).collect()
+    places = {(r.sequence_id, r.offset + i) for r in packed for i in range(r.length)}
+    assert len(packed) == 240 and len(places) == sum(r.length for r in packed) and max(p for _, p in places) < 16

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -22,17 +23,35 @@ def test_round_trip(values):
         assert decode_blocks(file, 1, 2)[: len(values) - 128].tolist() == values[128:256]
 
 
+def check(rows, got, tokenizer):
+    """Every row's ids, in ascending order of doc_id with nulls first, one behind the other."""
+    want, at = Counter((doc, *tokenizer.encode(text or "", add_special_tokens=False).ids, 0) for doc, text, _ in rows), 0
+    assert Counter((r.doc_id, *r.ids) for r in got) == want
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    for r in got:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        at += len(r.ids)
+
+
 def test_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(i, f"word{i} " * (i % 50), "x") for i in range(300, 0, -1)] + [(None, "a", "x"), (1000, None, "x"), (5, "", "x"), (2000, "long text. " * 30_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     manifest, folder = write_token_files(docs, path, file_ids=500)
     got = sorted(read_token_files(manifest, folder, with_ids=True).collect(), key=lambda r: r.start)
-    tokenizer, at = Tokenizer.from_file(path), 0
-    for (doc, text, _), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), got, strict=True):
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids) == (doc, at, len(ids), ids)
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    check(rows, got, Tokenizer.from_file(path))
     manifest, folder = write_token_files(docs.limit(0), path)
     assert read_token_files(manifest, folder).count() == 0
+
+
+def test_null_and_equal_rows_in_several_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"text {i}", "x") for i in range(400)] + [(7, "the same", "x")] * 400 + [(i, "one", "x") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest, folder = write_token_files(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest.collect()) < 300
+    check(rows, sorted(read_token_files(manifest, folder, with_ids=True).collect(), key=lambda r: r.start), Tokenizer.from_file(path))
