@@ -21,7 +21,7 @@ tasks, with the weights as a broadcast of at most `MAX_FEATURES` words.
 A null or empty text scores the model's bias. Labels that are null, or whose document is missing, teach nothing. With no
 confirmed toxic text every score is the class prior's floor, 0. Repeated and null document ids are scored row by row
 (a null id is never held out and never in training). An empty table gives no rows. Columns other than doc_id and text are
-carried through by `score_documents` untouched, whatever their names.
+carried through untouched, whatever their names; `score_documents` replaces one that has the score's own name, `keep_below` adds none.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,15 +207,29 @@ def _minimise(vocabulary: dict[str, int], p_texts: list[np.ndarray], u_texts: li
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the score of every whole text as a column. All other columns are carried through, or those in `keep`."""
+    kept = [i for i, c in enumerate(docs.columns) if c != column and (keep is None or c in keep)]
+    names = [*(docs.columns[i] for i in kept), column]
+
+    def add(batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores, pa.float64())], names=names)
+
+    return _with_scores(docs, model, add, T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(column, T.DoubleType())]))
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose whole text scores below the threshold, as they are."""
+    return _with_scores(docs, model, lambda batch, scores: batch.filter(pa.array(scores < threshold)), docs.schema)
+
+
+def _with_scores(docs: DataFrame, model: Model, make: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """`make` of each slice and its scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES words
-    kept = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
-    at, names = docs.columns.index("text"), [*(docs.columns[i] for i in kept), column]
+    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = model.words()
         for batch in batches:
-            got = model.score([t or "" for t in batch.column(at).to_pylist()], words)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(got, pa.float64())], names=names)
+            yield make(batch, model.score([t or "" for t in batch.column(at).to_pylist()], words))
 
-    return docs.mapInArrow(in_slices(score, at), T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(in_slices(step, at), schema)

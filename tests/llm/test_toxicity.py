@@ -1,6 +1,8 @@
 import numpy as np
 
-from palimpsest.llm.toxicity import THRESHOLD, _numbers, class_prior, corrected_risk, fit, held_out, score_documents, train
+from pyspark.sql import functions as F
+
+from palimpsest.llm.toxicity import THRESHOLD, _numbers, class_prior, corrected_risk, fit, held_out, keep_below, score_documents, train
 
 
 def texts(n, toxic_share=0.2):
@@ -98,3 +100,15 @@ def test_prior_follows_the_unlabelled_texts():
     u = [_numbers(sorted(s), vocabulary) for s in sets]
     p = [t for t, r in zip(u, rows, strict=True) if r[2]]
     assert abs(class_prior(0.2, p, u, len(vocabulary)) - 0.1) < 0.02
+
+
+def test_columns_with_the_scores_name(spark):
+    sets = [set(t.split()) for _, t, _ in texts(300, 0.2)]
+    model = train([s for s, r in zip(sets, texts(300, 0.2), strict=True) if r[2]], sets, 0.2)
+    docs = spark.createDataFrame([(i, t, f"s{i}", f"x{i}", i) for i, (_, t, _) in enumerate(texts(40, 0.4))], "doc_id long, text string, score string, __toxicity string, text2 int")
+    scored = score_documents(docs, model)
+    assert scored.columns == ["doc_id", "text", "__toxicity", "text2", "score"]
+    kept = keep_below(docs, model)
+    assert kept.schema == docs.schema
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect()} - {tuple(r) for r in docs.join(scored.where(F.col("score") >= THRESHOLD).select("doc_id"), "doc_id", "left_semi").collect()}
+    assert 0 < kept.count() < 40 and keep_below(docs.limit(0), model).count() == 0
