@@ -16,16 +16,14 @@ from palimpsest.llm.lines import dedup_lines
 from palimpsest.llm.mixing import mix_documents
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.similar import drop_near_duplicates
-from palimpsest.llm.toxicity import THRESHOLD, fit, score_documents
+from palimpsest.llm.toxicity import THRESHOLD, fit, keep_below
 
 CAPACITY = 2048
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold. The classifier learns from the labels of documents that are not held out."""
-    score = "__toxicity"
-    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")), score)
-    return scored.where(F.col(score) < THRESHOLD).drop(score)
+    return keep_below(docs, fit(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
