@@ -63,9 +63,24 @@ def test_toxicity_keeps_rows_whole(stages):
 
 
 def test_edge_documents(spark, sf_dir):
-    rows = [(1, None, "en", None, 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "some text of a row without id", None, "a", None), (5, "x " * 100_000, "en", "b", 200_000)]
-    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
-    for docs_ in (docs, docs.where("false")):
-        for _, stage in P.STAGES:
-            docs_ = materialise(stage(spark, docs_, sf_dir), "edge")
-        docs_.collect()
+    """What each stage makes of nulls, empty, long and repeated rows, with extra columns of clashing names."""
+    long = "x " * 100_000
+    rows = [(1, None, "en", None, 0, "a", 1), (2, "", "en", "a", 0, "b", 2), (2, "", "en", "a", 0, "b", 2), (None, "some text of a row without id", None, "a", None, None, None), (5, long, "en", "b", 200_000, "c", 3)]
+    schema = f"{', '.join(f'{n} {t}' for n, t in table(spark, sf_dir, 'documents').dtypes)}, score string, __toxicity int"
+    docs = spark.createDataFrame(rows, schema)
+    after = {}
+    for name, stage in P.STAGES:
+        docs = after[name] = materialise(stage(spark, docs, sf_dir), "edge")
+    key = lambda r: (r[0] or 0, r[1] or "")
+    got = {name: sorted(map(tuple, df.collect()), key=key) for name, df in after.items() if name != "packing"}
+    assert all(after[n].schema == spark.createDataFrame([], schema).schema for n in got)
+    assert got["toxicity"] == sorted(rows, key=key)  # none of them is toxic
+    # Null and empty texts are one empty line; a line is dropped only where a smaller id has it; n_chars follows the text.
+    assert got["line_dedup"] == sorted(((*r[:4], None if r[1] is None else len(r[1]), *r[5:]) for r in rows), key=key)
+    assert got["near_duplicates"] == got["line_dedup"]  # rows without an id or without words have no class and stay
+    before = Counter(got["near_duplicates"])
+    assert all(n <= 3 * before[r] for r, n in Counter(got["mixing"]).items())
+    packed = after["packing"].collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in got["mixing"])
+    for name, stage in P.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), sf_dir).count() == 0, name
