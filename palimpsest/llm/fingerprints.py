@@ -1,15 +1,20 @@
 """Order MinHash fingerprints: signatures that follow the edit distance of texts, not only their sets of words.
 
 The k-mers of a text are its runs of `K` words (all of it, if it has fewer). A k-mer that occurs again is told apart by
-its occurrence number. Each (k-mer, occurrence) has one hash; its first bits pick one of `SLOTS` slots, and in each slot
-the `TUPLE` smallest hashes are selected, put back into their order in the text and hashed together. Texts that share
-k-mers in another order therefore differ. One hash a k-mer, dealt to slots, stands for independent hash functions.
+its occurrence number. Each of `SLOTS` slots has an order of its own over all k-mers there can be; the first `TUPLE` of the text's in that order
+are selected, put back into their order in the text and hashed together. Texts that share k-mers in another order therefore differ.
+
+A slot's order: in round 0, 1, 2, ... every (k-mer, occurrence) has a hash, whose first bits deal it to one slot; a slot
+has the k-mers of earlier rounds before those of later ones, by hash within a round, and a k-mer where it comes first.
+So rounds beyond those that fill the slots of a text change nothing, and long texts need one round only. A text of n k-mers
+goes through 1 + 511 div n rounds, some eight k-mers a slot; a slot that has fewer than two by then (one in 300) makes do
+with what it has.
 
 A fingerprint is the list of the filled slots, `slot number (2 hex digits) + hash (8 hex digits)`, by comma. The
 likeness of two is the share of slots filled in either on which they agree.
 
-All of it is SQL expressions on the row, none of it shuffles. Within a text, hash and position share one long (38 and
-26 bits), so that selecting is sorting longs; beyond 2^26 words positions saturate.
+All of it is SQL expressions on the row, none of it shuffles. Within a text, slot, round, hash and position share one long (6 bits, 1 or 10, 31 or
+22, and 26), so that selecting is sorting longs; beyond 2^26 words positions saturate.
 
 Null texts are empty; an empty text is one empty k-mer and has a fingerprint. Equal texts have equal fingerprints.
 """
@@ -23,6 +28,8 @@ from .common import materialise, text_of
 
 K, SLOTS, TUPLE = 3, 64, 2
 POSITION_BITS = 26
+#: K-mers, over all rounds, that fill the slots of a text.
+FILLED = 512
 #: Documents of a range, on average, when neighbours are looked up; quantiles of the ids that set the ranges; ranges of a block.
 RANGE_ROWS = 1000
 CELLS = 4096
@@ -40,10 +47,16 @@ def fingerprint_sql(text: str) -> str:
     packed = f"sort_array(transform(sequence(0, greatest(size(w) - {K}, 0)), i -> (xxhash64({parts}) & ~{mask}L) | least(i, {mask})))"
     starts = f"filter(sequence(0, size(s) - 1), j -> j = 0 OR shiftright(s[j], {POSITION_BITS}) != shiftright(s[greatest(j - 1, 0)], {POSITION_BITS}))"
     numbers = "if(size(r) = size(s), array(), flatten(transform(r, (a, n) -> sequence(0, coalesce(get(r, n + 1), size(s)) - a - 1))))"
-    hashed = f"sort_array(transform(s, (x, j) -> (xxhash64(shiftright(x, {POSITION_BITS}), coalesce(get(o, j), 0)) & ~{mask}L) | (x & {mask}L)))"
+    # Slot, a zero bit and the hash in the first round; slot, a one bit, round and hash in later ones.
+    drawn = f"xxhash64(shiftright(s[i % size(s)], {POSITION_BITS}), coalesce(get(o, i % size(s)), 0), i div size(s))"
+    first = f"{drawn} & {-(1 << 64 - 6) | (1 << 57) - 1 & ~mask}L"
+    later = f"({drawn} & {-(1 << 64 - 6) | (1 << 48) - 1 & ~mask}L) | {1 << 57}L | shiftleft(i div size(s), 48)"
+    hashed = f"sort_array(transform(sequence(0, size(s) * (1 + {FILLED - 1} div size(s)) - 1), i -> if(i < size(s), {first}, {later}) | (s[i % size(s)] & {mask}L)))"
     slot = "shiftrightunsigned({}, 58)"
     edges = f"filter(sequence(0, size(v) - 1), j -> j = 0 OR {slot.format('v[j]')} != {slot.format('v[greatest(j - 1, 0)]')})"
-    mine = f"filter(slice(v, e + 1, {TUPLE}), x -> {slot.format('x')} = {slot.format('v[e]')})"
+    # The first k-mers of a slot, each where it comes first: equal positions are one k-mer in two rounds, and only short texts have those.
+    others = f"filter(slice(v, e + 2, if(size(s) >= {FILLED}, {TUPLE - 1}, 64)), x -> {slot.format('x')} = {slot.format('v[e]')} AND x & {mask}L != v[e] & {mask}L)"
+    mine = f"concat(array(v[e]), slice({others}, 1, {TUPLE - 1}))"
     in_order = f"sort_array(transform({mine}, x -> shiftleft(x & {mask}L, {rest}) | shiftrightunsigned(x, {POSITION_BITS})))"
     code = f"transform({in_order}, x -> x & {(1 << rest) - 1}L)"
     entry = f"concat(lpad(lower(hex({slot.format('v[e]')})), 2, '0'), lpad(lower(hex(xxhash64({code}) & 4294967295L)), 8, '0'))"

@@ -190,11 +190,11 @@ def test_fingerprint_follows_order(spark):
     assert got[0] == 1.0 and got[1] > 0.85 and 0.15 < got[2] < got[1] and got[3] == 0 and 0 < got[4] < 1 and got[5] == 1.0
 
 
-def test_fingerprint_by_hand(spark):
-    """The SQL against a plain selection: occurrence-numbered k-mers, two smallest hashes a slot, text order."""
-    text = "a b c a b c a b c d e f a b c " * 3 + "z y x " * 20 + "one two three four five six seven eight nine ten"
+@pytest.mark.parametrize("text", ["a b c a b c a b c d e f a b c " * 3 + "z y x " * 20 + "one two three four five six seven eight nine ten", "one two", "a b c d", "x y z w " * 2, " ".join(f"w{i * i % 331}" for i in range(900))])
+def test_fingerprint_by_hand(spark, text):
+    """The SQL against a plain selection: each slot's order over occurrence-numbered k-mers, its first two in text order."""
     words = text.split()
-    kmers = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    kmers = [tuple(words[i : i + 3] + [None] * (3 - len(words[i : i + 3]))) for i in range(max(1, len(words) - 2))]
     df = spark.createDataFrame([(i, *k) for i, k in enumerate(kmers)], "i int, a string, b string, c string")
     mask = (1 << 26) - 1
     hashes = [r.h & ~mask for r in df.select("i", F.xxhash64("a", "b", "c").alias("h")).orderBy("i").collect()]
@@ -202,21 +202,71 @@ def test_fingerprint_by_hand(spark):
     for i, h in enumerate(hashes):
         numbered.append((i, h >> 26, seen[h]))
         seen[h] += 1
-    keyed = spark.createDataFrame(numbered, "i int, h long, o int").select("i", F.xxhash64("h", "o").alias("g")).collect()
+    rounds = 1 + 511 // len(kmers)
+    keyed = spark.createDataFrame([(*x, r) for x in numbered for r in range(rounds)], "i int, h long, o int, r long").select("i", "r", F.xxhash64("h", "o", "r").alias("g")).collect()
     slots = defaultdict(list)
-    for r in keyed:
-        slots[(r.g % 2**64) >> 58].append((r.g & ~mask, r.i))
+    for x in keyed:
+        g = x.g % 2**64
+        slots[g >> 58].append((x.r, (g >> 26) % 2**31 if x.r == 0 else (g >> 26) % 2**22, x.i))
     want = []
     for slot, found in slots.items():
-        two = sorted(sorted(found)[:2], key=lambda x: x[1])
-        code = [(((g % 2**64) >> 26) & (2**38 - 1)) for g, _ in two]
-        want.append((slot, code))
+        firsts = {}
+        for x in sorted(found):
+            firsts.setdefault(x[2], x)
+        two = sorted(list(firsts.values())[:2], key=lambda x: x[2])
+        want.append((slot, [slot << 32 | (h if r == 0 else 1 << 31 | r << 22 | h) for r, h, _ in two]))
     table = spark.createDataFrame(want, "s int, c array<long>").select("s", (F.xxhash64("c").bitwiseAND(F.lit(0xFFFFFFFF))).alias("h")).collect()
     expected = ",".join(sorted(f"{r.s:02x}{r.h:08x}" for r in table))
     assert len(want) <= SLOTS
     assert spark.createDataFrame([(text.strip(),)], "t string").select(fingerprint("t").alias("f")).first().f == expected
 
 
+def independent_minima(a, b, functions=200):
+    """Likeness under Order MinHash with a hash function of its own for each of many tuples."""
+    import random
+
+    def numbered(text):
+        words, seen, out = text.split(), Counter(), []
+        for i in range(len(words) - 2):
+            k = tuple(words[i : i + 3])
+            out.append((*k, seen[k]))
+            seen[k] += 1
+        return out
+
+    x, y = numbered(a), numbered(b)
+    rng, same = random.Random(11), 0
+    universe = sorted({*x, *y})
+    for _ in range(functions):
+        order = dict(zip(universe, rng.sample(range(len(universe)), len(universe)), strict=True))
+        picked = []
+        for k in (x, y):
+            two = sorted(range(len(k)), key=lambda i: order[k[i]])[:2]
+            picked.append([k[i] for i in sorted(two)])
+        same += picked[0] == picked[1]
+    return same / functions
+
+
+def test_order_counts_in_texts_of_any_length(spark):
+    """Blocks of ten words shuffled, and halves swapped: as far apart as under independent hash functions, from 40 words on."""
+    import random
+
+    rng, pairs = random.Random(7), []
+    for n in (40, 80, 160, 400, 1500):
+        for _ in range(20):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            blocks = [words[i : i + 10] for i in range(0, n, 10)]
+            rng.shuffle(blocks)
+            pairs += [(n, "blocks", " ".join(words), " ".join(w for b in blocks for w in b)), (n, "halves", " ".join(words), " ".join(words[n // 2 :] + words[: n // 2]))]
+    df = spark.createDataFrame(pairs, "n int, kind string, a string, b string").select("n", "kind", "a", "b", fingerprint("a").alias("x"), fingerprint("b").alias("y"))
+    rows, got, want = df.select("n", "kind", "a", "b", likeness(F.col("x"), F.col("y")).alias("l")).collect(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        got[r.n, r.kind].append(r.l)
+        want[r.n, r.kind].append(independent_minima(r.a, r.b, 100 if r.n < 1500 else 30))
+    mean = lambda x: sum(x) / len(x)
+    table = {k: (round(mean(got[k]), 2), round(mean(want[k]), 2)) for k in got}
+    assert all(abs(a - b) <= 0.1 for a, b in table.values()), table
+
+
 def test_clashing_names(spark):
     """Extra columns with names that the operators use inside, or give out, are carried through or replaced, as said there."""
     names = ["__line_row", "__line_drop", "__line_h1", "__mix_size", "__mix_hash", "__source", "__draw", "__range", "__place", "__rest", "shard", "slot", "a.b"]
