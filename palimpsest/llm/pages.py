@@ -7,12 +7,12 @@ another class fits between two of its tokens or not at all. The class that occur
 valid classes that stand in one of its gaps on every page nest in it. The gaps between frame tokens, and the nested classes in them, are slots.
 
 The template decides what is extracted. Texts are tokens too: a block that most pages (three at least, exact copies
-counted once) hold at the same path is the template's. Of the frame's elements, the article's container is the smallest one
+counted once) hold at the same path is the template's; near copies of one story count once too. Of the frame's elements, the article's container is the smallest one
 that holds at least half of what remains over all pages of the group, outside links (`container`); it is widened by
 headings beside it. On a page, the container's slots are the main text. Names are tests on slots: elements that are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by their name, class or id are left out
-of all sums and results; an element that names the article weighs `NAMED` times its text when the container is
-chosen, and inside a container only what such elements hold is kept, with what every page repeats. Names decide alone on pages without
+of all sums and results (a class that puts most of the text or an <article> aside counts for nothing: it names a layout); an element that names the article weighs `NAMED` times its text when the container is
+chosen, and where a container holds such elements, only their slots are kept. What the template repeats goes from them too, and so do slots of links. Names decide alone on pages without
 a container: single pages of a host, and pages that lack it. README.md has the figures.
 
 Groups: the pages of a host, cut by a hash of page_id into parts of about `GROUP_PAGES`, so that a host with a third
@@ -40,7 +40,7 @@ from .batches import in_slices
 from .common import materialise
 
 GROUP_PAGES = 64
-#: Slots with a smaller share of their text outside links are menus, where no element names the article.
+#: Slots with a smaller share of their text outside links are menus.
 LEAST_PLAIN = 0.5
 #: Weight of the text of elements that name the article, where the container is chosen.
 NAMED = 3
@@ -63,13 +63,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 OUTSIDE = frozenset("nav header footer aside form script style noscript template title head button select textarea input dialog menu iframe".split())
 NAMES_ARTICLE = frozenset("article main".split())
-# Words in class and id attributes, and roles.
-ASIDE_WORDS = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|sidebar|aside|rail|widget|related|recommend\w*|"
-    r"breadcrumbs?|menu|nav\w*|topbar|toolbar|masthead|header|footer|foot|copyright|legal|comments?|comment-?list|replies|reply|disqus|respond|pagination|pager|skip|search\w*|form|tags?)(?:$|[-_ ])",
-    re.I,
+# Words in class and id attributes, and roles. A class is cut at hyphens, underscores and capitals; its first or last word decides.
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar aside "
+    "rail widget widgets related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation topbar toolbar masthead header footer foot copyright legal pagination pager skip search tags tagcloud".split()
 )
-ARTICLE_WORDS = re.compile(r"(?:^|[-_ ])(?:article|article-?body|post|post-?body|post-?content|entry|entry-?content|main|main-?content|content|story|story-?body|body-?text)(?:$|[-_ ])", re.I)
+#: These decide as the last word only: a form's parts, not what is named after a form.
+LAST_WORDS = frozenset({"form"})
+#: Readers' words: out wherever they stand in a class.
+COMMENT_WORDS = frozenset("comment comments commentlist replies reply disqus respond".split())
+#: A class that begins with one of these says how something looks or is filed, not what it is.
+MODIFIERS = frozenset("has with without no is not tag category cat type format status lang js page-template layout theme".split())
+#: What these begin with belongs to the article, its header and title as well.
+ARTICLE_STEMS = frozenset("article post entry story content main body page".split())
+HEAD_WORDS = frozenset("header head title heading".split())
+ARTICLE_CLASS = re.compile(r"(?:article|article-?body|article-?content|post|post-?body|post-?content|entry|entry-?content|main|main-?content|content|story|story-?body|body-?text|hentry|markdown-?body)\Z", re.I)
+_CLASS_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -95,8 +104,22 @@ def element(token: str) -> str:
     return token.rsplit("/", 1)[1].split("#")[0]
 
 
+def class_says(name: str) -> str:
+    """What one class or id says of its element: comments, out, in, or nothing."""
+    words = [w.lower() for w in _CLASS_WORD.findall(name)]
+    if not words:
+        return ""
+    if not COMMENT_WORDS.isdisjoint(words) and words[0] not in MODIFIERS:
+        return "comments"
+    if ARTICLE_CLASS.match(name):
+        return "in"
+    if words[0] in MODIFIERS or words[0] in ARTICLE_STEMS and words[-1] in HEAD_WORDS and len(words) > 1:
+        return ""
+    return "out" if words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS or words[-1] in LAST_WORDS else ""
+
+
 def _role(name: str, attributes: str) -> str:
-    """out: never article; in: names the article; or neither."""
+    """out: never article; aside: not article by its class or id, unless the template says otherwise; in: names the article; or nothing."""
     if name in OUTSIDE:
         return "out"
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -104,15 +127,14 @@ def _role(name: str, attributes: str) -> str:
         return "out"
     if name in ("html", "body"):
         return ""
+    says = {class_says(c) for c in (*found.get("class", "").split(), *found.get("id", "").split())}
     if name in NAMES_ARTICLE or found.get("role", "").lower() in ("main", "article"):
-        return "out" if ASIDE_WORDS.search(found.get("class", "")) or ASIDE_WORDS.search(found.get("id", "")) else "in"
-    for value in (found.get("class", ""), found.get("id", "")):
-        if value and ASIDE_WORDS.search(value):
-            return "out"
-    for value in (found.get("class", ""), found.get("id", ""), found.get("itemprop", "")):
-        if value and ARTICLE_WORDS.search(value):
-            return "in"
-    return ""
+        return "out" if "comments" in says and name != "main" and "in" not in says else "in"
+    if "comments" in says:
+        return "out"
+    if "out" in says:
+        return "aside"
+    return "in" if "in" in says or ARTICLE_CLASS.match(found.get("itemprop", "")) else ""
 
 
 def read_page(source: str) -> Page:
@@ -183,7 +205,9 @@ def read_page(source: str) -> Page:
         path = f"{upper}/{name}"
         if len(path) > PATH_CHARS:
             path = f"~{hashlib.blake2b(upper.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}/{name}"
-        token = page.add(path, _role(name, attributes or ""), inner())
+        # An article's own header holds its title.
+        inside = name == "header" and any(n == "article" for n, *_ in stack)
+        token = page.add(path, _role("div" if inside else name, attributes or ""), inner())
         if name == "br":
             page.texts.append((inner(), links > 0, block, " "))
         if name in VOID or (attributes or "").endswith("/"):
@@ -289,9 +313,28 @@ def block_texts(page: Page) -> dict[int, tuple[str, str]]:
 
 
 def template_texts(pages: list[Page]) -> set[tuple[str, str]]:
-    """Paths and texts of the blocks that most of the pages hold; the pages must be distinct."""
-    holders = Counter(t for p in pages for t in set(block_texts(p).values()))
-    return {t for t, n in holders.items() if n >= LEAST_PAGES and 2 * n > len(pages)}
+    """Paths and texts of the blocks that most of the stories hold. Pages that have half of their blocks, outside what most pages have, in common are one story:
+    near copies of an article share its paragraphs, and that makes them no template."""
+    blocks = [set(block_texts(p).values()) for p in pages]
+    holders = Counter(t for own in blocks for t in own)
+    common = {t for t, n in holders.items() if n >= LEAST_PAGES and 2 * n > len(pages)}
+    if not common:
+        return common
+    leaders: list[set[tuple[str, str]]] = []
+    stories: list[int] = []
+    for page, own in zip(pages, blocks, strict=True):
+        # A page is known by the blocks that few others have, or by all if those are less than a quarter of them.
+        states, texts = _states(page), block_texts(page)
+        plain = {texts[block] for token, link, block, _ in page.texts if block in texts and not link and (token < 0 or not states[token][0])}
+        known = plain - common
+        known = known if 4 * len(known) >= len(plain) else plain
+        near = next((i for i, x in enumerate(leaders) if 2 * len(x & known) >= max(1, min(len(x), len(known)))), None)
+        if near is None:
+            near = len(leaders)
+            leaders.append(known)
+        stories.append(near)
+    told = Counter(t for story in set(stories) for t in set().union(*(own & common for own, at in zip(blocks, stories, strict=True) if at == story)))
+    return {t for t in common if told[t] >= LEAST_PAGES and 2 * told[t] > len(leaders)}
 
 
 def _joined(parts: list[tuple[int, str]]) -> str:
@@ -313,7 +356,33 @@ def _inherited(page: Page, start, step) -> list:
 
 def _states(page: Page) -> list[tuple[bool, bool]]:
     """(left out, names the article) of each token and what is around it."""
-    return _inherited(page, (False, False), lambda above, i: (above[0] or page.roles[i] == "out", above[1] or page.roles[i] == "in"))
+    return _inherited(page, (False, False), lambda above, i: (above[0] or page.roles[i] in ("out", "aside"), above[1] or page.roles[i] == "in"))
+
+
+def settle_asides(pages: list[Page]) -> None:
+    """Elements that only their class puts aside stay in where they hold an element that is the article by its name, or, over all
+    pages, at least half of the text outside links: such a class names a layout."""
+    total, held, holds_article = 0, Counter(), set()
+    for page in pages:
+        hard = _inherited(page, False, lambda above, i, page=page: above or page.roles[i] == "out")
+        own = [0] * len(page.tokens)
+        for token, link, _, part in page.texts:
+            if token >= 0 and not hard[token] and not link:
+                own[token] += len(part.strip())
+        total += sum(own)
+        named = [element(t) in NAMES_ARTICLE and r == "in" and not h for t, r, h in zip(page.tokens, page.roles, hard, strict=True)]
+        for i in range(len(page.tokens) - 1, -1, -1):
+            if page.roles[i] == "aside":
+                held[page.tokens[i]] += own[i]
+                if named[i]:
+                    holds_article.add(page.tokens[i])
+            if page.parents[i] >= 0:
+                own[page.parents[i]] += own[i]
+                named[page.parents[i]] = named[page.parents[i]] or named[i]
+    for page in pages:
+        for i, (token, role) in enumerate(zip(page.tokens, page.roles, strict=True)):
+            if role == "aside" and (token in holds_article or 2 * held[token] >= max(1, total)):
+                page.roles[i] = ""
 
 
 def container(pages: list[Page], frame: set[str], repeated: set[tuple[str, str]]) -> str | None:
@@ -358,7 +427,7 @@ def container(pages: list[Page], frame: set[str], repeated: set[tuple[str, str]]
         return n
 
     found = min((t for t in fit if t in named) if any(t in named for t in fit) else fit, key=lambda t: (held[t], -depth(t), t))
-    while (upper := above.get(found, "")) in held and element(upper) not in ("html", "body") and found not in named and held[upper] - held[found] == headings[upper] - headings[found]:
+    while (upper := above.get(found, "")) in held and element(upper) not in ("html", "body") and (found not in named or upper in named) and held[upper] - held[found] == headings[upper] - headings[found]:
         found = upper
     return found
 
@@ -371,7 +440,7 @@ def slot_text(page: Page, chosen: str | None, nested: dict[str, int], repeated:
     states, slots = _states(page), _slots(page, nested)
     kept = [(states[token][1], slots[token], block, part) for token, _, block, part in page.texts if token >= 0 and inside[token] and not states[token][0]]
     if any(named and part.strip() for named, _, _, part in kept):
-        return _joined([(block, part) for named, _, block, part in kept if named])
+        kept = [k for k in kept if k[0]]
     texts = block_texts(page)
     return _joined([(block, part) for _, slot, block, part in kept if texts.get(block) not in repeated and slot in plain_slots]) or None
 
@@ -416,6 +485,7 @@ def main_text(page: Page, frame: set[str], nested: dict[str, int] | None = None,
 def group_texts(sources: list[str]) -> list[str]:
     """The main texts of the pages of one group."""
     read = [read_page(h) for h in sources]
+    settle_asides(read)
     frame, nested = template(read)
     distinct = list(dict(zip(sources, read, strict=True)).values())
     repeated = template_texts(distinct)

@@ -3,13 +3,13 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.pages import container, equivalence_classes, extract_main_text, group_texts, main_text, read_page, template, template_frame, template_texts
+from palimpsest.llm.pages import class_says, container, equivalence_classes, extract_main_text, group_texts, main_text, read_page, template, template_frame, template_texts
 
 RICH = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="page">
 <div id="cookie-banner">We use cookies <button>OK</button></div><header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
 <aside class=sidebar><p>Side</p></aside><div class="ad">Buy</div>
 <article class="post"><h1>Title&nbsp;{n}</h1><p><b>First &amp; <i>second</i> para{n}.<br><p>Line
-one   two<br>three</p><div class="ad-slot">Advert</div><ul><li>Item one<li>Item <a href="x">two</a></ul><form><input>Send</form><!-- note --><blockquote>Quote &#8212; x</blockquote>
+one   two<br>three{n}</p><div class="ad-slot">Advert</div><ul><li>Item {n} one<li>Item {n} <a href="x">two</a></ul><form><input>Send</form><!-- note --><blockquote>Quote &#8212; x{n}</blockquote>
 <section id="comments"><h2>Comments</h2><p>Nice!</p></section></article>
 <div class="comments"><p>reader comment</p></div><footer>&copy; me</footer></body></html>"""
 BARE = """<html><body><div class=top><a href=1>Home</a> <a href=2>News</a></div><div id=c{i}x><h2>Story {n}</h2><p>Body text number {n} is here.<p>And more {n}.</div><div class=bottom><a href=3>About</a></div>"""
@@ -18,7 +18,7 @@ BARE = """<html><body><div class=top><a href=1>Home</a> <a href=2>News</a></div>
 def test_rich_page():
     page = read_page(RICH.format(n=7))
     for frame in (set(), template_frame([page]), template_frame([page] + [read_page(RICH.format(n=i)) for i in range(5)])):
-        assert main_text(page, frame) == "Title 7\nFirst & second para7.\nLine one two three\nItem one\nItem two\nQuote — x"
+        assert main_text(page, frame) == "Title 7\nFirst & second para7.\nLine one two three7\nItem 7 one\nItem 7 two\nQuote — x7"
 
 
 def test_page_without_names():
@@ -44,7 +44,7 @@ def test_any_markup(parts):
 def test_pages(spark):
     rows = [(i, f"http://h.example/{i}", RICH.format(n=i), "x") for i in range(200)] + [(1000, None, None, "x"), (1001, "http://q.example/", "", "x"), (1001, "http://q.example/", "", "x"), (None, "nonsense", "<article>a<p>b", "x"), (1002, "http://l.example", "<article><p>" + "long text " * 50_000 + "</article>", "x")]
     got = Counter((r.page_id, r.url, r.text) for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(4)).collect())
-    want = Counter((i, f"http://h.example/{i}", f"Title {i}\nFirst & second para{i}.\nLine one two three\nItem one\nItem two\nQuote — x") for i in range(200))
+    want = Counter((i, f"http://h.example/{i}", f"Title {i}\nFirst & second para{i}.\nLine one two three{i}\nItem {i} one\nItem {i} two\nQuote — x{i}") for i in range(200))
     want += Counter([(1000, None, ""), (1001, "http://q.example/", ""), (1001, "http://q.example/", ""), (None, "nonsense", "a\nb"), (1002, "http://l.example", ("long text " * 50_000).strip())])
     assert got == want
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -115,3 +115,51 @@ def test_deep_pages_take_memory_in_proportion():
         tracemalloc.stop()
         assert main_text(page, set()) == "\n".join(f"text {i}" for i in range(depth))
     assert took[1] < 6 * took[0]
+
+
+def article(n):
+    """A story of its own: paragraphs, and a heading."""
+    return f"Story {n}", [f"Paragraph {k} of story {n} has words of its own, {n * 7 + k} of them." for k in range(3 + n % 3)]
+
+
+BLOG = """<html><body class="home blog has-sidebar"><header id="masthead" class="site-header"><h2 class="site-title">My blog</h2></header><div id="page" class="hfeed site sidebar-layout"><div class="content-area with-footer">
+<article id="post-{n}" class="post-{n} post type-post status-publish format-standard hentry category-news tag-python tag-menu"><header class="entry-header"><h1 class="entry-title">{title}</h1></header>
+<div class="entry-content clearfix">{body}<p>This post may hold affiliate links, see our terms.</p><ul class="more"><li><a href="/x{n}">Read story {n} next</a></li><li><a href="/y{n}">Or story {n} b</a></li></ul><div class="sharedaddy share-buttons"><p>Share this {n}</p></div></div>
+<footer class="entry-footer"><p>Posted in news {n}</p></footer></article><div id="comments" class="comments-area"><ol class="comment-list"><li><article id="div-comment-{n}" class="comment-body"><p>A reader says {n} things.</p></article></li></ol></div></div>
+<aside id="secondary" class="widget-area"><p>Recent posts {n}</p></aside></div><footer id="colophon" class="site-footer"><p>Proudly {n}</p></footer></body></html>"""
+CMS = """<html><body><div class="navbar-fixed page-wrapper"><div class="region region-header"><p>Portal {n}</p></div><main class="l-main main--with-sidebar"><div class="node node--type-article node--view-mode-full" id="node-{n}"><h1 class="page-header">{title}</h1>
+<div class="field field--name-body">{body}</div></div></main><div class="region-sidebar-first"><p>Blocks {n}</p></div><div class="cookie-consent"><p>We use {n} cookies</p></div></div></body></html>"""
+DOCS = """<html><body><div class="md-header__inner"><p>Docs {n}</p></div><div class="theme-doc sidebarLeft-layout"><nav class="menu"><a href=/>x</a></nav><div role="main" class="document has-toc"><h1>{title}</h1>{body}<div class="admonition-free"><p>Text of note {n}.</p></div></div>
+<div class="tocSidebar"><p>On this page {n}</p></div></div><div class="pagination-nav"><a href=/n>Next</a></div></body></html>"""
+
+
+def test_usual_class_lists():
+    """Markup of blogs, content systems and documentation: layouts, tags and categories in class lists put no article aside."""
+    for markup, more in ((BLOG, []), (CMS, []), (DOCS, ["Text of note {n}."])):
+        for numbers in (range(1, 7), range(1, 2), range(1, 40)):
+            pages, want = [], []
+            for n in numbers:
+                title, body = article(n)
+                pages.append(markup.format(n=n, title=title, body="".join(f"<p>{b}</p>" for b in body)))
+                alone = len(numbers) == 1 and markup is BLOG
+                want.append("\n".join([title, *body, *(["This post may hold affiliate links, see our terms.", f"Read story {n} next", f"Or story {n} b"] if alone else []), *(m.format(n=n) for m in more)]))
+            assert group_texts(pages) == want, markup[:60]
+
+
+def test_what_a_class_says():
+    for name, says in {
+        "tag-python": "", "category-news": "", "post-header": "", "entry-title": "", "article__header": "", "has-sidebar": "", "siteHeader": "out", "site-header": "out", "sidebar-left": "out", "share-buttons": "out", "post-tags": "out", "related-posts": "out",
+        "contact-form": "out", "form-text": "", "comment-list": "comments", "postComments": "comments", "no-comments": "", "post": "in", "entry-content": "in", "postBody": "in", "hentry": "in", "": "", "--": "", "main-navigation": "out", "ads": "out", "adsorption": "", "headline": "",
+    }.items():
+        assert class_says(name) == says, name
+
+
+def test_copies_of_a_story_make_no_template():
+    """Three near copies of one article among five pages: what they share is theirs; what five stories share is the template's."""
+    story = "".join(f"<p>Shared paragraph {k}.</p>" for k in range(6))
+    pages = [f"<body><nav>n</nav><article><h1>Copy {i}</h1>{story}<p>All pages say this.</p></article></body>" for i in range(3)]
+    pages += [f"<body><nav>n</nav><article><h1>Other {i}</h1>{''.join(f'<p>Text {i} {k}.</p>' for k in range(5))}<p>All pages say this.</p></article></body>" for i in range(3)]
+    got = group_texts(pages)
+    assert got[0] == "\n".join(["Copy 0", *(f"Shared paragraph {k}." for k in range(6))])
+    assert got[4] == "\n".join(["Other 1", *(f"Text 1 {k}." for k in range(5))])
+    assert "All pages say this." in group_texts(pages[:3])[0] and "Shared paragraph 5." in group_texts(pages[:3])[0]
