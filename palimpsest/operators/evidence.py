@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..shared import stored
+from .vector_index import near_nodes
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], how: str = "inner") -> DataFrame:
@@ -35,68 +35,33 @@ def verdict(grounded: Column, supported: Column, corrected: Column, least: float
 def greedy_dedupe(items: DataFrame, key: str, vector: str, order: list[Column | str], threshold: float, within: list[str] | None = None) -> DataFrame:
     """Keep an item iff its cosine with every item kept before it is at most the threshold.
 
-    Pairs above the threshold are found first, in parallel (`near_pairs`), with the place of both in the order. Then rounds of joins over
+    Of items with equal vectors only the first can be kept (where the vector's own product is above the threshold), so one row stands for
+    them. Pairs above the threshold are found first, in parallel (`near_nodes`), with the place of both in the order. Then rounds of joins over
     these pairs decide: an item whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour is dropped. Each round
     decides at least the first open item of every chain, and is a table in the shared folder, so nothing is folded in
     one task. `order` is of values that rise; `within` names columns that cut the items into independent groups; keys must be unique.
     """
-    from ..streaming import fresh_dir
-
-    spark, keys = items.sparkSession, within or []
-    ranked = items.select(*keys, F.col(key).alias("__key"), F.col(vector).alias("__vector"), F.struct(*order, F.col(key)).alias("__at"))
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = fresh_dir(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    found = near_pairs(ranked, "__key", "__vector", threshold, keys)
-    places = ranked.select("__key", "__at")
+    keys = within or []
+    at = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate([*order, key])))
+    ranked = items.select(*keys, F.col(key).alias("__key"), F.col(vector).alias("__vector"), at.alias("__at"))
+    own = F.aggregate("__vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    alike = ranked.where(own > threshold).groupBy(*keys, "__vector").agg(F.min(F.struct("__at", "__key")).alias("__first"))
+    firsts = alike.select(*keys, F.col("__first.__key").alias("__key"), "__vector", F.col("__first.__at").alias("__at"))
+    nodes = stored(ranked.where(F.coalesce(own <= threshold, F.lit(False))).unionByName(firsts), "nodes")
+    found = near_nodes(nodes, "__key", "__vector", threshold, keys)
+    places = nodes.select("__key", "__at")
     met = found.join(places.select(F.col("__key").alias("a"), F.col("__at").alias("__x")), "a").join(places.select(F.col("__key").alias("b"), F.col("__at").alias("__y")), "b")
     first = F.col("__x") < F.col("__y")
     open_pairs = stored(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("after")))
-    gone = None
+    gone = stored(ranked.where(own > threshold).join(nodes, "__key", "left_anti").select(F.col("__key").alias("k")))
     while not open_pairs.isEmpty():
         # Kept: those that no open pair puts after another. Their later neighbours are dropped, and with them all pairs of either.
         kept = open_pairs.select(F.col("before").alias("k")).join(open_pairs.select(F.col("after").alias("k")), "k", "left_anti").distinct()
         lost = stored(open_pairs.join(kept, F.col("before") == F.col("k"), "left_semi").select(F.col("after").alias("k")).distinct())
-        gone = lost if gone is None else gone.unionByName(lost)
+        gone = gone.unionByName(lost)
         left = open_pairs.join(lost, F.col("after") == F.col("k"), "left_anti").join(lost, F.col("before") == F.col("k"), "left_anti")
         open_pairs = stored(left)
-    return items if gone is None else items.join(gone.select(F.col("k").alias(key)), key, "left_anti").select(*items.columns)
-
-
-#: Vectors of a block.
-BLOCK = 1024
-
-
-def near_pairs(items: DataFrame, key: str, vector: str, threshold: float, within: list[str] | None = None) -> DataFrame:
-    """a, b (a before b by key), similarity above the threshold. Null vectors have no pairs, nor have those of other lengths.
-
-    Every pair is compared, since hashing would lose some at low thresholds: items are dealt into blocks by a hash, and each two
-    blocks meet in one group, whose task holds two blocks and their matrix product.
-    """
-    keys = within or []
-    blocks = max(1, -(-items.count() // BLOCK))
-    slim = items.where(F.col(vector).isNotNull()).select(*keys, F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("w"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("p"))
-    dealt = slim.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "w", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "k", "v")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.p == rows.i.iloc[0]], rows[rows.p == rows.j.iloc[0]]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in (*keys, "a", "b", "similarity")})
-        x, y = (np.stack(side.v.to_numpy()).astype(np.float64) for side in (left, right))
-        product = x @ y.T
-        at, to = np.nonzero(product > threshold)
-        a, b, similarity = left.k.to_numpy()[at], right.k.to_numpy()[to], product[at, to]
-        if rows.i.iloc[0] == rows.j.iloc[0]:
-            a, b, similarity = (z[a < b] for z in (a, b, similarity))
-        a, b = np.where(a < b, a, b), np.where(a < b, b, a)
-        return pd.DataFrame({c: [rows[c].iloc[0]] * len(a) for c in keys} | {"a": a, "b": b, "similarity": np.round(similarity, 6)})
-
-    kind = items.schema[key].dataType
-    fields = [*(items.schema[c] for c in keys), T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())]
-    return dealt.groupBy(*keys, "w", "i", "j").applyInPandas(compare, T.StructType(fields))
+    return items.join(gone.select(F.col("k").alias(key)), key, "left_anti").select(*items.columns)
 
 
 def rank_score(grounded: Column, hotspot: Column, churn: Column, level: Column, claims: Column, paths: Column) -> Column:

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per group, the first in order. Spark puts a group limit before the shuffle, so each task sends one row a group."""
@@ -51,16 +53,11 @@ def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     Rows are dealt into ranges of the order, stored with the range's number, and numbered inside it; what comes before a range is
     a sum over one row a range.
     """
-    from ..streaming import fresh_dir
-
-    spark, path = df.sparkSession, fresh_dir(df.sparkSession)
-    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    dealt.write.parquet(path)
-    stored = spark.read.schema(dealt.schema).parquet(path)
-    counts = stored.groupBy("__range").agg(F.count("*").alias("__n"))
+    dealt = shared.stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    numbered = stored.withColumn("__place", place).join(F.broadcast(before), "__range")
+    numbered = dealt.withColumn("__place", place).join(F.broadcast(before), "__range")
     return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__place")) / size).cast("int").alias("batch"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import chunks, facts, reports, retrieval
+from ..operators import chunks, facts, reports, retrieval, vector_index
 from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising
 from .base import read, registry
 
@@ -51,6 +51,33 @@ def vector_topk(spark, d):
     return retrieval.vector_topk(e, list(e.where("vec_id = 7").first()["embedding"]), 24).select("vec_id", "similarity")
 
 
+@query("SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY similarity DESC, vec_id LIMIT 24")
+def vector_topk_indexed(spark, d):
+    """SRT-1 through the index: the scan's answer, from the cells that can hold it."""
+    e = read(spark, d, "embeddings")
+    index = vector_index.build_index(e)
+    return vector_index.search(index, list(e.where("vec_id = 7").first()["embedding"]), 24)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)
+SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 24""")
+def vector_neighbours(spark, d):
+    """SRT-1 for many queries, those with an id divisible by 50, against all rows, through the index."""
+    e = read(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return vector_index.search_many(vector_index.build_index(e), asked, 24)
+
+
+@query()
+def vector_recall(spark, d):
+    """SRT-1: for the same queries, the share of the 24 nearest that is found when cells count for nine tenths of their radius."""
+    e = read(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    index = vector_index.build_index(e)
+    exact, near = (vector_index.search_many(index, asked, 24, slack=s).select("query", "vec_id") for s in (1.0, 0.9))
+    return exact.join(near.withColumn("found", F.lit(1)), ["query", "vec_id"], "left").groupBy("query").agg((F.count("found") / F.count("*")).alias("recall"))
+
+
 @query("""WITH u AS (SELECT user_id, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY user_id),
 a AS (SELECT user_id, row_number() OVER (ORDER BY n DESC, user_id) AS r FROM u QUALIFY r <= 50), b AS (SELECT user_id, row_number() OVER (ORDER BY v DESC, user_id) AS r FROM u QUALIFY r <= 50)
 SELECT user_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20""")

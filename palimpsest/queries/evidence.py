@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import jaccard
-from ..operators import evidence, reports, schedule
+from ..operators import evidence, reports, schedule, vector_index
 from ..plans import fan_out
+from ..shared import stored
 from .base import read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -60,7 +61,19 @@ def semantic_dedupe(spark, d):
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4")
 def near_dup_pairs(spark, d):
     """JOI-10."""
-    return evidence.near_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
+    return vector_index.near_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
+
+
+@query("""WITH g AS (SELECT min(vec_id) AS vec_id, embedding::DOUBLE[] AS v, count(*) AS n FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 1)) AS embedding FROM embeddings) GROUP BY embedding)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity, a.n AS copies_a, b.n AS copies_b FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) > 0.085""")
+def near_dup_nodes(spark, d):
+    """JOI-10 over vectors cut to four rounded numbers: equal ones are one node with its number of copies, and pairs are of nodes."""
+    coarse = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1)).alias("embedding"))
+    nodes = stored(vector_index.collapse_equal(coarse, "vec_id", "embedding", []), "nodes")
+    found = vector_index.near_nodes(nodes, "vec_id", "embedding", 0.085)
+    for side in ("a", "b"):
+        found = found.join(nodes.select(F.col("vec_id").alias(side), F.col("copies").alias(f"copies_{side}")), side)
+    return found.select("a", "b", "similarity", "copies_a", "copies_b")
 
 
 @query("""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '')) AS w FROM (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM benchmark)),

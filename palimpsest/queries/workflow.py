@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import streaming
+from .. import shared, streaming
 from ..functions import models, rules, text
 from ..operators import evidence, ledger, reports, sessions, tables
 from .base import read, registry
@@ -16,7 +14,7 @@ QUERIES, ORACLE_SQL, query = registry()
 
 
 def _shared(spark, name: str) -> str:
-    return f"{streaming.fresh_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{shared.fresh_dir(spark)}/{name}"
 
 
 @query("""WITH c AS (SELECT conv_id, turn * 10 + 1 AS a, turn * 10 + 10 AS b, role || turn AS content FROM conversations), q AS (SELECT conv_id AS citation_id, conv_id, 5 AS a, 15 + conv_id % 3 * 10 AS b FROM (SELECT DISTINCT conv_id FROM conversations))

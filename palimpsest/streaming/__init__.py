@@ -6,14 +6,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import fresh_dir
+
 
 def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """The event table as a file stream, its time as an instant."""
@@ -22,31 +20,10 @@ def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Da
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def fresh_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, deleted when the driver's Python ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    path = f"{shared if '://' in shared else f'file://{shared}'}/drained-{uuid.uuid4().hex[:12]}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended already
-        return
-
-
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """append: the rows of all batches; complete: those of the last one."""
     spark = stream.sparkSession
-    path = fresh_dir(spark)
+    path = fresh_dir(spark, "drained")
     batches: list[str] = []
 
     def keep(rows: DataFrame, batch: int) -> None:
