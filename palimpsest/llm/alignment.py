@@ -28,6 +28,7 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -76,6 +77,23 @@ def byte_vocabulary(path: str) -> list[bytes]:
     return [known.get(i, b"") for i in range(max(known) + 1)]
 
 
+def _spelled(ids: list[np.ndarray], vocabulary: np.ndarray, sizes: np.ndarray, want: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each text's ids spell its bytes; `vocabulary` has all ids' bytes in a row, `want` all texts'."""
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+    of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    own = np.bincount(of, weights=sizes[flat], minlength=len(ids)).astype(np.int64)
+    same = own == lengths
+    flat = flat[same[of]]
+    size = sizes[flat]
+    starts = np.cumsum(sizes) - sizes
+    # The place of every byte: where its id's bytes begin, and how far into them it is.
+    at = np.repeat(starts[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    where = np.repeat(np.flatnonzero(same), lengths[same])
+    wrong = vocabulary[at] != want[np.repeat(same, lengths)]
+    same[where[wrong]] = False
+    return same
+
+
 class Aligner:
     """Aligns lists of texts. `a` and `b` are the bytes of each id."""
 
@@ -83,24 +101,26 @@ class Aligner:
         self.a_coder, self.b_coder = encoder(a_path), piece_encoder(b_path)
         self.a, self.b = byte_vocabulary(a_path), self.b_coder.piece_bytes()
         self.a_size, self.b_size = np.array([*map(len, self.a)]), np.array([*map(len, self.b)])
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a, self.b))
         # An id in its place in a group: with what follows it.
         self.shown = [f"{i}{end}".encode() for i in range(len(self.a)) for end in ",|"] + [f"{i}{end}".encode() for i in range(len(self.b)) for end in ",;"]
 
-    def tokens(self, text: str | None, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; none where either's bytes differ from space + text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        a, b = np.frombuffer(self.a_coder.encode(" " + text), "<u4").astype(np.int64), pieces[:, 0].astype(np.int64)
-        want = b" " + text.encode()
-        same = b"".join(map(self.a.__getitem__, a.tolist())) == want and b"".join(map(self.b.__getitem__, b.tolist())) == want
-        return (a, b) if same else (none, none)
+    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B of each text; none where either's bytes differ from space + text."""
+        a = [np.frombuffer(self.a_coder.encode_ranked(" " + t) if t else b"", "<u4") for t in texts]
+        b = [x[:, 0] for x in self.b_coder.encode_all([t or "" for t in texts])]
+        none, want = np.zeros(0, np.int64), [b" " + t.encode() if t else b"" for t in texts]
+        joined = np.frombuffer(b"".join(want), np.uint8)
+        same = np.ones(len(texts), bool)
+        for ids, vocabulary, sizes in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            same &= _spelled(ids, vocabulary, sizes, joined, np.array([*map(len, want)], np.int64))
+        return tuple([x.astype(np.int64) if ok else none for x, ok in zip(ids, same.tolist(), strict=True)] for ids in (a, b))
 
     def align(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """n_a, n_b, n_groups and n_links of each text; group_ids (ids of each group, see `groups_text`); pairs: a * (number of B ids) + b for each link."""
-        found = [self.tokens(*x) for x in zip(texts, self.b_coder.encode_all([t or "" for t in texts]), strict=True)]
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
-        n_a, n_b = (np.array([len(f[i]) for f in found], np.int64) for i in (0, 1))
+        found = self.tokens(texts)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *ids]) for ids in found)
+        n_a, n_b = (np.array([*map(len, ids)], np.int64) for ids in found)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         total = int(a_ends[-1]) + 1 if len(a_ends) else 1
         a_bits, b_bits = Bits.of(a_ends, total), Bits.of(b_ends, total)
@@ -146,7 +166,8 @@ def link_chunks(docs: DataFrame, a_path: str, b_path: str, chunk_links: int = CH
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, links
-            distinct, where, counts = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
+            where, distinct = pd.factorize(np.concatenate(links))
+            counts = np.bincount(where, minlength=len(distinct))
             del links[:]
             name = uuid.uuid4().hex
             width = "<u2" if len(distinct) <= 1 << 16 else "<u4"

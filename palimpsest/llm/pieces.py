@@ -193,6 +193,9 @@ class PieceEncoder:
         #: Words that the map leaves as they are: those of ASCII alone, or all.
         self.plain_ascii, self.plain = not any(k.isascii() for k in known), not known
         self.plain_sizes = np.where(self.is_byte, 1, [len(t.replace(SPACE, " ").encode()) for t in self.texts]).astype(np.uint32)
+        # Of a character spelled in bytes, the last one has its bytes: by the first byte, how many follow.
+        first = np.array([int(t[3:5], 16) if b else 0 for t, b in zip(self.texts, self.is_byte, strict=True)])
+        self.following = np.select([first >= 0xF0, first >= 0xE0, first >= 0xC0], [3, 2, 1], 0)
         self.words = WordCache(lambda w: self.merge(w, False))
 
     def piece_bytes(self) -> list[bytes]:
@@ -217,10 +220,17 @@ class PieceEncoder:
         plain = [w for w in words if self.plain or self.plain_ascii and w.isascii()]
         ids = self.merger.encode([w.replace(" ", SPACE) for w in plain]) if plain else []
         flat = np.fromiter(chain.from_iterable(ids), "<u4")
-        data = np.stack([flat, self.plain_sizes[flat]], axis=1).astype("<u4").tobytes()
+        sizes = self.plain_sizes[flat]
+        for n in (1, 2, 3):
+            lead = np.flatnonzero(self.following[flat] == n)
+            for i in range(n):
+                sizes[lead + i] = 0
+            sizes[lead + n] = n + 1
+        data = np.stack([flat, sizes], axis=1).astype("<u4").tobytes()
         upto = [0, *accumulate(8 * len(x) for x in ids)]
-        odd = set(np.searchsorted(upto, 8 * np.flatnonzero(self.is_byte[flat] | (flat == self.unknown)), side="right").tolist())
-        found = {w: data[upto[i] : upto[i + 1]] for i, w in enumerate(plain) if i + 1 not in odd or w.isascii() and self.unknown not in ids[i]}
+        found = {w: data[upto[i] : upto[i + 1]] for i, w in enumerate(plain)}
+        if (flat == self.unknown).any():  # a run of unknown characters is one piece
+            found = {w: x for w, x, own in zip(found, found.values(), ids, strict=True) if self.unknown not in own}
         return [found[w] if w in found else self.merge(w, False) for w in words]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:

@@ -11,8 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -26,6 +26,12 @@ LONG_WORD = 64
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A space before more white space: the words around it are not independent.
 SPACE_RUN = re.compile(r" \s")
+#: Marks behind a word that are pre-tokens of their own.
+TAILS = (".", ",", "|")
+#: Characters, and lengths of words, for which ranks are not used.
+UNSURE = re.compile("[^\t\n\r -~\xa0-\u024f]|[^\t\n\r ]{1000}")
+#: Fixed value: the pre-tokens of byte-level vocabularies.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = re.compile(r"\s*\S+|\s+")
 
 
@@ -65,8 +71,11 @@ class WordCache(dict):
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        unseen = [w for w in words if w not in self and w not in self.old]
-        self.update(zip(unseen, make_all(unseen), strict=True))
+        absent = [w for w in words if w not in self]
+        self.update((w, self.old[w]) for w in absent if w in self.old)
+        unseen = [w for w in absent if w not in self.old]
+        if unseen:
+            self.update(zip(unseen, make_all(unseen), strict=True))
         self.long = [w for w in unseen if len(w) >= LONG_WORD]
 
 
@@ -90,18 +99,36 @@ class TextEncoder:
             self.encode = self._worded_text
         else:
             self.encode = self.whole
+        self.ranked = self._ranks(spec) if self.encode == self._spaced_text else None
         self.worded = WordCache(self._worded)
         self.spaced = WordCache(lambda w: self._part(" ", w, self.spaced))
         self.bare = WordCache(lambda w: self._part("", w, self.bare))
 
+    @staticmethod
+    def _ranks(spec: dict):
+        """The same merges as ranks, for the tiktoken library, where each merge makes the next id; else None."""
+        import tiktoken
+
+        vocabulary, back = spec["model"]["vocab"], {letter: byte for byte, letter in BYTE_LETTERS.items()}
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        if [vocabulary.get(m) for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        ranks = {bytes(map(back.__getitem__, piece)): i for piece, i in vocabulary.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("ranks", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_ranked(self, text: str) -> bytes:
+        """`encode`, in half of its time: texts of Latin letters, whose pre-tokens any version of Unicode cuts alike, go through the ranks."""
+        if self.ranked is None or UNSURE.search(text):
+            return self.encode(text)
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _letters(self, word: str) -> bytes:
         """One pre-token of letters, straight to the library's merge model."""
         shown = word.replace(" ", BYTE_LETTERS[32]) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     # Words: white space is dropped, case is folded.
     def _worded_text(self, text: str) -> bytes:
@@ -117,7 +144,7 @@ class TextEncoder:
             if unicodedata.is_normalized("NFC", word):
                 low = "".join(map(str.lower, word))
                 return self._letters(low) if low.isalpha() else self.whole(word)
-        elif word[-1] in ".,|" and word[:-1].isalpha() and word[:-1].lower().isalpha():
+        elif word[-1] in TAILS and word[:-1].isalpha() and word[:-1].lower().isalpha():
             return self.worded[word[:-1]] + self.worded[word[-1]]
         return self.whole(word)
 
@@ -133,7 +160,7 @@ class TextEncoder:
     def _part(self, space: str, word: str, own: WordCache) -> bytes:
         if word.isalpha():
             return self._letters(space + word)
-        if word and word[-1] in ".,|" and word[:-1].isalpha():
+        if word and word[-1] in TAILS and word[:-1].isalpha():
             return own[word[:-1]] + self.bare[word[-1]]
         line, newline, rest = word.partition("\n")
         if line and rest and not line[-1].isspace() and not rest[0].isspace():
