@@ -47,8 +47,8 @@ def delete_cascade(tables: dict[str, DataFrame], root: str, gone: DataFrame, lin
     return out
 
 
-def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Add batch: rows numbered in order, `size` a batch (ties in any order).
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the place of each row in order, from 0 (ties in any order).
 
     Rows are dealt into ranges of the order, stored with the range's number, and numbered inside it; what comes before a range is
     a sum over one row a range.
@@ -57,8 +57,13 @@ def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    numbered = dealt.withColumn("__place", place).join(F.broadcast(before), "__range")
-    return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__place")) / size).cast("int").alias("batch"))
+    placed = dealt.withColumn("__place", place).join(F.broadcast(before), "__range")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__place")).alias(name))
+
+
+def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
+    """Add batch: rows numbered in order, `size` a batch (ties in any order)."""
+    return numbered(df, order, "__number").withColumn("batch", F.floor(F.col("__number") / size).cast("int")).drop("__number")
 
 
 def checkpointed(spark: SparkSession, folder: str, stage: str, inputs: str, make) -> DataFrame:

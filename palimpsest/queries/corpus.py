@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import chunks, facts, reports, retrieval, vector_index
+from ..operators import chunks, facts, lexical_index, reports, retrieval, vector_index
 from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising
 from .base import read, registry
 
@@ -45,6 +45,12 @@ def lexical_topk(spark, d):
     return retrieval.lexical_topk(read(spark, d, "documents").select("doc_id", "text"), QUERY, 24).select("doc_id", "hits")
 
 
+@query(f"SELECT doc_id, {HITS_SQL} AS hits FROM documents WHERE {HITS_SQL} > 0 ORDER BY hits DESC, doc_id LIMIT 24")
+def lexical_topk_indexed(spark, d):
+    """FLT-10, AGG-7, SRT-2 through 3-gram postings: the scan's answer, from the texts whose block can hold it."""
+    return lexical_index.search(lexical_index.build_index(read(spark, d, "documents")), QUERY, 24)[0]
+
+
 @query("SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY similarity DESC, vec_id LIMIT 24")
 def vector_topk(spark, d):
     e = read(spark, d, "embeddings")

@@ -182,9 +182,9 @@ def archive_guard(spark, d):
 @query("SELECT 'f' || doc_id || '.txt' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, CASE WHEN strlen(text) BETWEEN 1 AND 409600 THEN sha256(text) END AS sha256, CAST(NULL AS VARCHAR) AS problem FROM documents")
 def archive_files(spark, d):
     """SRC-2: documents packed into ZIPs by source, some 500 an archive, which are then listed, judged, and inflated in spans."""
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit("")))
     parts = docs.groupBy("source").agg(F.ceil(F.count("*") / 500).alias("parts"))
-    archive = F.concat_ws("-", F.lit("s"), F.coalesce("source", F.lit("")), F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    archive = F.concat_ws("-", F.lit("s"), "source", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     files = docs.join(parts, "source").select(archive.alias("archive"), F.expr("'f' || doc_id || '.txt'").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     back = archives.read_archives(archives.write_archives(files))
     return back.select("path", "bytes", F.sha2("data", 256).alias("sha256"), "problem")
