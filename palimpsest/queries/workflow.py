@@ -102,7 +102,7 @@ def stream_job_events(spark, d):
 def stream_payloads(spark, d):
     """STM-1: payloads parsed as they come; what does not parse is dropped."""
     lines = streaming.events_stream(spark, d).select(F.when(F.col("event_id") % 9 == 4, "{broken").otherwise(F.col("props")).alias("value"))
-    return streaming.drain(streaming.parse_events(lines, "k long").groupBy("k").agg(F.count("*").alias("n")), "complete")
+    return streaming.drain(streaming.parse_events(lines, "k long").groupBy("k").agg(F.count("*").alias("n")), "update", ["k"])
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[redacted]' ELSE source END AS scrubbed, array_to_string(regexp_extract_all(lower(text), '[a-z][a-z0-9+#.]{2,}'), ' ') AS terms,
