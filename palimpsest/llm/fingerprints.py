@@ -51,7 +51,10 @@ def fingerprint_sql(text: str) -> str:
     drawn = f"xxhash64(shiftright(s[i % size(s)], {POSITION_BITS}), coalesce(get(o, i % size(s)), 0), i div size(s))"
     first = f"{drawn} & {-(1 << 64 - 6) | (1 << 57) - 1 & ~mask}L"
     later = f"({drawn} & {-(1 << 64 - 6) | (1 << 48) - 1 & ~mask}L) | {1 << 57}L | shiftleft(i div size(s), 48)"
-    hashed = f"sort_array(transform(sequence(0, size(s) * (1 + {FILLED - 1} div size(s)) - 1), i -> if(i < size(s), {first}, {later}) | (s[i % size(s)] & {mask}L)))"
+    again = f"transform(sequence(0, size(s) * (1 + {FILLED - 1} div size(s)) - 1), i -> if(i < size(s), {first}, {later}) | (s[i % size(s)] & {mask}L))"
+    # Long texts have one round, without arithmetic on places.
+    once = f"transform(s, (x, j) -> (xxhash64(shiftright(x, {POSITION_BITS}), coalesce(get(o, j), 0), 0L) & {-(1 << 64 - 6) | (1 << 57) - 1 & ~mask}L) | (x & {mask}L))"
+    hashed = f"sort_array(if(size(s) >= {FILLED}, {once}, {again}))"
     slot = "shiftrightunsigned({}, 58)"
     edges = f"filter(sequence(0, size(v) - 1), j -> j = 0 OR {slot.format('v[j]')} != {slot.format('v[greatest(j - 1, 0)]')})"
     # The first k-mers of a slot, each where it comes first: equal positions are one k-mer in two rounds, and only short texts have those.
