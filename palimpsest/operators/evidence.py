@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,49 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple
     return left.join(right, cond & (left[span[0]] <= right[other[1]]) & (left[span[1]] >= right[other[0]]), how)
 
 
+#: A key with more ranges than this is cut into bins of about so many.
+BIN_ROWS = 10_000
+#: Bins of a key, at most: their edges are in one row.
+MAX_BINS = 4096
+
+
+def binned_overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], how: str = "inner", bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Rows of equal keys whose closed ranges overlap, where one key may hold a third of all rows: `overlap_join` for most keys, bins for the hot ones.
+
+    A hot key's line of places is cut at quantiles of the starts on the right into bins; a range is in every bin that it meets, and rows join by key and bin. A pair is
+    reported in the first bin that both are in, the one in which the later of them starts. Bins are tables' rows like keys, so a hot key
+    is as many tasks as it has bins. The result has the columns of both sides (of the left alone where how is left_semi); the right's keys are left out.
+    """
+    counted = right.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(other[0], [(i + 1) / MAX_BINS for i in range(MAX_BINS - 1)], 4 * MAX_BINS).alias("__q"))
+    some = F.expr(f"filter(__q, (q, i) -> (i + 1) % greatest(1, cast({MAX_BINS * bin_rows}L div __n as int)) = 0)")
+    hot = stored(counted.where(F.col("__n") > bin_rows).select(*keys, F.array_sort(F.array_distinct(some)).alias("__edges")), "hot-keys")
+    own = [c for c in right.columns if c not in keys]
+    plain = overlap_join(left.join(hot.select(*keys), keys, "left_anti"), right, keys, span, other, how)
+    plain = plain if how == "left_semi" else plain.select(*[left[c] for c in left.columns], *[right[c] for c in own])
+    if hot.isEmpty():
+        return plain
+    x, y = left.join(hot, keys).withColumn("__id", F.monotonically_increasing_id()), right.join(hot, keys)
+    binned = lambda df, at: df.withColumns({"__low": _bin(at[0]), "__high": _bin(at[1])}).withColumn("__bin", F.explode(F.sequence("__low", F.greatest("__low", "__high")))).drop("__edges", "__high")
+    x, y = binned(x, span).withColumnRenamed("__low", "__from"), binned(y, other)
+    on = [x[c] == y[c] for c in [*keys, "__bin"]] + [x[span[0]] <= y[other[1]], x[span[1]] >= y[other[0]]]
+    if how == "left_semi":
+        met = x.join(y, reduce(lambda a, b: a & b, on), "left_semi")
+        return plain.unionByName(met.dropDuplicates(["__id"]).select(*left.columns))
+    met = x.join(y, reduce(lambda a, b: a & b, [*on, x["__bin"] == F.greatest("__from", "__low")]))
+    return plain.unionByName(met.select(*[x[c] for c in left.columns], *[y[c] for c in own]))
+
+
+def _bin(at: str) -> Column:
+    """How many edges are up to a place, by halving."""
+    steps = ", ".join(str(1 << i) for i in reversed(range(MAX_BINS.bit_length())))
+    return F.expr(f"aggregate(array({steps}), 0, (i, s) -> if(i + s <= size(__edges) AND get(__edges, i + s - 1) <= `{at}`, i + s, i))")
+
+
 def resolve(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """citation_id, start_line, end_line, content: the chunks that a citation's lines overlap, joined in order."""
-    c, k = citations.alias("c"), chunks.alias("k")
-    on = (F.col("c.snapshot") == F.col("k.snapshot")) & (F.col("c.path") == F.col("k.path")) & (F.col("c.start_line") <= F.col("k.end_line")) & (F.col("c.end_line") >= F.col("k.start_line"))
-    parts = c.join(k, on).groupBy("c.citation_id").agg(F.array_sort(F.collect_list(F.struct("k.start_line", "k.end_line", "k.content"))).alias("p"))
+    named = chunks.select("snapshot", "path", F.col("start_line").alias("__a"), F.col("end_line").alias("__b"), "content")
+    met = binned_overlap_join(citations.select("citation_id", "snapshot", "path", "start_line", "end_line"), named, ["snapshot", "path"], ("start_line", "end_line"), ("__a", "__b"))
+    parts = met.groupBy("citation_id").agg(F.array_sort(F.collect_list(F.struct(F.col("__a").alias("start_line"), F.col("__b").alias("end_line"), "content"))).alias("p"))
     return parts.select("citation_id", F.col("p")[0]["start_line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("content"))
 
 
@@ -82,7 +122,7 @@ def verify(items: DataFrame, citations: DataFrame, chunks: DataFrame, verdicts:
 
     items (id, vector), citations (id, n, path, start_line, end_line), chunks (path, start_line, end_line), verdicts (id, grounded, supported, corrected).
     """
-    met = overlap_join(citations.where(F.col("n") <= first), chunks, ["path"], ("start_line", "end_line"), ("start_line", "end_line"), "left_semi").select("id").distinct()
+    met = binned_overlap_join(citations.where(F.col("n") <= first), chunks, ["path"], ("start_line", "end_line"), ("start_line", "end_line"), "left_semi").select("id").distinct()
     found = items.join(met.withColumn("__met", F.lit(True)), "id", "left").join(verdicts, "id", "left")
     judged = F.when(F.col("__met").isNull(), "unresolved").when(F.col("grounded").isNull(), "unchecked").otherwise(verdict(F.col("grounded"), F.col("supported"), F.col("corrected"), least))
     judged = found.withColumn("status", judged)

@@ -66,9 +66,24 @@ def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     return numbered(df, order, "__number").withColumn("batch", F.floor(F.col("__number") / size).cast("int")).drop("__number")
 
 
-def checkpointed(spark: SparkSession, folder: str, stage: str, inputs: str, make) -> DataFrame:
-    """The stage's table for these inputs: read if it is there, else made and written. The path is stage / hash of inputs."""
-    path = f"{folder}/{stage}/{hashlib.sha256(inputs.encode()).hexdigest()[:16]}"
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows, whatever their order and partitions, copies counted: number, and sums of two hashes of each. Sums are merged as counts are. Names and types
+    are part of it; columns in another order are not."""
+    names = sorted(df.columns)
+    plain = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in dict(df.dtypes)[c] else F.col(f"`{c}`") for c in names]
+    # A hash passes over nulls; which columns are null is hashed with the rest.
+    nulls = F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in names])
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), nulls, *plain).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"s{seed}") for seed in (1, 2)]
+    told = df.agg(F.count("*").cast("string").alias("n"), *sums).first()
+    shape = ",".join(f"{n}:{t}" for n, t in sorted(df.dtypes))
+    return hashlib.sha256("|".join([shape, *told]).encode()).hexdigest()[:32]
+
+
+def checkpointed(spark: SparkSession, folder: str, stage: str, inputs: str | DataFrame | list[DataFrame], make) -> DataFrame:
+    """The stage's table for these inputs: read if it is there, else made and written. The path is stage / hash of inputs; inputs are the tables themselves, by their content
+    (`content_digest`), or a name that stands for them."""
+    name = inputs if isinstance(inputs, str) else "|".join(content_digest(df) for df in ([inputs] if isinstance(inputs, DataFrame) else inputs))
+    path = f"{folder}/{stage}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         make().write.mode("overwrite").parquet(path)

@@ -40,6 +40,20 @@ def citation_first_six(spark, d):
     return evidence.overlap_join(o, li, ["key"], ("a", "b"), ("c", "e"), "left_semi").select("key")
 
 
+_PATH = "CASE WHEN {0} % 3 = 0 THEN 0 ELSE {0} % 40 + 1 END"
+
+
+@query(f"""WITH c AS (SELECT {_PATH.format('o_orderkey')} AS path, o_orderkey AS id, o_orderkey * 10 - o_custkey % 40 AS a, o_orderkey * 10 + o_custkey % 25 AS b FROM orders),
+k AS (SELECT {_PATH.format('l_orderkey')} AS path, l_orderkey * 10 + l_linenumber AS a, l_orderkey * 10 + l_linenumber + l_partkey % 12 AS b FROM lineitem)
+SELECT id, count(*) AS n, min(k.a) AS first, max(k.b) AS last FROM c JOIN k ON c.path = k.path AND c.a <= k.b AND c.b >= k.a GROUP BY id""")
+def citation_hot_path(spark, d):
+    """JOI-4: citations against chunks where one path has a third of all rows, cut into bins."""
+    c = read(spark, d, "orders").selectExpr(f"{_PATH.format('o_orderkey')} AS path", "o_orderkey AS id", "o_orderkey * 10 - o_custkey % 40 AS a", "o_orderkey * 10 + o_custkey % 25 AS b")
+    k = read(spark, d, "lineitem").selectExpr(f"{_PATH.format('l_orderkey')} AS path", "l_orderkey * 10 + l_linenumber AS c", "l_orderkey * 10 + l_linenumber + l_partkey % 12 AS e")
+    met = evidence.binned_overlap_join(c, k, ["path"], ("a", "b"), ("c", "e"))
+    return met.groupBy("id").agg(F.count("*").alias("n"), F.min("c").alias("first"), F.max("e").alias("last"))
+
+
 @query("""WITH v AS (SELECT d.doc_id, round(0.4 + 0.06 * (d.doc_id % 10), 2) AS g, quality = 1 AS supported, CASE WHEN toxic = 0 THEN 'c' END AS corrected FROM documents d JOIN labels USING (doc_id))
 SELECT CASE WHEN g < 0.5 OR (NOT supported AND corrected IS NULL) THEN 'unsupported' ELSE 'kept' END AS status, count(*) AS n, round(avg(g), 6) AS mean FROM v GROUP BY 1""")
 def groundedness_gate(spark, d):

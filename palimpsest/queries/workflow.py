@@ -168,10 +168,19 @@ def snapshot_rows(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def checkpointed_stage(spark, d):
-    """PIP-11: the second call with equal inputs reads what the first one made; its own maker would fail."""
-    path = _shared(spark, "stages")
-    tables.checkpointed(spark, path, "counts", "v1", lambda: read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")))
-    return tables.checkpointed(spark, path, "counts", "v1", lambda: spark.range(1).select(F.raise_error(F.lit("made twice"))))
+    """PIP-11: the second call's rows are the same in another order, so it reads what the first one made; its own maker would fail."""
+    path, e = _shared(spark, "stages"), read(spark, d, "events")
+    tables.checkpointed(spark, path, "counts", e, lambda: e.groupBy("user_id").agg(F.count("*").alias("n")))
+    return tables.checkpointed(spark, path, "counts", e.repartition(7, "user_id"), lambda: spark.range(1).select(F.raise_error(F.lit("made twice"))))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events UNION ALL SELECT 1) GROUP BY user_id")
+def remade_stage(spark, d):
+    """PIP-11: one more row in the input, and the stage is made again."""
+    path, e = _shared(spark, "stages"), read(spark, d, "events").select("user_id")
+    count = lambda df: tables.checkpointed(spark, path, "counts", df, lambda: df.groupBy("user_id").agg(F.count("*").alias("n")))
+    count(e)
+    return count(e.unionByName(spark.createDataFrame([(1,)], "user_id long")))
 
 
 @query("""WITH j AS (SELECT user_id * 10 + event_id % 3 AS job_id, event_id AS seen, ['queued', 'active', 'failed', 'done'][event_id % 4 + 1] AS state, event_id % 3 AS tries FROM events), n AS (SELECT job_id, max(seen) AS seen, arg_max(state, seen) AS state, arg_max(tries, seen) AS tries FROM j GROUP BY 1), c AS (SELECT max(event_id) AS now FROM events)
