@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -80,5 +80,128 @@ def chunk(files: DataFrame, least: int = rules.MIN_CHUNK, most: int = rules.MAX_
     return whole.where((bare > 0) & (bare >= F.least(F.lit(rules.LEAST_CHUNK), F.length("content"))))
 
 
+class Packer:
+    """Chunks of one file from its lines in order, with no more of the file in hand than waits for its chunk.
+
+    It knows of each line its number, text and symbol, and of the file whether any line declares something. What waits is shorter than `least` characters, and an open region longer than `most`
+    is cut as it goes.
+    """
+
+    def __init__(self, least: int = rules.MIN_CHUNK, most: int = rules.MAX_CHUNK):
+        self.least, self.most = least, most
+        self.waiting: list[tuple[int, str]] = []
+        self.names: list[str] = []
+        self.size = 0  # of what waits, with line feeds
+        self.region: list[tuple[int, str]] | None = None
+        self.done: list[tuple] = []
+
+    def feed(self, number: int, line: str, symbol: str | None, declares: bool) -> list[tuple]:
+        """The chunks (symbols, first line, last line, content) that this line closes."""
+        if self.region is None or declares and symbol is not None:
+            self._close()
+            self.region, self.region_size, self.cutting, self.symbol = [], 0, False, (symbol or "(imports)") if declares else None
+        self.region_size += len(line) + 1
+        if self.cutting:
+            self._cut(number, line)
+        else:
+            self.region.append((number, line))
+            if self.region_size - 1 > self.most:
+                held, self.region, self.cutting, self.pending, self.gathered, self.blank = self.region, [], True, None, 0, -1
+                self._flush()
+                for n, text in held:
+                    self._cut(n, text)
+        if not declares and self.region_size >= self.least and not line.strip(" "):
+            self._close()
+        return self._take()
+
+    def end(self) -> list[tuple]:
+        self._close()
+        self._flush()
+        return self._take()
+
+    def _take(self) -> list[tuple]:
+        out, self.done = self.done, []
+        return out
+
+    def _put(self, lines: list[tuple[int, str]], names: list[str]) -> None:
+        content = "\n".join(text for _, text in lines)
+        bare = len(content.strip(WHITE_SPACE))
+        if bare and bare >= min(rules.LEAST_CHUNK, len(content)):
+            self.done.append((", ".join(names[:4]) or None, lines[0][0], lines[-1][0], content))
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self._put(self.waiting, self.names)
+        self.waiting, self.names, self.size = [], [], 0
+
+    def _close(self) -> None:
+        """The open region has ended: it is cut off, or joins what waits, or completes it."""
+        region, self.region = self.region, None
+        if region is None:
+            return
+        own = [] if self.symbol is None else [self.symbol]
+        if self.cutting:
+            self._put([*region, self.pending], own)  # the last line is never a cut
+            return
+        self.waiting, self.names = self.waiting + region, self.names + own
+        self.size += self.region_size
+        if self.size - 1 >= self.least:
+            self._flush()
+
+    def _cut(self, number: int, line: str) -> None:
+        """A long region is cut once `least` characters are gathered: at the last blank line after the part's first, else here; one line is held back."""
+        held, self.pending = self.pending, (number, line)
+        if held is None:
+            return
+        self.region.append(held)
+        if not held[1].strip(" "):
+            self.blank = held[0]
+        self.gathered += len(held[1]) + 1
+        if self.gathered >= self.least:
+            at = self.blank if self.blank > self.region[0][0] else held[0]
+            upto = at - self.region[0][0] + 1
+            self._put(self.region[:upto], [] if self.symbol is None else [self.symbol])
+            self.region, self.gathered, self.blank = self.region[upto:], 0, -1
+
+
+#: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class ChunkLines:
+    """The table function chunk_lines: from a table of lines (path, n, line, symbol, declares), partitioned by path and ordered by n, the chunks of each path. Its state goes from row to
+    row, so a file is never one value."""
+
+    def __init__(self):
+        self.packer, self.path = Packer(), None
+
+    def eval(self, row):
+        self.path = row["path"]
+        for chunk in self.packer.feed(row["n"], row["line"], row["symbol"], row["declares"]):
+            yield (self.path, *chunk)
+
+    def terminate(self):
+        for chunk in self.packer.end():
+            yield (self.path, *chunk)
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """path, n (from 1), line, symbol, declares (whether the file has a symbol at all) of (path, lang, content)."""
+    lines = files.select("path", "lang", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("i", "line"))
+    marked = lines.select("path", (F.col("i") + 1).alias("n"), "line", symbol(F.col("line"), F.col("lang")).alias("symbol"))
+    return marked.withColumn("declares", F.count("symbol").over(Window.partitionBy("path")) > 0)
+
+
+def register(spark: SparkSession) -> None:
+    """chunk_lines in SQL: SELECT * FROM chunk_lines(TABLE(lines) PARTITION BY path ORDER BY n)."""
+    spark.udtf.register("chunk_lines", F.udtf(ChunkLines, returnType="path string, symbol string, start_line int, end_line int, content string"))
+
+
+def chunk_by_lines(files: DataFrame) -> DataFrame:
+    """`chunk`, by the table function over lines: for files that are too large to be one row and one fold. Paths must be unique."""
+    register(files.sparkSession)
+    return files.sparkSession.sql("SELECT * FROM chunk_lines(TABLE({lines}) PARTITION BY path ORDER BY n)", lines=lines_of(files))
+
+
 #: Chunkers by name: each takes (path, lang, content) and gives (path, symbol, start_line, end_line, content); others are added here.
-CHUNKERS = {"symbols": chunk}
+CHUNKERS = {"symbols": chunk, "lines": chunk_by_lines}

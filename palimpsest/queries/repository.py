@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import facts, sessions
+from ..operators import chunks, facts, sessions
 from ..sources import archive_refusals, archives, collect_files, commit_log, limits, scope_alert, within_limits
 from .base import read, registry
 
@@ -188,3 +188,25 @@ def archive_files(spark, d):
     files = docs.join(parts, "source").select(archive.alias("archive"), F.expr("'f' || doc_id || '.txt'").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     back = archives.read_archives(archives.write_archives(files))
     return back.select("path", "bytes", F.sha2("data", 256).alias("sha256"), "problem")
+
+
+_LANGS = ("Python", "TypeScript", "Go", "Rust", "Shell")
+_DECLARED = _case("k % 5", "'def f' || j || '(x):  # '", "'export function f' || j || '(x) { // '", "'func f' || j || '(x int) { // '", "'pub fn f' || j || '(x: i32) { // '", "'f' || j || '() { # '")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 11 * 8 + 3 AS b, p_partkey % 9 + 1 AS d FROM part), s AS (SELECT *, 50 * (b + 1) AS size, ceil(1351.0 / (50 * (b + 1))) AS m1, ceil(1401.0 / (50 * (b + 1))) AS m2 FROM p),
+f AS (SELECT *, lpad(CAST(j AS VARCHAR), 3, '0') AS j3, 2 + (j - 1) * (b + 1) AS a, 1 + j * (b + 1) AS e FROM (SELECT *, unnest(range(1, d + 1)) AS j FROM s)),
+small AS (SELECT k, CASE WHEN j <= m1 THEN 0 ELSE 1 + floor((j - m1 - 1) / m2) END AS g, min(a) AS a, max(e) AS e, list('f' || j3 ORDER BY j) AS names FROM f WHERE size <= 3601 GROUP BY 1, 2),
+large AS (SELECT k, 'f' || j3 AS symbol, a + 28 * q AS a, least(e, a + 28 * q + 27) AS e FROM (SELECT *, unnest(range(0, CAST(ceil((b + 1) / 28.0) AS BIGINT))) AS q FROM f WHERE size > 3601))
+SELECT 'd' || k AS path, array_to_string((CASE WHEN g = 0 THEN list_concat(['(imports)'], names) ELSE names END)[1:4], ', ') AS symbol, CAST(CASE WHEN g = 0 THEN 1 ELSE a END AS INT) AS start_line, CAST(e AS INT) AS end_line, CAST((e - CASE WHEN g = 0 THEN 1 ELSE a END + 1) * 50 - 1 AS INT) AS chars FROM small
+UNION ALL SELECT 'd' || k, symbol, CAST(a AS INT), CAST(e AS INT), CAST((e - a + 1) * 50 - 1 AS INT) FROM large UNION ALL SELECT 'd' || k, '(imports)', 1, 1, 49 FROM s WHERE size > 3601""")
+def code_chunks(spark, d):
+    """PIP-3, UDF-1: chunks by the table function over lines. Each part is a file of one of five languages: a line of imports, then functions of equal length; some are packed, some cut."""
+    made = read(spark, d, "part").selectExpr("p_partkey AS k", "p_partkey % 11 * 8 + 3 AS b", "p_partkey % 9 + 1 AS d")
+    body = "array_join(array_repeat(rpad('    value = value + 1', 49, '.'), cast(b as int)), '\\n')"
+    decl = f"rpad({_DECLARED}, 49, '-')"
+    one = f"concat({decl}, '\\n', {body})".replace("|| j ||", "|| lpad(j, 3, '0') ||")
+    content = f"concat(rpad('import all ', 49, 'x'), '\\n', array_join(transform(sequence(1, cast(d as int)), j -> {one}), '\\n'))"
+    lang = F.element_at(F.array(*map(F.lit, _LANGS)), (F.col("k") % 5 + 1).cast("int"))
+    files = made.select(F.expr("'d' || k").alias("path"), lang.alias("lang"), F.expr(content).alias("content"))
+    return chunks.chunk_by_lines(files).select("path", "symbol", "start_line", "end_line", F.length("content").alias("chars"))
