@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import models, text, vectors
 from ..operators import chunks, facts, lexical_index, reports, retrieval, vector_index
 from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising
 from .base import read, registry
@@ -270,11 +270,11 @@ TOKENS = r"[a-z_][a-z0-9_]+|\d+"
 @query(None)
 def hash_embed(spark, d):
     """MTH-4, MTH-5, MTH-2, PIP-4: whole texts. DuckDB's fold of characters is too slow for them; brute force stands for SQL."""
-    return _embedded(read(spark, d, "documents").select("doc_id", "text"))
+    return models.sparse_embedding(read(spark, d, "documents"), "doc_id", "text").withColumn("x", F.round("x", 6))
 
 
 def _embedded(docs):
-    """A hashed bag of words and pairs, as sparse rows."""
+    """The same by DataFrame functions alone, for short texts: a hashed bag of words and pairs, as sparse rows."""
     from pyspark.sql import Window
 
     t = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKENS})"), F.lit(1)).alias("w"))

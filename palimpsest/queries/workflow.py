@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from .. import shared, streaming
 from ..functions import models, rules, text
 from ..operators import evidence, ledger, reports, sessions, tables
+from ..sources import exports
 from .base import read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -225,6 +226,24 @@ def model_verdicts(spark, d):
     return said.select("item_id", v["supported"].alias("supported"), F.round(v["groundedness"], 2).alias("groundedness"), F.col("answer_error").isNotNull().alias("failed"))
 
 
+@query("""WITH h AS (SELECT item_id, CAST('0x' || left(sha256('ask ' || item_id), 8) AS BIGINT) AS h FROM benchmark) SELECT item_id, CASE WHEN item_id % 6 IN (2, 5) THEN NULL ELSE round(h % 101 / 100.0, 2)::DOUBLE END AS groundedness,
+CASE WHEN item_id % 6 IN (0, 4) THEN 1 ELSE 2 END AS tries, CASE item_id % 6 WHEN 2 THEN 'range' WHEN 5 THEN 'unreadable' ELSE '' END AS problems FROM h""")
+def repaired_answers(spark, d):
+    """UDF-4: answers that break their schema are asked for again, once, with what was wrong; those that break it again stay without a value, with the problem."""
+
+    def call(prompts):
+        out = []
+        for p in prompts:
+            first, again = p.split("\n")[0], "does not hold" in p
+            kind, good = int(first.split()[1]) % 6, models.stub_answer([first])[0]
+            out.append('{"groundedness": 7}' if kind == 2 or (kind == 1 and not again) else "I think so" if kind == 5 or (kind == 3 and not again) else good)
+        return out
+
+    asked = read(spark, d, "benchmark").select("item_id", F.concat(F.lit("ask "), F.col("item_id")).alias("prompt"))
+    said = models.apply_structured(asked, "prompt", "verdict", call, "groundedness double", {"range": F.col("parsed.groundedness").between(0, 1)})
+    return said.select("item_id", F.round("verdict.groundedness", 2).alias("groundedness"), F.col("verdict_tries").alias("tries"), F.coalesce(F.array_join("verdict_problems", ","), F.lit("")).alias("problems"))
+
+
 @query("SELECT item_id, true AS same FROM benchmark")
 def embedded_batches(spark, d):
     """UDF-2, PIP-4: the registered embedder, by batch, against the same embedding by DataFrame functions."""
@@ -234,3 +253,30 @@ def embedded_batches(spark, d):
     called = models.embed(docs, "text").select("doc_id", F.posexplode("embedding").alias("dim", "y")).where("y != 0")
     both = called.join(_embedded(docs), ["doc_id", "dim"], "full").groupBy(F.col("doc_id").alias("item_id"))
     return both.agg(F.bool_and((F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs(F.col("x") - F.col("y")) < 2e-6)) | (F.coalesce(F.col("x"), F.col("y")) == 0)).alias("same"))
+
+
+@query(r"""WITH p AS (SELECT p_brand || ' & Co' AS title, p_brand, p_partkey AS k, split_part(p_type, ' ', 1) AS c, 'L' || p_size % 3 + 1 AS lev, p_name || ' <' || p_size || '>' AS stem, p_type || chr(10) || 'x' AS answer, 'pack::' || p_brand AS tags FROM part WHERE CAST(right(p_brand, 1) AS INT) % 2 = 0),
+s AS (SELECT DISTINCT title, lower(regexp_replace(title, '[^A-Za-z0-9_.-]+', '-', 'g')) AS slug FROM p), esc AS (SELECT *, replace(replace(replace(stem, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS es, replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS ea FROM p JOIN s USING (title)),
+sec AS (SELECT title, c, row_number() OVER (PARTITION BY title ORDER BY min(k), c) AS sec FROM p GROUP BY title, c),
+num AS (SELECT *, row_number() OVER (PARTITION BY title, c ORDER BY k) AS i, row_number() OVER (PARTITION BY title ORDER BY k) AS j FROM esc JOIN sec USING (title, c)),
+b AS (SELECT slug || '.md' AS name, 0 AS a, 0 AS o, '# ' || title AS block FROM s UNION ALL SELECT slug || '.md', sec, 0, '## ' || c FROM sec JOIN s USING (title) UNION ALL SELECT slug || '.md', sec, i, '### ' || i || '. ' || stem || chr(10) || chr(10) || answer || chr(10) || chr(10) || '---' FROM num
+UNION ALL SELECT slug || '.tsv', 0, x.i, x.l FROM s, (SELECT unnest([{'i': 0, 'l': '#separator:tab'}, {'i': 1, 'l': '#html:true'}, {'i': 2, 'l': '#tags column:3'}]) AS x) UNION ALL SELECT slug || '.tsv', 1, k, es || chr(9) || replace(ea, chr(10), '<br>') || chr(9) || tags FROM num
+UNION ALL SELECT slug || '.html', 0, 0, '<!doctype html><html><head><meta charset="utf-8"><title>' || replace(title, '&', '&amp;') || '</title></head><body><h1>' || replace(title, '&', '&amp;') || '</h1>' FROM s UNION ALL SELECT slug || '.html', 2, 0, '</body></html>' FROM s
+UNION ALL SELECT slug || '.html', 1, j, '<article><div class="meta">' || c || ' · ' || lev || '</div><h3>' || j || '. ' || es || '</h3><p>' || replace(ea, chr(10), '<br>') || '</p></article>' FROM num),
+d AS (SELECT name, string_split(string_agg(block, chr(10) ORDER BY a, o), chr(10)) AS lines FROM b GROUP BY name) SELECT name, CAST(generate_subscripts(lines, 1) AS INT) AS n, unnest(lines) AS line FROM d""")
+def export_documents(spark, d):
+    """SNK-1 to SNK-4: one user's sets (brands) as Markdown, TSV and HTML documents, written by the data source and read back; sets of others are left out."""
+    part = read(spark, d, "part")
+    owner = F.when(F.right("p_brand", F.lit(1)).cast("int") % 2 == 0, "ann").otherwise("bob")
+    sets = part.select(F.col("p_brand").alias("set_id"), F.concat("p_brand", F.lit(" & Co")).alias("title"), owner.alias("owner")).distinct()
+    items = part.select(
+        F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("position"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("category"), F.expr("'L' || (p_size % 3 + 1)").alias("level"),
+        F.expr("p_name || ' <' || p_size || '>'").alias("stem"), F.concat("p_type", F.lit("\nx")).alias("answer"), F.concat(F.lit("pack::"), "p_brand").alias("tags"),
+    )
+    folder = _shared(spark, "documents")
+    blocks = None
+    for kind in exports.FORMATS:
+        own = exports.export_lines(items, sets, "ann", kind)
+        blocks = own if blocks is None else blocks.unionByName(own)
+    exports.write_documents(blocks, folder)
+    return exports.read_documents(spark, folder)
