@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import rules
 from ..functions.text import query_terms
 from ..functions.vectors import dot
+from ..shared import stored
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
@@ -29,6 +36,51 @@ def lexical_topk(docs: DataFrame, query: str, k: int, text: str = "text", ties:
     return docs.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), *ties).limit(k)
 
 
+#: Documents, and queries, of a block where many queries meet all documents.
+BLOCK_DOCS, BLOCK_QUERIES = 1024, 256
+
+
+def lexical_topk_many(docs: DataFrame, queries: DataFrame, k: int, key: str = "query", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, doc, hits, rank: `lexical_topk` for each row of queries (key, text).
+
+    Documents and queries are dealt into blocks by hash, and each two blocks meet in one group: each distinct term of the queries is sought once in each text, and a query's best `k` of the block
+    are given back, so a query is k rows a block of documents, whatever it hits. Queries without terms have no rows.
+    """
+    asked = stored(queries.select(F.col(key).alias("q"), query_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0), "queries")
+    sets, parts = max(1, -(-docs.count() // BLOCK_DOCS)), max(1, -(-asked.count() // BLOCK_QUERIES))
+    own = docs.select(F.col(doc).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.pmod(F.xxhash64(doc), F.lit(sets)).cast("int").alias("i"))
+    left = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    qtype, dtype = queries.schema[key].dataType, docs.schema[doc].dataType
+    fields = T.StructType([T.StructField(key, qtype), T.StructField(doc, dtype), T.StructField("hits", T.IntegerType())])
+    schema = to_arrow_schema(fields)
+
+    def meet(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        if not texts.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        order = texts.sort_by([("d", "ascending")])
+        lows, ids = order["t"].to_pylist(), order["d"].to_pylist()
+        held: dict[str, np.ndarray] = {}
+        out: tuple[list, list, list] = ([], [], [])
+        for q, terms in zip(asked["q"].to_pylist(), asked["terms"].to_pylist(), strict=True):
+            hits = np.zeros(len(lows), np.int32)
+            for term in terms:
+                if term not in held:
+                    seek = re.compile(".".join(map(re.escape, term.split("_"))), re.S).search if "_" in term else None
+                    held[term] = np.fromiter((bool(seek(t)) if seek else term in t for t in lows), np.int32, len(lows))
+                hits += held[term]
+            for at in np.argsort(-hits, kind="stable")[:k].tolist():  # equal hits by document
+                if hits[at]:
+                    out[0].append(q)
+                    out[1].append(ids[at])
+                    out[2].append(int(hits[at]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, fields)
+    order = Window.partitionBy(key).orderBy(F.desc("hits"), doc)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", ties: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """The k nearest by cosine of unit vectors; adds similarity. Null vectors are not found."""
     near = dot(F.col(vector), F.lit(query))
@@ -49,6 +101,18 @@ def ranked(top: DataFrame, *order: Column | str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def hybrid_many(docs: DataFrame, index, queries: DataFrame, limit: int = 12, key: str = "query", doc: str = "doc_id") -> DataFrame:
+    """key, doc, score, rank: hybrid retrieval for each row of queries (key, text, embedding): the top 2 * limit of either branch, fused by reciprocal rank. `index`: a vector
+    index of the documents, under the same ids."""
+    from .vector_index import search_many
+
+    words = lexical_topk_many(docs, queries, 2 * limit, key, doc).select(key, F.col(doc).alias("__doc"), "rank")
+    near = search_many(index, queries, 2 * limit, key).select(key, F.col(index.key).alias("__doc"), "rank")
+    fused = words.unionByName(near).groupBy(key, "__doc").agg(F.round(F.sum(F.lit(1.0) / (rules.RRF_K + F.col("rank"))), 6).alias("score"))
+    ranks = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "__doc"))
+    return fused.withColumn("rank", ranks).where(F.col("rank") <= limit).select(key, F.col("__doc").alias(doc), "score", "rank")
+
+
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 12) -> DataFrame:
     """doc_id, score: the top 2 * limit of either branch, fused."""
     words = ranked(lexical_topk(docs.select("doc_id", "text"), query, 2 * limit), F.desc("hits"), "doc_id")

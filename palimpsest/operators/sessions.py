@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .retrieval import lexical_topk
+from ..functions.text import query_terms
+from .retrieval import hybrid, hybrid_many, lexical_topk
+
+#: Parts that the documents of a term are dealt into.
+SALTS = 16
 
 
 def beat(answered: Column, turns: Column, beats: int) -> Column:
@@ -22,9 +26,10 @@ def next_turn(turns: DataFrame, session: str = "session", mode: str = "mode", be
     return counted.select(session, "answered", left.alias("remaining"), beat(F.col("answered"), F.col("__turns"), beats).alias("beat"), F.when(left == 0, "wrap").otherwise("ask").alias("move"), F.left("last", F.lit(400)).alias("query"))
 
 
-def check_claims(docs: DataFrame, keywords: list[str], k: int = 14) -> DataFrame:
-    """The k documents that share most terms with a claim's keywords; none is no evidence."""
-    return lexical_topk(docs, " ".join(keywords)[:400], k)
+def check_claims(docs: DataFrame, keywords: list[str], k: int = 14, vectors: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
+    """The k documents that bear most on a claim's keywords, by words and, with vectors (vec_id, embedding) and the claim's own, by hybrid retrieval; none is no evidence."""
+    query = " ".join(keywords)[:400]
+    return lexical_topk(docs, query, k) if vectors is None else hybrid(docs, vectors, query, vector, k)
 
 
 def suite_results(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -53,15 +58,22 @@ def take_jobs(jobs: DataFrame, now: Column, retry_s: int = 30, expiry_min: int =
     return newest.where(ready)
 
 
-def turn_context(turns: DataFrame, docs: DataFrame, k: int = 6, session: str = "session") -> DataFrame:
+def turn_context(turns: DataFrame, docs: DataFrame, k: int = 6, session: str = "session", index=None, vectors: DataFrame | None = None) -> DataFrame:
     """session, doc_id, hits: for each next turn (session, move, query), the k documents that hold most of its query's terms
-    as words; a session that is wrapped up has none. Terms meet in one equi-join."""
-    from ..functions.text import query_terms
-
-    wanted = turns.where("move != 'wrap'").select(session, F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
+    as words; a session that is wrapped up has none.
+
+    With a vector index of the documents and the sessions' vectors (session, embedding), k by hybrid retrieval instead: session, doc_id, score, rank. Words: a term that a session
+    asks for meets the documents that hold it in salted parts, so that a common one is many tasks' work, and sums are by session and document.
+    """
+    wanted = turns.where("move != 'wrap'")
+    if index is not None:
+        asked = wanted.select(session, F.col("query").alias("text")).join(vectors, session)
+        return hybrid_many(docs, index, asked, k, session)
+    terms = wanted.select(session, F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
     held = docs.select("doc_id", F.explode(F.array_distinct(query_terms(F.col("text"), 1 << 30))).alias("term"))
-    asked = held.join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = wanted.join(asked, "term").groupBy(session, "doc_id").agg(F.count("*").alias("hits"))
+    asked = held.join(terms.select("term").distinct(), "term", "left_semi").withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = terms.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = salted.join(asked, ["term", "__salt"]).groupBy(session, "doc_id").agg(F.count("*").alias("hits"))
     return first_per(hits, [session], [F.desc("hits"), F.col("doc_id")], k)
 
 

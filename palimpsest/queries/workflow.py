@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from .. import shared, streaming
 from ..functions import models, rules, text
-from ..operators import evidence, ledger, reports, sessions, tables
+from ..operators import evidence, ledger, reports, sessions, tables, vector_index
 from ..sources import exports
 from .base import read, registry
 
@@ -91,6 +91,29 @@ def interview_context(spark, d):
     return sessions.turn_context(sessions.next_turn(c), read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
 
 
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS answered, arg_max(text, turn) AS last, CASE conv_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 14 ELSE 24 END AS turns FROM conversations GROUP BY conv_id),
+q AS (SELECT conv_id, list_transform(regexp_extract_all(left(last, 400), '[A-Za-z_][A-Za-z0-9_]{2,}')[1:12], lambda w: lower(w)) AS terms, embedding::DOUBLE[] AS v FROM c JOIN embeddings ON vec_id = conv_id WHERE answered < turns),
+h AS (SELECT conv_id, doc_id, len(list_filter(terms, lambda t: lower(text) LIKE '%' || t || '%')) AS hits FROM q, documents), l AS (SELECT conv_id, doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, doc_id) AS r FROM h WHERE hits > 0 QUALIFY r <= 12),
+n AS (SELECT conv_id, vec_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY round(list_dot_product(embedding::DOUBLE[], v), 6) DESC, vec_id) AS r FROM q, embeddings QUALIFY r <= 12),
+f AS (SELECT conv_id, doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM n) GROUP BY 1, 2)
+SELECT conv_id AS session, doc_id, score, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 6""")
+def interview_hybrid(spark, d):
+    """PIP-12: the next turn of each conversation and six documents for it, by hybrid retrieval for all sessions at once. Vector n belongs to document n, and to conversation n."""
+    mode = F.element_at(F.array(*map(F.lit, ("quick", "standard", "deep"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("session"), mode.alias("mode"), F.when(F.col("role") == "user", "candidate").otherwise("interviewer").alias("role"), F.col("turn").alias("idx"), "text")
+    e = read(spark, d, "embeddings")
+    return sessions.turn_context(sessions.next_turn(c), read(spark, d, "documents").select("doc_id", "text"), index=vector_index.build_index(e), vectors=e.select(F.col("vec_id").alias("session"), "embedding"))
+
+
+@query("""WITH near AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[]), 6) DESC, vec_id) AS r FROM embeddings QUALIFY r <= 28),
+h AS (SELECT doc_id, len(list_filter(['the', 'and', 'thing', 'erst'], lambda t: lower(text) LIKE '%' || t || '%')) AS hits FROM documents), lex AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM h WHERE hits > 0 QUALIFY r <= 28)
+SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM lex) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 14""")
+def claim_hybrid(spark, d):
+    """PIP-13: the documents that bear on a claim, by words and by its vector (that of document 3)."""
+    e = read(spark, d, "embeddings")
+    return sessions.check_claims(read(spark, d, "documents"), ["the", "and", "thing", "erst"], vectors=e, vector=list(e.where("vec_id = 3").first()["embedding"]))
+
+
 @query("""WITH e AS (SELECT event_id, ts, event_type FROM events WHERE user_id = 7), t AS (SELECT min((ts, event_id)) AS stop FROM e WHERE event_type = 'purchase')
 SELECT event_id, event_type FROM e, t WHERE stop IS NULL OR (ts, event_id) <= stop""")
 def stream_job_events(spark, d):

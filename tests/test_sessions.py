@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,4 +57,37 @@ def test_embedders_agree(spark, text):
     from palimpsest.functions.vectors import fnv1a
 
     for w in text.split():
-        assert spark.range(1).select(fnv1a(F.lit(w)).alias("h")).first().h == models._fnv(w)
+        assert spark.range(1).select(fnv1a(F.lit(w)).alias("h")).first().h == int(models._fold([w], np.full(1, 2166136261, np.uint64))[0])
+
+
+def test_many_queries_like_single_ones(spark):
+    """Lexical and hybrid retrieval for all queries at once, against one at a time; one query's term in all documents, one without terms, one null."""
+    import random
+
+    from palimpsest.operators import retrieval, vector_index
+
+    rng = random.Random(6)
+    words = ["alpha", "beta", "the", "user_id", "userXid", "Ünder", "gamma", "delta9"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9))) + (" everywhere" if i % 3 else "")) for i in range(150)] + [(200, None)], "doc_id long, text string").repartition(4)
+    asked = [(1, "alpha user_id beta"), (2, "everywhere"), (3, "a b"), (4, None), (5, "the the everywhere delta9 alpha"), (6, "nothing here")]
+    queries = spark.createDataFrame(asked, "query long, text string")
+    before = retrieval.BLOCK_DOCS, retrieval.BLOCK_QUERIES
+    retrieval.BLOCK_DOCS, retrieval.BLOCK_QUERIES = 40, 2
+    try:
+        got = {}
+        for r in retrieval.lexical_topk_many(docs, queries, 7).collect():
+            got.setdefault(r["query"], []).append((r["rank"], r.doc_id, r.hits))
+        for key, text in asked:
+            want = [(i + 1, r.doc_id, r.hits) for i, r in enumerate(retrieval.lexical_topk(docs, text or "", 7).collect())]
+            assert sorted(got.get(key, [])) == want, text
+        vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(150)], "vec_id long, embedding array<double>")
+        index = vector_index.build_index(vectors, cells=4)
+        own = queries.join(vectors.withColumnRenamed("vec_id", "query"), "query")
+        many = {}
+        for r in retrieval.hybrid_many(docs, index, own, 5).collect():
+            many.setdefault(r["query"], []).append((r["rank"], r.doc_id, r.score))
+        for r in own.collect():
+            want = [(i + 1, x.doc_id, x.score) for i, x in enumerate(retrieval.hybrid(docs, vectors, r.text or "", list(r.embedding), 5).collect())]
+            assert sorted(many[r["query"]]) == want
+    finally:
+        retrieval.BLOCK_DOCS, retrieval.BLOCK_QUERIES = before
