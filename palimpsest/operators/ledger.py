@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .tables import running_total
 
 
 def rates(spark: SparkSession) -> DataFrame:
@@ -51,10 +52,10 @@ def totals(usage: DataFrame, by: list[str]) -> DataFrame:
 
 def first_over_budget(usage: DataFrame, job: str, order: list[str], budget: float) -> DataFrame:
     """Per job, the first row at or over the budget: the call before which the run stops."""
-    w = Window.partitionBy(job).orderBy(*order)
-    spent = priced(usage).withColumn("spent", F.round(F.sum(F.coalesce("cents", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
-    over = spent.where(F.col("spent") >= budget).withColumn("n", F.row_number().over(w))
-    return over.where("n = 1").drop("n")
+    spent = running_total(priced(usage).withColumn("__cents", F.coalesce("cents", F.lit(0.0))), "__cents", [job], order, "spent").drop("__cents")
+    over = spent.withColumn("spent", F.round("spent", 6)).where(F.col("spent") >= budget)
+    first = over.groupBy(job).agg(F.min_by(F.struct(*over.columns), F.struct(*order)).alias("__first"))
+    return first.select("__first.*")
 
 
 def estimate(files: Column, size: Column, questions: Column, fast=("fast",), frontier=("frontier",), balanced=("balanced",)) -> dict[str, Column]:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import shared
 
@@ -47,13 +52,18 @@ def delete_cascade(tables: dict[str, DataFrame], root: str, gone: DataFrame, lin
     return out
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df stored in ranges of the order, with the range's number, __range: a run of equal leading columns, however long, is as many ranges as it needs."""
+    return shared.stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add the place of each row in order, from 0 (ties in any order).
 
     Rows are dealt into ranges of the order, stored with the range's number, and numbered inside it; what comes before a range is
     a sum over one row a range.
     """
-    dealt = shared.stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    dealt = _ranged(df, order)
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
@@ -61,6 +71,55 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.select(*df.columns, (F.col("__before") + F.col("__place")).alias(name))
 
 
+def running_total(df: DataFrame, value: str, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the sum of a column over a key's rows up to each, in order (null is nothing). A key with a third of all rows is many ranges: sums inside them, and over one row a key and
+    range before them."""
+    dealt = _ranged(df, [*keys, *order])
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    upto = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = shared.stored(sums.select(*keys, "__range", F.sum("__sum").over(upto).alias("__base")), "range-sums")
+    inside = F.sum(value).over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "__range"]]
+    met = dealt.withColumn("__inside", inside).alias("x").join(base.alias("y"), reduce(lambda a, b: a & b, on), "left")
+    return met.select(*[F.col(f"x.`{c}`") for c in df.columns], F.coalesce(F.col("__base") + F.col("__inside"), F.col("__inside"), F.col("__base")).alias(name))
+
+
+def last_known(df: DataFrame, value: Column, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the last value that isn't null among a key's rows up to each, in order; ranges as in `running_total`."""
+    dealt = _ranged(df.withColumn(name, value), [*keys, *order])
+    own = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = dealt.where(F.col(name).isNotNull()).groupBy(*keys, "__range").agg(F.max_by(name, F.struct(*order)).alias("__last"))
+    every = dealt.select(*keys, "__range").distinct().join(lasts, [*keys, "__range"], "left")
+    upto = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = shared.stored(every.select(*keys, "__range", F.last("__last", ignorenulls=True).over(upto).alias("__carried")), "range-lasts")
+    met = dealt.withColumn("__inside", F.last(name, ignorenulls=True).over(own)).join(carried, [*keys, "__range"], "left")
+    return met.select(*df.columns, F.coalesce("__inside", "__carried").alias(name))
+
+
+def line_digests(df: DataFrame, keys: list[str], line: str, separator: str = "\n") -> DataFrame:
+    """keys, sha256, lines: the hash of each key's lines in UTF-8 order, with a separator between them. A task streams the sorted lines through the hash, so a key's
+    lines are never one value; a hash is sequential, so they are one task."""
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("sha256", T.StringType()), T.StructField("lines", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, made, n = None, hashlib.sha256(), 0
+        for batch in batches:
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != current:
+                    if n:
+                        yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, ([x] for x in (*current, made.hexdigest(), n)), strict=True)), schema=arrow)
+                    current, made, n = key, hashlib.sha256(), 0
+                made.update(((separator if n else "") + text).encode())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, ([x] for x in (*current, made.hexdigest(), n)), strict=True)), schema=arrow)
+
+    dealt = df.where(F.col(line).isNotNull()).select(*keys, F.col(line).alias("__line")).repartition(*keys).sortWithinPartitions(*keys, "__line")
+    return dealt.mapInArrow(run, schema)
+
+
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Add batch: rows numbered in order, `size` a batch (ties in any order)."""
     return numbered(df, order, "__number").withColumn("batch", F.floor(F.col("__number") / size).cast("int")).drop("__number")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models, text, vectors
-from ..operators import chunks, facts, lexical_index, reports, retrieval, vector_index
-from ..sources import in_scope, running, size_ok, unwrap_root, url_allowed, worth_summarising
+from ..operators import chunks, facts, lexical_index, reports, retrieval, tables, vector_index
+from ..shared import fresh_dir
+from ..sources import in_scope, scan_tree, size_ok, unwrap_root, url_allowed, worth_summarising, write_tree
 from .base import read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -135,15 +136,23 @@ def module_scope_filter(spark, d):
 WHERE running > 30000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
 def zip_guard_running_total(spark, d):
     """WIN-5: the entry with which the expanded size of an archive (a source) passes a cap. The other guards are in `archive_guard`."""
-    over = running(read(spark, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", ["doc_id"], "running", ["source"]).where("running > 30000")
+    over = tables.running_total(read(spark, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", ["source"], ["doc_id"], "running").where("running > 30000")
     return over.groupBy("source").agg(F.min_by(F.struct("doc_id", "running"), "doc_id").alias("f")).select("f.doc_id", "f.running")
 
 
 @query(f"SELECT source, 'zip-' || left(sha256(string_agg(p, chr(10) ORDER BY p)), 16) AS snapshot FROM (SELECT source, {PATH_SQL} || ':' || n_chars AS p FROM documents) GROUP BY source")
 def snapshot_fingerprint(spark, d):
-    """SRC-4."""
-    entry = F.concat("path", F.lit(":"), F.col("n_chars").cast("string"))
-    return files(spark, d).groupBy("source").agg(F.concat(F.lit("zip-"), F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256), F.lit(16))).alias("snapshot"))
+    """SRC-4: an archive's sorted entries, streamed through the hash."""
+    entries = files(spark, d).select("source", F.concat("path", F.lit(":"), F.col("n_chars").cast("string")).alias("entry"))
+    return tables.line_digests(entries, ["source"], "entry").select("source", F.concat(F.lit("zip-"), F.left("sha256", F.lit(16))).alias("snapshot"))
+
+
+@query("SELECT 'x/' || source || '/.' || lang || '/f' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents WHERE strlen(text) BETWEEN 1 AND 409600")
+def scanned_tree(spark, d):
+    """SRC-5: documents written as files in folders, hidden ones too, listed level by level and read where they land."""
+    root = fresh_dir(spark, "tree")
+    write_tree(read(spark, d, "documents").select(F.expr("'x/' || source || '/.' || lang || '/f' || doc_id").alias("path"), F.encode("text", "utf-8").alias("data")), root)
+    return scan_tree(spark, root).where("data IS NOT NULL").select("path", "bytes", F.sha2("data", 256).alias("sha256"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")

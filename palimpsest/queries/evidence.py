@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import jaccard
-from ..operators import evidence, reports, schedule, vector_index
+from ..operators import evidence, reports, schedule, tables, vector_index
 from ..plans import fan_out
 from ..shared import stored
 from .base import read, registry
@@ -119,6 +119,13 @@ def rank_score(spark, d):
     return rows.select("o_orderkey", score.alias("rank"))
 
 
+@query("""SELECT event_id, round(value, 1) AS rank, row_number() OVER (ORDER BY round(value, 1) DESC, event_id) - 1 AS place FROM events""")
+def rank_order(spark, d):
+    """SRT-4: rows in the order of their rank, the highest first, with the place of each in the whole."""
+    rows = read(spark, d, "events").select("event_id", F.round("value", 1).alias("rank")).withColumn("__down", -F.col("rank"))
+    return tables.numbered(rows, ["__down", "event_id"], "place").drop("__down")
+
+
 @query("""WITH c AS (SELECT unnest([{'i': 0, 'c': 'walkthrough', 'n': 6}, {'i': 1, 'c': 'architecture', 'n': 10}, {'i': 2, 'c': 'language', 'n': 8}, {'i': 3, 'c': 'data-modeling', 'n': 8}, {'i': 4, 'c': 'api-design', 'n': 8}, {'i': 5, 'c': 'performance', 'n': 8},
 {'i': 6, 'c': 'security', 'n': 7}, {'i': 7, 'c': 'testing', 'n': 6}, {'i': 8, 'c': 'devops', 'n': 6}, {'i': 9, 'c': 'debugging', 'n': 7}, {'i': 10, 'c': 'scaling', 'n': 8}, {'i': 11, 'c': 'tradeoffs', 'n': 8}, {'i': 12, 'c': 'behavioral', 'n': 5}]) AS x),
 s AS (SELECT x.i, x.c, x.n, floor(x.n * 0.2 + 0.5) AS a, floor(x.n * 0.45 + 0.5) AS b FROM c),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_code, is_test_path, language, line_count, redact
+from ..operators.tables import last_known
+from ..shared import stored
 
 # Our own choice of what is not read: dependency, build and tool folders, locks, bundles.
 IGNORED_FOLDERS = "node_modules vendor dist build out target coverage __pycache__ venv .git .hg .svn .venv .next .nuxt .cache .idea .vscode bower_components".split()
@@ -24,16 +26,19 @@ def scan_tree(spark: SparkSession, *roots: str) -> DataFrame:
     """root, path (relative, /), bytes, data of every file under the roots (one a repository), hidden ones too.
 
     Spark's file readers leave out names that begin with a dot, and those are often wanted here (.github, .env.example).
-    So the names are listed by a task a root, dealt out anew, and read where they land, at most `MAX_FILE` bytes each;
+    So folders are listed level by level, each by the task it is dealt to, and files are read where they land, at most `MAX_FILE` bytes each;
     larger and empty files have null data and their size. Symbolic links are skipped.
     """
 
     def listed(batches):
         for batch in batches:
-            for root in batch["root"].to_pylist():
+            for root, folder in zip(batch["root"].to_pylist(), batch["folder"].to_pylist(), strict=True):
                 store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
-                found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and not (store.type_name == "local" and any(os.path.islink(p) for p in _above(f.path, base)))]
-                yield pa.RecordBatch.from_pydict({"root": [root] * len(found), "full": [f.path for f in found], "path": [f.path[len(base.rstrip("/")) + 1 :] for f in found], "bytes": [f.size for f in found]}, schema=_LISTED)
+                at = f"{base.rstrip('/')}/{folder}".rstrip("/")
+                found = [f for f in store.get_file_info(fs.FileSelector(at)) if not (store.type_name == "local" and os.path.islink(f.path))]
+                for i in range(0, len(found), 5000):
+                    some = found[i : i + 5000]
+                    yield pa.RecordBatch.from_pydict({"root": [root] * len(some), "full": [f.path for f in some], "path": [f.path[len(base.rstrip("/")) + 1 :] for f in some], "bytes": [f.size for f in some], "folder": [f.type == fs.FileType.Directory for f in some]}, schema=_LISTED)
 
     def opened(batches):
         for batch in batches:
@@ -45,20 +50,37 @@ def scan_tree(spark: SparkSession, *roots: str) -> DataFrame:
                         data = f.read()
                 yield pa.RecordBatch.from_pydict({"root": [row["root"]], "path": [row["path"]], "bytes": [row["bytes"]], "data": [data]}, schema=_READ)
 
-    names = spark.createDataFrame([(r,) for r in roots], "root string").repartition(len(roots), "root").mapInArrow(listed, "root string, full string, path string, bytes long")
+    open_, names = spark.createDataFrame([(r, "") for r in roots], "root string, folder string"), None
+    while True:  # as many rounds as folders are deep
+        level = stored(open_.repartition("root", "folder").mapInArrow(listed, "root string, full string, path string, bytes long, folder boolean"), "listed")
+        files = level.where(~F.col("folder")).drop("folder")
+        names = files if names is None else names.unionByName(files)
+        open_ = level.where("folder").select("root", F.col("path").alias("folder"))
+        if open_.isEmpty():
+            break
     return names.repartition("root", "path").mapInArrow(opened, "root string, path string, bytes long, data binary")
 
 
-def _above(path: str, base: str) -> list[str]:
-    """The path and the folders between it and the base."""
-    out = []
-    while len(path) > len(base):
-        out.append(path)
-        path = os.path.dirname(path)
-    return out
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write each row (path, data) as a file under a root that all executors share; a row that is written again replaces its file."""
+
+    def put(batches):
+        for batch in batches:
+            store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+            made = set()
+            for path, data in zip(batch["path"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                folder = os.path.dirname(f"{base}/{path}")
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    files.select("path", "data").mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one row
 
 
-_LISTED = pa.schema([("root", pa.string()), ("full", pa.string()), ("path", pa.string()), ("bytes", pa.int64())])
+_LISTED = pa.schema([("root", pa.string()), ("full", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("folder", pa.bool_())])
 _READ = pa.schema([("root", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("data", pa.binary())])
 
 
@@ -153,10 +175,9 @@ def unwrap_root(files: DataFrame) -> DataFrame:
 
 
 def commit_log(lines: DataFrame) -> DataFrame:
-    """commit, author, at, path of numbered log lines (n, line): headers are NUL-separated, file lines follow theirs."""
-    w = Window.partitionBy("log").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """commit, author, at, path of numbered log lines (n, line): headers are NUL-separated, file lines follow theirs. A log of any length is many ranges of lines."""
     head = F.when(F.col("line").contains("\x00"), F.split("line", "\x00"))
-    named = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(F.col("line") != "")
+    named = last_known(lines, head, ["log"], ["n"], "head").where(F.col("line") != "")
     path = F.when(~F.col("line").contains("\x00"), F.col("line"))
     return named.select("log", F.col("head")[0].alias("commit"), F.col("head")[1].alias("author"), F.to_timestamp(F.col("head")[2]).alias("at"), path.alias("path"))
 
