@@ -69,6 +69,7 @@ def frameworks(deps: DataFrame) -> DataFrame:
 
 
 def entrypoints(files: DataFrame, most: int = 12) -> DataFrame:
+    # The manifest's keys and endings of scripts.
     package = files.where("path = 'package.json'")
     main = package.select(F.regexp_replace(F.get_json_object("content", "$.main"), r"^\./", "").alias("path"))
     start = F.coalesce(F.get_json_object("content", "$.scripts.start"), F.get_json_object("content", "$.scripts.dev"))
@@ -78,6 +79,7 @@ def entrypoints(files: DataFrame, most: int = 12) -> DataFrame:
 
 
 def _route_of_path(path: Column) -> Column:
+    # Folders and file names of routes, and how their segments read as a path.
     app = F.regexp_extract(path, r"^(?:src/)?app/(.+)/route\.(?:ts|js|tsx|jsx)$", 1)
     api = F.regexp_extract(path, r"^(?:src/)?pages/api/(.+)\.(?:ts|js)$", 1)
     app_path = F.regexp_replace(F.regexp_replace(F.regexp_replace(app, r"\[\.\.\.(\w+)\]", "*"), r"\[(\w+)\]", ":$1"), r"\(\w+\)/", "")
@@ -150,6 +152,7 @@ def by_path(files: DataFrame, table: tuple[tuple[str, str], ...], name: str) ->
 
 
 def docker_flags(files: DataFrame) -> DataFrame:
+    # File names.
     return files.agg(F.coalesce(F.bool_or(F.lower(file_name(F.col("path"))).startswith("dockerfile")), F.lit(False)).alias("has_dockerfile"), F.coalesce(F.bool_or(file_name(F.col("path")).rlike(r"^(docker-)?compose.*\.ya?ml$")), F.lit(False)).alias("has_compose"))
 
 

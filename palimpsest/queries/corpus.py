@@ -177,6 +177,7 @@ _PLANT = (
 _PLANT_SQL = f"CASE doc_id % {len(_PLANT)} " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in enumerate(_PLANT)) + " END"
 _PLANTED_SQL = f"text || chr(10) || replace({_PLANT_SQL}, '{{n}}', CAST(1000 + doc_id % 9000 AS VARCHAR))"
 # The rules in DuckDB's patterns, which look neither ahead nor behind; no planted value is a placeholder.
+# The rules' patterns, in DuckDB's syntax.
 _RE2 = (
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0), ("aws_secret", r"(?i)\baws_secret_access_key\s*[=:]\s*[\"'']?([A-Za-z0-9/+=]{40})[\"'']?", 1), ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", 0),
     ("anthropic_key", r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b", 0), ("openai_key", r"\bsk-(?:proj-)?[A-Za-z0-9\-_]{32,}\b", 0), ("google_key", r"\bAIza[0-9A-Za-z\-_]{35}\b", 0), ("slack_token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b", 0),

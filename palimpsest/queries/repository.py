@@ -146,7 +146,7 @@ def _tree(spark, d):
 octet_length(encode(body))::BIGINT AS bytes, path LIKE 'a/tests/%' AS is_test, sha256(body) AS sha FROM t
 WHERE doc_id % 6 <> 0 AND doc_id % 4 <> 2 AND (path LIKE 'a/%' OR path LIKE 'b/%') AND path NOT LIKE '%f77.py' AND octet_length(encode(body)) BETWEEN 1 AND 409600 AND doc_id % 11 <> 3 AND doc_id % 13 <> 5""")
 def collected_files(spark, d):
-    """PIP-1, FLT-1, FLT-2, FLT-3, FLT-4, FLT-5: ignore rules, scope, sizes, binaries, generated files, then redaction. The corpus has none of the rules' secrets."""
+    """PIP-1, FLT-1, FLT-2, FLT-3, FLT-4: ignore rules, scope, sizes, binaries, generated files, then redaction. The corpus has none of the rules' secrets."""
     from ..sources import ignore_pattern
 
     return collect_files(_tree(spark, d), ["a", "b"], [ignore_pattern("f77.py")]).select("path", "lang", "loc", "bytes", "is_test", "sha")
@@ -202,11 +202,39 @@ SELECT 'd' || k AS path, array_to_string((CASE WHEN g = 0 THEN list_concat(['(im
 UNION ALL SELECT 'd' || k, symbol, CAST(a AS INT), CAST(e AS INT), CAST((e - a + 1) * 50 - 1 AS INT) FROM large UNION ALL SELECT 'd' || k, '(imports)', 1, 1, 49 FROM s WHERE size > 3601""")
 def code_chunks(spark, d):
     """PIP-3, UDF-1: chunks by the table function over lines. Each part is a file of one of five languages: a line of imports, then functions of equal length; some are packed, some cut."""
+    return chunks.chunk_by_lines(_code(spark, d)).select("path", "symbol", "start_line", "end_line", F.length("content").alias("chars"))
+
+
+def _code(spark, d) -> DataFrame:
+    """path, lang, content: a line of imports, then functions of equal length."""
     made = read(spark, d, "part").selectExpr("p_partkey AS k", "p_partkey % 11 * 8 + 3 AS b", "p_partkey % 9 + 1 AS d")
     body = "array_join(array_repeat(rpad('    value = value + 1', 49, '.'), cast(b as int)), '\\n')"
-    decl = f"rpad({_DECLARED}, 49, '-')"
-    one = f"concat({decl}, '\\n', {body})".replace("|| j ||", "|| lpad(j, 3, '0') ||")
+    one = f"concat(rpad({_DECLARED}, 49, '-'), '\\n', {body})".replace("|| j ||", "|| lpad(j, 3, '0') ||")
     content = f"concat(rpad('import all ', 49, 'x'), '\\n', array_join(transform(sequence(1, cast(d as int)), j -> {one}), '\\n'))"
     lang = F.element_at(F.array(*map(F.lit, _LANGS)), (F.col("k") % 5 + 1).cast("int"))
-    files = made.select(F.expr("'d' || k").alias("path"), lang.alias("lang"), F.expr(content).alias("content"))
-    return chunks.chunk_by_lines(files).select("path", "symbol", "start_line", "end_line", F.length("content").alias("chars"))
+    return made.select(F.expr("'d' || k").alias("path"), lang.alias("lang"), F.expr(content).alias("content"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 11 * 8 + 3 AS b, p_partkey % 9 + 1 AS d FROM part), f AS (SELECT *, unnest(range(0, d + 1)) AS j FROM p)
+SELECT 'd' || k AS path, CASE WHEN j = 0 THEN '(imports)' ELSE 'f' || lpad(CAST(j AS VARCHAR), 3, '0') END AS symbol, CAST(CASE WHEN j = 0 THEN 1 ELSE 2 + (j - 1) * (b + 1) END AS INT) AS first, CAST(1 + j * (b + 1) AS INT) AS last FROM f""")
+def code_regions(spark, d):
+    """WIN-6: a region from each declaration to the next, in files of five languages."""
+    return chunks.regions(_code(spark, d))
+
+
+_POETRY = r"""'[project]\nname = "proj' || k || '"\ndependencies = ["lib' || m || '>=1.' || k || '", "extra' || m || '~=2.' || k || '"]\n[tool.poetry.dependencies]\npython = "^3.11"\nboth' || m || ' = "^4.' || k || '"\n'"""
+_COMPOSER = """'{"require": {"vendor/p' || m || '": "^' || k || '", "ext' || m || '": "*"}, "require-dev": {"none' || m || '": "1"}}'"""
+_REQUIREMENTS = r"""'lib' || m || '==9.' || k || '\n# lib' || m || '==0\nreq' || m || ' >= 2.' || k || '\nboth' || m || '\n'"""
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 97 AS m FROM part), f AS (
+SELECT k, 'pypi' AS ecosystem, 'name' AS name, 'proj' || k AS version FROM p WHERE k % 3 = 0 UNION ALL SELECT k, 'pypi', 'python', '^3.11' FROM p WHERE k % 3 = 0 UNION ALL SELECT k, 'pypi', 'both' || m, '^4.' || k FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, 'pypi', 'lib' || m, '1.' || k FROM p WHERE k % 3 = 0 UNION ALL SELECT k, 'pypi', 'extra' || m, '2.' || k FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, 'composer', 'vendor/p' || m, '^' || k FROM p WHERE k % 3 = 1 UNION ALL SELECT k, 'composer', 'ext' || m, '*' FROM p WHERE k % 3 = 1
+UNION ALL SELECT k, 'pypi', 'lib' || m, '9.' || k FROM p WHERE k % 3 = 2 UNION ALL SELECT k, 'pypi', 'req' || m, '2.' || k FROM p WHERE k % 3 = 2 UNION ALL SELECT k, 'pypi', 'both' || m, '*' FROM p WHERE k % 3 = 2)
+SELECT ecosystem, name, arg_min(version, k) AS version, false AS dev FROM f GROUP BY 1, 2""")
+def dependency_clashes(spark, d):
+    """EXT-1, AGG-18: pyproject.toml, composer.json and requirements files with several entries each; where files name one package, the first by path says its version."""
+    content = "CASE k % 3 WHEN 0 THEN " + _POETRY + " WHEN 1 THEN " + _COMPOSER + " ELSE " + _REQUIREMENTS + " END"
+    f = _files(spark, d, "'d' || z || '/' || CASE k % 3 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'composer.json' ELSE 'requirements-dev.txt' END", content.replace("|| m ||", "|| k % 97 ||"))
+    return facts.dependencies(f)

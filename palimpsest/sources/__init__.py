@@ -17,6 +17,8 @@ from ..shared import stored
 # Our own choice of what is not read: dependency, build and tool folders, locks, bundles.
 IGNORED_FOLDERS = "node_modules vendor dist build out target coverage __pycache__ venv .git .hg .svn .venv .next .nuxt .cache .idea .vscode bower_components".split()
 IGNORED_FILES = (r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|composer\.lock|Gemfile\.lock|go\.sum)$", r"\.min\.(js|css)$", r"\.(map|lock|png|jpe?g|gif|ico|pdf|zip|gz|jar|woff2?|ttf|mp[34]|exe|dll|so|class|pyc)$")
+#: A generated file says so in its first lines: in so many characters. What stands further down is quoted or talked about.
+GENERATED_HEAD = 600
 GENERATED = r"(?i)(@generated|code generated .* do not edit|auto-?generated|do not edit)"
 MAX_FILE, MAX_FILES, MAX_BYTES, SCOPE_LIMIT = 400 * 1024, 25_000, 500 * 1024 * 1024, 4_000
 MAX_ENTRIES, BOMB_BYTES, BOMB_RATIO = 25_000, 50_000_000, 10
@@ -119,11 +121,11 @@ def running(df: DataFrame, value: str, order: list[str], name: str, within: list
 def collect_files(tree: DataFrame, modules: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
     """path, lang, loc, bytes, is_test, sha, content, findings: the files worth reading, redacted.
 
-    One narrow plan, cheap tests first: ignore rules, scope, size, binary (a zero byte in the first 8 KB), generated marks, then redaction.
+    One narrow plan, cheap tests first: ignore rules, scope, size, binary (a zero byte in the first 8 KB), generated marks (in the first `GENERATED_HEAD` characters), then redaction.
     """
     kept = tree.where(not_ignored(F.col("path"), ignore) & in_scope(F.col("path"), modules or []) & size_ok(F.col("bytes")))
     text = kept.where(~F.substring("data", 1, 8192).cast("string").contains("\x00")).withColumn("content", F.col("data").cast("string"))
-    text = text.where(~F.left("content", F.lit(600)).rlike(GENERATED)).drop("data")
+    text = text.where(~F.left("content", F.lit(GENERATED_HEAD)).rlike(GENERATED)).drop("data")
     out = redact(text, "content").withColumns({"lang": language(F.col("path")), "is_test": is_test_path(F.col("path"))})
     loc = F.when(is_code(F.col("lang")), line_count(F.col("content"))).otherwise(0)
     return out.select("path", "lang", loc.alias("loc"), "bytes", "is_test", F.sha2("content", 256).alias("sha"), "content", "findings")
