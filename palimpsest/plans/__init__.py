@@ -1,4 +1,4 @@
-"""Generation plans: categories and levels as a small table."""
+"""Generation plans: categories and levels as a small table, for one repository or for each of many."""
 
 from __future__ import annotations
 
@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 
+#: What the facts of a repository can say that changes a plan.
+CONDITIONS = ("trivial", "no_tables", "no_routes", "no_tests", "no_devops")
 
-def fan_out(spark: SparkSession, **conditions: bool) -> DataFrame:
-    """seq, category, level, count, persona: the tasks of a pack. Conditions: trivial, no_tables, no_routes, no_tests, no_devops."""
-    rows = [(i, name, other if c and conditions.get(c) else usual) for i, (name, usual, other, c) in enumerate(rules.PLAN_COUNTS)]
-    base = spark.createDataFrame(rows, "cat int, category string, n int")
+
+def plan_each(repos: DataFrame, key: str = "repo") -> DataFrame:
+    """key, seq, category, level, count, persona: the tasks of each repository's pack. repos: key and the conditions, booleans (null is false).
+
+    The plan's rows are one literal, exploded in each repository's row; numbers and turns are windows over its few tasks.
+    """
+    base = F.array(*[
+        F.struct(F.lit(i).alias("cat"), F.lit(name).alias("category"), (F.when(F.coalesce(F.col(condition), F.lit(False)), other).otherwise(usual) if condition else F.lit(usual)).alias("n"))
+        for i, (name, usual, other, condition) in enumerate(rules.PLAN_COUNTS)
+    ])
+    rows = repos.select(key, F.explode(base).alias("b")).select(key, "b.*")
     one, two = F.floor(F.col("n") * 0.2 + 0.5), F.floor(F.col("n") * 0.45 + 0.5)
     half = F.col("category") == "walkthrough"
     levels = F.array(
@@ -19,8 +28,14 @@ def fan_out(spark: SparkSession, **conditions: bool) -> DataFrame:
         F.struct(F.lit("L2").alias("level"), F.when(half, F.floor(F.col("n") * 0.5)).otherwise(two).cast("int").alias("count")),
         F.struct(F.lit("L3").alias("level"), F.when(half, 0).otherwise(F.col("n") - one - two).cast("int").alias("count")),
     )
-    tasks = base.select("cat", "category", F.explode(levels).alias("l")).select("cat", "category", "l.level", "l.count").where("count > 0")
-    turn = F.sum(F.when(F.col("level") != "L3", 1).otherwise(0)).over(Window.orderBy("cat", "level")) - 1
+    tasks = rows.select(key, "cat", "category", F.explode(levels).alias("l")).select(key, "cat", "category", "l.level", "l.count").where("count > 0")
+    order = Window.partitionBy(key).orderBy("cat", "level")
+    turn = F.sum(F.when(F.col("level") != "L3", 1).otherwise(0)).over(order) - 1
     persona = F.when(F.col("level") == "L3", "bar-raiser").otherwise(F.element_at(F.array(*map(F.lit, rules.PERSONAS)), (turn % 3 + 1).cast("int")))
-    seq = F.row_number().over(Window.orderBy("cat", "level")) - 1
-    return tasks.select(seq.alias("seq"), "category", "level", F.least("count", F.lit(8)).alias("count"), persona.alias("persona"))
+    return tasks.select(key, (F.row_number().over(order) - 1).alias("seq"), "category", "level", F.least("count", F.lit(8)).alias("count"), persona.alias("persona"))
+
+
+def fan_out(spark: SparkSession, **conditions: bool) -> DataFrame:
+    """seq, category, level, count, persona: the tasks of one pack, under the `CONDITIONS` given."""
+    one = spark.range(1).select("id", *[F.lit(bool(conditions.get(c))).alias(c) for c in CONDITIONS])
+    return plan_each(one, "id").drop("id")

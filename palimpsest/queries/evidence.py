@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.vectors import jaccard
 from ..operators import evidence, reports, schedule, tables, vector_index
-from ..plans import fan_out
+from ..plans import CONDITIONS, fan_out, plan_each
 from ..shared import stored
 from .base import read, registry
 
@@ -137,6 +138,22 @@ def plan_fanout(spark, d):
     return fan_out(spark)
 
 
+_PLAN_SQL = ", ".join(f"({i}, '{name}', {usual}, {other if other is not None else usual}, '{condition or '-'}')" for i, (name, usual, other, condition) in enumerate(rules.PLAN_COUNTS))
+_FLAGS = ("count(*) < 45", "count_if(doc_id % 40 = 3) = 0", "max(n_chars) < 9000", "count_if(doc_id % 8 = 7) < 5", "count_if(lang = 'es') < 6")
+
+
+@query(f"""WITH r AS (SELECT source AS repo, {', '.join(f'{sql} AS {name}' for sql, name in zip(_FLAGS, CONDITIONS, strict=True))} FROM documents GROUP BY source), b AS (SELECT * FROM (VALUES {_PLAN_SQL}) AS t(i, c, usual, other, cond)),
+p AS (SELECT repo, i, c, CASE WHEN {' OR '.join(f"(cond = '{name}' AND {name})" for name in CONDITIONS)} THEN other ELSE usual END AS n FROM r, b),
+s AS (SELECT *, CAST(CASE WHEN c = 'walkthrough' THEN ceil(n / 2) ELSE floor(n * 0.2 + 0.5) END AS INT) AS one, CAST(CASE WHEN c = 'walkthrough' THEN floor(n / 2) ELSE floor(n * 0.45 + 0.5) END AS INT) AS two FROM p),
+l AS (SELECT repo, i, c, 'L1' AS l, one AS k FROM s UNION ALL SELECT repo, i, c, 'L2', two FROM s UNION ALL SELECT repo, i, c, 'L3', CASE WHEN c = 'walkthrough' THEN 0 ELSE n - one - two END FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY i, l) - 1 AS seq, CAST(sum(CASE WHEN l <> 'L3' THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY i, l) - 1 AS BIGINT) AS t FROM l WHERE k > 0)
+SELECT repo, CAST(seq AS INT) AS seq, c AS category, l AS level, CAST(least(k, 8) AS INT) AS count, CASE WHEN l = 'L3' THEN 'bar-raiser' ELSE ['hiring-manager', 'tech-lead', 'peer'][t % 3 + 1] END AS persona FROM o""")
+def plan_sources(spark, d):
+    """PIP-8, WIN-9, UDF-7: the plan of each source's pack, by what its documents say."""
+    told = read(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(*[F.expr(sql).alias(name) for sql, name in zip(_FLAGS, CONDITIONS, strict=True)])
+    return plan_each(told)
+
+
 @query("""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS at, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 4 ELSE 3 END AS g FROM events),
 f AS (SELECT user_id, 0::BIGINT AS n, 5.4::DOUBLE AS d, 0::DOUBLE AS s, 0 AS lapses, 0::BIGINT AS at, 0 AS g FROM (SELECT DISTINCT user_id FROM events) UNION ALL
 SELECT r.user_id, r.n, least(greatest(f.d + 0.9 * (3 - r.g), 1), 10), least(greatest(CASE WHEN f.n = 0 THEN [0.4, 1.2, 3.2, 15.7][r.g] WHEN r.g = 1 THEN greatest(0.4, f.s * 0.35) ELSE f.s * (1 + 1.6 * (1 - CASE WHEN f.s <= 0 THEN 0
