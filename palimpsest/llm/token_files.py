@@ -9,7 +9,7 @@ range partitioning by document id, their order over all files.
 File: magic, eight counts, then the arrays of `_LAYOUT` in order, all little-endian.
 
 Null texts are empty, and an empty text still has its end id. Null document ids come first, in one run. Rows with
-equal ids are ordered by a hash of their text; those and null ids may be in several files. An empty table gives no files and no rows. Other columns are ignored.
+equal ids are in the order in which they are read; those and null ids may be in several files. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FILE_IDS = 4_000_000
 #: Ids that are packed or unpacked at once.
 CHUNK_BLOCKS = 4096
 PERCENTILE = 0.9
+#: Texts of each task that are encoded by the tokenizers library as a whole, too.
+HELD_TEXTS = 16
 _LAYOUT = (("doc_id", "<i8"), ("doc_null", "u1"), ("doc_len", "<i8"), ("low", "<u4"), ("width", "u1"), ("word_at", "<i8"), ("patch_at", "<i8"), ("patch_pos", "u1"), ("patch_high", "<u4"), ("word", "<u8"))
 
 
@@ -148,7 +150,8 @@ def documents_of(file: dict[str, np.ndarray]) -> Iterator[tuple[int | None, int,
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, file_ids: int = FILE_IDS) -> tuple[DataFrame, str]:
     """Encode every text, append end_id (None: nothing) and write files in ascending order of doc_id.
 
-    Texts are dealt out by ranges of doc_id once; each task encodes and writes its range. A file is written under a
+    Texts are dealt out by ranges of doc_id once; each task encodes and writes its range. Texts of Latin letters go through the tokenizer's merges as ranks
+    (`encode_ranked`), others through the tokenizers library; each task holds its first `HELD_TEXTS` texts against the library's own encoding. A file is written under a
     name of its own and then moved, so that a task that runs again replaces it by the same bytes. Returns the
     manifest (part, file, path, n_docs, n_ids, start: ids in files of the same part before it) and the folder.
     """
@@ -168,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, int]] = []
         data: list[bytes] = []
-        size = 0
+        size = told = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal made, start, held, data, size
@@ -184,7 +187,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = coder.encode(text) + end
+                own = coder.encode_ranked(text)
+                if told < HELD_TEXTS and own != coder.whole(text):
+                    raise ValueError(f"ranks and library differ on document {doc}")
+                told += 1
+                ids = own + end
                 held.append((doc, len(ids) // 4))
                 data.append(ids)
                 size += len(ids) // 4
@@ -193,9 +200,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         if held:
             yield flush()
 
-    # Ranges end inside runs of null or equal ids, and of equal rows.
-    order = ["doc_id", "tie", "row"]
-    ranged = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges end inside runs of null or equal ids, too.
+    order = ["doc_id", "row"]
+    ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = ranged.mapInArrow(in_slices(write, "text"), "part int, file int, path string, n_docs long, n_ids long, start long")
     return materialise(manifest, "token-manifest"), folder
 

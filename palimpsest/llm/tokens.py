@@ -18,8 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Cached words per generation; two generations are kept by a cache, about 60 MB at most.
-CACHE_WORDS = 150_000
+#: Cached words per generation; two generations are kept by a cache, about 120 MB at most.
+CACHE_WORDS = 300_000
 #: Words of so many characters are not kept.
 LONG_WORD = 64
 #: Characters that Python's str.split takes for white space and the tokenizers' patterns don't.
@@ -60,7 +60,7 @@ class WordCache(dict):
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        if len(word) < LONG_WORD:
+        if len(word) < LONG_WORD and ("\n" not in word or word == "\n"):  # words on both sides of a line feed seldom meet again
             self[word] = ids
         return ids
 
