@@ -34,14 +34,20 @@ def binned_overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span
     reported in the first bin that both are in, the one in which the later of them starts. Bins are tables' rows like keys, so a hot key
     is as many tasks as it has bins. The result has the columns of both sides (of the left alone where how is left_semi); the right's keys are left out.
     """
-    counted = right.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(other[0], [(i + 1) / MAX_BINS for i in range(MAX_BINS - 1)], 4 * MAX_BINS).alias("__q"))
-    some = F.expr(f"filter(__q, (q, i) -> (i + 1) % greatest(1, cast({MAX_BINS * bin_rows}L div __n as int)) = 0)")
-    hot = stored(counted.where(F.col("__n") > bin_rows).select(*keys, F.array_sort(F.array_distinct(some)).alias("__edges")), "hot-keys")
     own = [c for c in right.columns if c not in keys]
-    plain = overlap_join(left.join(hot.select(*keys), keys, "left_anti"), right, keys, span, other, how)
-    plain = plain if how == "left_semi" else plain.select(*[left[c] for c in left.columns], *[right[c] for c in own])
-    if hot.isEmpty():
-        return plain
+
+    def plainly(some: DataFrame) -> DataFrame:
+        met = overlap_join(some, right, keys, span, other, how)
+        return met if how == "left_semi" else met.select(*[some[c] for c in left.columns], *[right[c] for c in own])
+
+    large = stored(right.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > bin_rows), "hot-keys")
+    if large.isEmpty():
+        return plainly(left)
+    quantiles = F.percentile_approx(other[0], [(i + 1) / MAX_BINS for i in range(MAX_BINS - 1)], 4 * MAX_BINS)
+    counted = right.join(large.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("__n"), quantiles.alias("__q"))
+    some = F.expr(f"filter(__q, (q, i) -> (i + 1) % greatest(1, cast({MAX_BINS * bin_rows}L div __n as int)) = 0)")
+    hot = stored(counted.select(*keys, F.array_sort(F.array_distinct(some)).alias("__edges")), "hot-edges")
+    plain = plainly(left.join(hot.select(*keys), keys, "left_anti"))
     x, y = left.join(hot, keys).withColumn("__id", F.monotonically_increasing_id()), right.join(hot, keys)
     binned = lambda df, at: df.withColumns({"__low": _bin(at[0]), "__high": _bin(at[1])}).withColumn("__bin", F.explode(F.sequence("__low", F.greatest("__low", "__high")))).drop("__edges", "__high")
     x, y = binned(x, span).withColumnRenamed("__low", "__from"), binned(y, other)
