@@ -78,6 +78,8 @@ MODIFIERS = frozenset("has with without no is not tag category cat type format s
 ARTICLE_STEMS = frozenset("article post entry story content main body page".split())
 HEAD_WORDS = frozenset("header head title heading".split())
 ARTICLE_CLASS = re.compile(r"(?:article|article-?body|article-?content|post|post-?body|post-?content|entry|entry-?content|main|main-?content|content|story|story-?body|body-?text|hentry|markdown-?body)\Z", re.I)
+#: Words that begin like these are as well.
+ASIDE_STEMS = re.compile(r"(?:advert|sponsor|promo|recommend)\w*\Z|nav(?!y\Z|al)\w*\Z")
 _CLASS_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -115,7 +117,8 @@ def class_says(name: str) -> str:
         return "in"
     if words[0] in MODIFIERS or words[0] in ARTICLE_STEMS and words[-1] in HEAD_WORDS and len(words) > 1:
         return ""
-    return "out" if words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS or words[-1] in LAST_WORDS else ""
+    ends = (words[0], words[-1])
+    return "out" if words[-1] in LAST_WORDS or any(w in ASIDE_WORDS or ASIDE_STEMS.match(w) for w in ends) else ""
 
 
 def _role(name: str, attributes: str) -> str:

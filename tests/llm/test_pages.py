@@ -149,7 +149,7 @@ def test_usual_class_lists():
 def test_what_a_class_says():
     for name, says in {
         "tag-python": "", "category-news": "", "post-header": "", "entry-title": "", "article__header": "", "has-sidebar": "", "siteHeader": "out", "site-header": "out", "sidebar-left": "out", "share-buttons": "out", "post-tags": "out", "related-posts": "out",
-        "contact-form": "out", "form-text": "", "comment-list": "comments", "postComments": "comments", "no-comments": "", "post": "in", "entry-content": "in", "postBody": "in", "hentry": "in", "": "", "--": "", "main-navigation": "out", "ads": "out", "adsorption": "", "headline": "",
+        "contact-form": "out", "form-text": "", "comment-list": "comments", "postComments": "comments", "no-comments": "", "post": "in", "entry-content": "in", "postBody": "in", "hentry": "in", "": "", "--": "", "main-navigation": "out", "ads": "out", "adsorption": "", "headline": "", "navlinks": "out", "navy": "", "advertbox": "out", "sponsoring-note": "out",
     }.items():
         assert class_says(name) == says, name
 
