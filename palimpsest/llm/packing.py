@@ -60,6 +60,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
                     for k, v in zip(schema.names, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=False):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+        coder.worded.rest()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(in_slices(cut, "text"), ddl)

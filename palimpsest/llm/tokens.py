@@ -49,26 +49,30 @@ BYTE_LETTERS = _byte_letters()
 class WordCache(dict):
     """Word -> its bytes (ids as little-endian unsigned 32-bit numbers); `make` answers for words seen for the first time."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int | None = None):
         super().__init__()
-        self.make, self.old, self.long = make, {}, []
+        self.make, self.size, self.old, self.long = make, size or CACHE_WORDS, {}, []
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         if len(word) < LONG_WORD and ("\n" not in word or word == "\n"):  # words on both sides of a line feed seldom meet again
             self[word] = ids
         return ids
 
+    def rest(self) -> None:
+        """Keep one generation while nothing is asked: a worker lives on between stages."""
+        self.old = {}
+
     def fill(self, words: set[str], make_all: Callable[[list[str]], Iterable[bytes]]) -> None:
         """Have the answers for all these words, with one call for those that aren't known. They stay until the next call, long ones no longer."""
         for word in self.long:
             self.pop(word, None)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         absent = [w for w in words if w not in self]
@@ -100,7 +104,7 @@ class TextEncoder:
         else:
             self.encode = self.whole
         self.ranked = self._ranks(spec) if self.encode == self._spaced_text else None
-        self.worded = WordCache(self._worded)
+        self.worded = WordCache(self._worded, 2 * CACHE_WORDS)  # the only cache of such a tokenizer
         self.spaced = WordCache(lambda w: self._part(" ", w, self.spaced))
         self.bare = WordCache(lambda w: self._part("", w, self.bare))
 
