@@ -191,10 +191,12 @@ def limits(files: DataFrame, by: list[str], most_files: int = MAX_FILES, most_by
 
 
 def within_limits(files: DataFrame, by: list[str], most_files: int = MAX_FILES, most_bytes: int = MAX_BYTES) -> DataFrame:
-    """files; the job fails, and names the repository, where one is over its bounds. Totals are one row a repository, joined back."""
+    """files; the job fails, and names the repository, where one is over its bounds. Totals are one row a repository, joined back; null is a name too."""
     name = F.concat_ws("/", *by)
     said = limits(files, by, most_files, most_bytes).withColumn("__fits", F.when(F.col("over").isNull(), True).otherwise(F.raise_error(F.concat(name, F.lit(" has too many "), F.col("over")))))
-    return files.join(said.select(*by, "__fits"), by).where("__fits").drop("__fits")
+    told = said.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__fits")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
+    return files.join(told, same).where("__fits").select(*files.columns)
 
 
 def scope_alert(files: DataFrame, by: list[str], modules: list[str] | None = None, most: int = SCOPE_LIMIT) -> DataFrame:
