@@ -119,16 +119,18 @@ def running(df: DataFrame, value: str, order: list[str], name: str, within: list
 
 
 def collect_files(tree: DataFrame, modules: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """path, lang, loc, bytes, is_test, sha, content, findings: the files worth reading, redacted.
+    """path, lang, loc, bytes, is_test, sha, content, findings, stored_loc, stored_sha: the files worth reading, redacted.
 
     One narrow plan, cheap tests first: ignore rules, scope, size, binary (a zero byte in the first 8 KB), generated marks (in the first `GENERATED_HEAD` characters), then redaction.
+    loc and sha are of the redacted content; stored_loc and stored_sha, like bytes, of the file as it lies in the tree, so that they differ where something was redacted.
     """
     kept = tree.where(not_ignored(F.col("path"), ignore) & in_scope(F.col("path"), modules or []) & size_ok(F.col("bytes")))
     text = kept.where(~F.substring("data", 1, 8192).cast("string").contains("\x00")).withColumn("content", F.col("data").cast("string"))
-    text = text.where(~F.left("content", F.lit(GENERATED_HEAD)).rlike(GENERATED)).drop("data")
-    out = redact(text, "content").withColumns({"lang": language(F.col("path")), "is_test": is_test_path(F.col("path"))})
+    text = text.where(~F.left("content", F.lit(GENERATED_HEAD)).rlike(GENERATED)).withColumn("stored_sha", F.sha2("data", 256)).drop("data")
+    text = text.withColumns({"lang": language(F.col("path")), "is_test": is_test_path(F.col("path"))})
     loc = F.when(is_code(F.col("lang")), line_count(F.col("content"))).otherwise(0)
-    return out.select("path", "lang", loc.alias("loc"), "bytes", "is_test", F.sha2("content", 256).alias("sha"), "content", "findings")
+    out = redact(text.withColumn("stored_loc", loc), "content")
+    return out.select("path", "lang", loc.alias("loc"), "bytes", "is_test", F.sha2("content", 256).alias("sha"), "content", "findings", "stored_loc", "stored_sha")
 
 
 def worth_summarising(path: Column, lang: Column, content: Column) -> Column:
