@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,51 +37,120 @@ def lexical_topk(docs: DataFrame, query: str, k: int, text: str = "text", ties:
     return docs.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), *ties).limit(k)
 
 
-#: Documents, and queries, of a block where many queries meet all documents.
-BLOCK_DOCS, BLOCK_QUERIES = 1024, 256
+#: Bounds of a block of texts (rows, characters), of a pack of terms, and of a block where queries meet documents (documents, terms of documents, queries).
+BLOCK_TEXTS, BLOCK_CHARS, PACK_TERMS = 1024, 1 << 23, 1024
+BLOCK_DOCS, BLOCK_HELD, BLOCK_QUERIES = 16_384, 1 << 23, 65_536
+_RUN = re.compile("[a-z0-9]+")
 
 
 def lexical_topk_many(docs: DataFrame, queries: DataFrame, k: int, key: str = "query", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """key, doc, hits, rank: `lexical_topk` for each row of queries (key, text).
 
-    Documents and queries are dealt into blocks by hash, and each two blocks meet in one group: each distinct term of the queries is sought once in each text, and a query's best `k` of the block
-    are given back, so a query is k rows a block of documents, whatever it hits. Queries without terms have no rows.
+    A text is read once, against all distinct terms of the queries (`held_terms`). Then documents, as lists of terms, and queries are dealt into blocks by hash, and each two blocks meet in one
+    group, which gives back a query's best `k` of the block, so a query is k rows a block of documents, whatever it hits. Queries without terms have no rows.
     """
-    asked = stored(queries.select(F.col(key).alias("q"), query_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0), "queries")
-    sets, parts = max(1, -(-docs.count() // BLOCK_DOCS)), max(1, -(-asked.count() // BLOCK_QUERIES))
-    own = docs.select(F.col(doc).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.pmod(F.xxhash64(doc), F.lit(sets)).cast("int").alias("i"))
-    left = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = asked.withColumn("j", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    terms = query_terms(F.col(text))
+    asked = stored(queries.select(F.col(key).alias("q"), terms.alias("terms")).where(F.size("terms") > 0).withColumn("u", F.monotonically_increasing_id()), "queries")
+    words = stored(asked.select(F.explode("terms").alias("term")).distinct(), "terms")
+    pack = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-words.count() // PACK_TERMS)))).cast("int")
+    packs = stored(words.groupBy(pack.alias("pack")).agg(F.collect_list("term").alias("terms")), "packs")
+    width = packs.agg(F.max(F.size("terms"))).first()[0] or 1
+    numbers = packs.select("pack", F.posexplode("terms").alias("at", "term")).select("term", (F.col("pack") * width + F.col("at")).alias("id"))
+    sought = asked.select("u", "q", F.explode("terms").alias("term")).join(numbers, "term").groupBy("u").agg(F.first("q").alias("q"), F.collect_list("id").alias("ids"))
+
+    held = stored(held_terms(docs.select(F.col(doc).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")), packs, width), "held-terms")
+    told = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
+    sets, parts = max(1, -(-told["n"] // BLOCK_DOCS), -(-told["ids"] // BLOCK_HELD)), max(1, -(-asked.count() // BLOCK_QUERIES))
+    left = held.withColumn("i", F.pmod(F.xxhash64("d", "ids"), F.lit(sets)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = sought.withColumn("j", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     qtype, dtype = queries.schema[key].dataType, docs.schema[doc].dataType
     fields = T.StructType([T.StructField(key, qtype), T.StructField(doc, dtype), T.StructField("hits", T.IntegerType())])
     schema = to_arrow_schema(fields)
 
-    def meet(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        if not texts.num_rows or not asked.num_rows:
+    def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
             return schema.empty_table()
-        order = texts.sort_by([("d", "ascending")])
-        lows, ids = order["t"].to_pylist(), order["d"].to_pylist()
-        held: dict[str, np.ndarray] = {}
-        out: tuple[list, list, list] = ([], [], [])
-        for q, terms in zip(asked["q"].to_pylist(), asked["terms"].to_pylist(), strict=True):
-            hits = np.zeros(len(lows), np.int32)
+        docs = docs.take(pc.sort_indices(docs["d"], null_placement="at_start")).combine_chunks()
+        n, found = docs.num_rows, docs["ids"].combine_chunks()
+        ids = found.flatten().to_numpy()
+        at = np.repeat(np.arange(n, dtype=np.int32), found.value_lengths().to_numpy())
+        order = np.argsort(ids, kind="stable")
+        names, first = np.unique(ids[order], return_index=True)
+        at, last = at[order], [*first[1:].tolist(), len(ids)]
+        spans = {t: (a, b) for t, a, b in zip(names.tolist(), first.tolist(), last, strict=True)}
+        whole: dict[int, np.ndarray] = {}  # frequent terms as a row of 0 and 1: at most 8 bytes for each term of a document
+        to, chosen, counts = [], [], []
+        for row, terms in enumerate(asked["ids"].to_pylist()):
+            hits = np.zeros(n, np.uint8)  # a query has 12 terms at most
             for term in terms:
-                if term not in held:
-                    seek = re.compile(".".join(map(re.escape, term.split("_"))), re.S).search if "_" in term else None
-                    held[term] = np.fromiter((bool(seek(t)) if seek else term in t for t in lows), np.int32, len(lows))
-                hits += held[term]
-            for at in np.argsort(-hits, kind="stable")[:k].tolist():  # equal hits by document
-                if hits[at]:
-                    out[0].append(q)
-                    out[1].append(ids[at])
-                    out[2].append(int(hits[at]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                a, b = spans.get(term, (0, 0))
+                if (b - a) * 8 < n:
+                    hits[at[a:b]] += 1
+                    continue
+                if term not in whole:
+                    whole[term] = np.zeros(n, np.uint8)
+                    whole[term][at[a:b]] = 1
+                hits += whole[term]
+            least = int(hits.max())
+            while least > 1 and np.count_nonzero(hits >= least) < k:
+                least -= 1
+            if not least:
+                continue
+            over = np.flatnonzero(hits > least)
+            over = over[np.argsort(-hits[over].astype(np.int16), kind="stable")][:k]  # equal hits by document
+            best = np.concatenate([over, np.flatnonzero(hits == least)[: k - len(over)]])
+            to.append(np.full(len(best), row))
+            chosen.append(best)
+            counts.append(hits[best].astype(np.int32))
+        if not to:
+            return schema.empty_table()
+        columns = asked["q"].take(pa.array(np.concatenate(to))), docs["d"].take(pa.array(np.concatenate(chosen))), pa.array(np.concatenate(counts))
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, fields)
     order = Window.partitionBy(key).orderBy(F.desc("hits"), doc)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def held_terms(texts: DataFrame, packs: DataFrame, width: int) -> DataFrame:
+    """d, ids: the terms that each text (d, t; lower-cased) is LIKE, where it is LIKE any. packs: pack, terms; the id of a term is pack * width + its place.
+
+    A term of letters and digits lies within a run of them, so only a block's distinct runs are sought through, by their substrings as long as terms are. Terms with _, a wildcard, are sought in the texts.
+    """
+    told = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    sets = max(1, -(-told["n"] // BLOCK_TEXTS), -(-told["chars"] // BLOCK_CHARS))
+    left = texts.withColumn("i", F.pmod(F.xxhash64("d", "t"), F.lit(sets)).cast("int"))
+    right = packs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    fields = T.StructType([T.StructField("d", texts.schema["d"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = to_arrow_schema(fields)
+
+    def hold(texts: pa.Table, packs: pa.Table) -> pa.Table:
+        if not texts.num_rows or not packs.num_rows:
+            return schema.empty_table()
+        terms = {t: pack * width + at for pack, some in zip(packs["pack"].to_pylist(), packs["terms"].to_pylist(), strict=True) for at, t in enumerate(some)}
+        wild = [(re.compile(".".join(map(re.escape, t.split("_"))), re.S).search, terms.pop(t)) for t in [t for t in terms if "_" in t]]
+        lengths = sorted({len(t) for t in terms})
+        runs: dict[str, list[int]] = {}
+        rows, out = [], []
+        for row, t in enumerate(texts["t"]):
+            low, own = t.as_py(), set()
+            for run in set(_RUN.findall(low)):
+                if run not in runs:
+                    runs[run] = list({terms[run[a : a + n]] for n in lengths if n <= len(run) for a in range(len(run) - n + 1) if run[a : a + n] in terms})
+                own.update(runs[run])
+            own.update(term for seek, term in wild if seek(low))
+            if own:
+                rows.append(row)
+                out.append(np.fromiter(own, np.int32, len(own)))
+        if not rows:
+            return schema.empty_table()
+        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+        return pa.Table.from_arrays([texts["d"].take(pa.array(rows)).combine_chunks(), ids.cast(schema.field("ids").type)], schema=schema)
+
+    return left.groupBy("i").cogroup(right.groupBy("i")).applyInArrow(hold, fields)
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", ties: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """The k nearest by cosine of unit vectors; adds similarity. Null vectors are not found."""
     near = dot(F.col(vector), F.lit(query))

@@ -91,3 +91,25 @@ def test_many_queries_like_single_ones(spark):
             assert sorted(many[r["query"]]) == want
     finally:
         retrieval.BLOCK_DOCS, retrieval.BLOCK_QUERIES = before
+
+
+def test_texts_meet_terms_once(spark):
+    """A text is read once for all queries and gives each distinct term that it is LIKE: inside longer runs, in other letters' neighbourhood, and with wildcards."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import retrieval
+
+    texts = spark.createDataFrame([(1, "thereafter, éthe9 x"), (2, "user-id and a\nb"), (3, "nothing"), (4, ""), (1, "thereafter, éthe9 x")], "d long, t string")
+    terms = [["the", "here", "user_id", "a_b"], ["___", "zzz", "the9", "erst"]]
+    packs = spark.createDataFrame(list(enumerate(terms)), "pack int, terms array<string>")
+    before = retrieval.BLOCK_TEXTS
+    retrieval.BLOCK_TEXTS = 2
+    try:
+        got = sorted((r.d, sorted(terms[i // 4][i % 4] for i in r.ids)) for r in retrieval.held_terms(texts, packs, 4).collect())
+    finally:
+        retrieval.BLOCK_TEXTS = before
+    assert got == [(1, ["___", "here", "the", "the9"])] * 2 + [(2, ["___", "a_b", "user_id"]), (3, ["___"])]
+    queries = spark.range(400).select(F.col("id").alias("query"), F.concat(F.lit("the everywhere term"), "id").alias("text"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("other "), F.when(F.col("id") == 7, "everywhere ").otherwise(""), F.lit("term"), "id").alias("text"))
+    best = {r["query"]: r.doc_id for r in retrieval.lexical_topk_many(docs, queries, 1).collect()}
+    assert len(best) == 400 and all(best[q] == 7 for q in range(10, 400) if q != 7)
