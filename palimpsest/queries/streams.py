@@ -96,7 +96,8 @@ def stream_replay_tail(spark, d):
     cut = F.lit(None if first is None else first + (last - first) // 2).cast("long")
     state = e.where(F.col("event_id") <= cut).groupBy("user_id").agg(F.max("event_id").alias("position"))
     known = e.select("user_id").distinct().join(state, "user_id", "left").select("user_id", F.coalesce("position", cut).alias("position"), F.lit(False).alias("ended"))
-    tail = stateful.live_tail(streaming.events_stream(spark, d), known, "user_id", "event_id", "ts", F.col("event_type") == "purchase")
+    events = streaming.events_stream(spark, d).select("user_id", "event_id", "event_type", "ts")
+    tail = stateful.live_tail(events, known, "user_id", "event_id", "ts", F.col("event_type") == "purchase")
     live = streaming.drain(tail, "append", typed_state=True).select("user_id", "event_id", "event_type")
     return state.select("user_id", F.col("position").alias("event_id"), F.lit("state").alias("event_type")).unionByName(live)
 

@@ -138,6 +138,18 @@ def test_tail_over_restarts(spark, tmp_path):
     assert run() == want
 
 
+def test_tail_of_rows(spark, tmp_path):
+    """Events with columns of the names that the operator uses, without a position, and told twice in one batch; a state of several rows a key and one without a position. Keys go in as rows, not as frames."""
+    schema = "k long, n long, at timestamp, kind string, position long, ended string"
+    rows = [(k, None if i == 7 else i, moment(i), "end" if (k, i) == (1, 6) else "go", i * 10, "x") for i in [3, 1, 2, 2, 7, 5, 6, 4, 8] for k in (1, 2, 3)]
+    known = spark.createDataFrame([(1, 2, False), (1, 3, False), (2, None, False), (3, 1, False), (3, 0, True)], "k long, position long, ended boolean")
+    add(spark, tmp_path / "in", "a", rows, schema)
+    tail = S.live_tail(stream(spark, tmp_path / "in", schema), known, "k", "n", "at", F.col("kind") == "end")
+    got = sorted((r.k, r.n, r.position, r.ended) for r in streaming.drain(tail, "append", typed_state=True).collect())
+    assert got == [(k, i, i * 10, "x") for k, i in [(1, 4), (1, 5), (1, 6), *((2, i) for i in (1, 2, 3, 4, 5, 6, 8))]]
+    assert "transformWithState" in S.live_tail.__code__.co_names
+
+
 def test_merged_table(spark, tmp_path):
     """The newest event of a key wins however late others come; a batch that is run again changes nothing; two versions are kept."""
     schema = "k long, n long, at timestamp, kind string"
