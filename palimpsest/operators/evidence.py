@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import stored
 from .vector_index import near_nodes
@@ -23,14 +29,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple
 
 #: A key with more ranges than this is cut into bins of about so many.
 BIN_ROWS = 10_000
-#: Bins of a key, at most: their edges are in one row.
+#: Bins of a key, at most, before they are cut into parts.
 MAX_BINS = 4096
+#: Parts that a bin is cut into, at most: in a part every range of the left meets every one of the right.
+PARTS = 64
 
 
 def binned_overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], how: str = "inner", bin_rows: int = BIN_ROWS) -> DataFrame:
     """Rows of equal keys whose closed ranges overlap, where one key may hold a third of all rows: `overlap_join` for most keys, bins for the hot ones.
 
-    A hot key's line of places is cut at quantiles of the starts on the right into bins; a range is in every bin that it meets, and rows join by key and bin. A pair is
+    A hot key's line of places is cut at quantiles of the starts on the right into bins, and those into parts (`bins_of`); a range is in every part that it meets, and rows join by key and part. Edges are
+    shared with the tasks, not carried in rows, whose width would grow with the table. A pair is
     reported in the first bin that both are in, the one in which the later of them starts. Bins are tables' rows like keys, so a hot key
     is as many tasks as it has bins. The result has the columns of both sides (of the left alone where how is left_semi); the right's keys are left out.
     """
@@ -43,14 +52,21 @@ def binned_overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span
     large = stored(right.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > bin_rows), "hot-keys")
     if large.isEmpty():
         return plainly(left)
-    quantiles = F.percentile_approx(other[0], [(i + 1) / MAX_BINS for i in range(MAX_BINS - 1)], 4 * MAX_BINS)
-    counted = right.join(large.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("__n"), quantiles.alias("__q"))
+    left_at, right_at = _places(left, span), _places(right, other)
+    quantiles = F.percentile_approx(right_at[0], [(i + 1) / MAX_BINS for i in range(MAX_BINS - 1)], 4 * MAX_BINS)
     some = F.expr(f"filter(__q, (q, i) -> (i + 1) % greatest(1, cast({MAX_BINS * bin_rows}L div __n as int)) = 0)")
-    hot = stored(counted.select(*keys, F.array_sort(F.array_distinct(some)).alias("__edges")), "hot-edges")
+    width = lambda at: F.avg(F.greatest(at[1] - at[0], F.lit(0.0)))
+    counted = right.join(large.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("__n"), quantiles.alias("__q"), width(right_at).alias("__wide"))
+    found = stored(counted.select(*keys, "__wide", F.array_sort(F.array_distinct(some)).alias("__edges")), "hot-edges")
+    wide = left.join(F.broadcast(found.select(*keys)), keys, "left_semi").groupBy(*keys).agg(width(left_at).alias("__wider"))
+    hot = stored(found.join(wide, keys, "left").select(*keys, F.monotonically_increasing_id().alias("__hot"), "__edges", F.greatest("__wide", "__wider").alias("__wide")), "hot-keys")
+    # At most one edge for each bin_rows of the right, and 4096 a key.
+    edges = left.sparkSession.sparkContext.broadcast({r["__hot"]: (np.array(r["__edges"] or [], np.float64), r["__wide"] or 0.0) for r in hot.select("__hot", "__edges", "__wide").collect()})
     plain = plainly(left.join(hot.select(*keys), keys, "left_anti"))
-    x, y = left.join(hot, keys).withColumn("__id", F.monotonically_increasing_id()), right.join(hot, keys)
-    binned = lambda df, at: df.withColumns({"__low": _bin(at[0]), "__high": _bin(at[1])}).withColumn("__bin", F.explode(F.sequence("__low", F.greatest("__low", "__high")))).drop("__edges", "__high")
-    x, y = binned(x, span).withColumnRenamed("__low", "__from"), binned(y, other)
+    named = F.broadcast(hot.select(*keys, "__hot"))
+    x, y = left.withColumns({"__low": left_at[0], "__high": left_at[1]}).join(named, keys).withColumn("__id", F.monotonically_increasing_id()), right.withColumns({"__low": right_at[0], "__high": right_at[1]}).join(named, keys)
+    binned = lambda df: _binned(df, edges).withColumn("__bin", F.explode(F.sequence("__low", F.greatest("__low", "__high")))).drop("__hot", "__high")
+    x, y = binned(x).withColumnRenamed("__low", "__from"), binned(y)
     on = [x[c] == y[c] for c in [*keys, "__bin"]] + [x[span[0]] <= y[other[1]], x[span[1]] >= y[other[0]]]
     if how == "left_semi":
         met = x.join(y, reduce(lambda a, b: a & b, on), "left_semi")
@@ -59,8 +75,49 @@ def binned_overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span
     return plain.unionByName(met.select(*[x[c] for c in left.columns], *[y[c] for c in own]))
 
 
+def _places(df: DataFrame, span: tuple[str, str]) -> list[Column]:
+    """Both ends as doubles: what is rounded keeps its order, which is all that bins need."""
+    asked = {"date": "cast(unix_date(`{}`) as double)", "timestamp": "cast(unix_micros(`{}`) as double)", "timestamp_ntz": "cast(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{}`) as double)"}
+    return [F.expr(asked.get(dict(df.dtypes)[c], "cast(`{}` as double)").format(c)) for c in span]
+
+
+def bins_of(at: np.ndarray, edges: np.ndarray, wide: float) -> np.ndarray:
+    """The bins of places: how many edges are up to each, and between two edges as many equal parts, up to `PARTS`, as leave a part no narrower than
+    the mean range. They rise with the places. NaN is behind all."""
+    bins = np.searchsorted(edges, at, "right")
+    mean = (edges[-1] - edges[0]) / (len(edges) - 1) if len(edges) > 1 else np.nan
+    if not np.isfinite(mean):
+        return bins
+    parts = int(min(PARTS, max(1.0, mean // wide if wide > 0 else PARTS))) if wide < np.inf else 1
+    inside = (bins > 0) & (bins < len(edges))
+    part = np.zeros(len(at), np.int64)
+    low, high = edges[bins[inside] - 1], edges[bins[inside]]
+    part[inside] = np.minimum((at[inside] - low) / (high - low) * parts, parts - 1)
+    return bins * parts + part
+
+
+def _binned(df: DataFrame, edges: Broadcast) -> DataFrame:
+    """df with __low and __high as the numbers of bins of its __hot key. A place that is null is in the first."""
+    at, low, high = (df.columns.index(c) for c in ("__hot", "__low", "__high"))
+    schema = T.StructType([T.StructField(f.name, T.IntegerType()) if f.name in ("__low", "__high") else f for f in df.schema.fields])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column(at).to_numpy(zero_copy_only=False)
+            order = np.argsort(hot, kind="stable")
+            columns = list(batch.columns)
+            for c in (low, high):
+                places, bins = pc.fill_null(batch.column(c), -np.inf).to_numpy(zero_copy_only=False), np.zeros(len(hot), np.int32)
+                for rows in np.split(order, np.flatnonzero(np.diff(hot[order])) + 1) if len(hot) else ():
+                    bins[rows] = bins_of(places[rows], *edges.value[int(hot[rows[0]])])
+                columns[c] = pa.array(bins)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(step, schema)
+
+
 def _bin(at: str) -> Column:
-    """How many edges are up to a place, by halving."""
+    """How many edges are up to a place, by halving, where __edges are in the row; `bins_of` is the same for whole batches."""
     steps = ", ".join(str(1 << i) for i in reversed(range(MAX_BINS.bit_length())))
     return F.expr(f"aggregate(array({steps}), 0, (i, s) -> if(i + s <= size(__edges) AND get(__edges, i + s - 1) <= `{at}`, i + s, i))")
 

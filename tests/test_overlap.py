@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,27 @@ def test_hot_path_is_many_bins(spark):
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1700
 
 
+def test_bins_in_parts():
+    """Between two edges places are in parts, in order; a part is no narrower than the mean range, so long ranges are not written out many times."""
+    edges, at = np.array([0.0, 1000.0, 1010.0, 5000.0]), np.array([-np.inf, -5, 0, 1, 500, 999, 1000, 1009, 1010, 4999, 5000, 9000, np.inf, np.nan])
+    fine, coarse = evidence.bins_of(at, edges, 10.0), evidence.bins_of(at, edges, 4000.0)
+    assert (np.diff(fine) >= 0).all() and (np.diff(coarse) >= 0).all()
+    assert coarse.tolist() == [0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 4, 4]
+    assert len(set(evidence.bins_of(np.arange(0, 1000.0), edges, 10.0).tolist())) == evidence.PARTS
+    assert evidence.bins_of(at, np.array([]), 1.0).tolist() == [0] * len(at)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double", "decimal(20,3)"])
+def test_places_of_other_kinds(spark, kind):
+    """Dates, times and fractions have bins as whole numbers have."""
+    timed = kind.startswith("time") or kind == "date"
+    place = lambda c: f"cast(date_add(DATE'2024-01-01', cast({c} as int)) as {kind})" if timed else f"cast(({c}) * 1.5 as {kind})"
+    right = spark.range(400).selectExpr("'hot' AS path", f"{place('id * 3')} AS c", f"{place('id * 3 + 2')} AS e")
+    left = spark.range(200).selectExpr("'hot' AS path", "id", f"{place('id * 6')} AS a", f"{place('id * 6 + 3')} AS b")
+    got = evidence.binned_overlap_join(left, right, ["path"], ("a", "b"), ("c", "e"), bin_rows=50)
+    assert got.count() == got.distinct().count() == 400
+
+
 def test_content_digest(spark, tmp_path):
     rows = [(1, "a", {"x": 1}), (2, None, None), (2, None, None), (None, "", {})]
     df = spark.createDataFrame(rows, "k long, v string, m map<string,int>")
