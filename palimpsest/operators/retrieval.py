@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,118 +39,286 @@ def lexical_topk(docs: DataFrame, query: str, k: int, text: str = "text", ties:
     return docs.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), *ties).limit(k)
 
 
-#: Bounds of a block of texts (rows, characters), of a pack of terms, and of a block where queries meet documents (documents, terms of documents, queries).
-BLOCK_TEXTS, BLOCK_CHARS, PACK_TERMS = 1024, 1 << 23, 1024
-BLOCK_DOCS, BLOCK_HELD, BLOCK_QUERIES = 16_384, 1 << 23, 65_536
+#: Bounds of what goes out at a time of a task's texts, of a pack of terms, of the distinct terms and the queries of a pass over the texts, and of the word runs that a task remembers.
+BLOCK_TEXTS, PACK_TERMS, PASS_TERMS, BLOCK_QUERIES, KNOWN_RUNS = 1024, 1024, 1 << 20, 1 << 19, 1 << 19
+#: Bounds of a block of documents that meets all queries of a pass (documents, numbered in 16 bits; terms of documents), of its bitmaps (bytes), of queries whose finds are merged at a time, and of numbers in an array on the way there.
+BLOCK_DOCS, BLOCK_HELD, BITMAP_BYTES, MERGED, CELLS = 1 << 16, 1 << 24, 1 << 26, 16_384, 1 << 20
 _RUN = re.compile("[a-z0-9]+")
 
 
+class Best:
+    """The k best finds so far of each of n queries: the highest score first, then the smallest key (null before all). A score is above `none`.
+
+    score, at: a row a query; `at` is a key's place among `keys`, which are sorted, so that keys of any type are compared as numbers.
+    """
+
+    def __init__(self, n: int, k: int, kind: pa.DataType, score: type, none: float):
+        self.none, self.keys = none, pa.array([], kind)
+        self.score, self.at = np.full((n, k), none, score), np.full((n, k), -1, np.int32)
+
+    def enter(self, keys: pa.Array) -> np.ndarray:
+        """The places of more keys; those that no query has any longer are forgotten."""
+        found = self.at >= 0
+        used, places = np.unique(self.at[found], return_inverse=True)
+        every = pa.concat_arrays([self.keys.take(pa.array(used)), keys.cast(self.keys.type)])
+        rank = pc.rank(every, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int32) - 1
+        first = np.zeros(rank.max(initial=-1) + 1, np.int64)
+        first[rank] = np.arange(len(rank))
+        self.keys = every.take(pa.array(first))
+        self.at[found] = rank[: len(used)][places]
+        return rank[len(used) :]
+
+    def add(self, rows: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        own = np.unique(rows)
+        i, j = np.nonzero(self.at[own] >= 0)
+        rows, at, score = np.concatenate([own[i], rows]), np.concatenate([self.at[own][i, j], at]), np.concatenate([self.score[own][i, j], score])
+        order = np.lexsort((at, -score.astype(np.float64), rows))
+        rows, at, score = rows[order], at[order], score[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < self.at.shape[1]
+        self.at[own], self.score[own] = -1, self.none
+        self.at[rows[best], place[best]], self.score[rows[best], place[best]] = at[best], score[best]
+
+    def finds(self, most: int = 65_536) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """Queries (their numbers), keys and scores."""
+        i, j = np.nonzero(self.at >= 0)
+        for a in range(0, len(i), most):
+            own = i[a : a + most], j[a : a + most]
+            yield pa.array(own[0]), self.keys.take(pa.array(self.at[own])), pa.array(self.score[own])
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """rows in about as many tasks as there are cores, where each task gives back what it finds for every query: files as they lie where they are many and even, or else dealt anew."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]  # one row a task of the scan
+    return rows.repartition(cores) if max(counts, default=0) * cores > 2 * sum(counts) else rows.coalesce(cores)
+
+
 def lexical_topk_many(docs: DataFrame, queries: DataFrame, k: int, key: str = "query", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """key, doc, hits, rank: `lexical_topk` for each row of queries (key, text).
 
-    A text is read once, against all distinct terms of the queries (`held_terms`). Then documents, as lists of terms, and queries are dealt into blocks by hash, and each two blocks meet in one
-    group, which gives back a query's best `k` of the block, so a query is k rows a block of documents, whatever it hits. Queries without terms have no rows.
+    A pass reads every text once, where it lies, against all distinct terms of up to `BLOCK_QUERIES` queries (`held_terms`); terms and queries of a pass are shared with the tasks. Documents, as lists
+    of terms, meet its queries in the same tasks, block by block, and a task gives back k rows a query, so what is shuffled grows with the queries, not with the documents. Queries without terms have no rows.
     """
-    terms = query_terms(F.col(text))
-    asked = stored(queries.select(F.col(key).alias("q"), terms.alias("terms")).where(F.size("terms") > 0).withColumn("u", F.monotonically_increasing_id()), "queries")
-    words = stored(asked.select(F.explode("terms").alias("term")).distinct(), "terms")
-    pack = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-words.count() // PACK_TERMS)))).cast("int")
-    packs = stored(words.groupBy(pack.alias("pack")).agg(F.collect_list("term").alias("terms")), "packs")
-    width = packs.agg(F.max(F.size("terms"))).first()[0] or 1
-    numbers = packs.select("pack", F.posexplode("terms").alias("at", "term")).select("term", (F.col("pack") * width + F.col("at")).alias("id"))
-    sought = asked.select("u", "q", F.explode("terms").alias("term")).join(numbers, "term").groupBy("u").agg(F.first("q").alias("q"), F.collect_list("id").alias("ids"))
-
-    held = stored(held_terms(docs.select(F.col(doc).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")), packs, width), "held-terms")
-    told = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
-    sets, parts = max(1, -(-told["n"] // BLOCK_DOCS), -(-told["ids"] // BLOCK_HELD)), max(1, -(-asked.count() // BLOCK_QUERIES))
-    left = held.withColumn("i", F.pmod(F.xxhash64("d", "ids"), F.lit(sets)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = sought.withColumn("j", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    qtype, dtype = queries.schema[key].dataType, docs.schema[doc].dataType
+    spark, qtype, dtype = docs.sparkSession, queries.schema[key].dataType, docs.schema[doc].dataType
+    asked = stored(queries.select(F.col(key).alias("q"), query_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0).withColumn("u", F.monotonically_increasing_id()), "queries")
+    parts = max(1, -(-asked.count() // BLOCK_QUERIES))
+    part = lambda n: F.pmod(F.xxhash64("u"), F.lit(n)).cast("int")
+    while asked.select(part(parts).alias("part"), F.explode("terms")).distinct().groupBy("part").count().where(F.col("count") > PASS_TERMS).take(1):
+        parts *= 2
+    texts = few_tasks(docs.select(F.col(doc).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")))
     fields = T.StructType([T.StructField(key, qtype), T.StructField(doc, dtype), T.StructField("hits", T.IntegerType())])
     schema = to_arrow_schema(fields)
 
-    def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not docs.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        docs = docs.take(pc.sort_indices(docs["d"], null_placement="at_start")).combine_chunks()
-        n, found = docs.num_rows, docs["ids"].combine_chunks()
-        ids = found.flatten().to_numpy()
-        at = np.repeat(np.arange(n, dtype=np.int32), found.value_lengths().to_numpy())
-        order = np.argsort(ids, kind="stable")
-        names, first = np.unique(ids[order], return_index=True)
-        at, last = at[order], [*first[1:].tolist(), len(ids)]
-        spans = {t: (a, b) for t, a, b in zip(names.tolist(), first.tolist(), last, strict=True)}
-        whole: dict[int, np.ndarray] = {}  # frequent terms as a row of 0 and 1: at most 8 bytes for each term of a document
-        to, chosen, counts = [], [], []
-        for row, terms in enumerate(asked["ids"].to_pylist()):
-            hits = np.zeros(n, np.uint8)  # a query has 12 terms at most
-            for term in terms:
-                a, b = spans.get(term, (0, 0))
-                if (b - a) * 8 < n:
-                    hits[at[a:b]] += 1
-                    continue
-                if term not in whole:
-                    whole[term] = np.zeros(n, np.uint8)
-                    whole[term][at[a:b]] = 1
-                hits += whole[term]
-            least = int(hits.max())
-            while least > 1 and np.count_nonzero(hits >= least) < k:
-                least -= 1
-            if not least:
-                continue
-            over = np.flatnonzero(hits > least)
-            over = over[np.argsort(-hits[over].astype(np.int16), kind="stable")][:k]  # equal hits by document
-            best = np.concatenate([over, np.flatnonzero(hits == least)[: k - len(over)]])
-            to.append(np.full(len(best), row))
-            chosen.append(best)
-            counts.append(hits[best].astype(np.int32))
-        if not to:
-            return schema.empty_table()
-        columns = asked["q"].take(pa.array(np.concatenate(to))), docs["d"].take(pa.array(np.concatenate(chosen))), pa.array(np.concatenate(counts))
-        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, fields)
+    def one_pass(own: DataFrame) -> DataFrame:
+        words = own.select(F.explode("terms").alias("term")).distinct()
+        pack = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-words.count() // PACK_TERMS)))).cast("int")
+        packs = stored(words.groupBy(pack.alias("pack")).agg(F.collect_list("term").alias("terms")), "packs")
+        width = packs.agg(F.max(F.size("terms"))).first()[0] or 1
+        numbers = packs.select("pack", F.posexplode("terms").alias("at", "term")).select("term", (F.col("pack") * width + F.col("at")).alias("id"))
+        sought = own.select("u", "q", F.explode("terms").alias("term")).join(numbers, "term").groupBy("u").agg(F.first("q").alias("q"), F.collect_list("id").alias("ids")).select("q", "ids").toArrow().combine_chunks()
+        ids = pc.list_flatten(sought["ids"]).to_numpy().astype(np.int32)
+        ends = np.cumsum([0, *pc.list_value_length(sought["ids"]).to_pylist()])
+        shared = spark.sparkContext.broadcast((sought["q"].combine_chunks().cast(schema.field(key).type), ids, ends))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, ids, ends = shared.value
+            best = Best(len(names), k, schema.field(doc).type, np.uint8, 0)  # a query has 12 terms at most
+            for block in _blocks(batches, BLOCK_DOCS, BLOCK_HELD):
+                _meet(block, ids, ends, best, k)
+            for i, found, hits in best.finds():
+                yield pa.RecordBatch.from_arrays([names.take(i), found, hits.cast(pa.int32())], schema=schema)
+
+        return held_terms(texts, packs, width).mapInArrow(meet, fields)
+
+    found = one_pass(asked.where(part(parts) == 0))
+    for n in range(1, parts):
+        found = found.unionByName(one_pass(asked.where(part(parts) == n)))
     order = Window.partitionBy(key).orderBy(F.desc("hits"), doc)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, items: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches (d, ids) put together, until they have that many rows or ids; the first blocks are smaller, so that most documents come when queries have finds already."""
+    some, n, held, share = [], 0, 0, 16
+    for batch in batches:
+        step = min(BLOCK_TEXTS, rows)
+        for a in range(0, len(batch), step):
+            own = batch.slice(a, step)
+            if n and n + len(own) > max(1, rows // share):
+                yield some
+                some, n, held, share = [], 0, 0, max(1, share // 4)
+            some.append(own)
+            n, held = n + len(own), held + len(pc.list_flatten(own.column(1)))
+            if held >= items // share:
+                yield some
+                some, n, held, share = [], 0, 0, max(1, share // 4)
+    if n:
+        yield some
+
+
+class _Block:
+    """Documents (batches of d, ids) by the terms that they hold: term t is held by counts[t] documents, whose numbers are at[starts[t]:starts[t + 1]], ascending. Frequent terms have a bitmap, too."""
+
+    def __init__(self, batches: list[pa.RecordBatch], terms: int):
+        flat = [pc.list_flatten(b.column(1)).to_numpy() for b in batches]
+        self.n = sum(map(len, batches))
+        self.counts = sum(np.bincount(ids, minlength=terms) for ids in flat)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.at, free, first = np.empty(self.starts[-1], np.uint16), self.starts[:-1].copy(), 0
+        for batch, ids in zip(batches, flat, strict=True):
+            pairs = ids.astype(np.int64) << 16 | np.repeat(np.arange(first, first + len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            pairs.sort()
+            here = np.bincount(ids, minlength=terms)
+            self.at[np.repeat(free - np.cumsum(here) + here, here) + np.arange(len(pairs))] = pairs & 0xFFFF
+            free += here
+            first += len(batch)
+        width = -(-self.n // 8)
+        frequent = np.argsort(-self.counts, kind="stable")[: max(1, BITMAP_BYTES // width)]
+        frequent = frequent[self.counts[frequent] > 0]
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[frequent] = np.arange(len(frequent))
+        self.bits = np.empty((len(frequent), width), np.uint8)
+        step = max(1, CELLS // self.n)
+        for low in range(0, len(frequent), step):
+            which, docs = self.documents(frequent[low : low + step])
+            row = np.zeros((min(step, len(frequent) - low), width * 8), np.uint8)
+            row[which, docs] = 1
+            self.bits[low : low + step] = np.packbits(row, axis=1, bitorder="little")
+
+    def documents(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of each of these terms: which of the terms, and the document."""
+        n = self.counts[terms]
+        to = np.arange(n.sum()) + np.repeat(self.starts[terms] - np.cumsum(n) + n, n)
+        return np.repeat(np.arange(len(terms)), n), self.at[to].astype(np.int64)
+
+    def holds(self, terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whether each document holds the term beside it."""
+        slot = self.slot[terms]
+        found = (self.bits[slot, docs >> 3] >> (docs & 7).astype(np.uint8) & 1).astype(bool)
+        rare = np.flatnonzero(slot < 0)
+        if len(rare):  # by bisection
+            terms, docs = terms[rare], docs[rare]
+            low, high, end = self.starts[terms], self.starts[terms + 1], self.starts[terms + 1]
+            while (open_ := low < high).any():
+                middle = (low + high) >> 1
+                less = open_ & (self.at[np.minimum(middle, len(self.at) - 1)] < docs)
+                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            found[rare] = (low < end) & (self.at[np.minimum(low, len(self.at) - 1)] == docs)
+        return found
+
+
+def _meet(batches: list[pa.RecordBatch], ids: np.ndarray, ends: np.ndarray, best: Best, k: int) -> None:
+    """Add the finds of a block of documents (d, ids) to the best of each query, whose terms are ids[ends[i]:ends[i + 1]].
+
+    A query that has k finds already wants documents with more hits than the last of them, or as many and a smaller key. So it is enough to look at those that hold one of its rarest terms: a document
+    without any of them has too few hits. Other queries count the hits of all documents.
+    """
+    places = best.enter(pa.concat_arrays([b.column(0) for b in batches]))
+    block = _Block(batches, int(ids.max(initial=0)) + 1)
+    n, earliest = block.n, places.min()
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(places, kind="stable")] = np.arange(n)
+    width = int(np.diff(ends).max(initial=0))
+    for low in range(0, len(ends) - 1, MERGED):
+        cut = ends[low : low + MERGED + 1]
+        lengths = np.diff(cut)
+        terms = np.full((len(lengths), width), -1, np.int64)
+        terms[np.arange(width) < lengths[:, None]] = ids[cut[0] : cut[-1]]
+        df = np.where(terms >= 0, block.counts[terms], 0)
+        order = np.argsort(np.where(df, df, n + 1), axis=1, kind="stable")  # the rarest first, those that no document holds last
+        terms, df = np.take_along_axis(terms, order, 1), np.take_along_axis(df, order, 1)
+        held = (df > 0).sum(axis=1)
+        floor, last = best.score[low : low + MERGED, -1].astype(np.int64), best.at[low : low + MERGED, -1]
+        least = np.where(floor > 0, floor + (earliest >= last), 1)
+        rare = held - least + 1
+        by_rare, by_all = np.where(np.arange(width) < rare[:, None], df, 0).sum(axis=1), df.sum(axis=1)
+        count_all = (rare > 0) & ((least == 1) | (by_rare * 4 > by_all))
+        found = []
+        some = np.flatnonzero(count_all)
+        for a in range(0, len(some), max(1, CELLS // n)):
+            own = some[a : a + max(1, CELLS // n)]
+            found.append(_by_count(block, own, terms[own], df[own], least[own], rank, k))
+        some = np.flatnonzero((rare > 0) & ~count_all)
+        for own in np.split(some, np.flatnonzero(np.diff(np.cumsum(by_rare[some]) // CELLS)) + 1):
+            if len(own):
+                found.append(_by_rarest(block, own, terms, held, least, rare))
+        if found:
+            rows, docs, hits = (np.concatenate(c) for c in zip(*found, strict=True))
+            best.add(rows + low, places[docs], hits.astype(np.uint8))
+
+
+def _by_count(block: _Block, own: np.ndarray, terms: np.ndarray, df: np.ndarray, least: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries (own), documents and hits: the k best of the documents with at least so many."""
+    i, j = np.nonzero(df)
+    which, docs = block.documents(terms[i, j])
+    n = block.n
+    hits = np.bincount(i[which] * n + docs, minlength=len(own) * n).reshape(len(own), n)
+    top = np.argpartition(hits * n + (n - 1 - rank), n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), hits.shape)
+    hits = np.take_along_axis(hits, top, 1)
+    i, j = np.nonzero(hits >= least[:, None])
+    return own[i], top[i, j], hits[i, j]
+
+
+def _by_rarest(block: _Block, own: np.ndarray, terms: np.ndarray, held: np.ndarray, least: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries (own), documents and hits: the documents with at least so many, from those of each of the rarest terms, and held against the terms after it as long as these can be enough."""
+    i, j = np.nonzero(np.arange(terms.shape[1]) < rare[own][:, None])
+    which, docs = block.documents(terms[own[i], j])
+    row, place = own[i][which], j[which]
+    hits, left, done = np.ones(len(row), np.int64), held[row] - 1 - place, []
+    while len(row):
+        able = hits + left >= least[row]
+        over = able & (left == 0)
+        done.append((row[over], docs[over], hits[over]))
+        able &= ~over
+        row, docs, hits, left, place = row[able], docs[able], hits[able], left[able] - 1, place[able] + 1
+        hits += block.holds(terms[row, place], docs)
+    row, docs, hits = (np.concatenate(c) for c in zip(*done, strict=True)) if done else (own[:0], own[:0], own[:0])
+    order = np.lexsort((-hits, docs, row))  # a document may come by several terms, and from the first of them with all its hits
+    row, docs, hits = row[order], docs[order], hits[order]
+    first = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(docs) != 0)])[: len(row)]
+    return row[first], docs[first], hits[first]
+
+
 def held_terms(texts: DataFrame, packs: DataFrame, width: int) -> DataFrame:
-    """d, ids: the terms that each text (d, t; lower-cased) is LIKE, where it is LIKE any. packs: pack, terms; the id of a term is pack * width + its place.
+    """d, ids: the terms that each text (d, t; lower-cased) is LIKE, where it is LIKE any. packs: pack, terms, at most `PASS_TERMS` or so together, which are shared with the tasks; the id of a term is pack * width + its place.
 
-    A term of letters and digits lies within a run of them, so only a block's distinct runs are sought through, by their substrings as long as terms are. Terms with _, a wildcard, are sought in the texts.
+    A term of letters and digits lies within a run of them, so only distinct runs are sought through, by their substrings as long as terms are. Terms with _, a wildcard, are sought in the texts.
     """
-    told = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
-    sets = max(1, -(-told["n"] // BLOCK_TEXTS), -(-told["chars"] // BLOCK_CHARS))
-    left = texts.withColumn("i", F.pmod(F.xxhash64("d", "t"), F.lit(sets)).cast("int"))
-    right = packs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    told = {t: r["pack"] * width + at for r in packs.collect() for at, t in enumerate(r["terms"])}
+    shared = texts.sparkSession.sparkContext.broadcast(told)
     fields = T.StructType([T.StructField("d", texts.schema["d"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     schema = to_arrow_schema(fields)
 
-    def hold(texts: pa.Table, packs: pa.Table) -> pa.Table:
-        if not texts.num_rows or not packs.num_rows:
-            return schema.empty_table()
-        terms = {t: pack * width + at for pack, some in zip(packs["pack"].to_pylist(), packs["terms"].to_pylist(), strict=True) for at, t in enumerate(some)}
-        wild = [(re.compile(".".join(map(re.escape, t.split("_"))), re.S).search, terms.pop(t)) for t in [t for t in terms if "_" in t]]
-        lengths = sorted({len(t) for t in terms})
-        runs: dict[str, list[int]] = {}
-        rows, out = [], []
-        for row, t in enumerate(texts["t"]):
-            low, own = t.as_py(), set()
-            for run in set(_RUN.findall(low)):
-                if run not in runs:
-                    runs[run] = list({terms[run[a : a + n]] for n in lengths if n <= len(run) for a in range(len(run) - n + 1) if run[a : a + n] in terms})
-                own.update(runs[run])
-            own.update(term for seek, term in wild if seek(low))
-            if own:
-                rows.append(row)
-                out.append(np.fromiter(own, np.int32, len(own)))
-        if not rows:
-            return schema.empty_table()
-        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
-        return pa.Table.from_arrays([texts["d"].take(pa.array(rows)).combine_chunks(), ids.cast(schema.field("ids").type)], schema=schema)
-
-    return left.groupBy("i").cogroup(right.groupBy("i")).applyInArrow(hold, fields)
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        wild = [(re.compile(".".join(map(re.escape, t.split("_"))), re.S).search, i) for t, i in terms.items() if "_" in t]
+        begins: dict[str, set[int]] = {}  # lengths of the terms by their first three characters
+        for t in terms:
+            begins.setdefault(t[:3], set()).add(len(t))
+        runs: dict[str, tuple[int, ...]] = {}
+        for batch in (b.slice(a, BLOCK_TEXTS) for b in batches for a in range(0, len(b), BLOCK_TEXTS)):
+            rows, out = [], []
+            for row, t in enumerate(batch.column(1)):
+                low = t.as_py()
+                if len(runs) > KNOWN_RUNS:
+                    runs.clear()
+                found = set(_RUN.findall(low))
+                for run in list(filterfalse(runs.__contains__, found)):
+                    inside = {terms.get(run[a : a + n], -1) for a in range(len(run) - 2) for n in begins.get(run[a : a + 3], ()) if a + n <= len(run)}
+                    inside.discard(-1)
+                    runs[run] = tuple(inside)
+                own = set().union(*map(runs.__getitem__, found))
+                own.update(term for seek, term in wild if seek(low))
+                if own:
+                    rows.append(row)
+                    out.append(np.fromiter(own, np.int32, len(own)))
+            if rows:
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.cast(schema.field("ids").type)], schema=schema)
+
+    return texts.select("d", "t").mapInArrow(hold, fields)
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", ties: tuple[str, ...] = ("vec_id",)) -> DataFrame:

@@ -113,3 +113,90 @@ def test_texts_meet_terms_once(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("other "), F.when(F.col("id") == 7, "everywhere ").otherwise(""), F.lit("term"), "id").alias("text"))
     best = {r["query"]: r.doc_id for r in retrieval.lexical_topk_many(docs, queries, 1).collect()}
     assert len(best) == 400 and all(best[q] == 7 for q in range(10, 400) if q != 7)
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that tasks write for shuffles while it runs."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def told():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (lambda seq: [seq.apply(i) for i in range(seq.size())])(sc.statusStore().executorList(False)))
+
+    before = told()
+    run()
+    return told() - before
+
+
+def test_many_queries_shuffle_little(spark):
+    """What is shuffled grows with the queries, not with the texts, nor with the cells that vectors without clusters lie in."""
+    import random
+
+    from palimpsest.operators import retrieval, vector_index
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(100)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    docs.cache().count()
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(texts[i * 7].split()) for _ in range(5))) for i in range(60)], "query long, text string")
+    found = []
+    sent = shuffled_bytes(spark, lambda: found.extend(retrieval.lexical_topk_many(docs, asked, 3).collect()))
+    assert {r["query"]: r.doc_id for r in found if r["rank"] == 1} == {i: i * 7 for i in range(60) if any(w[0].isalpha() for w in asked.where(f"query = {i}").first().text.split())}
+    assert sent < sum(map(len, texts)) / 8
+    docs.unpersist()
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(2000)], "vec_id long, embedding array<double>")
+    index = vector_index.build_index(vectors, cells=128)
+    near = index.rows.where("vec_id < 500").select(index.rows.vec_id.alias("query"), "embedding")
+    got = []
+    sent = shuffled_bytes(spark, lambda: got.extend(vector_index.search_many(index, near, 3).collect()))
+    assert sent < 2000 * 32 * 8 * 5  # a query that went to all cells would be 128 rows
+    x = {r.vec_id: r.embedding for r in vectors.collect()}
+    for q in (0, 77, 499):
+        want = sorted(((-round(sum(a * b for a, b in zip(x[q], v, strict=True)), 6), i) for i, v in x.items()))[:3]
+        assert [r.vec_id for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_best_of_blocks():
+    """Blocks of documents and of vectors in any order of keys against all at once: equal hits, repeated terms, equal keys, null and text keys, terms with and without bitmaps."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.operators import retrieval, vector_index
+
+    rng = random.Random(8)
+    before = retrieval.BITMAP_BYTES, retrieval.CELLS, retrieval.MERGED
+    try:
+        for kind, bitmaps, cells in ((pa.int64(), 1 << 20, 1 << 20), (pa.string(), 300, 500), (pa.int64(), 1, 64)):
+            retrieval.BITMAP_BYTES, retrieval.CELLS, retrieval.MERGED = bitmaps, cells, 13
+            keys = [None if i == 9 else i // 2 * 2 if i % 17 == 1 else i for i in range(400)]
+            rng.shuffle(keys)
+            keys = pa.array([k if k is None or pa.types.is_integer(kind) else f"d{k}" for k in keys], kind)
+            held = [sorted(rng.sample(range(60), rng.randrange(1, 30)) if i % 3 else rng.sample(range(8), 5)) for i in range(400)]
+            queries = [rng.choices(range(70), k=rng.randrange(1, 13)) if i % 4 else rng.choices(range(9), k=12) for i in range(40)]
+            ids, ends = np.array([t for q in queries for t in q], np.int32), np.cumsum([0, *map(len, queries)])
+            order = {k: i for i, k in enumerate(sorted(set(keys.to_pylist()), key=lambda k: (k is not None, k if k is not None else 0)))}
+            best = retrieval.Best(len(queries), 5, kind, np.uint8, 0)
+            batches = [pa.RecordBatch.from_pydict({"d": keys[a : a + 50], "ids": pa.array(held[a : a + 50], pa.list_(pa.int32()))}) for a in range(0, 400, 50)]
+            for block in ([batches[0]], batches[1:3], batches[3:]):
+                retrieval._meet(block, ids, ends, best, 5)
+            got = {i: [] for i in range(len(queries))}
+            for i, found, hits in best.finds(7):
+                for q, k, h in zip(i.to_pylist(), found.to_pylist(), hits.to_pylist(), strict=True):
+                    got[q].append((-h, order[k]))
+            for i, q in enumerate(queries):
+                every = sorted((-sum(t in own for t in q), order[k]) for k, own in zip(keys.to_pylist(), map(set, held), strict=True))
+                assert got[i] == [e for e in every if e[0] < 0][:5]
+            x, y = (np.random.default_rng(s).integers(-2, 3, (n, 3)).astype(np.float64) for s, n in ((1, 30), (2, 400)))
+            near = retrieval.Best(30, 5, kind, np.float64, -np.inf)
+            for a in range(0, 400, 90):
+                vector_index._scan_block(pa.RecordBatch.from_pydict({"k": keys[a : a + 90], "v": pa.array(y[a : a + 90].tolist())}), x, near, 5)
+            got = {i: [] for i in range(30)}
+            for i, found, score in near.finds():
+                for q, k, h in zip(i.to_pylist(), found.to_pylist(), score.to_pylist(), strict=True):
+                    got[q].append((-h, order[k]))
+            for i in range(30):
+                assert got[i] == sorted((-float(x[i] @ v), order[k]) for k, v in zip(keys.to_pylist(), y, strict=True))[:5]
+    finally:
+        retrieval.BITMAP_BYTES, retrieval.CELLS, retrieval.MERGED = before
