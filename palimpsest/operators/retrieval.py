@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,10 @@ def lexical_topk(docs: DataFrame, query: str, k: int, text: str = "text", ties:
     return docs.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), *ties).limit(k)
 
 
-#: Bounds of what goes out at a time of a task's texts, of a pack of terms, of the distinct terms and the queries of a pass over the texts, and of the word runs that a task remembers.
-BLOCK_TEXTS, PACK_TERMS, PASS_TERMS, BLOCK_QUERIES, KNOWN_RUNS = 1024, 1024, 1 << 20, 1 << 19, 1 << 19
+#: Bounds of what a task takes of its texts at a time (rows, bytes), of a pack of terms, of the distinct terms and the queries of a pass over the texts, and of the word runs that a task remembers.
+BLOCK_TEXTS, BLOCK_CHARS, PACK_TERMS, PASS_TERMS, BLOCK_QUERIES, KNOWN_RUNS = 1024, 1 << 22, 1024, 1 << 20, 1 << 19, 1 << 19
 #: Bounds of a block of documents that meets all queries of a pass (documents, numbered in 16 bits; terms of documents), of its bitmaps (bytes), of queries whose finds are merged at a time, and of numbers in an array on the way there.
 BLOCK_DOCS, BLOCK_HELD, BITMAP_BYTES, MERGED, CELLS = 1 << 16, 1 << 24, 1 << 26, 16_384, 1 << 20
-_RUN = re.compile("[a-z0-9]+")
 
 
 class Best:
@@ -212,7 +211,7 @@ def _meet(batches: list[pa.RecordBatch], ids: np.ndarray, ends: np.ndarray, best
     """Add the finds of a block of documents (d, ids) to the best of each query, whose terms are ids[ends[i]:ends[i + 1]].
 
     A query that has k finds already wants documents with more hits than the last of them, or as many and a smaller key. So it is enough to look at those that hold one of its rarest terms: a document
-    without any of them has too few hits. Other queries count the hits of all documents.
+    without any of them has too few hits. Queries whose rarest terms are in many documents count the hits of all.
     """
     places = best.enter(pa.concat_arrays([b.column(0) for b in batches]))
     block = _Block(batches, int(ids.max(initial=0)) + 1)
@@ -233,7 +232,7 @@ def _meet(batches: list[pa.RecordBatch], ids: np.ndarray, ends: np.ndarray, best
         least = np.where(floor > 0, floor + (earliest >= last), 1)
         rare = held - least + 1
         by_rare, by_all = np.where(np.arange(width) < rare[:, None], df, 0).sum(axis=1), df.sum(axis=1)
-        count_all = (rare > 0) & ((least == 1) | (by_rare * 4 > by_all))
+        count_all = (rare > 0) & (by_rare * 8 > by_all + n)  # whichever is less work
         found = []
         some = np.flatnonzero(count_all)
         for a in range(0, len(some), max(1, CELLS // n)):
@@ -242,7 +241,7 @@ def _meet(batches: list[pa.RecordBatch], ids: np.ndarray, ends: np.ndarray, best
         some = np.flatnonzero((rare > 0) & ~count_all)
         for own in np.split(some, np.flatnonzero(np.diff(np.cumsum(by_rare[some]) // CELLS)) + 1):
             if len(own):
-                found.append(_by_rarest(block, own, terms, held, least, rare))
+                found.append(_by_rarest(block, own, terms, held, least, rare, rank, k))
         if found:
             rows, docs, hits = (np.concatenate(c) for c in zip(*found, strict=True))
             best.add(rows + low, places[docs], hits.astype(np.uint8))
@@ -254,14 +253,14 @@ def _by_count(block: _Block, own: np.ndarray, terms: np.ndarray, df: np.ndarray,
     which, docs = block.documents(terms[i, j])
     n = block.n
     hits = np.bincount(i[which] * n + docs, minlength=len(own) * n).reshape(len(own), n)
-    top = np.argpartition(hits * n + (n - 1 - rank), n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), hits.shape)
+    top = np.argpartition((hits * n + (n - 1 - rank)).astype(np.int32), n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), hits.shape)
     hits = np.take_along_axis(hits, top, 1)
     i, j = np.nonzero(hits >= least[:, None])
     return own[i], top[i, j], hits[i, j]
 
 
-def _by_rarest(block: _Block, own: np.ndarray, terms: np.ndarray, held: np.ndarray, least: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Queries (own), documents and hits: the documents with at least so many, from those of each of the rarest terms, and held against the terms after it as long as these can be enough."""
+def _by_rarest(block: _Block, own: np.ndarray, terms: np.ndarray, held: np.ndarray, least: np.ndarray, rare: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries (own), documents and hits: the k best of the documents with at least so many, from those of each of the rarest terms, and held against the terms after it as long as these can be enough."""
     i, j = np.nonzero(np.arange(terms.shape[1]) < rare[own][:, None])
     which, docs = block.documents(terms[own[i], j])
     row, place = own[i][which], j[which]
@@ -277,7 +276,11 @@ def _by_rarest(block: _Block, own: np.ndarray, terms: np.ndarray, held: np.ndarr
     order = np.lexsort((-hits, docs, row))  # a document may come by several terms, and from the first of them with all its hits
     row, docs, hits = row[order], docs[order], hits[order]
     first = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(docs) != 0)])[: len(row)]
-    return row[first], docs[first], hits[first]
+    row, docs, hits = row[first], docs[first], hits[first]
+    order = np.lexsort((rank[docs], -hits, row))
+    row, docs, hits = row[order], docs[order], hits[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], docs[best], hits[best]
 
 
 def held_terms(texts: DataFrame, packs: DataFrame, width: int) -> DataFrame:
@@ -293,34 +296,106 @@ def held_terms(texts: DataFrame, packs: DataFrame, width: int) -> DataFrame:
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         wild = [(re.compile(".".join(map(re.escape, t.split("_"))), re.S).search, i) for t, i in terms.items() if "_" in t]
-        begins: dict[str, set[int]] = {}  # lengths of the terms by their first three characters
-        for t in terms:
-            begins.setdefault(t[:3], set()).add(len(t))
-        runs: dict[str, tuple[int, ...]] = {}
-        for batch in (b.slice(a, BLOCK_TEXTS) for b in batches for a in range(0, len(b), BLOCK_TEXTS)):
-            rows, out = [], []
-            for row, t in enumerate(batch.column(1)):
-                low = t.as_py()
-                if len(runs) > KNOWN_RUNS:
-                    runs.clear()
-                found = set(_RUN.findall(low))
-                for run in list(filterfalse(runs.__contains__, found)):
-                    inside = {terms.get(run[a : a + n], -1) for a in range(len(run) - 2) for n in begins.get(run[a : a + 3], ()) if a + n <= len(run)}
-                    inside.discard(-1)
-                    runs[run] = tuple(inside)
-                own = set().union(*map(runs.__getitem__, found))
-                own.update(term for seek, term in wild if seek(low))
-                if own:
-                    rows.append(row)
-                    out.append(np.fromiter(own, np.int32, len(own)))
-            if rows:
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.cast(schema.field("ids").type)], schema=schema)
+        known = _Runs({t: i for t, i in terms.items() if "_" not in t})
+        for batch in _cut(batches):
+            doc, ids = known.held(batch.column(1))
+            if wild:
+                more = [(row, i) for row, t in enumerate(batch.column(1).to_pylist()) for seek, i in wild if seek(t)]
+                doc, ids = (np.concatenate([one, np.array([m[at] for m in more], np.int64)]) for at, one in enumerate((doc, ids)))
+                order = np.argsort(doc, kind="stable")
+                doc, ids = doc[order], ids[order]
+            n = np.bincount(doc, minlength=len(batch))
+            rows = np.flatnonzero(n)
+            if len(rows):
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n[rows]]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists.cast(schema.field("ids").type)], schema=schema)
 
     return texts.select("d", "t").mapInArrow(hold, fields)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a key and a text cut at `BLOCK_TEXTS` rows and about `BLOCK_CHARS` bytes of text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        ends = [*np.flatnonzero(np.diff(size // BLOCK_CHARS)) + 1, len(batch)]
+        for low, high in zip([0, *ends], ends, strict=False):
+            for a in range(low, high, BLOCK_TEXTS):
+                yield batch.slice(a, min(BLOCK_TEXTS, high - a))
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = high.astype(np.int64) << 32 | low
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+_PLAIN = np.array([b if chr(b).isascii() and (chr(b).isdigit() or chr(b).islower()) else 32 for b in range(256)], np.uint8)
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """texts with a blank for each byte that is no letter a-z or digit."""
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = _PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(data))
+
+
+class _Runs:
+    """The terms (letters and digits; with their ids) inside runs of letters and digits, remembered for up to `KNOWN_RUNS` runs."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms, self.runs = terms, {}
+        self.lengths = {len(t) for t in terms}
+        self.marks = np.zeros(1 << 24, bool)  # of hashes of terms: most pieces of runs are none, and only others are looked up
+        size = np.fromiter(map(len, terms), np.int64, len(terms))
+        for length, _, marks in self._pieces(list(terms)):
+            self.marks[marks[size[self.which] == length]] = True
+
+    def _pieces(self, runs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length of terms: the pieces so long of all runs, by their place in the run, and their hashes; `self.which` has their runs."""
+        n = np.fromiter(map(len, runs), np.int64, len(runs))
+        letters = np.frombuffer("".join(runs).encode(), np.uint8)
+        which = np.repeat(np.arange(len(runs)), n)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(n) - n, n)
+        left, start, mark = n[which] - place, np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+        for length in range(1, max(self.lengths, default=0) + 1):
+            fits = left >= length
+            left, start, mark = left[fits], start[fits], mark[fits]
+            mark = (mark + letters[start + length - 1] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mark ^= mark >> np.uint64(29)
+            if length in self.lengths:
+                self.which = which[start]
+                yield length, place[start], mark >> np.uint64(40)
+
+    def _seek(self, runs: list[str]) -> None:
+        found: list[set[int]] = [set() for _ in runs]
+        for length, place, marks in self._pieces(runs):
+            some = np.flatnonzero(self.marks[marks])
+            for i, a in zip(self.which[some].tolist(), place[some].tolist(), strict=True):
+                term = self.terms.get(runs[i][a : a + length])
+                if term is not None:
+                    found[i].add(term)
+        self.runs.update(zip(runs, map(tuple, found), strict=True))
+
+    def held(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts and ids of the terms in them, each pair once, by text."""
+        words = pc.ascii_split_whitespace(_plain(texts))
+        coded = pc.list_flatten(words).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.runs) > KNOWN_RUNS:
+            self.runs.clear()
+        new = list(filterfalse(self.runs.__contains__, names))
+        if new:
+            self._seek(new)
+        told = list(map(self.runs.__getitem__, names))
+        n = np.fromiter(map(len, told), np.int64, len(told))
+        ids, starts = np.fromiter(chain.from_iterable(told), np.int64, int(n.sum())), np.cumsum(n) - n
+        doc, run = _distinct(np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False)), coded.indices.to_numpy())
+        n = n[run]
+        return _distinct(np.repeat(doc, n), ids[np.repeat(starts[run] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", ties: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """The k nearest by cosine of unit vectors; adds similarity. Null vectors are not found."""
     near = dot(F.col(vector), F.lit(query))
